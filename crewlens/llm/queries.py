@@ -12,6 +12,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.bpe import build_lexicon, token_digests
+
+    docs, path = _table(spark, sf_dir, "documents"), _tokenizer()
+    return token_digests(docs, path, build_lexicon(docs, path))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.mixing import taken_words
+
+    return taken_words(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.simhash import simhash_groups
 
