@@ -1,12 +1,51 @@
-"""From raw documents to token ids: five stages, each written and read again."""
+"""From raw documents to token ids: five stages, each written and read again.
+
+Every stage works on all that the one before it kept, and all but the last
+return the columns of ``documents``. Mixing repeats documents; the others keep
+or change each row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from crewlens.llm.bpe import build_lexicon, encode
+from crewlens.llm.mixing import mixed_documents
+from crewlens.llm.pii import redact
+from crewlens.llm.quality import good_documents
+from crewlens.llm.queries import tokenizer_path
 from crewlens.llm.shared import stored
+from crewlens.llm.simhash import keep_one
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each SimHash group."""
+    return keep_one(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind; n_chars counts the new text."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each row."""
+    path = tokenizer_path()
+    return encode(docs, path, build_lexicon(docs, path)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [("quality classifier", good), ("SimHash near-dedup", distinct), ("PII", private), ("mixing sources", mixed), ("BPE encoding", encoded)]
 
 #: The stages fit a model and hash shingles; SQL doesn't express them. tests/llm hold them against plain versions.
 ORACLE_SQL = None

@@ -32,7 +32,7 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -41,7 +41,7 @@ def _tokenizer() -> str:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.bpe import build_lexicon, token_digests
 
-    docs, path = _table(spark, sf_dir, "documents"), _tokenizer()
+    docs, path = _table(spark, sf_dir, "documents"), tokenizer_path()
     return token_digests(docs, path, build_lexicon(docs, path))
 
 
@@ -51,6 +51,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.knn import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.bpe import build_lexicon, vocabulary
+    from crewlens.llm.tokencounts import document_tokens
+
+    docs, path = _table(spark, sf_dir, "documents"), tokenizer_path()
+    return document_tokens(docs, path, vocabulary(path).special["<|endoftext|>"], build_lexicon(docs, path))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.simhash import simhash_groups
 
