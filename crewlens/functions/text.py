@@ -165,7 +165,7 @@ def collapse_repeats(text: Column) -> Column:
 def cap_text(text: Column, n: int) -> Column:
     """Without control characters; longer texts cut at a word, with an ellipsis."""
     t = F.trim(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n), r"\s+\S*$", ""), F.lit("…")))
+    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n), r"\s+\S*\z", ""), F.lit("…")))
 
 
 def fallback_title(title: Column, text: Column, words: int = 8) -> Column:

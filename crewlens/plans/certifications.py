@@ -104,7 +104,7 @@ def suppress_verified(spark, sf_dir):
 
 
 @query(f"""with {ctes('certs')}, due as (select *, expiration_date - {_D} as days from certs), k as (select *, case when days > 0 and days <= 30 then 'expiring_30_days' when days > -7 and days <= 0 then 'expired' end as alert_type from due)
- select cert_id, profile_id, alert_type, cast(days as integer) as days, case when alert_type = 'expiring_30_days' and days > 7 then 2 else 3 end as priority from k where alert_type is not null and not (is_uploaded and alert_type = 'expired')""")
+ select cert_id, profile_id, alert_type, cast(days as integer) as days, case when alert_type = 'expiring_30_days' and days > 7 then 2 else 3 end as priority from k where alert_type is not null and not (alert_type = 'expired' and cert_id in (select cert_id from certs where is_uploaded))""")
 def expiry_alerts(spark, sf_dir):
     """Alerts of the day; uploaded certifications have had their expired alert before."""
     rows = certs(spark, sf_dir)
