@@ -1 +1,106 @@
-"""Queries."""
+"""Queries on field extraction, over documents, pages and texts put together from orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crewlens.catalog import query
+from crewlens.operators import extraction as X
+from crewlens.plans.standins import table
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query("select o_orderkey as doc_id, case when o_orderkey % 2 = 0 then 'training_sheet' else 'attestation' end as doc_type from orders")
+def classify_document(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Feuille de présence\nFormateur: "), F.col("o_orderpriority"))).otherwise(F.concat(F.lit("Attestation\nProjet: "), F.col("o_orderpriority")))
+    return X.classify_docs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))).select("doc_id", "doc_type")
+
+
+@query("""select o_orderkey as doc_id, 'Net ' || o_orderpriority as project_name, case when o_orderkey % 3 > 0 then 'C' || o_custkey::varchar end as client_name, o_orderdate::date as date, true as confirmed, 2 as n_members, 'project_lead' as first_role, case when o_orderkey % 3 = 0 then 'no client' else '' end as assumptions from orders""")
+def extract_attestation(spark, sf_dir):
+    o = F.col("o_orderkey")
+    text = F.concat_ws("\n", F.lit("We certify the following"), F.concat(F.lit("Project: Net "), "o_orderpriority"), F.when(o % 3 > 0, F.concat(F.lit("Client: C"), F.col("o_custkey").cast("string"))), F.concat(F.lit("Tunis, le "), F.date_format("o_orderdate", "dd/MM/yyyy")), F.lit("- Ann Lee: Project Manager"), F.lit("- Bo Ek: developer"))
+    found = X.extract_attestation(table(spark, sf_dir, "orders").select(o.alias("doc_id"), text.alias("text")))
+    return found.select("doc_id", "project_name", "client_name", "date", "confirmed", F.size("members").alias("n_members"), F.col("members")[0]["role"].alias("first_role"), F.array_join("assumptions", ",").alias("assumptions"))
+
+
+@query("""select o_orderkey as doc_id, o_orderpriority as training_name, 'T' || o_custkey::varchar as trainer, 'Sfax' as place, o_orderdate::date as start_date, o_orderdate::date + 3 as end_date, 2 as n_participants from orders""")
+def extract_sheet(spark, sf_dir):
+    d = F.col("o_orderdate").cast("date")
+    text = F.concat_ws("\n", F.concat(F.lit("Formation : "), "o_orderpriority"), F.concat(F.lit("Formateur: T"), F.col("o_custkey").cast("string")), F.lit("Lieu: Sfax"), F.concat(F.lit("Dates: "), F.date_format(d, "dd/MM/yyyy"), F.lit(" au "), F.date_format(F.date_add(d, 3), "dd/MM/yyyy")), F.lit("1. Ann\n2) Bo\n3. Ann"))
+    found = X.extract_sheet(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    return found.select("doc_id", "training_name", "trainer", "place", "period.start_date", "period.end_date", F.size("participants").alias("n_participants"))
+
+
+@query("select o_orderkey as doc_id, o_orderdate::date as date from orders")
+def extract_dates(spark, sf_dir):
+    d, n = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    text = F.when(n == 0, F.concat(F.lit("Tunis, le "), F.date_format(d, "dd/MM/yyyy"))).when(n == 1, F.concat(F.lit("seen on 99 and "), F.date_format(d, "dd-MM-yyyy"), F.lit(" there"))).otherwise(F.concat(F.lit("Done "), F.date_format(d, "d MMMM yyyy")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), X.first_date(text).alias("date"))
+
+
+@query("""select o_orderkey as doc_id, case o_orderkey % 3 when 0 then 'Acme ' || o_orderstatus when 1 then 'University of X' else 'Cisco' end as issuer, o_orderdate::date as issue_date, case o_orderkey % 3 when 0 then (o_orderdate + interval 3 year)::date when 1 then null else o_orderdate::date + 100 end as expiration_date, 'AB-' || (o_orderkey + 10000)::varchar as credential_id from orders""")
+def extract_cert_fields(spark, sf_dir):
+    d, n = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 3
+    body = F.when(n == 0, F.concat(F.lit("Issued by: Acme "), F.col("o_orderstatus"), F.lit("\nValid for 3 years"))).when(n == 1, F.lit("University of X\nDiploma")).otherwise(F.concat(F.lit("a Cisco course\nExpires: "), F.date_format(F.date_add(d, 100), "yyyy-MM-dd")))
+    text = F.concat_ws("\n", body, F.concat(F.lit("Issue date: "), F.date_format(d, "dd/MM/yyyy")), F.concat(F.lit("Credential ID: AB-"), (F.col("o_orderkey") + 10000).cast("string")))
+    return X.extract_cert_fields(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as x from documents), t as (select doc_id, trim(x) as x from l) select d.doc_id, count(x) as n_lines, coalesce(sum(length(x)), 0)::bigint as chars from documents d left join (select * from t where length(x) > 3 and length(regexp_replace(x, '[^\p{L}\p{N} ]', '', 'g')) * 2 >= length(x)) k on k.doc_id = d.doc_id group by 1""")
+def line_noise_filter(spark, sf_dir):
+    lines = _docs(spark, sf_dir).select("doc_id", X.clean_lines(F.col("text")).alias("lines"))
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+@query("""select p_partkey, concat_ws(', ', case when p_size < 10 then 'name unknown or generic' end, case when p_size % 2 = 0 then 'no issuer' end, case when p_size > 40 then 'no date' end) as flags from part""")
+def completeness_gate(spark, sf_dir):
+    size = F.col("p_size")
+    fields = table(spark, sf_dir, "part").select("p_partkey", F.when(size < 10, "Certificate").otherwise(F.col("p_name")).alias("certification_name"), F.when(size % 2 == 1, F.col("p_brand")).alias("issuer"), F.when(size <= 40, F.lit("2020-01-01").cast("date")).alias("issue_date"))
+    return X.needs_review(fields).select("p_partkey", F.array_join("flags", ", ").alias("flags"))
+
+
+@query(r"""select doc_id, nullif(lower(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 0)), '') as email from documents""")
+def extract_contact(spark, sf_dir):
+    """E-mail addresses are held against SQL; phones and names are tested on hand-made rows."""
+    return _docs(spark, sf_dir).select("doc_id", X.extract_contact(F.col("text"))["email"].alias("email"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select d.doc_id, 'projects' as section, 'Projets' as first_line, count(line) + 1 as n from documents d join l on d.doc_id = l.doc_id where trim(line) <> '' group by 1""")
+def segment_sections(spark, sf_dir):
+    """A heading is put before every document; its lines then stand in that section."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Projets\n"), "text").alias("text"))
+    return X.segment_sections(docs).where("section = 'projects'").groupBy("doc_id", "section").agg(F.min_by("line", "pos").alias("first_line"), F.count("*").alias("n"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)
+ select doc_id, 'projects' as section, 0::bigint as entry, sha256(string_agg(trim(line), ' ' order by pos)) as item from l where trim(line) <> '' and not regexp_matches(line, '(?:19|20)[0-9]{2}') and doc_id not in (select doc_id from l where regexp_matches(line, '(?:19|20)[0-9]{2}')) group by 1""")
+def section_items(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where(~F.col("text").rlike("(?:19|20)[0-9]{2}")).select("doc_id", F.concat(F.lit("Projets\n"), "text").alias("text"))
+    items = X.section_items(X.segment_sections(docs).where("section = 'projects'"))
+    return items.select("doc_id", "section", "entry", F.sha2("item", 256).alias("item"))
+
+
+@query("""select p_partkey, coalesce(case when p_size % 2 = 0 then p_name end, p_brand) as title, case when p_size % 2 = 0 then p_type || ',' || p_brand else p_type || ',' || p_brand end as skills from part""")
+def gap_fill_merge(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    first = part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(" ").alias("title"), F.array("p_type").alias("skills"))
+    second = part.select("p_partkey", F.col("p_brand").alias("title"), F.array("p_type", "p_brand").alias("skills"))
+    return X.gap_fill(first, second, "p_partkey", ["title"], ["skills"]).withColumn("skills", F.array_join("skills", ","))
+
+
+@query("""with o as (select o_custkey, count(*) as n from orders group by 1) select o_custkey, least(n, 10)::integer as kept, (n + 1 - least(n, 10))::integer as dropped, case when n > 10 then 'too many projects' else '' end as warnings from o""")
+def validate_records(spark, sf_dir):
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.concat(F.array(F.lit(" ")), F.collect_list("o_orderpriority")).alias("projects"))
+    out = X.validate_records(lists, ["projects"])
+    return out.select("o_custkey", F.size("projects").alias("kept"), F.col("dropped.projects").alias("dropped"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("""select event_id as doc_id, 0 as pos, cast(json_extract_string(props, '$.k') as bigint) as k, event_type as kind from events""")
+def normalise_payload(spark, sf_dir):
+    payload = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"items": ['), F.expr("concat(left(props, length(props) - 1), ', \"kind\": \"', event_type, '\"}')"), F.lit("]}"))).otherwise(F.concat(F.lit('{"entries": ['), F.expr("concat(left(props, length(props) - 1), ', \"kind\": \"', event_type, '\"}')"), F.lit("]}")))
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), payload.alias("payload"))
+    return X.normalise_payload(docs, "items array<struct<k: bigint, kind: string>>, entries array<struct<k: bigint, kind: string>>", {"items": ["items", "entries"]})["items"]
