@@ -1 +1,174 @@
-"""Queries."""
+"""Queries on retrieval, over documents, vectors, benchmark items and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crewlens.catalog import query
+from crewlens.functions import text as T
+from crewlens.operators import retrieval as R
+from crewlens.plans.standins import ctes, participations, profiles, table
+
+_KEY = "trim(regexp_replace(lower(replace(strip_accents({0}), '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+def _tokens(least, text="text"):
+    return f"list_distinct(list_filter(string_split({_KEY.format(text)}, ' '), lambda w: length(w) >= {least} and w not in ({_STOP})))"
+
+
+def _index(spark, sf_dir):
+    return R.token_table(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
+
+
+def _asked(spark, sf_dir):
+    return R.token_table(table(spark, sf_dir, "benchmark"), ["item_id"], "text").select(F.col("item_id").alias("query_id"), "token")
+
+
+_INDEX = f"idx as (select doc_id as chunk_id, source as person, unnest({_tokens(4)}) as token from documents), asked as (select item_id as query_id, unnest({_tokens(4)}) as token from benchmark)"
+
+
+@query(f"""with {ctes("profiles", "participations")}, e as (select profile_id as user_id, project_name, row_number() over (partition by profile_id order by participation_id) - 1 as idx from participations)
+ select user_id::varchar || '_profile_0' as chunk_id, 'profile' as chunk_type, sha256(full_name || ': ' || segment) as content from (select profile_id as user_id, full_name, segment from profiles)
+ union all select user_id::varchar || '_project_entry_' || idx::varchar, 'project_entry', sha256(project_name) from e
+ union all select user_id::varchar || '_project_0', 'project', sha256(string_agg(project_name, '; ' order by idx)) from e group by user_id""")
+def build_chunks(spark, sf_dir):
+    people = profiles(spark, sf_dir).select(F.col("profile_id").alias("user_id"), F.col("full_name").alias("name"), F.col("segment").alias("headline"))
+    entries = participations(spark, sf_dir).select(F.col("profile_id").alias("user_id"), F.col("participation_id").alias("pos"), F.col("project_name").alias("entry"))
+    return R.build_chunks(people, {"project": entries}).select("chunk_id", "chunk_type", F.sha2("content", 256).alias("content"))
+
+
+@query("select (c_custkey // 100)::bigint as page, count(*) as people, sha256(string_agg(c_name || ', ' || c_mktsegment, chr(10) order by c_custkey)) as content from customer group by 1")
+def directory_chunk(spark, sf_dir):
+    people = profiles(spark, sf_dir).select(F.col("profile_id").alias("user_id"), F.col("full_name").alias("name"), F.col("segment").alias("headline"))
+    return R.directory_pages(people).withColumn("content", F.sha2("content", 256))
+
+
+@query("select doc_id as chunk_id, len(embedding) as dims from documents left join embeddings on doc_id = vec_id")
+def attach_vectors(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return R.attach_vectors(chunks, vectors).select("chunk_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"))
+
+
+@query("select q.vec_id as query_id, x.vec_id as id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], x.embedding::double[]) desc, x.vec_id)::integer as place from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id % 100 = 0 qualify place <= 5")
+def vector_topk(spark, sf_dir):
+    """Queries are the vectors whose id is divisible by 100, against all."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return R.vector_topk(rows.where("id % 100 = 0"), rows).select("query_id", "id", "place")
+
+
+@query("select q.vec_id as query_id, x.vec_id as id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], x.embedding::double[]) desc, x.vec_id)::integer as place from embeddings q join embeddings x on q.vec_id <> x.vec_id and q.label = x.label where q.vec_id % 100 = 0 qualify place <= 8")
+def vector_topk_scoped(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return R.vector_topk_scoped(rows.where("id % 100 = 0"), rows, "label").select("query_id", "id", "place")
+
+
+@query(f"""with {_INDEX}, h as (select token, count(*) as hits from idx group by 1 having count(*) <= greatest(8, floor((select count(*) from documents) * 0.15)))
+ select query_id, chunk_id, round(sum(1 / hits), 9) as score, row_number() over (partition by query_id order by round(sum(1 / hits), 9) desc, chunk_id)::integer as place from asked join h using (token) join idx using (token) group by 1, 2 qualify place <= 18""")
+def rare_token_search(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    index = _index(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "token")
+    return R.rare_token_search(_asked(spark, sf_dir), index, n)
+
+
+@query("""with people as (select min(p_partkey) as user_id, p_name as full_name from part group by 2), q as (select p_partkey as query_id, case when p_partkey % 2 = 0 then 'about ' || p_name || ' now' else 'about ' || split_part(p_name, ' ', 2) end as query from part)
+ select query_id, user_id, 'full' as how from q join people on query = 'about ' || full_name || ' now' union all
+ select query_id, user_id, case when (select count(*) from people o where split_part(o.full_name, ' ', 2) = split_part(p.full_name, ' ', 2)) = 1 then 'word' else 'ambiguous' end from q join people p on split_part(query, ' ', 2) = split_part(p.full_name, ' ', 2) where query_id % 2 = 1""")
+def name_scope(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    people = part.groupBy(F.col("p_name").alias("full_name")).agg(F.min("p_partkey").alias("user_id"))
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("about "), "p_name", F.lit(" now"))).otherwise(F.concat(F.lit("about "), F.get(F.split("p_name", " "), F.lit(1))))
+    return R.name_scope(part.select(F.col("p_partkey").alias("query_id"), text.alias("query")), people).select("query_id", "user_id", "how")
+
+
+@query(f"""with {_INDEX}, s as (select source as person, count(*) as n from documents group by 1), h as (select person, token, count(*) as hits from idx group by 1, 2),
+ q as (select query_id, 'src' || (query_id % 20)::varchar as person, token from asked)
+ select query_id, chunk_id, count(*) as matched, row_number() over (partition by query_id order by count(*) desc, chunk_id)::integer as place from q join h using (person, token) join s using (person) join idx using (person, token) where hits <= 0.25 * n group by 1, 2 qualify place <= 14""")
+def focus_tokens(spark, sf_dir):
+    index = _index(spark, sf_dir).select(F.col("source").alias("user_id"), F.col("doc_id").alias("chunk_id"), "token")
+    sizes = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("user_id")).agg(F.count("*").alias("n"))
+    asked = _asked(spark, sf_dir).withColumn("user_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return R.focus_rows(asked, index, sizes)
+
+
+_LEXICAL = f"""{_INDEX}, h as (select token, count(*) as hits from idx group by 1 having count(*) <= greatest(8, floor((select count(*) from documents) * 0.15))),
+ lex as (select query_id, chunk_id, row_number() over (partition by query_id order by round(sum(1 / hits), 9) desc, chunk_id) as place from asked join h using (token) join idx using (token) group by 1, 2 qualify place <= 18),
+ vec as (select q.vec_id as query_id, x.vec_id as chunk_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], x.embedding::double[]) desc, x.vec_id) as place from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id in (select item_id from benchmark) qualify place <= 5),
+ both as (select *, 0 as branch from lex union all select *, 1 from vec), one as (select * from both qualify row_number() over (partition by query_id, chunk_id order by branch, place) = 1)"""
+
+
+def _hybrid(spark, sf_dir):
+    lexical = rare_token_search(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
+    near = R.vector_topk(asked, rows).withColumnRenamed("id", "chunk_id")
+    return R.hybrid_retrieve([lexical, near])
+
+
+@query(f"with {_LEXICAL} select query_id, chunk_id, branch, row_number() over (partition by query_id order by branch, place, chunk_id)::integer as place from one qualify row_number() over (partition by query_id order by branch, place, chunk_id) <= 20")
+def hybrid_retrieve(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("query_id", "chunk_id", "branch", "place")
+
+
+@query(f"with {_LEXICAL}, r as (select query_id, chunk_id, row_number() over (partition by query_id order by branch, place, chunk_id) as place from one qualify place <= 20), e as (select query_id, source as person, lang as kind, min(place) as place from r join documents on doc_id = chunk_id group by 1, 2, 3) select query_id, person, kind, 'E' || row_number() over (partition by query_id order by place)::varchar as evidence_id from e")
+def evidence_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("person"), F.col("lang").alias("kind"))
+    results = _hybrid(spark, sf_dir).join(docs, "chunk_id").select("query_id", "person", "kind", F.lit("").alias("entity"), F.lit("").alias("text"), "place")
+    return R.evidence_rows(results).select("query_id", "person", "kind", "evidence_id")
+
+
+@query(f"with {_INDEX}, p as (select token, list_sort(list(distinct person)) as people from idx group by 1) select distinct query_id, token, array_to_string(people, ',') as people from asked join p using (token) where len(people) < (select count(distinct source) from documents)")
+def token_people_matrix(spark, sf_dir):
+    index = _index(spark, sf_dir).select(F.col("source").alias("person"), "token")
+    people = table(spark, sf_dir, "documents").select(F.col("source").alias("person"))
+    return R.token_people(_asked(spark, sf_dir), index, people).select("query_id", "token", F.array_join("people", ",").alias("people"))
+
+
+@query(f"""with a as (select distinct conv_id as id, unnest({_tokens(4)}) as token from conversations where role = 'assistant'), e as (select distinct conv_id as id, unnest({_tokens(4)}) as token from conversations where role = 'user'),
+ s as (select a.id, count(*) as n, count(e.token) as hits from a left join e on a.id = e.id and a.token = e.token group by 1) select id, round(hits / n, 9) as share, case when n <= 8 then hits >= 1 when n <= 20 then hits / n >= 0.15 else hits / n >= 0.20 end as grounded from s""")
+def groundedness(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "id")
+    side = lambda role: R.token_table(turns.where(F.col("role") == role), ["id"], "text").distinct()
+    return R.groundedness(side("assistant"), side("user"))
+
+
+@query("""with r as (select o_custkey as query_id, o_orderstatus as person, case when o_orderkey % 3 = 0 then 'company' when o_orderkey % 3 = 1 then 'certification' else 'skill' end as kind, o_orderpriority as entity from orders),
+ c as (select query_id, person, list_sort(list(distinct entity) filter (where kind = 'company'))[1:3] as company, list_sort(list(distinct entity) filter (where kind = 'certification'))[1:3] as certification, list_sort(list(distinct entity) filter (where kind = 'skill'))[1:6] as skill from r group by 1, 2)
+ select query_id, person, coalesce(array_to_string(company, ','), '') as company, coalesce(array_to_string(skill, ','), '') as skill, (coalesce(len(company), 0) + coalesce(len(certification), 0) + coalesce(len(skill), 0))::integer as score from c""")
+def result_cards(spark, sf_dir):
+    n = F.col("o_orderkey") % 3
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderstatus").alias("person"), F.when(n == 0, "company").when(n == 1, "certification").otherwise("skill").alias("kind"), F.col("o_orderpriority").alias("entity"))
+    return R.result_cards(rows).select("query_id", "person", F.array_join("company", ",").alias("company"), F.array_join("skill", ",").alias("skill"), "score")
+
+
+@query(f"""with a as (select item_id as a_id, {_tokens(3)} as t, length(text) as n from benchmark), b as (select doc_id as b_id, {_tokens(3)} as t, length(text) as n from documents),
+ bt as (select b_id, unnest(t) as token from b), p as (select distinct a_id, b_id from (select a_id, unnest(t) as token from a) join bt using (token)),
+ s as (select a_id, b_id, round(0.85 * len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) + 0.15 * (least(a.n, b.n) / greatest(a.n, b.n)), 9) as score from p join a using (a_id) join b using (b_id))
+ select a_id, b_id, score from s where score >= 0.12 qualify row_number() over (partition by a_id order by score desc, b_id) <= 3""")
+def similar_documents(spark, sf_dir):
+    a = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.similar_documents(a, b).select("a_id", "b_id", "score")
+
+
+@query("select conv_id, turn, 'search' as route from conversations union all select conv_id, turn + 1000, 'greeting' from conversations")
+def scope_rule(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
+    greeted = turns.select("conv_id", (F.col("turn") + 1000).alias("turn"), F.lit("Hello, good morning!").alias("query"))
+    return R.route_queries(turns.union(greeted)).select("conv_id", "turn", "route")
+
+
+@query(f"""with names as (select distinct lower(split_part(p_name, ' ', 1)) as word from part union select 'the' union select 'que'), w as (select conv_id, turn, unnest(string_split({_KEY.format('text')}, ' ')) as word, generate_subscripts(string_split({_KEY.format('text')}, ' '), 1) as pos from conversations),
+ m as (select conv_id, turn, arg_max(word, pos) as mention from w join names using (word) group by 1, 2),
+ r as (select c.conv_id, c.turn, c.text, last_value(mention ignore nulls) over (partition by c.conv_id order by c.turn rows between 4 preceding and 1 preceding) as name from conversations c left join m on c.conv_id = m.conv_id and c.turn = m.turn)
+ select conv_id, turn, case when list_has_any(string_split({_KEY.format('text')}, ' '), [{', '.join(repr(w) for w in T.REFERENCES)}]) or contains({_KEY.format('text')}, 'the other') then name end as name from r""")
+def resolve_references(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select(F.lower(F.get(F.split("p_name", " "), F.lit(0))).alias("word"))
+    more = words.select(F.explode(F.array(F.lit("the"), F.lit("que"))).alias("word")).distinct()
+    return R.resolve_references(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), words.union(more))
+
+
+@query("select conv_id, turn, coalesce(string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between 8 preceding and 1 preceding), '') as context from conversations")
+def recent_context(spark, sf_dir):
+    return R.recent_context(table(spark, sf_dir, "conversations"))
