@@ -1 +1,79 @@
-"""Queries."""
+"""Queries on evaluation: labels against a rule, benchmark items, conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crewlens.catalog import query
+from crewlens.operators import evaluation as E
+from crewlens.plans.standins import table
+
+
+def _sides(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    truth = part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.array("p_brand", "p_type").alias("skills"))
+    odd = F.col("p_size") % 2 == 1
+    turned = F.concat_ws(" ", F.get(F.split("p_name", " "), F.lit(1)), F.get(F.split("p_name", " "), F.lit(0)))
+    predicted = part.select("p_partkey", F.when(odd, turned).otherwise(F.upper("p_name")).alias("name"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("kind"), F.when(odd, F.array(F.lower("p_brand"))).otherwise(F.array("p_name")).alias("skills"))
+    return truth, predicted
+
+
+_TURNED = "split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)"
+
+
+@query(f"select round(avg(case when p_size % 2 = 0 or p_name = {_TURNED} then 100.0 else 0.0 end), 6) as name, round(avg(case when p_size > 25 then 100.0 else 0.0 end), 6) as kind, round(avg(case when p_size % 2 = 1 then 50.0 else 0.0 end), 6) as skills from part")
+def field_accuracy(spark, sf_dir):
+    truth, predicted = _sides(spark, sf_dir)
+    return E.field_accuracy(truth, predicted, "p_partkey", ["name", "kind"], [], ["skills"])
+
+
+@query(f"""select p_partkey, 'name' as field, 'same words in another order' as reason from part where p_size % 2 = 1 and p_name <> {_TURNED} union all select p_partkey, 'kind', 'missing' from part where p_size <= 25 union all select p_partkey, 'skills', 'no overlap' from part where p_size % 2 = 0""")
+def mismatch_report(spark, sf_dir):
+    truth, predicted = _sides(spark, sf_dir)
+    return E.mismatch_report(truth, predicted, "p_partkey", ["name", "kind"], ["skills"]).select("p_partkey", "field", "reason")
+
+
+@query()
+def alias_match_eval(spark, sf_dir):
+    """Names with a letter dropped and issuers inside longer ones, against aliases."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").alias("id"), F.expr("left(p_name, length(p_name) - 1)").alias("name"), F.concat("p_brand", F.lit(" Academy")).alias("issuer"), F.array("p_type", "p_name").alias("names"), F.array("p_brand").alias("issuers"))
+    return E.alias_eval(rows)
+
+
+@query("""with e as (select item_id as query_id, string_split(lower(text), ' ')[1:3] as terms from benchmark), r as (select doc_id % (select count(*) from benchmark) as query_id, lower(text) as text from documents)
+ select query_id, round(avg(case when len(list_filter(terms, lambda t: contains(text, t))) > 0 then 100.0 else 0.0 end), 6) as precision from r join e using (query_id) group by 1""")
+def retrieval_precision(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    expected = items.select(F.col("item_id").alias("query_id"), F.slice(F.split(F.lower("text"), " "), 1, 3).alias("terms"))
+    n = items.count()
+    results = table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("query_id"), F.lit(1).alias("place"), "text")
+    return E.retrieval_precision(results, expected)
+
+
+@query(r"""with a as (select conv_id as id, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\+?[0-9][0-9 ().-]{6,}[0-9]|[A-Z][a-z]+ [A-Z][a-z]+|[A-Z]{2,})', 1))) as claim, turn from conversations where role = 'assistant'), c as (select distinct id, turn, claim from a),
+ u as (select conv_id as id, lower(string_agg(text, ' ' order by turn)) as context from conversations where role = 'user' group by 1)
+ select c.id, count(*) as claims, round(avg(case when coalesce(contains(context, lower(claim)), false) then 100.0 else 0.0 end), 6) as grounded_pct from c left join u on c.id = u.id group by 1""")
+def claim_groundedness(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "id")
+    return E.claim_groundedness(turns.where("role = 'assistant'"), turns.where("role = 'user'"))
+
+
+@query("select round(avg(case when event_type = 'error' then 100.0 else 0.0 end), 6) as rejected_pct from events")
+def rejection_rate(spark, sf_dir):
+    answers = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "I cannot help with that").otherwise(F.col("event_type")).alias("text"))
+    return E.rejection_rate(answers)
+
+
+@query("""with b as (select l_returnflag as metric, round(avg(l_quantity), 6) as before from lineitem where l_linestatus = 'F' group by 1), a as (select l_returnflag as metric, round(avg(l_quantity), 6) as after from lineitem where l_linestatus = 'O' group by 1)
+ select coalesce(b.metric, a.metric) as metric, before, after, round(after - before, 6) as delta from b full outer join a on a.metric = b.metric""")
+def before_after(spark, sf_dir):
+    metric = lambda status: table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status).groupBy(F.col("l_returnflag").alias("metric")).agg(F.round(F.avg("l_quantity"), 6).alias("value"))
+    return E.metric_delta(metric("F"), metric("O"))
+
+
+@query("select o_custkey, string_agg(o_orderpriority || ' | ' || o_orderstatus, ';' order by o_orderkey) as jobs from orders group by 1")
+def flatten_predictions(spark, sf_dir):
+    jobs = F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("company"), F.lit(" ").alias("dates"))))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(jobs.alias("jobs"))
+    return E.flatten_predictions(rows, "jobs", ["title", "company", "dates"]).select("o_custkey", F.array_join("jobs", ";").alias("jobs"))

@@ -95,7 +95,7 @@ def focus_tokens(spark, sf_dir):
 _LEXICAL = f"""{_INDEX}, h as (select token, count(*) as hits from idx group by 1 having count(*) <= greatest(8, floor((select count(*) from documents) * 0.15))),
  lex as (select query_id, chunk_id, row_number() over (partition by query_id order by round(sum(1 / hits), 9) desc, chunk_id) as place from asked join h using (token) join idx using (token) group by 1, 2 qualify place <= 18),
  vec as (select q.vec_id as query_id, x.vec_id as chunk_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], x.embedding::double[]) desc, x.vec_id) as place from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id in (select item_id from benchmark) qualify place <= 5),
- both as (select *, 0 as branch from lex union all select *, 1 from vec), one as (select * from both qualify row_number() over (partition by query_id, chunk_id order by branch, place) = 1)"""
+ merged as (select *, 0 as branch from lex union all select *, 1 from vec), one as (select * from merged qualify row_number() over (partition by query_id, chunk_id order by branch, place) = 1)"""
 
 
 def _hybrid(spark, sf_dir):
@@ -111,7 +111,7 @@ def hybrid_retrieve(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("query_id", "chunk_id", "branch", "place")
 
 
-@query(f"with {_LEXICAL}, r as (select query_id, chunk_id, row_number() over (partition by query_id order by branch, place, chunk_id) as place from one qualify place <= 20), e as (select query_id, source as person, lang as kind, min(place) as place from r join documents on doc_id = chunk_id group by 1, 2, 3) select query_id, person, kind, 'E' || row_number() over (partition by query_id order by place)::varchar as evidence_id from e")
+@query(f"with {_LEXICAL}, r as (select query_id, chunk_id, row_number() over (partition by query_id order by branch, place, chunk_id) as p2 from one qualify p2 <= 20), e as (select query_id, source as person, lang as kind, min(p2) as place from r join documents on doc_id = chunk_id group by 1, 2, 3) select query_id, person, kind, 'E' || row_number() over (partition by query_id order by place)::varchar as evidence_id from e")
 def evidence_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("person"), F.col("lang").alias("kind"))
     results = _hybrid(spark, sf_dir).join(docs, "chunk_id").select("query_id", "person", "kind", F.lit("").alias("entity"), F.lit("").alias("text"), "place")
