@@ -175,6 +175,6 @@ def taken_words(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFra
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
     _, taken = mix(docs, SHARDS, seed)
-    times = taken.groupBy(F.col("doc_id").alias("of"), "epoch").agg(F.lit(1).alias("one")).groupBy("of").agg(F.count("*").cast("int").alias("times"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["of"])).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    times = taken.groupBy(F.col("doc_id").alias("id taken"), "epoch").agg(F.lit(1).alias("one")).groupBy("id taken").agg(F.count("*").cast("int").alias("times taken"))
+    out = docs.join(times, docs["doc_id"].eqNullSafe(times["id taken"])).withColumn("times taken", F.explode(F.sequence(F.lit(1), F.col("times taken"))))
     return out.select(*[docs[c] for c in docs.columns])

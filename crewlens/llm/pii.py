@@ -208,9 +208,9 @@ def span_digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with every span of their texts replaced by its kind in brackets; all their columns."""
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = personal_data(docs).where(F.size("spans") > 0).select(F.col("key").alias("of"), by_start.alias("spans")).dropDuplicates(["of"])
-    rows = docs.withColumn("key of the row", F.xxhash64("doc_id", "text")).join(found, F.col("key of the row") == F.col("of"), "left")
-    text, spans = F.col("text"), F.col("spans")
+    found = personal_data(docs).where(F.size("spans") > 0).select(F.col("key").alias("key of the spans"), by_start.alias("spans of the row")).dropDuplicates(["key of the spans"])
+    rows = docs.withColumn("key of the row", F.xxhash64("doc_id", "text")).join(found, F.col("key of the row") == F.col("key of the spans"), "left")
+    text, spans = F.col("text"), F.col("spans of the row")
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:

@@ -183,5 +183,5 @@ def held_out() -> Column:
 def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """The rows of ``docs`` with a score of 0.5 or more; all their columns."""
     model = fit(docs, labels, label, ~held_out())
-    kept = score(docs, model).where("score >= 0.5").select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
+    kept = score(docs, model).where("score >= 0.5").select(F.col("doc_id").alias("id kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id kept"]), "left_semi")

@@ -45,6 +45,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(docs, path, build_lexicon(docs, path))
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.warc import captures_of_pages, resolve_revisits
+
+    found = resolve_revisits(captures_of_pages(_table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return found.select("record_id", "outcome", "response_id", F.array_join(lines, "; ").alias("headers"), F.sha2("body", 256).alias("body_sha256"))
+
+
+_REVISITS = r"""with p as (select page_id, url, html, regexp_replace(trim(url), '#.*$', '') as u from pages),
+ c as (select *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/?]+)', 1)), '^www\.', ''), ':(80|443)$', '') as host, regexp_replace(regexp_extract(u, '^[a-zA-Z]+://[^/?]+([^?]*)', 1), '/+$', '') as path,
+  list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) as parts from p),
+ s as (select page_id, html, md5(html) as tag, case when host = '' then u else host || path || case when len(parts) > 0 then '?' || array_to_string(parts, '&') else '' end end as site, page_id * 60 as at, page_id * 60 + 1 + page_id * 7919 % 100000 as later from c),
+ m as (select r.page_id, r.tag, r.later, arg_max(f.page_id, (f.at, f.page_id)) as f from s r left join s f on f.site = r.site and f.at < r.later group by 1, 2, 3)
+ select m.page_id * 2 + 1 as record_id, case when f is null then 'no_response' when s.tag = m.tag then 'resolved' else 'mismatch' end as outcome, f * 2 as response_id,
+  case when s.tag = m.tag then 'cache-control=max-age=120; content-length=' || strlen(html)::varchar || '; content-type=text/html; date=' || m.later::varchar || '; etag=W/"' || m.tag || '"' end as headers, case when s.tag = m.tag then sha256(html) end as body_sha256 from m left join s on s.page_id = f"""
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.mixing import taken_words
 
@@ -83,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_revisits": _REVISITS}
