@@ -9,7 +9,11 @@ from crewlens.functions.dates import cert_status
 from crewlens.operators import certifications as C
 from crewlens.plans.standins import AS_OF, certs, ctes, table
 
-_DAY = F.lit(AS_OF).cast("date")
+
+def _day():
+    return F.lit(AS_OF).cast("date")
+
+
 _D = f"date '{AS_OF}'"
 _STATUS = f"case when expiration_date is null then 'active' when expiration_date - {_D} < 0 then 'expired' when expiration_date - {_D} <= 30 then 'expiring_soon' else 'active' end"
 _STATS = f"""count(*) as total, count(case when {_STATUS} = 'active' then 1 end) as active, count(case when {_STATUS} = 'expiring_soon' then 1 end) as expiring_soon, count(case when {_STATUS} = 'expired' then 1 end) as expired,
@@ -20,18 +24,18 @@ _KEY = "trim(regexp_replace(lower(replace({0}, '&', ' and ')), '[^a-z0-9]+', ' '
 @query(f"with {ctes('certs')} select cert_id, expiration_date, {_STATUS} as status, case when expiration_date is null then 'active' when expiration_date - {_D} <= 0 then 'expired' when expiration_date - {_D} <= 30 then 'expiring_soon' else 'active' end as json_status from certs")
 def cert_statuses(spark, sf_dir):
     rows = certs(spark, sf_dir)
-    return rows.select("cert_id", "expiration_date", cert_status(F.col("expiration_date"), _DAY).alias("status"), cert_status(F.col("expiration_date"), _DAY, "json").alias("json_status"))
+    return rows.select("cert_id", "expiration_date", cert_status(F.col("expiration_date"), _day()).alias("status"), cert_status(F.col("expiration_date"), _day(), "json").alias("json_status"))
 
 
 @query(f"with {ctes('certs')} select {_STATS} from certs where is_uploaded")
 def cert_stats(spark, sf_dir):
-    return C.cert_stats(certs(spark, sf_dir), _DAY)
+    return C.cert_stats(certs(spark, sf_dir), _day())
 
 
 @query(f"with {ctes('certs')} select c_nationkey as team_id, {_STATS} from certs join customer on profile_id = c_custkey where is_uploaded group by 1")
 def cert_stats_by_team(spark, sf_dir):
     teams = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id"), F.col("c_nationkey").alias("team_id"))
-    return C.cert_stats(certs(spark, sf_dir).join(teams, "profile_id"), _DAY, ["team_id"])
+    return C.cert_stats(certs(spark, sf_dir).join(teams, "profile_id"), _day(), ["team_id"])
 
 
 @query(f"with {ctes('certs')} select coalesce(nullif(split_part(trim(issuer), ' ', 1), ''), 'Other') as issuer, count(*) as n from certs group by 1 order by n desc, issuer limit 6")
@@ -41,7 +45,7 @@ def top_issuers(spark, sf_dir):
 
 @query(f"with {ctes('certs')} select cert_id, case {_STATUS} when 'expiring_soon' then 0 when 'active' then 1 else 2 end as priority, expiration_date from certs")
 def cert_priority_order(spark, sf_dir):
-    return C.order_certs(certs(spark, sf_dir), _DAY).select("cert_id", "priority", "expiration_date")
+    return C.order_certs(certs(spark, sf_dir), _day()).select("cert_id", "priority", "expiration_date")
 
 
 @query(f"""with {ctes('certs')}, trainings as (select o_orderkey as training_id, o_custkey as profile_id, (select p_name from part where p_partkey = o_custkey) as title from orders)
@@ -87,7 +91,7 @@ def first_non_null_merge(spark, sf_dir):
 
 @query(f"{_MERGED} select profile_id, cert_key, coalesce(expiration_date < {_D}, false) as is_expired from merged where is_uploaded")
 def verified_only_gate(spark, sf_dir):
-    return C.verified_certs(_merged(spark, sf_dir), _DAY).select("profile_id", "cert_key", "is_expired")
+    return C.verified_certs(_merged(spark, sf_dir), _day()).select("profile_id", "cert_key", "is_expired")
 
 
 @query(f"""with {ctes('certs')}, n as (select profile_id, count(*) as n, count(case when is_uploaded then 1 end) as v from certs group by 1)
@@ -109,7 +113,7 @@ def expiry_alerts(spark, sf_dir):
     """Alerts of the day; uploaded certifications have had their expired alert before."""
     rows = certs(spark, sf_dir)
     sent = rows.where("is_uploaded").select("cert_id", F.lit("expired").alias("alert_type"))
-    return C.expiry_alerts(rows, sent, _DAY)
+    return C.expiry_alerts(rows, sent, _day())
 
 
 @query("""with d as (select o_orderkey as doc_id, o_orderpriority as name from orders), c as (select l_orderkey as doc_id, case when l_linenumber % 2 = 0 then o_orderpriority else p_name end as name, max(p_brand) as issuer from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by 1, 2)

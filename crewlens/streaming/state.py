@@ -36,4 +36,4 @@ class StatusProcessor(StatefulProcessor):
 
 def fold_status_stream(events: DataFrame) -> DataFrame:
     """A stream of each changed record's latest status. events: training_id, status, ts (timestamp)."""
-    return events.groupBy("training_id").transformWithStateInPandas(StatusProcessor(), "training_id long, status string, ts timestamp", "Update", "None")
+    return events.groupBy("training_id").transformWithStateInPandas(StatusProcessor(), "training_id long, status string, ts timestamp", "Update", "ProcessingTime")
