@@ -280,7 +280,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def audit_recall(rows: DataFrame, found: DataFrame, cosine: float = COSINE, queries: int = 256) -> float:
     """The share of the links of ``queries`` vectors (those of the least hashes) that ``found`` counts, against all vectors in blocks."""
-    asked = vectors(rows).orderBy(F.xxhash64("id", F.lit(29)), "id").limit(queries).toPandas()
+    asked = vectors(rows).dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit(29)), "id").limit(queries).toPandas()
     if not len(asked):
         return 1.0
 
@@ -295,5 +295,5 @@ def audit_recall(rows: DataFrame, found: DataFrame, cosine: float = COSINE, quer
             yield pa.RecordBatch.from_arrays([pa.array(asked["id"]), pa.array(total)], names=["id", "n"])
 
     true = vectors(rows).select("label", "dim", "vector").mapInArrow(run, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("n"))
-    row = true.join(found, F.col("id") == F.col("vec_id")).agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
+    row = true.join(found.dropDuplicates(["vec_id"]), F.col("id") == F.col("vec_id")).agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
     return float(row[0] / row[1]) if row[1] else 1.0

