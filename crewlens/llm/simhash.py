@@ -81,6 +81,7 @@ def _compare(radius: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, probe = pdf["fp"].to_numpy(), pdf["probe"].to_numpy()
         node, at = np.unique(fp, return_inverse=True)
+        fp = fp.view(np.uint64)  # bits of a signed number are counted without its sign
         label = np.arange(len(node))
         own, other = np.flatnonzero(~probe), np.flatnonzero(probe)
         step = max(1, (1 << 20) // max(1, len(other)))
