@@ -10,7 +10,8 @@ and the sums stay exact. A shard then takes the next blocks of each source's
 permutation, disjoint from all others, and sorts its documents by a hash.
 
 The last block of a permutation is only taken in part: enough further blocks to
-hold ``FINE`` documents are searched for documents that fill the rest.
+hold ``FINE`` documents are searched for documents that fill the rest, and one
+document is cut, so that a source's words come to its target exactly.
 
 Of all this only tables of sources (``mixture components``; at most
 ``MAX_SOURCES``) meet in one task; a source has at most 2 x SLOTS block rows.
@@ -114,23 +115,24 @@ def _tree(seed: int, shards: int):
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """From the documents of a source's last blocks, those that fill the rest: each that still fits, in hashed order, and one more that comes closer."""
+    """From the documents of a source's last blocks, those that fill the rest: each that still fits, in hashed order, and a part of one more."""
     pdf = pdf.sort_values(["toss", "doc_id"]).reset_index(drop=True)
-    rest, take = int(pdf["fill"].iloc[0]), np.zeros(len(pdf), bool)
+    rest, words = int(pdf["fill"].iloc[0]), np.zeros(len(pdf), np.int64)
     for i, n in enumerate(pdf["size"].tolist()):
-        if 0 < n <= rest:
-            take[i], rest = True, rest - n
-    gap = np.where(take | (pdf["size"] == 0), np.inf, np.abs(pdf["size"] - rest))
-    if gap.min() < rest:
-        take[int(gap.argmin())] = True
-    return pdf[take].drop(columns="toss")
+        if n <= rest:
+            words[i], rest = n, rest - n
+    left = np.flatnonzero(words < pdf["size"])
+    if rest and len(left):
+        words[left[0]] = rest
+    return pdf.assign(words=words)[words > 0].drop(columns=["toss", "fill"])
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The documents with doc_id, source, size, source_size and target; and what each shard takes of them.
 
     The second table has a row for each time that a document is taken: doc_id,
-    source, size, epoch, shard and place, the order within the shard.
+    source, size, words (size, or fewer for one cut document of a source), epoch,
+    shard and place, the order within the shard.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     sized = stored(sized.withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SLOTS)).cast("int")), "sizes")
@@ -148,8 +150,8 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> tuple[DataFrame
     columns = ["doc_id", "source", "size", "epoch", "shard", "fill"]
     # Only documents of a source's last blocks: FINE of them, and those of one block more.
     part = found.where("fill >= 0").select(*columns, F.xxhash64("doc_id", "size", F.lit(seed + 1)).alias("toss"))
-    filled = part.groupBy("source").applyInPandas(_fill, "doc_id long, source string, size long, epoch int, shard int, fill long")
-    taken = found.where("fill < 0 and size > 0").select(*columns).union(filled).drop("fill")
+    filled = part.groupBy("source").applyInPandas(_fill, "doc_id long, source string, size long, epoch int, shard int, words long")
+    taken = found.where("fill < 0 and size > 0").select(*columns[:-1], F.col("size").alias("words")).union(filled)
     whole = sized.join(named, same).select("doc_id", "source", "size", "source_size", "target")
     return whole, taken.withColumn("place", F.xxhash64("doc_id", "epoch", F.lit(seed + 2)))
 
@@ -163,18 +165,19 @@ def taken_words(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFra
     """doc_id, size, source_size, target and taken (words, repeats counted) of each document."""
     whole, taken = mix(docs, shards, seed)
     rows = whole.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.count("*").alias("rows"))
-    words = taken.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("n")).agg(F.count("*").alias("times"))
+    words = taken.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("n")).agg(F.sum("words").alias("words"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("n"))
-    out = rows.join(words, same, "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    # Of equal rows, the first ones have one time more than the others.
-    out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    times = F.expr("times div rows + cast(row <= times % rows as int)")
-    return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
+    out = rows.join(words, same, "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    # Of equal rows, the first ones have one time more than the others, and the next one what is cut.
+    out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).withColumn("times", F.expr("if(size = 0, 0, words div greatest(size, 1))"))
+    taken = F.expr("(times div rows + cast(row <= times % rows as int)) * size + if(row = times % rows + 1, words - times * size, 0)")
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
+    """The rows of ``docs`` as often as the mix takes them whole, with all their columns."""
     _, taken = mix(docs, SHARDS, seed)
+    taken = taken.where("words = size")
     times = taken.groupBy(F.col("doc_id").alias("id taken"), "epoch").agg(F.lit(1).alias("one")).groupBy("id taken").agg(F.count("*").cast("int").alias("times taken"))
     out = docs.join(times, docs["doc_id"].eqNullSafe(times["id taken"])).withColumn("times taken", F.explode(F.sequence(F.lit(1), F.col("times taken"))))
     return out.select(*[docs[c] for c in docs.columns])

@@ -22,7 +22,7 @@ def documents(seed=1, n=120):
         if i % 5 == 0:
             text = (text or "") + " &&&" * 6
         rows.append([i, text, "en", f"s{i % 4}" if i % 9 else None])
-    rows += [[500, None, None, None], [501, "", "fr", "s1"], [502, " \n\t ", "fr", "s2"], [503, "one", "fr", "s2"], [504, "word " * 20000, "en", "s0"], [505, "9" * 30000, "en", "s0"]]
+    rows += [[500, None, None, None], [501, "", "fr", "s1"], [502, " \n\t ", "fr", "s2"], [503, "one", "fr", "s2"], [504, "word " * 20000, "en", "s0"], [505, "9" * 2500, "en", "s0"]]
     rows += [[None, line(40), "en", "s1"], rows[3], rows[3], [3, line(50), "en", "s3"]]
     return [(*r, None if r[1] is None else len(r[1]), "k", 1, "f", 2, 3, "x", 0, 5, "z") for r in rows]
 

@@ -106,8 +106,10 @@ def test_mixing(docs, none):
     got = mixing.taken_words(docs).collect()
     assert collections.Counter((r.doc_id, r["size"]) for r in got) == expected_size
     assert sorted(map(str, got)) == sorted(map(str, mixing.taken_words(docs).collect()))
-    assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in got)
-    assert abs(sum({(r.source_size, r.target) for r in got} and [r.taken for r in got]) / (1.5 * sum(r["size"] for r in got)) - 1) < 0.1
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got)
+    targets = {r.source_size: r.target for r in got}
+    assert len(targets) == 5 and abs(sum(r.taken for r in got) - sum(map(int, targets.values()))) <= 5
+    assert abs(sum(targets.values()) - 1.5 * sum(r["size"] for r in got)) < 1e-6
     assert mixing.taken_words(none).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.count() > 0
@@ -117,7 +119,7 @@ def test_targets_and_tree():
     import numpy as np
 
     target = mixing.fill_targets(np.array([10.0, 100.0, 100.0]), np.array([5.0, 2.0, 1.0]))
-    assert target.tolist() == [20.0, 197.0 - 197.0 / 3 * 1 + 0 if False else 196.66666666666666, 98.33333333333333] or abs(target.sum() - 315) < 1e-9
+    assert abs(target - [20.0, 590 / 3, 295 / 3]).max() < 1e-9
     parts = mixing.split_quotas(np.array([7, 40, 3]), 5, np.random.default_rng(1))
     assert parts.sum(axis=0).tolist() == [7, 40, 3] and parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 1
 
