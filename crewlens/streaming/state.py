@@ -12,9 +12,9 @@ from crewlens.streaming.changes import STEPS
 
 
 class StatusProcessor(StatefulProcessor):
-    """Keeps each record's latest status; completed ones are forgotten after ``keep_ms``."""
+    """Keeps each record's latest status; with ``keep_ms``, one that rests so long is forgotten."""
 
-    def __init__(self, keep_ms: int = 30 * 86_400_000) -> None:
+    def __init__(self, keep_ms: int | None = None) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -34,6 +34,10 @@ class StatusProcessor(StatefulProcessor):
         pass
 
 
-def fold_status_stream(events: DataFrame) -> DataFrame:
-    """A stream of each changed record's latest status. events: training_id, status, ts (timestamp)."""
-    return events.groupBy("training_id").transformWithStateInPandas(StatusProcessor(), "training_id long, status string, ts timestamp", "Update", "ProcessingTime")
+def fold_status_stream(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """A stream of each changed record's latest status. events: training_id, status, ts (timestamp).
+
+    State that is to end (keep_ms) needs processing time, whose queries run until they are stopped.
+    """
+    mode = "None" if keep_ms is None else "ProcessingTime"
+    return events.groupBy("training_id").transformWithStateInPandas(StatusProcessor(keep_ms), "training_id long, status string, ts timestamp", "Update", mode)
