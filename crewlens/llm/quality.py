@@ -181,7 +181,9 @@ def held_out() -> Column:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` with a score of 0.5 or more; all their columns."""
+    """The rows of ``docs`` with a score of 0.5 or more; all their columns. Rows of one doc_id with other texts are judged each on its own."""
     model = fit(docs, labels, label, ~held_out())
-    kept = score(docs, model).where("score >= 0.5").select(F.col("doc_id").alias("id kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id kept"]), "left_semi")
+    key = F.xxhash64("doc_id", "text")
+    kept = score(docs.withColumn("doc_id", key), model).where("score >= 0.5").select(F.col("doc_id").alias("key kept")).distinct()
+    rows = docs.withColumn("key of the row", key)
+    return rows.join(kept, F.col("key of the row") == F.col("key kept"), "left_semi").select(*docs.columns)
