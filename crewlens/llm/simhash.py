@@ -11,7 +11,9 @@ at most.
 
 Rows out of order, repeated rows and documents with equal texts are harmless:
 links are between distinct fingerprints. An empty table gives an empty result; a
-null text counts as empty; documents without words have fingerprint zero.
+null text counts as empty; documents without words have fingerprint zero. Rows
+are told apart by doc_id and text, so that doc_id may be null or repeat; a null
+doc_id comes after all others.
 """
 
 from __future__ import annotations
@@ -57,14 +59,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of each row."""
+    """doc_id, key (a hash of doc_id and text) and fp (signed 64-bit) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), as_bytes(F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _cell(fp: Column, quarter: int) -> Column:
@@ -118,18 +121,20 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, and component_id, the least doc_id of the documents reachable by links, for each row of ``docs``."""
+    """doc_id, key, fp, root (the least fp of the group) and component_id, the least doc_id of the documents reachable by links, for each row of ``docs``."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     near = components(near_links(each.select("fp"), radius))
     roots = each.join(near, each.fp == near.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "of")
-    named = roots.join(least, roots.root == least.of).select(F.col("fp").alias("key"), "component_id")
-    return prints.join(named, prints.fp == named.key).select("doc_id", "fp", "component_id")
+    named = roots.join(least, roots.root == least.of).select(F.col("fp").alias("print"), "root", "component_id")
+    return prints.join(named, prints.fp == named.print).select("doc_id", "key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of each group; all their columns."""
-    groups = simhash_groups(docs, radius, shingle)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of ``docs`` for each group, of its least doc_id; all their columns. Of rows equal in doc_id and text any one stays."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = simhash_groups(docs, radius, shingle).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key kept"))
+    rows = docs.withColumn("key of the row", F.xxhash64("doc_id", "text"))
+    rows = rows.join(kept, F.col("key of the row") == F.col("key kept"), "left_semi").dropDuplicates(["key of the row"])
+    return rows.select(*docs.columns)

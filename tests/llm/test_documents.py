@@ -80,6 +80,9 @@ def test_quality(spark, docs, none):
     empty = quality.fit(df, labels.where("doc_id < 0"), "quality", F.lit(True))
     assert {r.score for r in quality.score(df, empty).collect()} == {0.5}
     assert quality.good_documents(docs, labels).columns == docs.columns
+    # Rows are judged one by one, whatever their doc_id, repeated ones alike.
+    odd = spark.createDataFrame([(1, rows[1][1], "a"), (1, rows[0][1], "b"), (None, rows[3][1], "c"), (None, rows[2][1], "d"), (None, rows[3][1], "e")], "doc_id long, text string, score string")
+    assert sorted(r.score for r in quality.good_documents(df.withColumn("score", F.lit("z")).union(odd), labels).collect() if r.score != "z") == ["a", "c", "e"]
 
 
 def test_bpe_equals_the_library(spark, docs, none):
@@ -152,7 +155,17 @@ def test_simhash(docs, none):
     got = simhash.simhash_groups(docs)
     same([(r.doc_id, r.fp % 2**64, r.component_id) for r in got.collect()], [(d, f, least.get(find(f))) for d, f in rows])
     assert simhash.simhash_groups(none).count() == 0
-    assert simhash.keep_one(docs).columns == docs.columns
+    # Of each group the row of the least doc_id stays, once, a null one only where there is no other.
+    kept = simhash.keep_one(docs)
+    stays = {}
+    for (d, f), text in zip(rows, (r[1] for r in documents()), strict=True):
+        stays.setdefault(find(f), set()).add((d is None, d or 0, d, text))
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    firsts = {g: min(r[:2] for r in rs) for g, rs in stays.items()}
+    assert sum(got.values()) == len(stays) and max(got.values()) == 1
+    assert all(sum((d, t) in got for none, number, d, t in rs if (none, number) == firsts[g]) == 1 for g, rs in stays.items())
+    assert None in {d for d, _ in got}
+    assert kept.columns == docs.columns and simhash.keep_one(none).count() == 0
 
 
 def test_near_fingerprints(spark, monkeypatch):
