@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from crewlens.llm.bpe import build_lexicon, encode
 from crewlens.llm.mixing import mixed_documents
+from crewlens.llm.neardup import keep_one_similar
 from crewlens.llm.pii import redact
 from crewlens.llm.quality import good_documents
 from crewlens.llm.queries import tokenizer_path
 from crewlens.llm.shared import stored
-from crewlens.llm.simhash import keep_one
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each SimHash group."""
-    return keep_one(docs)
+    """One document, that of the least doc_id, of each group whose five-word shingles have a similarity of 0.8 or more."""
+    return keep_one_similar(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,10 +131,15 @@ def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFr
     return prints.join(named, prints.fp == named.print).select("doc_id", "key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """One row of ``docs`` for each group, of its least doc_id; all their columns. Of rows equal in doc_id and text any one stays."""
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``groups`` (doc_id, key, root), of its least doc_id; all their columns. Of rows equal in doc_id and text any one stays."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    kept = simhash_groups(docs, radius, shingle).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key kept"))
+    kept = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key kept"))
     rows = docs.withColumn("key of the row", F.xxhash64("doc_id", "text"))
     rows = rows.join(kept, F.col("key of the row") == F.col("key kept"), "left_semi").dropDuplicates(["key of the row"])
     return rows.select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """One row of ``docs`` for each group, of its least doc_id; all their columns. Of rows equal in doc_id and text any one stays."""
+    return keep_first(docs, simhash_groups(docs, radius, shingle))
