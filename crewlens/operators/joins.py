@@ -82,17 +82,25 @@ def verify_owner(docs: DataFrame, threshold: float = 0.82) -> DataFrame:
 
 
 def resolve_person(queries: DataFrame, people: DataFrame, least: float = 0.84, near: float = 0.02) -> DataFrame:
-    """People whose name words come close to a query's words: blocked by first letter and by the lengths that the ratio allows.
+    """People whose name words come close to a query's words: blocked by the lengths and the letters in a row that the ratio makes them share.
 
     All within ``near`` of the best stay; one is a match, several are ambiguous.
     """
     asked = queries.select("query_id", F.explode(F.split(match_key(F.col("query")), " ")).alias("word")).where(F.length("word") >= 4).distinct()
-    names = people.select("profile_id", F.explode(F.split(match_key(F.col("full_name")), " ")).alias("name")).where(F.length("name") >= 4).distinct()
-    # ratio = 2 m / (a + b) with m <= min(a, b), so that b is at most a (2 - r) / r.
-    distinct = names.select("name").distinct().withColumn("first", F.substring("name", 1, 1))
-    pairs = asked.select("word").distinct().withColumn("first", F.substring("word", 1, 1)).join(distinct, "first")
-    lengths = (F.length("word") <= F.length("name") * (2 - least) / least) & (F.length("name") <= F.length("word") * (2 - least) / least)
-    scored = pairs.where(lengths).withColumn("ratio", seq_ratio("word", "name")).where(F.col("ratio") >= least)
+    names = people.select("profile_id", F.explode(F.split(match_key(F.col("full_name")), " ")).alias("name")).where(F.length("name") >= 3).distinct()
+    # ratio = 2 m / (a + b) with m <= min(a, b), so that b is at most a (2 - r) / r and at least a r / (2 - r).
+    a, most = F.length("word"), (2 - least) / least
+    lengths = F.sequence(F.ceil(a / most - 1e-9).cast("int"), F.floor(a * most + 1e-9).cast("int"))
+    # The m letters are cut by the u = a + b - 2 m others into u + 1 runs at most. As a + b is 7 or more, one run has two letters if r is 0.77 or more.
+    run = 2 if least >= 0.77 else 1
+    runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - run + 1), lambda i: F.substring(F.col(c), i, F.lit(run))))).alias("run")
+    words = asked.select("word").distinct().select("word", F.explode(lengths).alias("n")).select("word", "n", runs("word"))
+    pairs = words.join(names.select("name").distinct().select("name", F.length("name").alias("n"), runs("name")), ["n", "run"]).select("word", "name").distinct()
+    # m is at most the letters that both have in any order.
+    times = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x))
+    shared = F.aggregate(F.array_distinct(F.split("word", "")), F.lit(0), lambda n, x: n + F.when(x == "", 0).otherwise(F.least(times("word", x), times("name", x))))
+    pairs = pairs.where(2 * shared >= least * (a + F.length("name")) - 1e-9)
+    scored = pairs.withColumn("ratio", seq_ratio("word", "name")).where(F.col("ratio") >= least)
     hits = asked.join(scored, "word").join(names, "name").groupBy("query_id", "profile_id").agg(F.max("ratio").alias("ratio"))
     top = hits.groupBy("query_id").agg(F.max("ratio").alias("top"))
     kept = hits.join(top, "query_id").where(F.col("ratio") >= F.col("top") - near)

@@ -113,6 +113,29 @@ def test_owner_and_person(spark):
     assert got[(2, 3)] == "match" and (1, 1) in got
 
 
+def test_person_by_any_letter(spark):
+    """Misspelt first letters and names of three letters, against the ratio of all pairs."""
+    import difflib
+    import random
+
+    names = ["Mohamed Ali", "Michael Lee", "Leo Marchetti", "Ann Brun", "Al Bo", "Olga Mohamad"]
+    people = spark.createDataFrame(list(enumerate(names)), "profile_id int, full_name string")
+    rng, words = random.Random(2), ["nohamed", "xichael", "leee", "anne", "nana", "oarchetti"]
+    for w in [w.lower() for n in names for w in n.split()] * 6:
+        i = rng.randrange(len(w))
+        words.append(rng.choice((w[:i] + "q" + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + "q" + w[i:], w[:i] + w[i : i + 2][::-1] + w[i + 2 :])))
+    asked = spark.createDataFrame(list(enumerate(words)), "query_id int, query string")
+    for least in (0.84, 0.6):
+        expected = {}
+        for q, w in enumerate(words):
+            ratios = {p: max([difflib.SequenceMatcher(None, w, x).ratio() for x in n.lower().split() if len(x) >= 3], default=0) for p, n in enumerate(names)}
+            close = {p: r for p, r in ratios.items() if len(w) >= 4 and r >= least}
+            close = {p: r for p, r in close.items() if r >= max(close.values()) - 0.02}
+            expected |= {(q, p): (r, "match" if len(close) == 1 else "ambiguous") for p, r in close.items()}
+        assert {(r.query_id, r.profile_id): (r.ratio, r.outcome) for r in resolve_person(asked, people, least).collect()} == expected
+        assert (0, 0) in expected and (1, 1) in expected and (2, 1) in expected
+
+
 def test_sections(spark):
     docs = spark.createDataFrame([(1, "Ann\nWork Experience\n2019 Acme\nbuilt things\nCompétences techniques\nlangs: Java, SQL")], "doc_id int, text string")
     rows = X.segment_sections(docs)
