@@ -7,8 +7,8 @@ cut into levels of a factor of 1.25, and a level meets itself and the next one.
 Halves up to ``HALF`` and together up to ``WHOLE`` differing bits are candidates,
 about 9.7 and 19.4 being expected at a similarity of 0.8. Each candidate pair is
 then verified on the sets themselves, so that no pair below 0.8 links anything.
-A set that is similar through the bits alone may only be missed where its bits
-stray by four standard deviations.
+The bits are a sketch: a similar pair is missed where its bits stray some four
+standard deviations from what is expected.
 
 The number of compared pairs grows with the square of the nodes of a level, that
 of verified ones with the square of a cluster of near copies. Null texts count
