@@ -2,10 +2,13 @@
 
 Texts are cut into words by the tokenizer's pattern, in numpy. Frequent words go
 through a memory-mapped transducer (``lexicon``) that yields their ids; the rest
-are merged exactly, all unseen words of a block at once. The words of the
-lexicon come from a count over all documents; the ids don't depend on them.
+are merged exactly, all unseen words of a block at once; words share ids only if
+their bytes are equal. The words of the lexicon come from a count over all
+documents; the ids don't depend on them. A task holds a block of some MB of text
+or one longer text whole.
 
-Null texts count as empty and have no tokens. A special token's string in a
+Null texts count as empty and have no tokens. Rows are encoded one by one, so
+that repeated rows and repeated or null doc_ids each get theirs. A special token's string in a
 text is that token, as the tokenizer has it, unless ``specials`` is False.
 """
 
@@ -15,8 +18,6 @@ import functools
 import hashlib
 import heapq
 import json
-import os
-import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlens.llm.lexicon import Lexicon, compile_lexicon
-from crewlens.llm.shared import as_bytes
-from crewlens.llm.wordseq import _BYTE_NAMES, BASES, by_size, range_names
+from crewlens.llm.shared import as_bytes, write_shared
+from crewlens.llm.wordseq import by_size, distinct_words
 
 #: Words in the lexicon; words are counted where they stand LOCAL times or more in a block of some MB.
 WORDS, LOCAL = 1 << 17, 4
@@ -224,8 +225,7 @@ class Encoder:
         """Ids of all words, and how many each word has."""
         number = self.lexicon.find(data, start, end) if self.lexicon else np.full(len(start), -1, np.int64)
         new = np.flatnonzero(number < 0)
-        name = range_names(_BYTE_NAMES[data], start[new], end[new], BASES[0])
-        _, first, of = np.unique(name, return_index=True, return_inverse=True)
+        first, of = distinct_words(data, start[new], end[new])
         flat = data.tobytes()
         merged, sizes = merge_words([flat[s:e] for s, e in zip(start[new[first]].tolist(), end[new[first]].tolist(), strict=True)], self.vocab)
         tail = np.concatenate(([0], np.cumsum(sizes)))
@@ -266,8 +266,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in by_size(zip(batch.column(0).to_pylist()), lambda r: len(r[0]), 2 * _BLOCK):
             data, start, end, _ = cut_words([r[0].decode() for r in part])
-            name = range_names(_BYTE_NAMES[data], start, end, BASES[0])
-            _, first, count = np.unique(name, return_index=True, return_counts=True)
+            first, of = distinct_words(data, start, end)
+            count = np.bincount(of, minlength=len(first))
             often = (count >= LOCAL) & (end[first] - start[first] <= 64)
             flat, first = data.tobytes(), first[often]
             words = [flat[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
@@ -285,9 +285,7 @@ def build_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> str:
     ids, sizes = merge_words(found, vocabulary(path))
     entries = zip(found, (x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])), strict=True)
     name = f"lexicon-{uuid.uuid4().hex}"
-    file = os.path.join(tempfile.mkdtemp(prefix="crewlens-"), name)
-    with open(file, "wb") as f:
-        f.write(compile_lexicon(entries if found else ()))
+    file = write_shared(docs.sparkSession, name, compile_lexicon(entries if found else ()))
     docs.sparkSession.sparkContext.addFile(file)
     return name
 

@@ -13,9 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), a temporary folder set once."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in one process (master local), a temporary one set once.
+
+    A cluster's executors don't share the driver's folders, so that it must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="crewlens-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -28,6 +33,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """Some bytes as a file in the shared folder; its full path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/files/{name}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(path)
+    out.write(bytearray(data))
+    out.close()
+    return system.makeQualified(path).toString()
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all tables and files that operators left in the shared folder. Call it when no result is read any more."""
+    for part in ("tables", "files"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{part}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table that ``stored`` returned and that no one reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
@@ -36,6 +58,20 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(*columns: Column) -> Column:
+    """32 bytes that tell rows apart by the values of some columns, nulls included: SHA-256 of the values with their lengths."""
+    parts = [F.when(c.isNull(), "-").otherwise(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))) for c in columns]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def as_bytes(text: Column) -> Column:
     """A text's UTF-8 bytes; a null text counts as empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))
