@@ -4,16 +4,22 @@ A word goes if a window of ``width`` consecutive words covers it whose words
 also begin anywhere else. ``recompression`` gives each window a high-level
 symbol that equal windows share:
 
-1. Count the symbols' names over all documents. A symbol that stands once has
-   no window that repeats; only its place goes on. Counting combines before the
+0. Equal texts become one, with a multiplicity. All windows of a text that
+   stands more than once repeat, so that groups of copies end here; for the
+   other texts it counts once.
+1. Count the symbols' names over all texts. A symbol that stands once has no
+   window that repeats; only its place goes on. Counting combines before the
    shuffle, so that a passage in any share of the documents makes no large group.
-2. Windows of shared symbols are verified by 96 bits of their words' names,
-   counted likewise; those that stand once go on, again as places.
+2. Windows of shared symbols are verified on their words, by a cryptographic
+   digest of 128 bits (BLAKE2b) of the words joined by a space, counted likewise;
+   those that stand once go on, again as places.
 3. Each text is read with its places: all other windows repeat.
 
-Steps 2 and 3 join on a name of the whole row and share one shuffle of texts.
-Rows are told apart by doc_id and text, so that a doc_id may be null or repeat;
-repeated rows count as repeated passages. Null texts have no words.
+Names of words and symbols are hashes and may be equal by chance; that only
+makes a candidate more for step 2. Steps 2 and 3 join on a number given to each
+text and share one shuffle of texts. Texts are told apart by SHA-256. Every row
+gets its result, whatever its doc_id; repeated rows count as repeated passages.
+Null texts have no words. A task holds a block of some MB or one longer text.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlens.llm.recompression import window_symbols
-from crewlens.llm.shared import as_bytes
-from crewlens.llm.wordseq import BASES, Words, by_size, find_words, range_names
+from crewlens.llm.shared import as_bytes, stored
+from crewlens.llm.wordseq import IS_SPACE, Words, by_size, find_words
 
 WIDTH = 35
 
@@ -53,7 +59,7 @@ def _symbols(width: int):
             at, name = at[one], name[one]
             doc = words.doc[at]
             key = np.array([r[1] for r in part], np.int64)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key), pa.array((at - words.first[doc]).astype(np.int32))], names=["name", "key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key), pa.array((at - words.first[doc]).astype(np.int32))], names=["name", "id", "at"])
 
     return run
 
@@ -69,16 +75,33 @@ def _repeating(words: Words, width: int, lone: list) -> tuple[np.ndarray, np.nda
     return start, words.doc[start]
 
 
+def window_digests(words: Words, start: np.ndarray, width: int) -> np.ndarray:
+    """Two 64-bit halves of a digest of each window's words, joined by a space."""
+    size = words.end - words.start
+    begin = np.cumsum(size + 1) - (size + 1)
+    plain = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    letter = np.ones(len(plain), bool)
+    letter[begin + size] = False
+    plain[letter] = words.data[~IS_SPACE[words.data]]
+    view, digest = memoryview(plain), hashlib.blake2b
+    found = [digest(view[s:e], digest_size=16).digest() for s, e in zip(begin[start].tolist(), (begin + size)[start + width - 1].tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+
+
 def _windows(width: int):
     def run(batches):
         for part, words in _batches(batches):
-            start, doc = _repeating(words, width, [r[3] for r in part])
-            name = range_names(words.name, start, start + width, BASES[1])
-            more = (range_names(words.name, start, start + width, BASES[0]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            name, first, count = np.unique(name, return_index=True, return_counts=True)
-            start, doc = start[first], doc[first]
+            start, doc = _repeating(words, width, [r[2] for r in part])
+            half = window_digests(words, start, width)
+            order = np.lexsort((half[:, 1], half[:, 0]))
+            half, start, doc = half[order], start[order], doc[order]
+            first = np.ones(len(half), bool)
+            first[1:] = (half[1:] != half[:-1]).any(axis=1)
+            first = np.flatnonzero(first)
+            count = np.diff(np.append(first, len(half)))
+            half, start, doc = half[first], start[first], doc[first]
             key = np.array([r[1] for r in part], np.int64)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(more[first]), pa.array(key), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["name", "more", "key", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(half[:, 0]), pa.array(half[:, 1]), pa.array(key), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["high", "low", "id", "at", "n"])
 
     return run
 
@@ -86,17 +109,20 @@ def _windows(width: int):
 def _kept(width: int):
     def run(batches):
         for part, words in _batches(batches):
-            start, _ = _repeating(words, width, [r[3] for r in part])
+            start, _ = _repeating(words, width, [r[4] for r in part])
             again = np.zeros(len(words.name) + 1, np.int64)
             again[start] = 1
             for doc, row in enumerate(part):
-                if row[4]:
-                    again[words.first[doc] + np.asarray(row[4])] = 0
+                if row[5]:
+                    again[words.first[doc] + np.asarray(row[5])] = 0
             start = np.flatnonzero(again)
             cover = np.zeros(len(words.name) + 1, np.int64)
             np.add.at(cover, start, 1)
             np.add.at(cover, start + width, -1)
             gone = np.cumsum(cover[:-1]) > 0
+            n = np.diff(words.first)
+            # Every window of a text that stands more than once repeats.
+            gone |= ((np.array([r[3] for r in part]) > 1) & (n >= width))[words.doc]
             data = words.data.tobytes()
             kept = []
             for doc in range(len(part)):
@@ -105,23 +131,26 @@ def _kept(width: int):
                 kept.append(b" ".join([data[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]))
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[words.first[1:]] - total[words.first[:-1]]
-            columns = [pa.array([r[2] for r in part], pa.int64()), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+            columns = [pa.array([r[2] for r in part], pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n_words", "n_removed", "kept", "kept_sha256"])
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space) and kept_sha256 of each row."""
-    docs = docs.select(as_bytes(F.col("text")).alias("text"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
-    lone = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("at").alias("at")).where("n = 1").select("key", "at")
-    symbols = docs.mapInArrow(_symbols(width), "name long, key long, at int").withColumn("n", F.lit(1))
-    places = lambda df, name: df.groupBy("key").agg(F.collect_list("at").alias(name)).withColumnRenamed("key", "of")
+    text = as_bytes(F.col("text"))
+    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+    texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    lone = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.min("at").alias("at")).where("n = 1").select("id", "at")
+    symbols = texts.select("text", "id").mapInArrow(_symbols(width), "name long, id long, at int").withColumn("n", F.lit(1))
     once = lone(symbols, "name")
-    found = places(once, "symbols")
-    read = docs.join(found, docs.key == found.of, "left").select("text", "key", "doc_id", "symbols")
-    windows = lone(read.mapInArrow(_windows(width), "name long, more int, key long, at int, n int"), "name", "more")
-    both = once.withColumn("kind", F.lit(0)).union(windows.withColumn("kind", F.lit(1))).groupBy("key")
-    both = both.agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))).alias(c) for k, c in enumerate(("symbols", "windows")))).withColumnRenamed("key", "of")
-    read = docs.join(both, docs.key == both.of, "left").select("text", "key", "doc_id", "symbols", "windows")
-    return read.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    found = once.groupBy("id").agg(F.collect_list("at").alias("symbols")).withColumnRenamed("id", "of")
+    read = texts.join(found, texts.id == found.of, "left").select("text", "id", "symbols")
+    windows = lone(read.mapInArrow(_windows(width), "high long, low long, id long, at int, n int"), "high", "low")
+    both = once.withColumn("kind", F.lit(0)).union(windows.withColumn("kind", F.lit(1))).groupBy("id")
+    both = both.agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))).alias(c) for k, c in enumerate(("symbols", "windows")))).withColumnRenamed("id", "of")
+    read = texts.join(both, texts.id == both.of, "left").select("text", "id", "key", "times", "symbols", "windows")
+    done = read.mapInArrow(_kept(width), "key binary, n_words long, n_removed long, kept string, kept_sha256 string")
+    return rows.select(F.col("key").alias("of"), "doc_id").join(done, F.col("of") == F.col("key")).select("doc_id", "n_words", "n_removed", "kept", "kept_sha256")
