@@ -1,18 +1,20 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Four patterns find the seeds: e-mail and IP addresses, card and phone numbers.
-The words beside the seeds are lexical patterns; other identifier-like words,
-with four digits or more, are their possible instances. Spark scores this graph
-of patterns and instances in rounds. A pattern is trusted for a kind if
+The word and the two words beside an identifier are lexical patterns; other
+identifier-like words and runs of spaced numbers, with four digits or more, are
+their possible instances. Spark scores this graph of patterns and instances in
+rounds, until a round finds no more. A pattern is trusted for a kind if
 
 * FEW or more distinct known instances of the kind stand by it,
 * they are at least PURE of the distinct instances that do (F / N), and
 * an identifier follows (or precedes) it in at least SHARP of all places where
-  the corpus has the word, so that common words never become patterns.
+  the corpus has it, so that common words never become patterns.
 
 Instances by trusted patterns become known, if the patterns' confidences F / N
-leave a doubt, multiplied over patterns, of at most DOUBT; they count in the
-next round. Their places come on top of the seeds, which all stay.
+leave a doubt, multiplied over patterns, of at most DOUBT; in the next round they
+support the patterns beside them. Their places come on top of the seeds, which
+all stay.
 
 Null texts count as empty. Documents are told apart by doc_id and text, so
 doc_id may be null or repeat; every row gets its spans. Positions are code
@@ -27,11 +29,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crewlens.llm.shared import stored
+from crewlens.llm.shared import drop_stored, fresh, row_key, stored
 
 KINDS = ("email", "ip", "card", "phone")
-FEW, PURE, SHARP, DOUBT, ROUNDS = 4, 0.6, 0.2, 0.5, 3
-#: Characters of context that are looked at beside a span.
+FEW, PURE, SHARP, DOUBT = 4, 0.6, 0.2, 0.5
+#: Characters of context that are looked at beside a span, and the longest identifier that contexts add. A longer word is no pattern.
 _NEAR = 64
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PATTERN = {
@@ -41,9 +43,9 @@ _PATTERN = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words that hold a digit: what may be an identifier.
+#: What may be an identifier: words that hold a digit, with the groups of digits that follow after single spaces.
 _ODD = "[0-9A-Za-z.@_+()/-]"
-_CANDIDATE = rf"(?<!{_ODD})(?=[A-Za-z.@_+()/-]*+[0-9]){_ODD}++"
+_CANDIDATE = rf"(?<!{_ODD})(?=[A-Za-z.@_+()/-]*+[0-9]){_ODD}++(?:\x20(?=[()./+-]*+[0-9])[0-9()./+-]++(?!{_ODD}))*+"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _BYTE_PARTS = rf"^(?:{_BYTE}\.){{3}}{_BYTE}$"
 
@@ -130,7 +132,7 @@ def _plain(text: Column) -> Column:
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key, and for each kind the array of its spans; ``other`` holds what may be an identifier."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), text.alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), text.alias("text"))
     kinds = [*((k, _PATTERN[k]) for k in KINDS), ("other", _CANDIDATE)]
     return docs.select("doc_id", "key", *(_spans(F.col("text"), k, p).alias(k) for k, p in kinds))
 
@@ -144,39 +146,61 @@ def _mentions(found: DataFrame) -> DataFrame:
     after = F.expr("min(case when kind <> 'other' then start end) over (partition by key order by start, end rows between current row and unbounded following)")
     rows = rows.withColumn("before", before).withColumn("after", after)
     rows = rows.where("kind <> 'other' or (coalesce(before, 0) <= start and coalesce(after, end) >= end)")
-    left = F.regexp_extract(_plain("left"), r"(\S+)\s+$", 1)
-    right = F.regexp_extract(_plain("right"), r"^\s+(\S+)(?:\s|$)", 1)
-    return rows.select("key", "kind", "start", "end", "value", left.alias("left"), right.alias("right"))
+    return rows.select("key", "kind", "start", "end", "value", *(_context(_plain(s), s).alias(s) for s in ("left", "right")))
+
+
+def _context(words: Column, side: str) -> Column:
+    """The patterns of one side: the nearest word, and the two nearest. ``words`` is the text beside a span, as it stands."""
+    one = {"left": r"(\S+)\s+$", "right": r"^\s+(\S+)(?:\s|$)"}[side]
+    two = {"left": r"(\S+\s+\S+)\s+$", "right": r"^\s+(\S+\s+\S+)(?:\s|$)"}[side]
+    found = F.array(F.regexp_extract(words, one, 1), F.regexp_replace(F.regexp_extract(words, two, 1), r"\s+", " "))
+    return F.filter(found, lambda p: p != "")
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """How often each word, and each pair of neighbouring words, stands in the corpus."""
+    words = F.filter(F.split(_plain(F.coalesce(F.col("text"), F.lit(""))), r"\s+"), lambda w: w != "")
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+    return docs.select(F.explode(_let(words, lambda w: F.concat(w, pairs(w)))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("places"))
 
 
 def discover(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """key, kind, start and end of the places that trusted patterns add."""
+    """key, kind, start and end of the places that trusted patterns add.
+
+    Rounds go on until they know no more instances. More known instances only
+    make more patterns trusted, so that a fixed point is reached.
+    """
     mentions = stored(_mentions(found), "mentions")
-    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("word")) for s in ("left", "right"))))
-    beside = mentions.select("kind", "value", sides.alias("p")).select("kind", "value", "p.side", "p.word").where("word <> ''")
-    # How often a word stands beside an identifier, out of all its places.
-    words = docs.select(F.explode(F.split(_plain(F.coalesce(F.col("text"), F.lit(""))), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("places"))
-    uses = beside.groupBy("side", "word").agg(F.count("*").alias("uses"), F.count_distinct(F.when(F.col("kind") != "other", F.col("value"))).alias("few")).where(F.col("few") >= FEW)
-    sharp = uses.join(words, "word").where(F.col("uses") >= SHARP * F.col("places")).select(F.col("side").alias("of_side"), F.col("word").alias("of_word"))
-    same = (F.col("side") == F.col("of_side")) & (F.col("word") == F.col("of_word"))
-    edges = stored(beside.join(sharp, same).select("side", "word", "value", F.when(F.col("kind") != "other", F.col("kind")).alias("kind")).distinct(), "edges")
-    known = edges.where("kind is not null").select("value", "kind").distinct()
-    unknown = edges.where("kind is null").select("side", "word", "value")
-    fresh = None
-    for _ in range(ROUNDS):
+    sides = F.concat(*(F.transform(F.col(s), lambda p, s=s: F.struct(F.lit(s).alias("side"), p.alias("pattern"))) for s in ("left", "right")))
+    beside = mentions.select("kind", "value", F.explode(sides).alias("p")).select("kind", "value", "p.*")
+    # FEW distinct values, known or not yet, have to stand by a pattern, in SHARP of all its places.
+    uses = beside.groupBy("side", "pattern").agg(F.count("*").alias("uses"), F.count_distinct("value").alias("n")).where(F.col("n") >= FEW)
+    sharp = uses.join(_places(docs), "pattern").where(F.col("uses") >= SHARP * F.col("places")).select(F.col("side").alias("of_side"), F.col("pattern").alias("of_pattern"), "n")
+    same = (F.col("side") == F.col("of_side")) & (F.col("pattern") == F.col("of_pattern"))
+    edges = beside.join(sharp, same).select("side", "pattern", "n", "value", F.when(F.col("kind") != "other", F.col("kind")).alias("kind")).distinct()
+    edges = stored(edges, "edges")
+    seeds = edges.where("kind is not null").select("value", "kind").distinct()
+    links, fresh_ones, n = edges.select("side", "pattern", "n", "value").distinct(), None, 0
+    unknown = links.join(seeds.select("value").distinct(), "value", "left_anti")
+    while True:
+        known = seeds if fresh_ones is None else seeds.union(fresh_ones)
         of = known.select(F.col("value").alias("known"), F.col("kind").alias("as"))
-        all_edges = edges.select("side", "word", "value").distinct()
-        each = all_edges.groupBy("side", "word").agg(F.count("*").alias("n"))
-        hits = all_edges.join(of, F.col("value") == F.col("known")).groupBy("side", "word", "as").agg(F.count("*").alias("f"))
-        trust = hits.join(each, ["side", "word"]).where((F.col("f") >= FEW) & (F.col("f") >= PURE * F.col("n")))
-        trust = trust.select(F.col("side").alias("of_side"), F.col("word").alias("of_word"), "as", F.least(F.col("f") / F.col("n"), F.lit(0.99)).alias("sure"))
+        # A pattern's support: its distinct known instances, from the seeds and from all rounds before.
+        hits = links.join(of, F.col("value") == F.col("known")).groupBy("side", "pattern", "n", "as").agg(F.count("*").alias("f"))
+        trust = hits.where((F.col("f") >= FEW) & (F.col("f") >= PURE * F.col("n")))
+        trust = trust.select(F.col("side").alias("of_side"), F.col("pattern").alias("of_pattern"), "as", F.least(F.col("f") / F.col("n"), F.lit(0.99)).alias("sure"))
         scored = unknown.join(trust, same).groupBy("value", "as").agg(F.sum(F.log(1 - F.col("sure"))).alias("doubt"))
         scored = scored.where(F.col("doubt") <= F.log(F.lit(DOUBT)))
-        best = scored.groupBy("value").agg(F.min_by("as", F.struct("doubt", "as")).alias("kind"))
-        fresh = stored(best, "instances")
-        known = edges.where("kind is not null").select("value", "kind").distinct().union(fresh)
+        best = stored(scored.groupBy("value").agg(F.min_by("as", F.struct("doubt", "as")).alias("kind")), "instances")
+        now = best.count()
+        if fresh_ones is not None:
+            drop_stored(fresh_ones)
+        fresh_ones = best
+        if now <= n:
+            break
+        n = now
     other = mentions.where("kind = 'other'").drop("kind", "left", "right")
-    return other.join(fresh, "value").select("key", "kind", "start", "end")
+    return other.join(fresh_ones, "value").select("key", "kind", "start", "end")
 
 
 def _span_list(spans: Column) -> Column:
@@ -208,9 +232,10 @@ def span_digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with every span of their texts replaced by its kind in brackets; all their columns."""
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = personal_data(docs).where(F.size("spans") > 0).select(F.col("key").alias("key of the spans"), by_start.alias("spans of the row")).dropDuplicates(["key of the spans"])
-    rows = docs.withColumn("key of the row", F.xxhash64("doc_id", "text")).join(found, F.col("key of the row") == F.col("key of the spans"), "left")
-    text, spans = F.col("text"), F.col("spans of the row")
+    own, other, listed = fresh(docs, "key"), fresh(docs, "key of spans"), fresh(docs, "spans")
+    found = personal_data(docs).where(F.size("spans") > 0).select(F.col("key").alias(other), by_start.alias(listed)).dropDuplicates([other])
+    rows = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text"))).join(found, F.col(own) == F.col(other), "left")
+    text, spans = F.col("text"), F.col(listed)
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
@@ -222,4 +247,4 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
 
     clean = F.when(spans.isNull(), text).otherwise(F.aggregate(spans, empty, step, finish))
-    return rows.select(*(clean.alias(c) if c == "text" else docs[c] for c in docs.columns))
+    return rows.select(*(clean.alias(c) if c == "text" else F.col(c) for c in docs.columns))
