@@ -1,22 +1,27 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 1. Equal vectors of a label become one, with a multiplicity.
-2. ``PIVOTS`` vectors per label, chosen by hash, are its cluster centres. Every vector joins the nearest cluster and all whose centres are nearly as
-   near: within ``SLACK`` in cosine. Shards thus overlap where they meet; a shard of more than ``SHARD`` vectors is cut by hash.
+2. Some vectors of a label, chosen by hash, are its cluster centres; they grow
+   with the root of its vectors. Every vector joins the nearest cluster and all
+   whose centres are nearly as near: within ``SLACK`` in cosine. Shards thus
+   overlap where they meet; a shard of more than ``SHARD`` vectors is cut by hash.
 3. Each shard links its vectors to near ones, pruned robustly: a neighbour goes
    if a nearer one lies much closer to it. The lists of a vector from all its
    shards are united into one flat graph.
 4. Every vector searches the shards of its clusters: greedily from the medoid
    with a beam, then on through all neighbours inside the range. What is found
    is verified by cosine in double precision.
+5. ``audited`` measures recall: the links of ``queries`` vectors against all
+   vectors in blocks. As every link is verified, counts of links tell the share.
 
 Pairs of vectors that share several shards count in one of them only; no pair
 leaves its task: a search returns, for each vector, how many others it links
-with, and a spanning forest of the links. ``audit_recall`` measures the share of
-true links that the graph finds on a bounded set of queries.
+with, and a spanning forest of the links.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and
 rows with a null label, link with nothing; vectors of different length neither.
+Distinct vectors are numbered, so that a vec_id may be null or stand for several
+vectors; repeated rows are vectors of their own that link with each other.
 """
 
 from __future__ import annotations
@@ -33,7 +38,8 @@ from crewlens.llm.components import components, local_roots
 from crewlens.llm.shared import stored
 
 COSINE = 0.98
-PIVOTS, SLACK, SHARD, PART = 16, 0.1, 2048, 8192
+#: Centres of a label: the root of its vectors over SPREAD, from FEWEST on; overlap of clusters; vectors of a shard, and of a task that assigns clusters.
+SPREAD, FEWEST, SLACK, SHARD, PART = 4, 16, 0.1, 2048, 1 << 15
 #: Neighbours of a vector, candidates to choose them from (near ones and chance ones), relaxation of the pruning, width of the beam.
 DEGREE, NEAR, CHANCE, RELAX, BEAM = 16, 48, 8, 1.2, 16
 _SEED = 11
@@ -56,9 +62,12 @@ def _assign(key: tuple, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFram
     """The clusters of each vector, in order."""
     if not len(rows):
         return rows.assign(clusters=[])
-    near = _unit(rows["vector"]) @ _unit(pivots.sort_values("id")["vector"]).T
-    near = near >= near.max(axis=1, keepdims=True) - SLACK
-    return rows.drop(columns="part").assign(clusters=[np.flatnonzero(r) for r in near])
+    x, centres, clusters = _unit(rows["vector"]), _unit(pivots.sort_values("id")["vector"]).T, []
+    for i in range(0, len(x), 1024):
+        near = x[i : i + 1024] @ centres
+        near = near >= near.max(axis=1, keepdims=True) - SLACK
+        clusters += [np.flatnonzero(r) for r in near]
+    return rows.drop(columns="part").assign(clusters=clusters)
 
 
 def _padded(lists: list, fill: int) -> np.ndarray:
@@ -204,7 +213,7 @@ def _search(cosine: float):
         for i in range(0, len(q), _STEP):
             a, o = mine[q[i : i + (_STEP)]], other[b[i : i + (_STEP)]]
             both = (a[:, :, None] == o[:, None, :]).any(axis=2)
-            count[i : i + (_STEP)] = np.where(both, a, PIVOTS).min(axis=1) == cluster
+            count[i : i + (_STEP)] = np.where(both, a, np.iinfo(np.int64).max).min(axis=1) == cluster
         times = (own["times"].to_numpy(), base["times"].to_numpy())
         if left == right:
             node, roots = ids, local_roots(n, q, b)
@@ -233,13 +242,13 @@ def _shards(distinct: DataFrame) -> DataFrame:
     """A row for each vector and cluster it belongs to, with the part of the shard."""
     kind, label = distinct.schema["vector"].dataType.simpleString(), distinct.schema["label"].dataType.simpleString()
     count = distinct.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    # Up to PIVOTS vectors of a label and length: the least hashes of 64 lots. Every part of PART vectors of the label gets them.
+    # Of n vectors about FEWEST or more: those whose hashes leave a small rest, and one at least. Every part of PART vectors of the label gets them.
     parts = F.ceil(F.col("n") / PART).cast("int")
     toss = F.xxhash64("id", F.lit(_SEED))
-    least = distinct.select("label", "dim", F.struct(toss.alias("toss"), "id").alias("key"))
-    few = least.withColumn("lot", F.pmod(F.col("key.toss"), F.lit(64))).groupBy("label", "dim", "lot").agg(F.min("key").alias("key"))
-    few = few.groupBy("label", "dim").agg(F.slice(F.array_sort(F.collect_list("key")), 1, PIVOTS).alias("keys"))
-    few = few.select(F.explode("keys.id").alias("of"))
+    wanted = F.greatest(F.lit(FEWEST), F.ceil(F.sqrt("n") / SPREAD)).cast("long")
+    chance = distinct.join(count, ["label", "dim"]).where(F.pmod(toss, F.col("n")) < wanted).select("id")
+    one = distinct.groupBy("label", "dim").agg(F.min_by("id", F.struct(toss, "id")).alias("id")).select("id")
+    few = chance.union(one).distinct().withColumnRenamed("id", "of")
     pivots = distinct.join(few, F.col("id") == F.col("of")).select("id", "label", "dim", "vector")
     pivots = pivots.join(count, ["label", "dim"]).select("id", "label", "dim", "vector", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     rows = distinct.join(count, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
@@ -256,9 +265,9 @@ def _shards(distinct: DataFrame) -> DataFrame:
 def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links and component_id of each row of ``rows``: how many others it links with, and the least vec_id it reaches."""
     known = vectors(rows)
-    distinct = known.groupBy("label", "dim", "vector").agg(F.min("id").alias("id"), F.count("*").alias("times"))
-    distinct = stored(distinct.select("id", "label", "dim", "vector", "times"), "vectors")
-    shards = stored(_shards(distinct), "shards")
+    distinct = known.groupBy("label", "dim", "vector").agg(F.min("id").alias("first"), F.count("*").alias("times"))
+    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "first", "label", "dim", "vector", "times"), "vectors")
+    shards = stored(_shards(distinct.drop("first")), "shards")
     where = ["label", "dim", "cluster", "part"]
     graph = shards.groupBy(*where).applyInPandas(_build, "id long, neighbours array<long>")
     flat = graph.groupBy(F.col("id").alias("node")).agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
@@ -272,15 +281,26 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     links = found.groupBy(F.col("id").alias("of")).agg(F.sum("links").alias("links"))
     groups = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     each = distinct.join(links, F.col("id") == F.col("of"), "left").join(groups, F.col("id") == F.col("node"), "left")
-    each = each.select(F.col("label").alias("of_label"), F.col("vector").alias("of_vector"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    each = each.select(F.col("label").alias("of_label"), F.col("vector").alias("of_vector"), "first", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "id").alias("group"))
+    least = each.groupBy(F.col("group").alias("of_group")).agg(F.min("first").alias("component_id"))
+    each = each.join(least, F.col("group") == F.col("of_group"))
     named = known.join(each, (F.col("label") == F.col("of_label")) & (F.col("vector") == F.col("of_vector"))).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     alone = rows.where(~usable(F.col("embedding")) | F.col("label").isNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return named.union(alone)
 
 
+def audited(rows: DataFrame, cosine: float = COSINE, least: float = 0.9) -> DataFrame:
+    """``near_vectors`` with a column ``recall``, measured on this run; a recall below ``least`` is an error."""
+    found = stored(near_vectors(rows, cosine), "near_vectors")
+    recall = audit_recall(rows, found, cosine)
+    if recall < least:
+        raise ValueError(f"the graph finds {recall:.3f} of the links only: widen SLACK, DEGREE or BEAM")
+    return found.withColumn("recall", F.lit(recall))
+
+
 def audit_recall(rows: DataFrame, found: DataFrame, cosine: float = COSINE, queries: int = 256) -> float:
     """The share of the links of ``queries`` vectors (those of the least hashes) that ``found`` counts, against all vectors in blocks."""
-    asked = vectors(rows).dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit(29)), "id").limit(queries).toPandas()
+    asked = vectors(rows).where("id is not null").dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit(29)), "id").limit(queries).toPandas()
     if not len(asked):
         return 1.0
 

@@ -27,9 +27,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from crewlens.llm.graphdedup import near_vectors
+    from crewlens.llm.graphdedup import audited
 
-    return near_vectors(_table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return audited(_table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def tokenizer_path() -> str:
