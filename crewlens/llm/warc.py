@@ -16,7 +16,9 @@ Records: record_id, url, at (a long or timestamp), type (response or revisit),
 status, headers (a map) and, for responses, body. A null or unusual url is its
 own canonical form; records without a time or URL resolve to nothing. Responses
 at the very time of a revisit are not earlier; of several at one time the
-greatest record_id counts. Repeated rows each get their result.
+greatest record_id counts, a null one last. Rows are told apart by a number given
+to each, not by record_id, which may be null or repeat: every revisit gets one
+result, repeated rows each theirs.
 """
 
 from __future__ import annotations
@@ -65,23 +67,33 @@ def _agree(revisit: str, response: str) -> Column:
 
 
 def latest_earlier(records: DataFrame) -> DataFrame:
-    """record_id and response_id of each 304 revisit: the latest earlier full response of its URL, or null."""
+    """row and response (a row) of each 304 revisit: the latest earlier full response of its URL, or null.
+
+    records: those of ``numbered``.
+    """
     at = F.unix_micros(F.col("at").cast("timestamp")) if records.schema["at"].dataType.typeName().startswith("timestamp") else F.col("at").cast("long")
-    full = (F.col("type") == "response") & (F.col("status") == 200)
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("site"), at.alias("at"), F.coalesce(full, F.lit(False)).alias("full"), F.coalesce((F.col("type") == "revisit") & (F.col("status") == 304), F.lit(False)).alias("asks"))
-    rows = rows.where("full or asks")
+    rows = records.select("row", "record_id", canonical_url(F.col("url")).alias("site"), at.alias("at"), "full", "asks")
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stored(rows.repartitionByRange(n, "site", "at").withColumn("part", F.spark_partition_id()), "captures")
     known = dealt.where("site is not null and at is not null")
-    response = F.when(F.col("full"), F.struct("at", "record_id"))
+    response = F.when(F.col("full"), F.struct("at", "record_id", "row"))
     inside = F.max(response).over(Window.partitionBy("site", "part").orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
-    found = known.select("*", inside.alias("inside")).where("asks").select("record_id", "site", "part", "inside")
+    found = known.select("*", inside.alias("inside")).where("asks").select("row", "site", "part", "inside")
     ends = known.groupBy("site", "part").agg(F.max(response).alias("end"))
+    # A URL's last time in a part may go on in the next one.
     before = F.max("end").over(Window.partitionBy("site").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     carried = ends.select(F.col("site").alias("of_site"), F.col("part").alias("of_part"), before.alias("carried")).where("carried is not null")
     joined = found.join(carried, (F.col("site") == F.col("of_site")) & (F.col("part") == F.col("of_part")), "left")
-    lost = dealt.where("asks and (site is null or at is null)").select("record_id", F.lit(None).cast(dealt.schema["record_id"].dataType).alias("response_id"))
-    return joined.select("record_id", F.coalesce("inside", "carried")["record_id"].alias("response_id")).union(lost)
+    lost = dealt.where("asks and (site is null or at is null)").select("row", F.lit(None).cast("long").alias("response"))
+    return joined.select("row", F.coalesce("inside", "carried")["row"].alias("response")).union(lost)
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """304 revisits (``asks``) and full responses (``full``) with a number for each row."""
+    full = F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False))
+    asks = F.coalesce((F.col("type") == "revisit") & (F.col("status") == 304), F.lit(False))
+    rows = records.select("record_id", "url", "at", "headers", "body", full.alias("full"), asks.alias("asks")).where("full or asks")
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "records")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -90,12 +102,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     outcome: resolved; no_response; mismatch, where the validators disagree; or
     unvalidated, where there are none. Only resolved ones get headers and body.
     """
-    found = latest_earlier(records).distinct()
-    asks = records.where("type = 'revisit' and status = 304").select("record_id", lower_headers(F.col("headers")).alias("revisit_headers"))
-    full = records.where("type = 'response' and status = 200").select(F.col("record_id").alias("found_id"), lower_headers(F.col("headers")).alias("response_headers"), "body").dropDuplicates(["found_id"])
-    pairs = asks.join(found.select(F.col("record_id").alias("of"), "response_id"), F.col("record_id") == F.col("of")).drop("of").join(full, F.col("response_id") == F.col("found_id"), "left")
+    rows = numbered(records)
+    found = latest_earlier(rows).withColumnRenamed("row", "of")
+    asks = rows.where("asks").select("row", "record_id", lower_headers(F.col("headers")).alias("revisit_headers"))
+    full = rows.where("full").select(F.col("row").alias("found"), F.col("record_id").alias("response_id"), lower_headers(F.col("headers")).alias("response_headers"), "body")
+    pairs = asks.join(found, F.col("row") == F.col("of")).join(full, F.col("response") == F.col("found"), "left")
     agree = _agree("revisit", "response")
-    outcome = F.when(F.col("response_id").isNull(), "no_response").when(agree.isNull(), "unvalidated").when(agree, "resolved").otherwise("mismatch")
+    outcome = F.when(F.col("response").isNull(), "no_response").when(agree.isNull(), "unvalidated").when(agree, "resolved").otherwise("mismatch")
     pairs = pairs.withColumn("outcome", outcome)
     resolved = lambda c: F.when(F.col("outcome") == "resolved", c)
     return pairs.select("record_id", "outcome", "response_id", resolved(merge_headers(F.col("response_headers"), F.col("revisit_headers"))).alias("headers"), resolved(F.col("body")).alias("body"))
