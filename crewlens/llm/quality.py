@@ -7,11 +7,14 @@ Manning 2012; Hsieh et al. 2008). N-grams that stand ``OFTEN`` times in a text
 are indicators of their own.
 
 The fit reads at most ``SAMPLE`` labelled documents of each class, those of the
-least hashes of doc_id; nothing but the text enters a score. Counting the
-n-grams of the sample is a Spark job; the descent runs in one task over at most
-2 x SAMPLE rows. Scoring reads every whole text.
+least hashes of doc_id, and of these at most ``INDICATORS`` indicators a class,
+whole documents; nothing but the text enters a score. Counting the n-grams of
+the sample is a Spark job; the descent runs in one task over at most 2 x SAMPLE
+rows of 2 x INDICATORS numbers. Scoring reads every whole text.
 
 Null texts count as empty; they have no n-grams and get the score of the bias.
+Equal texts, such as those of repeated rows, get equal scores; a score of 0.5
+counts as class 1.
 Labels other than 0 and 1, or null ones, are not used; of documents with several
 labels the least counts. Where one class has no label the score is the share of
 class 1 among the labels, or 0.5 without any.
@@ -27,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crewlens.llm.shared import as_bytes, stored
+from crewlens.llm.shared import as_bytes, fresh, row_key, stored
 
 BUCKETS = 1 << 18
 GRAMS = (1, 2, 3, 4)
 OFTEN = 4
-SAMPLE = 4000
+SAMPLE, INDICATORS = 4000, 1 << 24
 #: Smoothing of the counts, penalty of the hinge loss, passes over the rows; every CALIBRATE-th row sets the scale of the score.
 ALPHA, COST, PASSES, CALIBRATE = 1.0, 1.0, 12, 5
 _PART = 1 << 20
@@ -72,19 +75,19 @@ class Grams:
 def descend(rows: list[np.ndarray], ratio: np.ndarray, label: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model over rows ratio[row] / |ratio[row]|, by dual coordinate descent."""
     rng = np.random.default_rng(seed)
-    value = [ratio[r] / max(np.linalg.norm(ratio[r]), 1e-12) for r in rows]
+    scale = [1 / max(np.linalg.norm(ratio[r]), 1e-12) for r in rows]
     weight, bias, dual = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     # Both classes weigh the same.
     cost = np.where(label > 0, COST * len(label) / (2.0 * max(1, (label > 0).sum())), COST * len(label) / (2.0 * max(1, (label < 0).sum())))
     for _ in range(PASSES):
         for i in rng.permutation(len(rows)).tolist():
-            y = label[i]
-            gradient = y * (weight[rows[i]] @ value[i] + bias) - 1.0
+            y, value = label[i], ratio[rows[i]] * scale[i]
+            gradient = y * (weight[rows[i]] @ value + bias) - 1.0
             new = min(max(dual[i] - gradient / 2.0, 0.0), cost[i])  # |x|^2 is 1, and 1 for the bias
             step = (new - dual[i]) * y
             if step:
                 dual[i] = new
-                weight[rows[i]] += step * value[i]
+                weight[rows[i]] += step * value
                 bias += step
     return weight, bias
 
@@ -152,14 +155,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column) -> np.nda
     texts = docs.select(as_bytes(F.col("text")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")).join(chosen, F.col("doc_id") == F.col("id"))
     texts = texts.select("text", "label", toss.alias("toss"), F.lit(share).alias("share"))
     rows = stored(texts.mapInArrow(_grams, "label int, toss long, share double, grams array<int>").withColumn("fit", F.pmod("toss", F.lit(CALIBRATE)) > 0), "grams")
+    # 2 x SAMPLE rows, more only where doc_ids repeat.
+    sizes = rows.select("label", "toss", F.size("grams").alias("n")).groupBy("label", "toss").agg(F.sum("n").alias("n"))
+    room = sizes.withColumn("total", F.expr("sum(n) over (partition by label order by toss)")).where(F.col("total") <= INDICATORS)
+    rows = rows.join(room.select("label", "toss"), ["label", "toss"], "left_semi")
     counts = rows.where("fit").select("label", F.explode("grams").alias("bucket")).groupBy("bucket")
     counts = counts.agg(F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") == 0).alias("zeros"))
     both = rows.withColumn("all", F.lit(0)).groupBy("all").cogroup(counts.withColumn("all", F.lit(0)).groupBy("all"))
     return np.frombuffer(both.applyInPandas(_fit, "model binary").first()[0], np.float32)
 
 
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """doc_id and score (0 to 1; higher: class 1 is likelier) of each row."""
+def score(docs: DataFrame, model: np.ndarray, key: Column | None = None) -> DataFrame:
+    """doc_id, or ``key`` in its place, and score (0 to 1; higher: class 1 is likelier) of each row."""
     # The model has 2 x BUCKETS numbers, 2 MB, whatever the input's size.
     sent = docs.sparkSession.sparkContext.broadcast(np.asarray(model, np.float32))
 
@@ -172,7 +179,8 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(slope * m + shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(as_bytes(F.col("text")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(as_bytes(F.col("text")).alias("text"), (F.col("doc_id").cast("long") if key is None else key).alias("doc_id"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def held_out() -> Column:
@@ -181,9 +189,8 @@ def held_out() -> Column:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` with a score of 0.5 or more; all their columns. Rows of one doc_id with other texts are judged each on its own."""
+    """The rows of ``docs`` with a score of 0.5 or more; all their columns. Rows are told apart by their texts, which alone decide."""
     model = fit(docs, labels, label, ~held_out())
-    key = F.xxhash64("doc_id", "text")
-    kept = score(docs.withColumn("doc_id", key), model).where("score >= 0.5").select(F.col("doc_id").alias("key kept")).distinct()
-    rows = docs.withColumn("key of the row", key)
-    return rows.join(kept, F.col("key of the row") == F.col("key kept"), "left_semi").select(*docs.columns)
+    own, other, key = fresh(docs, "key"), fresh(docs, "key kept"), row_key(F.col("text"))
+    kept = score(docs, model, key).where("score >= 0.5").select(F.col("doc_id").alias(other)).distinct()
+    return docs.withColumn(own, key).join(kept, F.col(own) == F.col(other), "left_semi").select(*docs.columns)
