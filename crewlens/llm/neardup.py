@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlens.llm.components import components
-from crewlens.llm.shared import as_bytes, stored
+from crewlens.llm.shared import as_bytes, row_key, stored
 from crewlens.llm.simhash import keep_first
 from crewlens.llm.wordseq import BASES, by_size, find_words, mix, range_names
 
@@ -90,11 +90,11 @@ def word_prints(docs: DataFrame) -> DataFrame:
             doc, name = _shingles([r[2] for r in rows])
             n = np.bincount(doc, minlength=len(rows))
             halves = [_majority(doc, name, n), _majority(doc, mix(name ^ _SALTS[0]), n)]
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)] + [pa.array(c, pa.int64()) for c in (_nodes(doc, name, n), n, *halves)]
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())] + [pa.array(c, pa.int64()) for c in (_nodes(doc, name, n), n, *halves)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "n", "half", "other"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), as_bytes(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, node long, n long, half long, other long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), as_bytes(F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key binary, node long, n long, half long, other long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def similar_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     pairs = stored(candidates(nodes), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     keys = nodes.join(wanted, "node", "left_semi").select(F.col("key").alias("key wanted"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), as_bytes(F.col("text")).alias("text"))
+    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), as_bytes(F.col("text")).alias("text"))
     texts = texts.join(keys, F.col("key") == F.col("key wanted"), "left_semi").dropDuplicates(["key"]).select("text")
     sets = stored(_sets(texts), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of b")), "b")

@@ -13,7 +13,7 @@ Rows out of order, repeated rows and documents with equal texts are harmless:
 links are between distinct fingerprints. An empty table gives an empty result; a
 null text counts as empty; documents without words have fingerprint zero. Rows
 are told apart by doc_id and text, so that doc_id may be null or repeat; a null
-doc_id comes after all others.
+doc_id comes after all others. A task holds each text whole.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crewlens.llm.components import components, local_roots
-from crewlens.llm.shared import as_bytes, stored
+from crewlens.llm.shared import as_bytes, fresh, row_key, stored
 
 SEED = 42
 #: Fingerprints of one side that a comparing task holds.
@@ -66,8 +66,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), as_bytes(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), as_bytes(F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key binary, fp long")
 
 
 def _cell(fp: Column, quarter: int) -> Column:
@@ -134,9 +134,10 @@ def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFr
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of ``docs`` for each root of ``groups`` (doc_id, key, root), of its least doc_id; all their columns. Of rows equal in doc_id and text any one stays."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    kept = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key kept"))
-    rows = docs.withColumn("key of the row", F.xxhash64("doc_id", "text"))
-    rows = rows.join(kept, F.col("key of the row") == F.col("key kept"), "left_semi").dropDuplicates(["key of the row"])
+    own, other = fresh(docs, "key"), fresh(docs, "key kept")
+    kept = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias(other))
+    rows = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text")))
+    rows = rows.join(kept, F.col(own) == F.col(other), "left_semi").dropDuplicates([own])
     return rows.select(*docs.columns)
 
 

@@ -61,12 +61,32 @@ def test_pii_contexts_and_redaction(spark):
     assert out[90] == "é Mobile: [PHONE] now" and out[0] == "hello 0 Mobile: [PHONE] bye" and out[92] is None
 
 
+def test_pii_rounds(spark):
+    """Instances found by one word make the word behind them a pattern, which finds more; two words may be a pattern as well."""
+    rows = [(i, f"Mobile: +1 (200) 555-{1000 + i} ok {i}") for i in range(12)]
+    rows += [(100 + i, f"Mobile: 555-02{10 + i}-77 Zed") for i in range(6)] + [(200, "then 444-0199-55 Zed"), (201, "none 444-0100-33 here")]
+    rows += [(300 + i, f"call his office desk +1 (300) 555-{2000 + i} my desk") for i in range(6)] + [(310, "call his office desk 020 7946 0958 x"), (311, "in 2019 2020")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.span_digests(df).collect()}
+    assert spans[200] == "phone:5:16" and spans[201] == "" and all(spans[100 + i] == "phone:8:19" for i in range(6))
+    assert spans[310] == "phone:21:34" and spans[311] == ""
+
+
 def test_redaction_keeps_columns(docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.where(F.col("text").contains("@x.example")).count() == 0
 
 
+def test_helper_columns_clash(spark):
+    """Names that the operators use for themselves are columns of the caller."""
+    names = ["key", "key of spans", "spans", "key kept", "of", "shard", "place", "row of key", "key of row", "key of the row"]
+    row = (1, "mail a.b@x.example.org " + "word " * 9, "en", "s", *names)
+    df = spark.createDataFrame([row, (2, None, None, None, *names)], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for out in (pii.redact(df), simhash.keep_one(df), mixing.mixed_documents(df), quality.good_documents(df, df.select("doc_id", F.lit(1).alias("quality")))):
+        assert out.columns == df.columns and all(r[n] == n for r in out.collect() for n in names)
+
+
 def test_quality(spark, docs, none):
     good = ["the quiet river runs past the old mill and the field", "we walked to the market and bought bread and fruit"]
     rows = [(i, f"{good[i % 2]} {i}" if i % 2 else f"BUY!! NOW!! {i} &&& $$$ ###") for i in range(400)]
@@ -104,27 +124,83 @@ def test_bpe_equals_the_library(spark, docs, none):
     assert bpe.token_digests(none, path, bpe.build_lexicon(none, path)).count() == 0
 
 
+def plain_targets(sizes):
+    """share x all sizes by weight, stops and reshares, one source after the other."""
+    target, free, rest = {}, list(range(len(sizes))), 1.5 * sum(sizes)
+    weight = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    while True:
+        total = sum(weight[i] for i in free)
+        over = [i for i in free if rest * weight[i] / total > 2 * sizes[i]]
+        if not over:
+            return target | {i: rest * weight[i] / total for i in free}
+        target |= {i: 2 * sizes[i] for i in over}
+        rest -= sum(target[i] for i in over)
+        free = [i for i in free if i not in over]
+
+
 def test_mixing(docs, none):
-    expected_size = collections.Counter((r[0], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for r in documents())
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
     got = mixing.taken_words(docs).collect()
-    assert collections.Counter((r.doc_id, r["size"]) for r in got) == expected_size
+    assert collections.Counter((r.doc_id, r["size"]) for r in got) == collections.Counter((r[0], size(r)) for r in documents())
     assert sorted(map(str, got)) == sorted(map(str, mixing.taken_words(docs).collect()))
     assert all(0 <= r.taken <= 2 * r["size"] for r in got)
-    targets = {r.source_size: r.target for r in got}
-    assert len(targets) == 5 and abs(sum(r.taken for r in got) - sum(map(int, targets.values()))) <= 5
-    assert abs(sum(targets.values()) - 1.5 * sum(r["size"] for r in got)) < 1e-6
+    # Source by source: sizes, targets and what is taken.
+    names = sorted({r[3] for r in documents()}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size(r) for r in documents() if r[3] == s) for s in names]
+    targets = plain_targets(sizes)
+    expected = {n: (targets[i], int(targets[i])) for i, n in enumerate(sizes)}
+    assert len(expected) == len(names)
+    found = collections.defaultdict(lambda: [0.0, 0])
+    for r in got:
+        found[r.source_size][0] = r.target
+        found[r.source_size][1] += r.taken
+    for n, (target, words) in expected.items():
+        assert abs(found[n][0] - target) < 1e-6 and abs(found[n][1] - words) <= 1
     assert mixing.taken_words(none).count() == 0
+    # Every row taken stands in a shard; the shards' blocks differ by one at most; the tree's result is what op6 counts.
+    whole, taken = mixing.mix(docs)
+    assert taken.agg(F.sum("words")).first()[0] == sum(r.taken for r in got)
+    assert {s for r in got for s in r.shards} == {r[0] for r in taken.select("shard").distinct().collect()} <= set(range(mixing.SHARDS))
+    ordered = [(r.shard, r.place) for p in mixing.shard_order(taken).rdd.glom().collect() for r in p]
+    assert len(ordered) == taken.count() and sorted(ordered) != ordered[::-1]
     out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns and out.count() > 0
-
-
-def test_targets_and_tree():
+    assert out.columns == docs.columns and mixing.mixed_documents(none).count() == 0
+    key = lambda r: (r.doc_id, r.source, r.text)
+    copies, rows = collections.Counter(map(key, out.collect())), {key(r): r for r in docs.collect()}
+    count = collections.Counter(map(key, docs.collect()))
+    assert set(copies) <= set(rows) and all(n <= 2 * count[k] for k, n in copies.items())
+    words = collections.Counter()
+    for k, n in copies.items():
+        words[k[1]] += n * size(rows[k])
+    longest = {s: max(size(r) for r in documents() if r[3] == s) for s in names}
+    assert all(targets[i] - longest[s] <= words[s] <= targets[i] for i, s in enumerate(names))
+
+
+def test_mixing_tells_rows_apart(spark):
+    """Null and repeated doc_ids: six texts without an id, and two texts of one id."""
+    rows = [(None, "x " * (10 + i), "a") for i in range(6)] + [(1, "y " * 8, "b"), (1, "z " * 9, "b"), (2, "w " * 500, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, out = mixing.taken_words(df), mixing.mixed_documents(df)
+    counted = {(r.doc_id, r["size"]): r.taken // r["size"] for r in taken.collect()}
+    copies = collections.Counter((r.doc_id, len(r.text.split())) for r in out.collect())
+    assert all(copies[k] in (n, n - 1) or copies[k] == n for k, n in counted.items()) and sum(copies.values()) >= sum(counted.values()) - 3
+
+
+def test_targets_and_tree(spark, monkeypatch):
     import numpy as np
 
-    target = mixing.fill_targets(np.array([10.0, 100.0, 100.0]), np.array([5.0, 2.0, 1.0]))
-    assert abs(target - [20.0, 590 / 3, 295 / 3]).max() < 1e-9
-    parts = mixing.split_quotas(np.array([7, 40, 3]), 5, np.random.default_rng(1))
-    assert parts.sum(axis=0).tolist() == [7, 40, 3] and parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 1
+    sizes = [7, 100, 100, 3, 2000, 1, 50, 80, 9, 12]
+    df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    expected = plain_targets(sizes)
+    assert all(abs(expected[r.part] - r.target) < 1e-9 and r.source == f"s{r.part}" for r in mixing.source_targets(df).collect())
+    parts = mixing.split_quotas(np.array([7, 40, 3]), mixing.even(50, 5), np.random.default_rng(1))
+    assert parts.sum(axis=0).tolist() == [7, 40, 3] and parts.sum(axis=1).tolist() == [10] * 5
+    # Groups of two sources: quotas and shards stay exact.
+    monkeypatch.setattr(mixing, "GROUP", 2)
+    drawn = spark.createDataFrame([(i % 5,) for i in range(83)], "part long")
+    ends = {r.part: r.ends for r in mixing.shard_ends(drawn, 3, 4).collect()}
+    dealt = np.diff(np.array([[0, *ends[p]] for p in range(5)]), axis=1)
+    assert dealt.sum(axis=1).tolist() == [17, 17, 17, 16, 16] and sorted(dealt.sum(axis=0).tolist()) == [20, 21, 21, 21] and dealt.min() >= 0
 
 
 def plain_fingerprint(text):
@@ -192,6 +268,54 @@ def test_near_fingerprints(spark, monkeypatch):
     assert {f: got.get(f, f) for f in label} == label
 
 
+def twisted(order, letters="ab"):
+    """The word of Thue and Morse: 2**order letters, equal to its twin under polynomials modulo 2**64."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(1 << order))
+
+
+def test_words_are_compared(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    library = Tokenizer.from_file(path)
+    texts = [twisted(k, p) for k in (10, 11) for p in ("ab", "ba")] * 2
+    texts += [f"{texts[0]} {texts[1]} {texts[0]}"]
+    encoder = bpe.Encoder(path)
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    from crewlens.llm.wordseq import distinct_words, find_words
+
+    words = find_words([t.encode() for t in texts])
+    words.name[:] = 0
+    _, of = distinct_words(words.data, words.start, words.end)
+    flat = words.data.tobytes()
+    spelt = [flat[s:e] for s, e in zip(words.start, words.end, strict=True)]
+    assert all((of[i] == of[j]) == (a == b) for i, a in enumerate(spelt) for j, b in enumerate(spelt))
+    # 34 equal words and one that differs: no window repeats. With the same one, all do.
+    line = " ".join(f"w{i}" for i in range(34))
+    rows = [(i, f"{line} {twisted(k, p)}") for i, (k, p) in enumerate([(10, "ab"), (10, "ba"), (11, "ab"), (11, "ba")])]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substrings.dedup_substrings(once).collect()] == [0] * 4
+    again = spark.createDataFrame([*rows, (9, f"{line}\t {twisted(10)}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.dedup_substrings(again).collect()} == {0: 35, 1: 0, 2: 0, 3: 0, 9: 35}
+
+
+def test_names_that_collide(docs, monkeypatch):
+    """Equal names of different words and symbols cost candidates, no result."""
+    import numpy as np
+
+    from crewlens.llm import wordseq
+
+    expected = sorted(map(str, substrings.dedup_substrings(docs).collect()))
+    real = wordseq.word_names
+    monkeypatch.setattr(wordseq, "word_names", lambda *a: real(*a) % np.uint64(3))
+    texts = [(r[1] or "").encode() for r in documents()]
+    words = wordseq.find_words(texts)
+    start = np.flatnonzero(words.doc[:-34] == words.doc[34:])
+    plain = [b" ".join(t.split()[i : i + 35]) for t in texts for i in range(max(0, len(t.split()) - 34))]
+    digests = [bytes(d) for d in substrings.window_digests(words, start, 35)]
+    assert [hashlib.blake2b(p, digest_size=16).digest() for p in plain] == digests and expected
+
+
 def test_substrings(docs, none):
     rows = [(r[0], (r[1] or "").encode().split()) for r in documents()]
     count = collections.Counter(tuple(w[i : i + 35]) for _, w in rows for i in range(len(w) - 34))
@@ -213,7 +337,11 @@ def test_token_counts(spark, docs, block):
     path = tokenizer_path()
     separator = bpe.vocabulary(path).special["<|endoftext|>"]
     rows = docs.where("doc_id is not null")
-    expected = [(r.doc_id, len(r.ids)) for r in bpe.encode(rows, path, specials=False).collect()]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    count = lambda text: len(library.encode(text or "", add_special_tokens=False).ids)
+    expected = [(r.doc_id, count(r.text)) for r in rows.collect()]
     same([tuple(r) for r in tokencounts.document_tokens(rows, path, separator, block=block).collect()], expected)
 
 
@@ -224,4 +352,16 @@ def test_flat_files(spark, tmp_path, none):
     np.array([], "<u2").tofile(tmp_path / "b.bin")
     found = tokencounts.count_tokens(tokencounts.read_flat_files(spark, str(tmp_path), block=2), 9)
     assert [r.n_tokens for r in found.orderBy("ordinal").collect()] == [2, 0, 3, 1]
+    # Ids of 32 bits, and a file of several tasks' ranges, against the places of the id.
+    ids = np.random.default_rng(3).integers(0, 1 << 18, 5000)
+    ids[np.random.default_rng(4).integers(0, 5000, 90)] = 70000
+    ids[-1] = 9 + (1 << 16)
+    (tmp_path / "wide").mkdir()
+    ids.astype("<u4").tofile(tmp_path / "wide" / "c.bin")
+    ends = np.flatnonzero(ids == 70000)
+    expected = [*np.diff(np.concatenate(([-1], ends))) - 1, *([5000 - ends[-1] - 1] if ends[-1] < 4999 else [])]
+    for block in (3, 64):
+        found = tokencounts.count_tokens(tokencounts.read_flat_files(spark, str(tmp_path / "wide"), block, "<u4"), 70000, "<u4")
+        assert [r.n_tokens for r in found.orderBy("ordinal").collect()] == expected
+    assert tokencounts.token_type(1 << 16) == "<u2" and tokencounts.token_type(70000) == "<u4"
     assert tokencounts.document_tokens(none, tokenizer_path(), 50256).count() == 0

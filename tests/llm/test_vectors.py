@@ -56,21 +56,38 @@ def test_near_vectors(spark, vectors, monkeypatch, shard):
     total = sum(e[1] for e in expected)
     assert all(g[1] <= e[1] for g, e in zip(got, expected, strict=True)) and sum(g[1] for g in got) >= 0.9 * total
     assert graphdedup.audit_recall(vectors, found) >= 0.9
+    # Components of all true links: the least vec_id, and one kept vector of each.
+    least = {i: data[i][0] for i in links}
+    for _ in links:
+        least = {i: min([least[i], *(least[j] for j in links[i])]) for i in links}
+    audited = graphdedup.audited(vectors).withColumn("kept", F.col("vec_id") == F.col("component_id")).collect()
+    assert sorted((r.vec_id, r.component_id) for r in audited) == sorted((data[i][0], least[i]) for i in links)
+    assert {r.component_id for r in audited} == {r.vec_id for r in audited if r.kept} and all(r.recall >= 0.9 for r in audited)
     empty = vectors.where("vec_id < 0")
     assert graphdedup.near_vectors(empty).count() == 0 and graphdedup.audit_recall(empty, graphdedup.near_vectors(empty)) == 1.0
 
 
+def test_vectors_of_one_id(spark):
+    """Null ids, and an id of two vectors."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (None, [0.01, 1.0], 0), (5, [0.0, 1.0], 0)]
+    got = graphdedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == [("1", 1, 1), ("1", 2, 1), ("2", 1, 1), ("5", 2, 1), ("None", 2, 1)]
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_top_k(spark, vectors, monkeypatch, block):
     monkeypatch.setattr(knn, "BLOCK", block)
     monkeypatch.setattr(knn, "QUERIES", 5)
-    data = {r[0]: [math.floor(64 * x) for x in r[1]] for r in rows() if usable(r[1], True)}
+    more = [(None, *rows()[7][1:]), (40, *rows()[8][1:]), rows()[40]]
+    data = [(r[0], [math.floor(64 * x) for x in r[1]]) for r in rows() + more if usable(r[1], True)]
     expected = []
-    for q in (i for i in data if i % 20 == 0):
-        near = sorted((-sum(x * y for x, y in zip(data[q], v, strict=True)), i) for i, v in data.items() if i != q and len(v) == len(data[q]))
-        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near[:20])]
-    got = knn.top_k(vectors, F.col("vec_id") % 20 == 0)
-    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    for i, (q, v) in enumerate(data):
+        if q is not None and q % 20 == 0:
+            near = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), c is None, c or 0) for j, (c, w) in enumerate(data) if j != i and len(w) == len(v))
+            expected += [(q, k + 1, None if none else c, -s) for k, (s, none, c) in enumerate(near[:20])]
+    asked = vectors.union(spark.createDataFrame(more, SCHEMA))
+    got = knn.top_k(asked, F.col("vec_id") % 20 == 0)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, expected))
     assert knn.top_k(vectors.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 

@@ -31,6 +31,14 @@ def test_resolution(spark):
     assert resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    """Null and repeated record_ids: a result for every revisit, of its own URL."""
+    rows = [(1, "http://a.org/", 1, "response", 200, {"etag": "1"}, "a", "x", 1), (1, "http://b.org/", 1, "response", 200, {"etag": "2"}, "b", "x", 1)]
+    rows += [(i, f"http://{s}.org/", 5, "revisit", 304, {"etag": t}, None, "x", 1) for i in (None, 7, 7) for s, t in (("a", "1"), ("b", "2"))]
+    got = sorted((str(r.record_id), r.outcome, r.body) for r in resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted((i, "resolved", b) for i in ("None", "7", "7") for b in ("a", "b"))
+
+
 def test_canonical(spark):
     urls = ["HTTP://WWW.X.org:443/a//?ref=q", "ftp://x.org/a", "", None, "no url"]
     assert [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(canonical_url(F.col("u"))).collect()] == ["x.org/a", "x.org/a", "", None, "no url"]
