@@ -79,6 +79,11 @@ def _least_in(value: np.ndarray, width: int) -> np.ndarray:
     return np.where(value[b] < value[a], b, a)
 
 
+def symbol_names(words: Words, at: np.ndarray) -> np.ndarray:
+    """The high-level name of each border."""
+    return range_names(words.name, at - REACH, at + REACH, BASES[0]) >> _U(1)
+
+
 def window_symbols(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all windows of ``width`` words, the border that stands for each, and its high-level name."""
     n = len(words.name)
@@ -92,7 +97,7 @@ def window_symbols(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np
     at = borders(words)
     at = at[(at >= REACH) & (at + REACH <= n)]
     at = at[words.doc[at - REACH] == words.doc[at + REACH - 1]]
-    key[at] = range_names(words.name, at - REACH, at + REACH, BASES[0]) >> _U(1)
+    key[at] = symbol_names(words, at)
     start = np.flatnonzero(words.doc[: n - width + 1] == words.doc[width - 1 :])
     best = _least_in(key[REACH:], safe)[start] + REACH
     return start, best, key[best]

@@ -4,20 +4,20 @@ A word goes if a window of ``width`` consecutive words covers it whose words
 also begin anywhere else. ``recompression`` gives each window a high-level
 symbol that equal windows share:
 
-0. Equal texts become one, with a multiplicity. All windows of a text that
-   stands more than once repeat, so that groups of copies end here; for the
-   other texts it counts once.
 1. Count the symbols' names over all texts. A symbol that stands once has no
    window that repeats; only its place goes on. Counting combines before the
    shuffle, so that a passage in any share of the documents makes no large group.
-2. Windows of shared symbols are verified on their words, by a cryptographic
-   digest of 128 bits (BLAKE2b) of the words joined by a space, counted likewise;
-   those that stand once go on, again as places.
-3. Each text is read with its places: all other windows repeat.
+2. The windows that one symbol stands for cover a range of words. Ranges of
+   shared symbols are compared by a cryptographic digest of 128 bits (BLAKE2b)
+   of their words: in ranges that stand more than once every window repeats.
+3. Where a symbol has several ranges, their windows are verified one by one, by
+   the same digest: those of ranges that stand once, and of one of each others.
+   Windows that stand once go on, again as places.
+4. Each text is read with its places: all other windows repeat.
 
 Names of words and symbols are hashes and may be equal by chance; that only
-makes a candidate more for step 2. Steps 2 and 3 join on a number given to each
-text and share one shuffle of texts. Texts are told apart by SHA-256. Every row
+makes a candidate more for steps 2 and 3, which look at the words. Steps 2 to 4
+join on a number given to each row and share one shuffle of texts. Every row
 gets its result, whatever its doc_id; repeated rows count as repeated passages.
 Null texts have no words. A task holds a block of some MB or one longer text.
 """
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewlens.llm.recompression import window_symbols
+from crewlens.llm.recompression import symbol_names, window_symbols
 from crewlens.llm.shared import as_bytes, stored
 from crewlens.llm.wordseq import IS_SPACE, Words, by_size, find_words
 
@@ -64,19 +64,19 @@ def _symbols(width: int):
     return run
 
 
-def _repeating(words: Words, width: int, lone: list) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows whose symbol isn't lone, and their texts. lone: for each text, places of lone symbols, or None."""
+def _windows_of(words: Words, width: int, places: list, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows whose symbol stands at one of the places, or at none of them, and those symbols' places."""
     start, at, _ = window_symbols(words, width)
     known = np.zeros(len(words.name) + 1, bool)
-    for doc, places in enumerate(lone):
-        if places:
-            known[words.first[doc] + np.asarray(places)] = True
-    start = start[~known[at]]
-    return start, words.doc[start]
+    for doc, some in enumerate(places):
+        if some:
+            known[words.first[doc] + np.asarray(some)] = True
+    stays = known[at] == inside
+    return start[stays], at[stays]
 
 
-def window_digests(words: Words, start: np.ndarray, width: int) -> np.ndarray:
-    """Two 64-bit halves of a digest of each window's words, joined by a space."""
+def digests(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of a digest of each range of words start to end, joined by a space."""
     size = words.end - words.start
     begin = np.cumsum(size + 1) - (size + 1)
     plain = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
@@ -84,24 +84,57 @@ def window_digests(words: Words, start: np.ndarray, width: int) -> np.ndarray:
     letter[begin + size] = False
     plain[letter] = words.data[~IS_SPACE[words.data]]
     view, digest = memoryview(plain), hashlib.blake2b
-    found = [digest(view[s:e], digest_size=16).digest() for s, e in zip(begin[start].tolist(), (begin + size)[start + width - 1].tolist(), strict=True)]
+    found = [digest(view[s:e], digest_size=16).digest() for s, e in zip(begin[start].tolist(), (begin + size)[end - 1].tolist(), strict=True)]
     return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A first row for each distinct combination, and how often each stands."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
+def _ranges(width: int):
+    """A row for each range of the windows of a symbol that isn't lone."""
+
+    def run(batches):
+        for part, words in _batches(batches):
+            start, at = _windows_of(words, width, [r[2] for r in part], False)
+            head = _heads(at)
+            low, high = start[head], start[np.append(head[1:], len(start)) - 1] if len(head) else start[:0]
+            at = at[head]
+            half = digests(words, low, high + width)
+            # Ranges agree if their words and their symbol's place in them do.
+            shape = ((at - low) * 4096 + (high - low)).astype(np.int32)
+            one, count = _distinct(half[:, 0], half[:, 1], shape)
+            doc = words.doc[at[one]]
+            name = symbol_names(words, at[one])
+            columns = [pa.array(half[one, 0]), pa.array(half[one, 1]), pa.array(shape[one]), pa.array(name.view(np.int64)), pa.array(np.array([r[1] for r in part], np.int64)[doc]), pa.array((at[one] - words.first[doc]).astype(np.int32)), pa.array(count.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "shape", "name", "id", "at", "n"])
+
+    return run
+
+
 def _windows(width: int):
+    """A row for each window of the symbols at the given places; those of a range that repeats count twice."""
+
     def run(batches):
         for part, words in _batches(batches):
-            start, doc = _repeating(words, width, [r[2] for r in part])
-            half = window_digests(words, start, width)
-            order = np.lexsort((half[:, 1], half[:, 0]))
-            half, start, doc = half[order], start[order], doc[order]
-            first = np.ones(len(half), bool)
-            first[1:] = (half[1:] != half[:-1]).any(axis=1)
-            first = np.flatnonzero(first)
-            count = np.diff(np.append(first, len(half)))
-            half, start, doc = half[first], start[first], doc[first]
-            key = np.array([r[1] for r in part], np.int64)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(half[:, 0]), pa.array(half[:, 1]), pa.array(key), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["high", "low", "id", "at", "n"])
+            start, at = _windows_of(words, width, [r[2] for r in part], True)
+            twice = np.zeros(len(words.name) + 1, bool)
+            for doc, row in enumerate(part):
+                if row[3]:
+                    twice[words.first[doc] + np.asarray(row[3])] = True
+            half = digests(words, start, start + width)
+            weight = 1 + twice[at].astype(np.int64)
+            one, count = _distinct(half[:, 0], half[:, 1], weight)
+            start, count = start[one], count * weight[one]
+            doc = words.doc[start]
+            columns = [pa.array(half[one, 0]), pa.array(half[one, 1]), pa.array(np.array([r[1] for r in part], np.int64)[doc]), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(count.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "id", "at", "n"])
 
     return run
 
@@ -109,20 +142,17 @@ def _windows(width: int):
 def _kept(width: int):
     def run(batches):
         for part, words in _batches(batches):
-            start, _ = _repeating(words, width, [r[4] for r in part])
+            start, _ = _windows_of(words, width, [r[2] for r in part], False)
             again = np.zeros(len(words.name) + 1, np.int64)
             again[start] = 1
             for doc, row in enumerate(part):
-                if row[5]:
-                    again[words.first[doc] + np.asarray(row[5])] = 0
+                if row[3]:
+                    again[words.first[doc] + np.asarray(row[3])] = 0
             start = np.flatnonzero(again)
             cover = np.zeros(len(words.name) + 1, np.int64)
             np.add.at(cover, start, 1)
             np.add.at(cover, start + width, -1)
             gone = np.cumsum(cover[:-1]) > 0
-            n = np.diff(words.first)
-            # Every window of a text that stands more than once repeats.
-            gone |= ((np.array([r[3] for r in part]) > 1) & (n >= width))[words.doc]
             data = words.data.tobytes()
             kept = []
             for doc in range(len(part)):
@@ -131,26 +161,36 @@ def _kept(width: int):
                 kept.append(b" ".join([data[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]))
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[words.first[1:]] - total[words.first[:-1]]
-            columns = [pa.array([r[2] for r in part], pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n_words", "n_removed", "kept", "kept_sha256"])
+            columns = [pa.array([r[1] for r in part], pa.int64()), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space) and kept_sha256 of each row."""
-    text = as_bytes(F.col("text"))
-    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("times"))
-    texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
-    lone = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.min("at").alias("at")).where("n = 1").select("id", "at")
-    symbols = texts.select("text", "id").mapInArrow(_symbols(width), "name long, id long, at int").withColumn("n", F.lit(1))
-    once = lone(symbols, "name")
-    found = once.groupBy("id").agg(F.collect_list("at").alias("symbols")).withColumnRenamed("id", "of")
-    read = texts.join(found, texts.id == found.of, "left").select("text", "id", "symbols")
-    windows = lone(read.mapInArrow(_windows(width), "high long, low long, id long, at int, n int"), "high", "low")
-    both = once.withColumn("kind", F.lit(0)).union(windows.withColumn("kind", F.lit(1))).groupBy("id")
-    both = both.agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))).alias(c) for k, c in enumerate(("symbols", "windows")))).withColumnRenamed("id", "of")
-    read = texts.join(both, texts.id == both.of, "left").select("text", "id", "key", "times", "symbols", "windows")
-    done = read.mapInArrow(_kept(width), "key binary, n_words long, n_removed long, kept string, kept_sha256 string")
-    return rows.select(F.col("key").alias("of"), "doc_id").join(done, F.col("of") == F.col("key")).select("doc_id", "n_words", "n_removed", "kept", "kept_sha256")
+    docs = docs.select(as_bytes(F.col("text")).alias("text"), F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"))
+    docs = stored(docs, "texts")
+    # With each count, the place of one of those counted: the only one where the count is 1.
+    counted = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.min("at").alias("at"))
+    symbols = docs.select("text", "id").mapInArrow(_symbols(width), "name long, id long, at int").withColumn("n", F.lit(1))
+    once = counted(symbols, "name").where("n = 1").select("id", "at")
+
+    def read(places: DataFrame, names: list[str], *more: str, how: str = "left") -> DataFrame:
+        """Texts with the places of each kind."""
+        lists = places.groupBy("id").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))).alias(c) for k, c in enumerate(names))).withColumnRenamed("id", "of")
+        return docs.join(lists, docs.id == lists.of, how).select("text", *more, *names)
+
+    kind = lambda df, k: df.select("id", "at", F.lit(k).alias("kind"))
+    ranges = read(kind(once, 0), ["lone"], "id").mapInArrow(_ranges(width), "high long, low long, shape int, name long, id long, at int, n int")
+    first = F.min(F.struct("id", "at")).alias("first")
+    ranges = stored(ranges.groupBy("high", "low", "shape").agg(F.min("name").alias("name"), F.sum("n").alias("n"), first), "ranges")
+    # Symbols of several ranges: they differ in their words, or in the symbol's place.
+    digest = F.struct("high", "low", "shape")
+    several = ranges.groupBy("name").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select(F.col("name").alias("of"))
+    asked = ranges.join(several, F.col("name") == F.col("of"), "left_semi").select("first.id", "first.at", F.lit(0).alias("kind"), "n")
+    asked = asked.union(asked.where("n > 1").withColumn("kind", F.lit(1)))
+    windows = read(asked, ["asked", "twice"], "id", how="inner").mapInArrow(_windows(width), "high long, low long, id long, at int, n int")
+    windows = counted(windows, "high", "low").where("n = 1").select("id", "at")
+    done = read(kind(once, 0).union(kind(windows, 1)), ["symbols", "windows"], "doc_id").mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return done

@@ -312,12 +312,12 @@ def test_names_that_collide(docs, monkeypatch):
     words = wordseq.find_words(texts)
     start = np.flatnonzero(words.doc[:-34] == words.doc[34:])
     plain = [b" ".join(t.split()[i : i + 35]) for t in texts for i in range(max(0, len(t.split()) - 34))]
-    digests = [bytes(d) for d in substrings.window_digests(words, start, 35)]
+    digests = [bytes(d) for d in substrings.digests(words, start, start + 35)]
     assert [hashlib.blake2b(p, digest_size=16).digest() for p in plain] == digests and expected
 
 
-def test_substrings(docs, none):
-    rows = [(r[0], (r[1] or "").encode().split()) for r in documents()]
+def plain_kept(rows):
+    rows = [(d, (t or "").encode().split()) for d, t in rows]
     count = collections.Counter(tuple(w[i : i + 35]) for _, w in rows for i in range(len(w) - 34))
     expected = []
     for d, w in rows:
@@ -327,11 +327,33 @@ def test_substrings(docs, none):
                 gone.update(range(i, i + 35))
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         expected.append((d, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return expected
+
+
+def test_substrings(docs, none):
     got = substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
-    same([tuple(r) for r in got.collect()], expected)
+    same([tuple(r) for r in got.collect()], plain_kept([(r[0], r[1]) for r in documents()]))
     assert substrings.dedup_substrings(none).count() == 0
 
 
+def test_substrings_of_edited_copies(spark):
+    """Copies with words changed, cut and repeated, so that equal passages end anywhere."""
+    import random
+
+    rng = random.Random(8)
+    line = lambda k, n: [f"w{rng.randrange(n)}" for _ in range(k)]
+    bases, rows = [line(rng.randrange(60, 160), n) for n in (3, 40, 400) for _ in range(4)], []
+    for i in range(160):
+        words = list(rng.choice(bases))
+        a = rng.randrange(len(words) // 2)
+        words = line(rng.randrange(20), 400) + words[a : a + rng.randrange(30, 120)] + line(rng.randrange(20), 3)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"x{i}"
+        rows.append((i, " ".join(words + words[:50] if i % 10 == 0 else words)))
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    same([tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()], plain_kept(rows))
+
+
 @pytest.mark.parametrize("block", [7, 64, 1 << 16])
 def test_token_counts(spark, docs, block):
     path = tokenizer_path()
