@@ -184,12 +184,12 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kind = lambda df, k: df.select("id", "at", F.lit(k).alias("kind"))
     ranges = read(kind(once, 0), ["lone"], "id").mapInArrow(_ranges(width), "high long, low long, shape int, name long, id long, at int, n int")
     first = F.min(F.struct("id", "at")).alias("first")
-    ranges = stored(ranges.groupBy("high", "low", "shape").agg(F.min("name").alias("name"), F.sum("n").alias("n"), first), "ranges")
+    ranges = ranges.groupBy("high", "low", "shape").agg(F.min("name").alias("name"), F.sum("n").alias("n"), first)
     # Symbols of several ranges: they differ in their words, or in the symbol's place.
     digest = F.struct("high", "low", "shape")
     several = ranges.groupBy("name").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select(F.col("name").alias("of"))
-    asked = ranges.join(several, F.col("name") == F.col("of"), "left_semi").select("first.id", "first.at", F.lit(0).alias("kind"), "n")
-    asked = asked.union(asked.where("n > 1").withColumn("kind", F.lit(1)))
+    asked = ranges.join(several, F.col("name") == F.col("of"), "left_semi")
+    asked = asked.select("first.id", "first.at", F.explode(F.when(F.col("n") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("kind"))
     windows = read(asked, ["asked", "twice"], "id", how="inner").mapInArrow(_windows(width), "high long, low long, id long, at int, n int")
     windows = counted(windows, "high", "low").where("n = 1").select("id", "at")
     done = read(kind(once, 0).union(kind(windows, 1)), ["symbols", "windows"], "doc_id").mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
