@@ -9,7 +9,9 @@ rounds, until a round finds no more. A pattern is trusted for a kind if
 * FEW or more distinct known instances of the kind stand by it,
 * they are at least PURE of the distinct instances that do (F / N), and
 * an identifier follows (or precedes) it in at least SHARP of all places where
-  the corpus has it, so that common words never become patterns.
+  the corpus has it, so that common words never become patterns. For two words
+  the places of the rarer one count, which are no fewer: pairs of words that are
+  both common elsewhere are not trusted.
 
 Instances by trusted patterns become known, if the patterns' confidences F / N
 leave a doubt, multiplied over patterns, of at most DOUBT; in the next round they
@@ -158,10 +160,9 @@ def _context(words: Column, side: str) -> Column:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """How often each word, and each pair of neighbouring words, stands in the corpus."""
-    words = F.filter(F.split(_plain(F.coalesce(F.col("text"), F.lit(""))), r"\s+"), lambda w: w != "")
-    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
-    return docs.select(F.explode(_let(words, lambda w: F.concat(w, pairs(w)))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("places"))
+    """How often each word stands in the corpus."""
+    words = F.split(_plain(F.coalesce(F.col("text"), F.lit(""))), r"\s+")
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("places"))
 
 
 def discover(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -175,7 +176,12 @@ def discover(docs: DataFrame, found: DataFrame) -> DataFrame:
     beside = mentions.select("kind", "value", F.explode(sides).alias("p")).select("kind", "value", "p.*")
     # FEW distinct values, known or not yet, have to stand by a pattern, in SHARP of all its places.
     uses = beside.groupBy("side", "pattern").agg(F.count("*").alias("uses"), F.count_distinct("value").alias("n")).where(F.col("n") >= FEW)
-    sharp = uses.join(_places(docs), "pattern").where(F.col("uses") >= SHARP * F.col("places")).select(F.col("side").alias("of_side"), F.col("pattern").alias("of_pattern"), "n")
+    # Two words stand together in as many places as the rarer of them at most.
+    words, parts = _places(docs), F.split("pattern", " ")
+    uses = uses.select("*", parts[0].alias("one"), F.element_at(parts, -1).alias("two"))
+    for part in ("one", "two"):
+        uses = uses.join(words.select(F.col("word").alias(part), F.col("places").alias(f"places of {part}")), part)
+    sharp = uses.where(F.col("uses") >= SHARP * F.least("places of one", "places of two")).select(F.col("side").alias("of_side"), F.col("pattern").alias("of_pattern"), "n")
     same = (F.col("side") == F.col("of_side")) & (F.col("pattern") == F.col("of_pattern"))
     edges = beside.join(sharp, same).select("side", "pattern", "n", "value", F.when(F.col("kind") != "other", F.col("kind")).alias("kind")).distinct()
     edges = stored(edges, "edges")
