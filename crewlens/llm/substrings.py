@@ -39,10 +39,10 @@ from crewlens.llm.wordseq import IS_SPACE, Words, by_size, find_words
 WIDTH = 35
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], Words]]:
-    """Rows (text first) in parts of some MB, with their words."""
+def _batches(batches: Iterator[pa.RecordBatch], wanted=lambda r: True) -> Iterator[tuple[list[tuple], Words]]:
+    """Wanted rows (text first) in parts of some MB, with their words."""
     for batch in batches:
-        for part in by_size(zip(*(c.to_pylist() for c in batch.columns), strict=True), lambda r: len(r[0])):
+        for part in by_size(filter(wanted, zip(*(c.to_pylist() for c in batch.columns), strict=True)), lambda r: len(r[0])):
             yield part, find_words([r[0] for r in part])
 
 
@@ -102,7 +102,7 @@ def _ranges(width: int):
 
     def run(batches):
         for part, words in _batches(batches):
-            start, at = _windows_of(words, width, [r[2] for r in part], False)
+            start, at = _windows_of(words, width, [r[3] for r in part], False)
             head = _heads(at)
             low, high = start[head], start[np.append(head[1:], len(start)) - 1] if len(head) else start[:0]
             at = at[head]
@@ -122,12 +122,12 @@ def _windows(width: int):
     """A row for each window of the symbols at the given places; those of a range that repeats count twice."""
 
     def run(batches):
-        for part, words in _batches(batches):
-            start, at = _windows_of(words, width, [r[2] for r in part], True)
+        for part, words in _batches(batches, lambda r: r[3]):
+            start, at = _windows_of(words, width, [r[3] for r in part], True)
             twice = np.zeros(len(words.name) + 1, bool)
             for doc, row in enumerate(part):
-                if row[3]:
-                    twice[words.first[doc] + np.asarray(row[3])] = True
+                if row[4]:
+                    twice[words.first[doc] + np.asarray(row[4])] = True
             half = digests(words, start, start + width)
             weight = 1 + twice[at].astype(np.int64)
             one, count = _distinct(half[:, 0], half[:, 1], weight)
@@ -142,12 +142,12 @@ def _windows(width: int):
 def _kept(width: int):
     def run(batches):
         for part, words in _batches(batches):
-            start, _ = _windows_of(words, width, [r[2] for r in part], False)
+            start, _ = _windows_of(words, width, [r[3] for r in part], False)
             again = np.zeros(len(words.name) + 1, np.int64)
             again[start] = 1
             for doc, row in enumerate(part):
-                if row[3]:
-                    again[words.first[doc] + np.asarray(row[3])] = 0
+                if row[4]:
+                    again[words.first[doc] + np.asarray(row[4])] = 0
             start = np.flatnonzero(again)
             cover = np.zeros(len(words.name) + 1, np.int64)
             np.add.at(cover, start, 1)
@@ -161,7 +161,7 @@ def _kept(width: int):
                 kept.append(b" ".join([data[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]))
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[words.first[1:]] - total[words.first[:-1]]
-            columns = [pa.array([r[1] for r in part], pa.int64()), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            columns = [pa.array([r[2] for r in part], pa.int64()), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     return run
@@ -176,21 +176,22 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     symbols = docs.select("text", "id").mapInArrow(_symbols(width), "name long, id long, at int").withColumn("n", F.lit(1))
     once = counted(symbols, "name").where("n = 1").select("id", "at")
 
-    def read(places: DataFrame, names: list[str], *more: str, how: str = "left") -> DataFrame:
-        """Texts with the places of each kind."""
+    def read(places: DataFrame, names: list[str]) -> DataFrame:
+        """Texts with the places of each kind. All reads have the same columns and join, so that one shuffle of texts serves them."""
         lists = places.groupBy("id").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("at"))).alias(c) for k, c in enumerate(names))).withColumnRenamed("id", "of")
-        return docs.join(lists, docs.id == lists.of, how).select("text", *more, *names)
+        return docs.join(lists, docs.id == lists.of, "left").select("text", "id", "doc_id", *names)
 
     kind = lambda df, k: df.select("id", "at", F.lit(k).alias("kind"))
-    ranges = read(kind(once, 0), ["lone"], "id").mapInArrow(_ranges(width), "high long, low long, shape int, name long, id long, at int, n int")
+    ranges = read(kind(once, 0), ["lone"]).mapInArrow(_ranges(width), "high long, low long, shape int, name long, id long, at int, n int")
     first = F.min(F.struct("id", "at")).alias("first")
     ranges = ranges.groupBy("high", "low", "shape").agg(F.min("name").alias("name"), F.sum("n").alias("n"), first)
     # Symbols of several ranges: they differ in their words, or in the symbol's place.
     digest = F.struct("high", "low", "shape")
-    several = ranges.groupBy("name").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select(F.col("name").alias("of"))
+    # The condition always holds; with it both uses of ``ranges`` need the same columns, and one shuffle serves them.
+    several = ranges.where("n > 0 and first.id >= 0").groupBy("name").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select(F.col("name").alias("of"))
     asked = ranges.join(several, F.col("name") == F.col("of"), "left_semi")
     asked = asked.select("first.id", "first.at", F.explode(F.when(F.col("n") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("kind"))
-    windows = read(asked, ["asked", "twice"], "id", how="inner").mapInArrow(_windows(width), "high long, low long, id long, at int, n int")
+    windows = read(asked, ["asked", "twice"]).mapInArrow(_windows(width), "high long, low long, id long, at int, n int")
     windows = counted(windows, "high", "low").where("n = 1").select("id", "at")
-    done = read(kind(once, 0).union(kind(windows, 1)), ["symbols", "windows"], "doc_id").mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    done = read(kind(once, 0).union(kind(windows, 1)), ["symbols", "windows"]).mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
     return done
