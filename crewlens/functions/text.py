@@ -54,13 +54,17 @@ def match_key(text: Column, mode: str = "words") -> Column:
 
 
 def role_class(text: Column) -> Column:
-    """project_lead, technical_lead or contributor; prose of over 12 words has none."""
-    t = match_key(text)
+    """project_lead, technical_lead or contributor; sentences of over 6 words that name none of them have no role."""
+    t = F.lower(clean_text(text))
+    together = lambda a, b: t.rlike(rf"{a}.*{b}|{b}.*{a}")
+    lead = r"\blead\b"
     return (
-        F.when(text.isNull() | (F.size(F.split(t, " ")) > 12), None)
-        .when(t.rlike(r"\b(project manager|project lead|chef de projet|directeur de projet|program manager)\b"), "project_lead")
-        .when(t.rlike(r"\b(tech(nical)? lead|lead (dev|developer|engineer)|architect|architecte|referent technique)\b"), "technical_lead")
-        .when(t != "", "contributor")
+        F.when(text.isNull() | (t == ""), None)
+        .when((t == "project_lead") | together(r"\bproject\b", lead) | t.rlike(r"\bcheff?e?\s+de\s+projet\b"), "project_lead")
+        .when((t == "technical_lead") | together(r"\btech(?:nical|nique)?\b", lead), "technical_lead")
+        .when(t.rlike("contributor|contributeur"), "contributor")
+        .when((F.size(F.split(t, r"\s+")) > 6) & t.rlike("[.!?]"), None)
+        .otherwise("contributor")
     )
 
 
@@ -96,11 +100,20 @@ def clean_cert_name(text: Column) -> Column:
 
 
 def clean_degree(degree: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(degree), F.lit("")), F.lit("Degree"))
+    return F.coalesce(F.nullif(clean_text(degree), F.lit("")), F.lit("Unknown Degree"))
 
 
 def clean_institution(name: Column) -> Column:
-    return F.when(~is_narrative(name), F.nullif(F.trim(name), F.lit("")))
+    return F.nullif(clean_text(name), F.lit(""))
+
+
+#: Words of a report that leaked into the name of a school.
+REPORT_WORDS = "incident|maintenance|sur site|distance|reporting|analyse|diagnostique|r[ée]seaux"
+
+
+def is_report(institution: Column) -> Column:
+    """A name of a school that is prose: over 180 characters, or over 18 words with one of a report."""
+    return (F.length(institution) > 180) | ((F.size(F.split(institution, r"\s+")) > 18) & F.lower(institution).rlike(REPORT_WORDS))
 
 
 def token_variants(word: Column) -> Column:
@@ -133,11 +146,12 @@ def min_years(text: Column) -> Column:
 
 
 #: Words that point to someone named before.
-REFERENCES = ("he", "she", "his", "her", "him", "they", "their", "them", "it", "il", "elle", "lui", "son", "sa", "ses")
+REFERENCES = ("he", "she", "they", "them", "his", "her", "their", "theirs", "him", "hers", "other", "another", "else", "same", "former", "latter", "that", "this")
 
 
 def needs_reference(text: Column) -> Column:
-    return F.coalesce(F.arrays_overlap(F.split(match_key(text), " "), F.array(*map(F.lit, REFERENCES))) | match_key(text).contains("the other"), F.lit(False))
+    """Whether a text points to someone; "the other", "that one" and "this one" hold one of the words."""
+    return F.coalesce(F.arrays_overlap(F.split(match_key(text), " "), F.array(*map(F.lit, REFERENCES))), F.lit(False))
 
 
 def clean_skills(skills: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crewlens.functions.text import match_key
-from crewlens.operators.windows import keep_first
+from crewlens.operators.windows import keep_first, top_k_per_key
 
 
 def count_by(keys: DataFrame, rows: DataFrame, key: str, name: str = "n") -> DataFrame:
@@ -34,8 +34,11 @@ def company_index(df: DataFrame, company: str, person: str) -> DataFrame:
 def people_facts(chunks: DataFrame, person: str, kind: str, entity: str, items: int = 50, chars: int = 500) -> DataFrame:
     """Per person and type of chunk, how many distinct entities there are, and the first of them in order."""
     value = F.substring(F.col(entity), 1, chars)
-    grouped = chunks.select(person, kind, value.alias("entity")).distinct().groupBy(person, kind)
-    return grouped.agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("entity")), 1, items).alias("entities"))
+    rows = chunks.select(person, kind, value.alias("entity")).distinct()
+    counts = rows.groupBy(person, kind).agg(F.count("*").alias("n"))
+    # Cut before anything is collected.
+    first = top_k_per_key(rows, [person, kind], ["entity"], items).groupBy(person, kind).agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    return counts.join(first, [person, kind])
 
 
 def counters(df: DataFrame, by: list[str], column: str, values: list[str]) -> DataFrame:

@@ -51,12 +51,14 @@ def match_certs(uploads: DataFrame, existing: DataFrame, least: float = 0.6) ->
 
     Lenient: one name holds the other, or they share ``least`` of the shorter's words. The join is blocked by person.
     """
-    a, b = match_key(F.col("name")), match_key(F.col("other_name"))
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    lenient = F.contains(a, b) | F.contains(b, a) | (overlap_of_shorter(words(a), words(b)) >= least)
-    pairs = uploads.join(existing, "profile_id").withColumn("equal", a == b).where(F.col("equal") | ((a != "") & (b != "") & lenient))
+    keyed = lambda df, name, p: df.withColumn(f"{p} key", match_key(F.col(name))).withColumn(f"{p} words", F.filter(F.split(f"{p} key", " "), lambda w: w != ""))
+    # Keys and words are made once for each row, before the join.
+    pairs = keyed(uploads, "name", "a").join(keyed(existing, "other_name", "b"), "profile_id")
+    a, b = F.col("a key"), F.col("b key")
+    lenient = F.contains(a, b) | F.contains(b, a) | (overlap_of_shorter(F.col("a words"), F.col("b words")) >= least)
+    pairs = pairs.withColumn("equal", a == b).where(F.col("equal") | ((a != "") & (b != "") & lenient))
     priority = F.when(F.col("equal"), 0).when(~F.col("verified"), 1).otherwise(2)
-    return first_per_key(pairs.withColumn("priority", priority), ["upload_id"], ["priority", "cert_id"]).select("upload_id", "cert_id", "priority")
+    return first_per_key(pairs.withColumn("priority", priority).select("upload_id", "cert_id", "priority"), ["upload_id"], ["priority", "cert_id"])
 
 
 def coalesce_dups(df: DataFrame, key: list[str], order: str, fields: list[str], flags: list[str]) -> DataFrame:

@@ -50,6 +50,12 @@ def mismatch_report(truth: DataFrame, predicted: DataFrame, key: str, fields: li
     return rows.where("reason is not null")
 
 
+def mismatch_counts(report: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """Per field how many records differ, of how many."""
+    total = truth.agg(F.count_distinct(key).alias("records"))
+    return report.groupBy("field").agg(F.count_distinct(key).alias("mismatches")).crossJoin(F.broadcast(total))  # a single row
+
+
 def alias_eval(rows: DataFrame, name_least: float = 0.86, issuer_least: float = 0.88) -> DataFrame:
     """Whether names and issuers match any alias: names by ratio, issuers by one holding the other or by ratio. rows: id, name, issuer, names, issuers."""
     near = lambda a, b, least: (match_key(a) == match_key(b)) | (seq_ratio(match_key(a), match_key(b)) >= least)
@@ -80,11 +86,16 @@ def claim_groundedness(answers: DataFrame, context: DataFrame) -> DataFrame:
 
 
 #: Phrases of a refusal.
-REFUSALS = "cannot help|can't help|outside (?:the|my) scope|not able to|only answer|hors sujet|ne peux pas"
+REFUSALS = ("i don't have", "i do not have", "i don't know", "i do not know", "not mentioned", "insufficient information", "no information", "does not contain")
 
 
 def rejection_rate(answers: DataFrame) -> DataFrame:
-    return answers.agg(F.round(F.avg(F.when(F.lower("text").rlike(REFUSALS), 100.0).otherwise(0.0)), 6).alias("rejected_pct"))
+    """% of answers that hold a phrase of a refusal."""
+    text = F.lower("text")
+    refused = F.contains(text, F.lit(REFUSALS[0]))
+    for phrase in REFUSALS[1:]:
+        refused = refused | F.contains(text, F.lit(phrase))
+    return answers.agg(F.round(F.avg(F.when(refused, 100.0).otherwise(0.0)), 6).alias("rejected_pct"))
 
 
 def metric_delta(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -100,6 +100,13 @@ def extract_cert_fields(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", issuer.alias("issuer"), issued.alias("issue_date"), F.when(~diploma, expiry).alias("expiration_date"), credential.alias("credential_id"))
 
 
+def clean_education(df: DataFrame) -> DataFrame:
+    """Rows with a default degree and a clean institution; those without a degree whose institution is missing or prose are dropped."""
+    rows = df.withColumn("degree", T.clean_degree(F.col("degree"))).withColumn("institution", T.clean_institution(F.col("institution")))
+    unknown = F.lower("degree") == "unknown degree"
+    return rows.where(~(unknown & (F.col("institution").isNull() | T.is_report(F.col("institution")))))
+
+
 def clean_lines(text: Column) -> Column:
     """Lines of over 3 characters of which half or more are letters, digits or spaces."""
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 3) & (F.length(F.regexp_replace(x, r"[^\p{L}\p{N} ]", "")) * 2 >= F.length(x)))

@@ -66,19 +66,22 @@ def match_names(a: DataFrame, b: DataFrame, left: str = "name", right: str = "fu
 
 
 def verify_owner(docs: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """Whether each text holds its owner's name: either order as it stands, else the best Levenshtein similarity over windows of n-1 to n+1 words."""
-    text, name = match_key(F.col("text")), match_key(F.col("name"))
-    words, n = F.split(text, " "), F.size(F.split(name, " "))
-    turned = F.array_join(F.reverse(F.split(name, " ")), " ")
-    stands = F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" "))) | F.contains(text, turned)
+    """Whether each text holds its owner's name: 1 where it stands there in either order, else the best Levenshtein similarity of either order over windows of n-1 to n+1 words."""
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    rows = docs.withColumn("words of text", words(match_key(F.col("text")))).withColumn("words of name", words(match_key(F.col("name"))))
+    all_, n = F.col("words of text"), F.size("words of name")
+    orders = [F.array_join(F.col("words of name"), " "), F.array_join(F.reverse("words of name"), " ")]
 
     def best(width: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-        return F.array_max(F.transform(starts, lambda i: lev_sim(F.array_join(F.slice(words, i, width), " "), name)))
-
-    similar = F.greatest(*(best(F.greatest(n + d, F.lit(1))) for d in (-1, 0, 1)))
-    score = F.when(stands, 1.0).otherwise(F.when(F.size(words) <= 400, similar).otherwise(similar))
-    return docs.withColumn("name_score", score).withColumn("verified", F.col("name_score") >= threshold)
+        # Texts of fewer words have no window; the sequence of none is cut off.
+        starts = F.slice(F.sequence(F.lit(1), F.greatest(F.size(all_) - width + 1, F.lit(1))), 1, F.greatest(F.size(all_) - width + 1, F.lit(0)))
+        window = lambda i: F.array_join(F.slice(all_, i, width), " ")
+        return F.array_max(F.transform(starts, lambda i: F.greatest(*(lev_sim(window(i), o) for o in orders))))
+
+    similar = F.greatest(*(best(F.greatest(n + d, F.lit(1))) for d in (-1, 0, 1)), F.lit(0.0))
+    stands = F.contains(F.array_join(all_, " "), orders[0]) | F.contains(F.array_join(all_, " "), orders[1])
+    rows = rows.withColumn("name_score", F.when(stands, 1.0).otherwise(similar))
+    return rows.withColumn("verified", F.col("name_score") >= threshold).drop("words of text", "words of name")
 
 
 def resolve_person(queries: DataFrame, people: DataFrame, least: float = 0.84, near: float = 0.02) -> DataFrame:

@@ -80,9 +80,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_topk_scoped(queries: DataFrame, corpus: DataFrame, by: str, k: int = 8) -> DataFrame:
-    """The k nearest inside each query's own scope: an equi-join, then a rank."""
-    pairs = queries.select(F.col("id").alias("query_id"), by, F.col("vector").alias("asked")).join(corpus.select("id", by, "vector"), by).where("id <> query_id")
-    return top_k_per_key(pairs.select("query_id", "id", cosine(F.col("asked"), F.col("vector")).alias("score")), ["query_id"], [F.desc("score"), "id"], k)
+    """The k nearest inside each query's own scope: blocks of its queries against blocks of its rows, cut by hash, then one rank. Both: id, ``by``, vector."""
+    parts = lambda df, name: df.groupBy(by).agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias(name))
+    grid = parts(queries, "lots").join(parts(corpus, "blocks"), by)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    spot = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
+    asks = queries.join(grid, by).select(by, spot("lots", 0).alias("q"), every("blocks").alias("b"), F.lit(True).alias("asks"), "id", "vector")
+    base = corpus.join(grid, by).select(by, every("lots").alias("q"), spot("blocks", 1).alias("b"), F.lit(False).alias("asks"), "id", "vector")
+    found = asks.union(base).groupBy(by, "q", "b").applyInPandas(_nearest(k), "query_id long, id long, score double")
+    return top_k_per_key(found, ["query_id"], [F.desc("score"), "id"], k)
 
 
 def rare_token_search(queries: DataFrame, index: DataFrame, n_rows: Column | int, k: int = 18, share: float = 0.15, least: int = 8) -> DataFrame:
@@ -141,15 +147,31 @@ def token_people(queries: DataFrame, index: DataFrame, total: DataFrame) -> Data
     return queries.select("query_id", "token").distinct().join(held, "token").join(F.broadcast(n)).where(F.size("people") < F.col("n")).drop("n")
 
 
-def groundedness(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The share of each answer's tokens that its evidence holds, and whether that is enough: one hit up to 8 tokens, 15 % up to 20, else 20 %.
+#: Parts of replies that claim nothing, as ``match_key`` spells them.
+NO_CLAIM = ("i don", "don t have", "timed out")
+
+
+def groundedness(answers: DataFrame, evidence: DataFrame, least: int = 4) -> DataFrame:
+    """Whether each answer's tokens stand in its evidence, by two rules. Both tables: id, text; an answer's evidence may be many rows.
 
-    Both: id, token, distinct.
+    grounded: replies that claim nothing, answers without tokens and those without
+    evidence pass; else one hit is needed up to 8 tokens, 15 % up to 20, else 20 %;
+    blank answers fail. in_results, the stricter rule: 30 % of the tokens, which there have to be.
+    A token is hit by a word that is it or begins with it.
     """
-    held = answers.join(evidence.withColumn("held", F.lit(1)), ["id", "token"], "left").groupBy("id").agg(F.count("*").alias("n"), F.count("held").alias("hits"))
-    share = F.col("hits") / F.col("n")
-    passed = F.when(F.col("n") <= 8, F.col("hits") >= 1).when(F.col("n") <= 20, share >= 0.15).otherwise(share >= 0.20)
-    return held.select("id", F.round(share, 9).alias("share"), passed.alias("grounded"))
+    key = T.match_key(F.col("text"))
+    rows = answers.select("id", key.alias("key"), T.tokens(F.col("text"), least).alias("tokens"))
+    asked = rows.select("id", F.explode("tokens").alias("token"))
+    words = evidence.select("id", F.explode(T.tokens(F.col("text"), least, ("",))).alias("word")).distinct()
+    # Words by all their beginnings, so that the join is one of equal tokens.
+    begins = words.select("id", F.explode(F.transform(F.sequence(F.lit(least), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("token")).distinct()
+    hits = asked.join(begins.withColumn("held", F.lit(1)), ["id", "token"], "left").groupBy("id").agg(F.count("*").alias("n"), F.count("held").alias("hits"))
+    known = evidence.where(T.match_key(F.col("text")) != "").select("id").distinct().withColumn("known", F.lit(True))
+    both = rows.join(hits, "id", "left").join(known, "id", "left")
+    n, share = F.coalesce("n", F.lit(0)), F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0))
+    no_claim = F.contains("key", F.lit(NO_CLAIM[0])) | F.contains("key", F.lit(NO_CLAIM[1])) | F.contains("key", F.lit(NO_CLAIM[2]))
+    passed = F.when(F.col("key") == "", False).when(no_claim | (n == 0) | F.col("known").isNull(), True).when(n <= 8, F.col("hits") >= 1).when(n <= 20, share >= 0.15).otherwise(share >= 0.20)
+    return both.select("id", F.round(share, 9).alias("share"), passed.alias("grounded"), ((n > 0) & (share >= 0.30)).alias("in_results"))
 
 
 def result_cards(results: DataFrame, k: int = 6) -> DataFrame:
@@ -164,23 +186,23 @@ def result_cards(results: DataFrame, k: int = 6) -> DataFrame:
 
 
 def similar_documents(a: DataFrame, b: DataFrame, k: int = 3, least: float = 0.12) -> DataFrame:
-    """0.85 Jaccard of tokens plus 0.15 likeness of length, over pairs that share a token.
+    """0.85 Jaccard of tokens plus 0.15 likeness of length, over pairs that share a token. Both: id, text.
 
-    One side is a small set of texts (templates, questions) against many. Both: id, text.
+    One side is a small set of texts (templates, questions) against many. Shared
+    tokens are counted from the inverted index: a row of it has two ids, two counts
+    and two lengths, and rows of a pair are combined before the shuffle. No token
+    lists are joined to pairs. A low ``least`` leaves no bound by which common tokens could be cut.
     """
-    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), T.tokens(F.col("text"), 3).alias(f"{p}_tokens"), F.length("text").alias(f"{p}_len"))
-    left, right = side(a, "a"), side(b, "b")
-    held = right.select("b_id", F.explode("b_tokens").alias("token"))
-    pairs = left.select("a_id", F.explode("a_tokens").alias("token")).join(held, "token").select("a_id", "b_id").distinct()
-    both = pairs.join(left, "a_id").join(right, "b_id")
-    union = F.size(F.array_union("a_tokens", "b_tokens"))
+    tokens = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), T.tokens(F.col("text"), 3).alias("tokens"), F.length("text").alias(f"{p}_len"))
+    side = lambda df, p: tokens(df, p).select(f"{p}_id", f"{p}_len", F.size("tokens").alias(f"{p}_n"), F.explode("tokens").alias("token"))
+    shared = side(a, "a").join(side(b, "b"), "token").groupBy("a_id", "b_id", "a_n", "b_n", "a_len", "b_len").agg(F.count("*").alias("common"))
     likeness = F.least("a_len", "b_len") / F.greatest("a_len", "b_len")
-    score = F.round(0.85 * F.size(F.array_intersect("a_tokens", "b_tokens")) / union + 0.15 * likeness, 9)
-    return top_k_per_key(both.select("a_id", "b_id", score.alias("score")).where(F.col("score") >= least), ["a_id"], [F.desc("score"), "b_id"], k)
+    score = F.round(0.85 * F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common")) + 0.15 * likeness, 9)
+    return top_k_per_key(shared.select("a_id", "b_id", score.alias("score")).where(F.col("score") >= least), ["a_id"], [F.desc("score"), "b_id"], k)
 
 
-#: Words of greetings in English and French.
-GREETINGS = ("hello", "hi", "hey", "thanks", "thank", "you", "good", "morning", "bonjour", "salut", "merci", "bonsoir")
+#: Words of greetings, and those that may stand beside them.
+GREETINGS = ("hello", "hi", "hey", "greetings", "bonjour", "salut", "yo", "sup", "there", "everyone", "all")
 
 
 def route_queries(df: DataFrame, text: str = "query") -> DataFrame:

@@ -54,17 +54,18 @@ def item_score(score: Column, complexity: Column, external: Column, pending: Col
 
 def project_items(projects: DataFrame) -> DataFrame:
     external, pending = F.col("assignment_type") == "external", F.col("evaluation_status") == "pending"
-    return projects.select("profile_id", F.year("date").alias("score_year"), "project_key", item_score(F.col("score"), F.col("complexity"), external, pending).alias("item_score"))
+    return projects.select("profile_id", F.year("date").alias("score_year"), "project_key", item_score(F.col("score"), F.col("complexity"), external, pending).alias("item_score"), (external & pending).alias("pending_external"))
 
 
 def project_pillar(projects: DataFrame) -> DataFrame:
     items = project_items(projects).groupBy("profile_id", "score_year")
-    return items.agg(two_places(F.sum("item_score")).alias("project_score"), F.count("*").alias("n_projects"))
+    return items.agg(two_places(F.sum("item_score")).alias("project_score"), F.count("*").alias("n_projects"), F.count_if("pending_external").alias("n_pending"))
 
 
 def certification_pillar(certs: DataFrame, targets: DataFrame | None = None, default: int = 2) -> DataFrame:
-    """Uploaded certifications by year of issue (or upload) against the target: at most 100."""
-    counted = certs.where("is_uploaded").groupBy("profile_id", F.year("issue_date").alias("score_year")).agg(F.count("*").alias("n_certs"))
+    """Active uploaded certifications by year of issue, or of upload where there is no date of issue, against the target: at most 100."""
+    year = F.year(F.coalesce("issue_date", "uploaded_at"))
+    counted = certs.where("is_uploaded and status = 'active'").groupBy("profile_id", year.alias("score_year")).agg(F.count("*").alias("n_certs"))
     target = F.lit(default)
     if targets is not None:
         counted = counted.join(targets.select("profile_id", F.col("target_year").alias("score_year"), "certification_target"), ["profile_id", "score_year"], "left")
@@ -78,14 +79,19 @@ def dated_pillar(rows: DataFrame, key: str, dates: list[str], points: int, perio
     return rows.select(key, F.explode(periods).alias("period")).groupBy(key, "period").agg(F.count("*").alias("n"), (F.count("*") * points).alias(name))
 
 
-def annual_score(pillars: list[DataFrame], names: list[str]) -> DataFrame:
-    """A row for each (profile_id, score_year) of any pillar: the mean of all pillars, missing ones 0, to two places."""
-    out = pillars[0].select("profile_id", "score_year", names[0])
-    for pillar, name in zip(pillars[1:], names[1:], strict=True):
-        out = out.join(pillar.select("profile_id", "score_year", name), ["profile_id", "score_year"], "full_outer")
-    filled = [F.coalesce(n, F.lit(0.0)) for n in names]
+def annual_score(pillars: list[DataFrame], names: list[str], counts: list[str] | None = None) -> DataFrame:
+    """A row for each (profile_id, score_year) of any pillar: the mean of the four pillars, missing ones 0, to two places.
+
+    ``counts`` names a further column of each pillar, what it counted, to go along.
+    """
+    both = [[n] if counts is None else [n, c] for n, c in zip(names, counts or names, strict=True)]
+    out = pillars[0].select("profile_id", "score_year", *both[0])
+    for pillar, columns in zip(pillars[1:], both[1:], strict=True):
+        out = out.join(pillar.select("profile_id", "score_year", *columns), ["profile_id", "score_year"], "full_outer")
+    filled = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]
     total = sum(filled[1:], filled[0])
-    return out.select("profile_id", "score_year", *(f.alias(n) for f, n in zip(filled, names, strict=True)), two_places(total / 4).alias("final_score"))
+    more = [F.coalesce(c, F.lit(0)).alias(c) for c in counts or []]
+    return out.select("profile_id", "score_year", *(f.alias(n) for f, n in zip(filled, names, strict=True)), *more, two_places(total / 4).alias("final_score"))
 
 
 def score_band(score: Column) -> Column:
@@ -95,8 +101,19 @@ def score_band(score: Column) -> Column:
     return band.otherwise("starting")
 
 
-def next_actions(projects: Column, certifications: Column, trainings: Column) -> Column:
-    steps = F.array(F.when(projects == 0, "deliver a project"), F.when(certifications < 2, "add a certification"), F.when(trainings == 0, "complete a training"))
+#: Trainings and formations that fill their pillars.
+FULL_TRAININGS, FULL_FORMATIONS = 5, 4
+
+
+def next_actions(pending_external: Column, certifications: Column, target: Column, trainings: Column, formations: Column, projects: Column) -> Column:
+    """What would raise a score, in order of mention."""
+    steps = F.array(
+        F.when(pending_external > 0, "external projects await review"),
+        F.when(certifications < target, "add a certification"),
+        F.when(trainings < FULL_TRAININGS, "complete a training"),
+        F.when(formations < FULL_FORMATIONS, "deliver a formation"),
+        F.when(projects == 0, "no project counts in the year"),
+    )
     return F.filter(steps, lambda s: s.isNotNull())
 
 

@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("row of key", F.row_number().over(w)).where(F.col("row of key") == 1).drop("row of key")
+    row = fresh(df, "row of key")
+    return df.withColumn(row, F.row_number().over(w)).where(F.col(row) == 1).drop(row)
 
 
 def top_k_per_key(df: DataFrame, keys: list[str], order: list, k: int, name: str = "place") -> DataFrame:
@@ -19,7 +28,8 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list, k: int, name: str
 
 def keep_first(df: DataFrame, key: Column | list, order: list) -> DataFrame:
     """The first row of every value of a normalised key; rows keep their columns."""
-    return first_per_key(df.withColumn("key of row", key), ["key of row"], order).drop("key of row")
+    name = fresh(df, "key of row")
+    return first_per_key(df.withColumn(name, key), [name], order).drop(name)
 
 
 def with_index(df: DataFrame, keys: list[str], order: list, name: str = "idx") -> DataFrame:

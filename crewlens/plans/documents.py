@@ -63,10 +63,15 @@ def completeness_gate(spark, sf_dir):
     return X.needs_review(fields).select("p_partkey", F.array_join("flags", ", ").alias("flags"))
 
 
-@query(r"""select doc_id, nullif(lower(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 0)), '') as email from documents""")
+_PHONE = r"\+?[0-9(][0-9().\- ]{6,}[0-9]"
+_FINE = r"(length(regexp_replace({0}, '[^0-9]', '', 'g')) between 8 and 15 and not regexp_matches({0}, '^[0-9]{{1,2}}[.\-/ ][0-9]{{1,2}}[.\-/ ][0-9]{{4}}$'))"
+
+
+@query(rf"""with l as (select doc_id, text, regexp_extract(text, '(?i)(?:phone|tel|mobile|t[ée]l[ée]phone)\.?\s*[:\-]?\s*({_PHONE})', 1) as named, list_filter(regexp_extract_all(text, '({_PHONE})', 1), lambda p: {_FINE.format("p")}) as others, trim(string_split(text, chr(10))[1]) as head from documents)
+ select doc_id, nullif(lower(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 0)), '') as email, coalesce(case when {_FINE.format("named")} then named end, others[1]) as phone,
+  case when len(regexp_split_to_array(head, '\s+')) <= 4 and not regexp_matches(head, '[0-9@]') and head <> '' then head end as name from l""")
 def extract_contact(spark, sf_dir):
-    """E-mail addresses are held against SQL; phones and names are tested on hand-made rows."""
-    return _docs(spark, sf_dir).select("doc_id", X.extract_contact(F.col("text"))["email"].alias("email"))
+    return _docs(spark, sf_dir).select("doc_id", X.extract_contact(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select d.doc_id, 'projects' as section, 'Projets' as first_line, count(line) + 1 as n from documents d join l on d.doc_id = l.doc_id where trim(line) <> '' group by 1""")
@@ -76,10 +81,12 @@ def segment_sections(spark, sf_dir):
     return X.segment_sections(docs).where("section = 'projects'").groupBy("doc_id", "section").agg(F.min_by("line", "pos").alias("first_line"), F.count("*").alias("n"))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)
- select doc_id, 'projects' as section, 0::bigint as entry, sha256(string_agg(trim(line), ' ' order by pos)) as item from l where trim(line) <> '' and not regexp_matches(line, '(?:19|20)[0-9]{2}') and doc_id not in (select doc_id from l where regexp_matches(line, '(?:19|20)[0-9]{2}')) group by 1""")
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+ e as (select *, sum(case when regexp_matches(line, '(?:19|20)[0-9]{2}') then 1 else 0 end) over (partition by doc_id order by pos) as entry from l where trim(line) <> '')
+ select doc_id, 'projects' as section, entry::bigint as entry, sha256(string_agg(trim(line), ' ' order by pos)) as item from e group by 1, 3""")
 def section_items(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(~F.col("text").rlike("(?:19|20)[0-9]{2}")).select("doc_id", F.concat(F.lit("Projets\n"), "text").alias("text"))
+    """Whole texts below a heading: every line with a year begins an entry."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Projets\n"), "text").alias("text"))
     items = X.section_items(X.segment_sections(docs).where("section = 'projects'"))
     return items.select("doc_id", "section", "entry", F.sha2("item", 256).alias("item"))
 

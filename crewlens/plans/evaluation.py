@@ -33,6 +33,12 @@ def mismatch_report(spark, sf_dir):
     return E.mismatch_report(truth, predicted, "p_partkey", ["name", "kind"], ["skills"]).select("p_partkey", "field", "reason")
 
 
+@query(f"""with m as (select 'name' as field, p_partkey from part where p_size % 2 = 1 and p_name <> {_TURNED} union all select 'kind', p_partkey from part where p_size <= 25 union all select 'skills', p_partkey from part where p_size % 2 = 0) select field, count(*) as mismatches, (select count(*) from part) as records from m group by 1""")
+def mismatch_counts(spark, sf_dir):
+    truth, predicted = _sides(spark, sf_dir)
+    return E.mismatch_counts(E.mismatch_report(truth, predicted, "p_partkey", ["name", "kind"], ["skills"]), truth, "p_partkey")
+
+
 @query()
 def alias_match_eval(spark, sf_dir):
     """Names with a letter dropped and issuers inside longer ones, against aliases."""
@@ -59,10 +65,12 @@ def claim_groundedness(spark, sf_dir):
     return E.claim_groundedness(turns.where("role = 'assistant'"), turns.where("role = 'user'"))
 
 
-@query("select round(avg(case when event_type = 'error' then 100.0 else 0.0 end), 6) as rejected_pct from events")
+@query("""with a as (select case when turn % 3 = 0 then 'Sorry, I DON''T KNOW. ' else '' end || text as text from conversations where role = 'assistant')
+ select round(avg(case when contains(lower(text), 'i don''t have') or contains(lower(text), 'i do not have') or contains(lower(text), 'i don''t know') or contains(lower(text), 'i do not know') or contains(lower(text), 'not mentioned') or contains(lower(text), 'insufficient information') or contains(lower(text), 'no information') or contains(lower(text), 'does not contain') then 100.0 else 0.0 end), 6) as rejected_pct from a""")
 def rejection_rate(spark, sf_dir):
-    answers = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "I cannot help with that").otherwise(F.col("event_type")).alias("text"))
-    return E.rejection_rate(answers)
+    """Answers of the conversations, every third turn with a refusal before it."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return E.rejection_rate(turns.select(F.concat(F.when(F.col("turn") % 3 == 0, "Sorry, I DON'T KNOW. ").otherwise(""), "text").alias("text")))
 
 
 @query("""with b as (select l_returnflag as metric, round(avg(l_quantity), 6) as before from lineitem where l_linestatus = 'F' group by 1), a as (select l_returnflag as metric, round(avg(l_quantity), 6) as after from lineitem where l_linestatus = 'O' group by 1)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from crewlens.catalog import query
 from crewlens.operators import scoring as S
 from crewlens.operators import windows as W
-from crewlens.plans.standins import AS_OF, certs, ctes, participations, profiles, records, table
+from crewlens.functions.dates import cert_status
+from crewlens.plans.standins import AS_OF, ctes, lines, participations, profiles, records, table
 
 _PROJECTS = f"""with {ctes("participations", "records", "profiles")},
  best as (select *, lower(trim(project_name)) as project_key from records qualify row_number() over (partition by profile_id, lower(trim(project_name)) order by verified desc, completion_date desc nulls last, record_id, score desc nulls last, complexity nulls last) = 1),
@@ -21,15 +22,43 @@ _PROJECTS = f"""with {ctes("participations", "records", "profiles")},
  items as (select profile_id, year(date) as score_year, project_key,
   case when score is null or (assignment_type = 'external' and evaluation_status = 'pending') then 0.0
    when score > 20 then floor(least(score, 100.0) * 100 + 0.5) / 100
-   else floor(greatest(score, 0.0) / 20 * (case complexity when 'low' then 45 when 'high' then 85 else 65 end) * 100 + 0.5) / 100 end as item_score from projects),
- pillar as (select profile_id, score_year, floor(sum(item_score) * 100 + 0.5) / 100 as project_score, count(*) as n_projects from items group by 1, 2)"""
+   else floor(greatest(score, 0.0) / 20 * (case complexity when 'low' then 45 when 'high' then 85 else 65 end) * 100 + 0.5) / 100 end as item_score, assignment_type = 'external' and evaluation_status = 'pending' as pending_external from projects),
+ pillar as (select profile_id, score_year, floor(sum(item_score) * 100 + 0.5) / 100 as project_score, count(*) as n_projects, count(case when pending_external then 1 end) as n_pending from items group by 1, 2)"""
 
-_CERTS = """ certs as (select l_orderkey * 10 + l_linenumber as cert_id, o_custkey as profile_id, cast(o_orderdate as date) as issue_date, l_linestatus = 'F' as is_uploaded from lineitem join orders on l_orderkey = o_orderkey),
- cert_pillar as (select profile_id, year(issue_date) as score_year, count(*) as n_certs, floor(least(100.0, count(*) / 2.0 * 100) * 100 + 0.5) / 100 as certification_score from certs where is_uploaded group by 1, 2)"""
+# Certifications without a date of issue count by their upload, only active ones; a training counts in each year of its dates, a formation by its end.
+_CERTS = f""" lo as (select l_orderkey * 10 + l_linenumber as cert_id, o_custkey as profile_id, cast(o_orderdate as date) as d, cast(l_shipdate as date) as e, l_linestatus = 'F' as is_uploaded, l_returnflag as flag, l_linenumber as line from lineitem join orders on l_orderkey = o_orderkey),
+ certs as (select *, case when cert_id % 5 > 0 then d end as issue_date, d + 40 as uploaded_at, case when flag = 'R' then null else e + 1000 end as expiration_date from lo),
+ cert_pillar as (select profile_id, year(coalesce(issue_date, uploaded_at)) as score_year, count(*) as n_certs, floor(least(100.0, count(*) / 2.0 * 100) * 100 + 0.5) / 100 as certification_score from certs
+  where is_uploaded and (expiration_date is null or expiration_date - date '{AS_OF}' > 30) group by 1, 2),
+ sessions as (select profile_id, unnest(list_distinct([year(d), year(e)])) as score_year from lo where flag = 'R'),
+ training_pillar as (select profile_id, score_year, count(*) as n_trainings, count(*) * 20 as training_score from sessions group by 1, 2),
+ formation_pillar as (select profile_id, year(e) as score_year, count(*) as n_formations, count(*) * 25 as formation_score from lo where flag = 'A' and line = 1 group by 1, 2)"""
 
-_ANNUAL = f"""{_PROJECTS}, {_CERTS},
- annual as (select coalesce(p.profile_id, c.profile_id) as profile_id, coalesce(p.score_year, c.score_year) as score_year, coalesce(project_score, 0.0) as project_score, coalesce(certification_score, 0.0) as certification_score,
-  floor((coalesce(project_score, 0.0) + coalesce(certification_score, 0.0)) / 4 * 100 + 0.5) / 100 as final_score from pillar p full outer join cert_pillar c on p.profile_id = c.profile_id and p.score_year = c.score_year)"""
+_ANNUAL = f"""{_PROJECTS}, {_CERTS}, years as (select profile_id, score_year from pillar union select profile_id, score_year from cert_pillar union select profile_id, score_year from training_pillar union select profile_id, score_year from formation_pillar),
+ four as (select y.profile_id, y.score_year, coalesce(project_score, 0.0) as project_score, coalesce(certification_score, 0.0) as certification_score, coalesce(training_score, 0)::double as training_score, coalesce(formation_score, 0)::double as formation_score,
+  coalesce(n_projects, 0) as n_projects, coalesce(n_certs, 0) as n_certs, coalesce(n_trainings, 0) as n_trainings, coalesce(n_formations, 0) as n_formations, coalesce(n_pending, 0) as n_pending
+  from years y left join pillar p using (profile_id, score_year) left join cert_pillar c using (profile_id, score_year) left join training_pillar t using (profile_id, score_year) left join formation_pillar f using (profile_id, score_year)),
+ annual as (select profile_id, score_year, project_score, certification_score, training_score, formation_score, floor((project_score + certification_score + training_score + formation_score) / 4 * 100 + 0.5) / 100 as final_score from four)"""
+
+PILLARS = ["project_score", "certification_score", "training_score", "formation_score"]
+COUNTS = ["n_projects", "n_certs", "n_trainings", "n_formations"]
+
+
+def _certs(spark, sf_dir):
+    key, d = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("o_orderdate").cast("date")
+    ends = F.when(F.col("l_returnflag") != "R", F.date_add(F.col("l_shipdate").cast("date"), 1000))
+    return lines(spark, sf_dir).select(F.col("o_custkey").alias("profile_id"), F.when(key % 5 > 0, d).alias("issue_date"), F.date_add(d, 40).alias("uploaded_at"), (F.col("l_linestatus") == "F").alias("is_uploaded"), cert_status(ends, F.lit(AS_OF).cast("date")).alias("status"))
+
+
+def _dated(spark, sf_dir, where, dates, points, name, count):
+    rows = lines(spark, sf_dir).where(where).select(F.col("o_custkey").alias("profile_id"), F.col("o_orderdate").cast("date").alias("start"), F.col("l_shipdate").cast("date").alias("end"))
+    return S.dated_pillar(rows, "profile_id", dates, points, name=name).withColumnsRenamed({"period": "score_year", "n": count})
+
+
+def _pillars(spark, sf_dir):
+    trainings = _dated(spark, sf_dir, "l_returnflag = 'R'", ["end", "start"], 20, "training_score", "n_trainings")
+    formations = _dated(spark, sf_dir, "l_returnflag = 'A' and l_linenumber = 1", ["end"], 25, "formation_score", "n_formations")
+    return [S.project_pillar(_projects(spark, sf_dir)), S.certification_pillar(_certs(spark, sf_dir)), trainings, formations]
 
 
 def _projects(spark, sf_dir):
@@ -37,8 +66,7 @@ def _projects(spark, sf_dir):
 
 
 def _annual(spark, sf_dir):
-    pillars = [S.project_pillar(_projects(spark, sf_dir)), S.certification_pillar(certs(spark, sf_dir))]
-    return S.annual_score(pillars, ["project_score", "certification_score"])
+    return S.annual_score(_pillars(spark, sf_dir), PILLARS)
 
 
 def _ranked(spark, sf_dir):
@@ -78,7 +106,7 @@ def project_pillar(spark, sf_dir):
 
 @query(f"with {_CERTS} select * from cert_pillar")
 def certification_pillar(spark, sf_dir):
-    return S.certification_pillar(certs(spark, sf_dir))
+    return S.certification_pillar(_certs(spark, sf_dir))
 
 
 @query("""with s as (select user_id, cast(ts as date) as d, cast(ts as date) + 9 as due from events where event_type = 'signup'),
@@ -102,10 +130,12 @@ def annual_score(spark, sf_dir):
 
 
 @query(f"""{_ANNUAL} select profile_id, score_year, case when final_score >= 85 then 'excellent' when final_score >= 65 then 'strong' when final_score >= 40 then 'developing' else 'starting' end as band,
- concat_ws('; ', case when project_score = 0 then 'deliver a project' end, case when certification_score < 100 then 'add a certification' end, 'complete a training') as actions from annual""")
+ concat_ws('; ', case when n_pending > 0 then 'external projects await review' end, case when n_certs < 2 then 'add a certification' end, case when n_trainings < 5 then 'complete a training' end, case when n_formations < 4 then 'deliver a formation' end, case when n_projects = 0 then 'no project counts in the year' end) as actions from annual join four using (profile_id, score_year)""")
 def score_bands(spark, sf_dir):
-    actions = S.next_actions(F.col("project_score"), F.col("certification_score") / 50, F.lit(0))
-    return _annual(spark, sf_dir).select("profile_id", "score_year", S.score_band(F.col("final_score")).alias("band"), F.array_join(actions, "; ").alias("actions"))
+    pillars = _pillars(spark, sf_dir)
+    scores = S.annual_score(pillars, PILLARS, COUNTS).join(pillars[0].select("profile_id", "score_year", "n_pending"), ["profile_id", "score_year"], "left")
+    actions = S.next_actions(F.coalesce("n_pending", F.lit(0)), F.col("n_certs"), F.lit(2), F.col("n_trainings"), F.col("n_formations"), F.col("n_projects"))
+    return scores.select("profile_id", "score_year", S.score_band(F.col("final_score")).alias("band"), F.array_join(actions, "; ").alias("actions"))
 
 
 @query(f"""{_PROJECTS} select profile_id, score_year, string_agg(project_key || '=' || cast(cast(item_score as decimal(12,2)) as varchar), ',' order by project_key, item_score) as items from items group by 1, 2""")

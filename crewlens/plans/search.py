@@ -111,11 +111,11 @@ def hybrid_retrieve(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("query_id", "chunk_id", "branch", "place")
 
 
-@query(f"with {_LEXICAL}, r as (select query_id, chunk_id, row_number() over (partition by query_id order by branch, place, chunk_id) as p2 from one qualify p2 <= 20), e as (select query_id, source as person, lang as kind, min(p2) as place from r join documents on doc_id = chunk_id group by 1, 2, 3) select query_id, person, kind, 'E' || row_number() over (partition by query_id order by place)::varchar as evidence_id from e")
+@query(f"with {_LEXICAL}, r as (select query_id, chunk_id, row_number() over (partition by query_id order by branch, place, chunk_id) as p2 from one qualify p2 <= 20), e as (select query_id, source as person, lang as kind, string_split(text, ' ')[1] as entity, text, min(p2) as place from r join documents on doc_id = chunk_id group by 1, 2, 3, 4, 5) select query_id, person, kind, entity, sha256(text) as text, 'E' || row_number() over (partition by query_id order by place)::varchar as evidence_id from e")
 def evidence_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("person"), F.col("lang").alias("kind"))
-    results = _hybrid(spark, sf_dir).join(docs, "chunk_id").select("query_id", "person", "kind", F.lit("").alias("entity"), F.lit("").alias("text"), "place")
-    return R.evidence_rows(results).select("query_id", "person", "kind", "evidence_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("person"), F.col("lang").alias("kind"), "text")
+    results = _hybrid(spark, sf_dir).join(docs, "chunk_id").select("query_id", "person", "kind", F.get(F.split("text", " "), F.lit(0)).alias("entity"), "text", "place")
+    return R.evidence_rows(results).select("query_id", "person", "kind", "entity", F.sha2("text", 256).alias("text"), "evidence_id")
 
 
 @query(f"with {_INDEX}, p as (select token, list_sort(list(distinct person)) as people from idx group by 1) select distinct query_id, token, array_to_string(people, ',') as people from asked join p using (token) where len(people) < (select count(distinct source) from documents)")
@@ -125,12 +125,18 @@ def token_people_matrix(spark, sf_dir):
     return R.token_people(_asked(spark, sf_dir), index, people).select("query_id", "token", F.array_join("people", ",").alias("people"))
 
 
-@query(f"""with a as (select distinct conv_id as id, unnest({_tokens(4)}) as token from conversations where role = 'assistant'), e as (select distinct conv_id as id, unnest({_tokens(4)}) as token from conversations where role = 'user'),
- s as (select a.id, count(*) as n, count(e.token) as hits from a left join e on a.id = e.id and a.token = e.token group by 1) select id, round(hits / n, 9) as share, case when n <= 8 then hits >= 1 when n <= 20 then hits / n >= 0.15 else hits / n >= 0.20 end as grounded from s""")
+@query(f"""with w as (select conv_id as id, string_agg(case when turn % 5 = 1 then 'I don''t have that. ' when turn % 7 = 3 then '' else text end, ' ' order by turn) as text from conversations where role = 'assistant' group by 1),
+ r as (select id, {_KEY.format('text')} as key, {_tokens(4)} as tokens from w), a as (select id, unnest(tokens) as token from r),
+ e as (select distinct conv_id as id, unnest(list_filter(string_split({_KEY.format('text')}, ' '), lambda x: length(x) >= 4)) as word from conversations where role = 'user'), known as (select distinct conv_id as id from conversations where role = 'user' and {_KEY.format('text')} <> ''),
+ s as (select a.id, count(*) as n, count(case when exists (select 1 from e where e.id = a.id and starts_with(e.word, a.token)) then 1 end) as hits from a group by 1)
+ select r.id, round(coalesce(hits / n, 0.0), 9) as share, case when key = '' then false when contains(key, 'i don') or contains(key, 'don t have') or contains(key, 'timed out') or n is null or k.id is null then true when n <= 8 then hits >= 1 when n <= 20 then hits / n >= 0.15 else hits / n >= 0.20 end as grounded,
+  coalesce(hits / n, 0.0) >= 0.3 as in_results from r left join s using (id) left join known k on k.id = r.id""")
 def groundedness(spark, sf_dir):
+    """All that the assistant says in a conversation, against what the user says; some turns claim nothing, some are blank."""
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "id")
-    side = lambda role: R.token_table(turns.where(F.col("role") == role), ["id"], "text").distinct()
-    return R.groundedness(side("assistant"), side("user"))
+    said = F.when(F.col("turn") % 5 == 1, "I don't have that. ").when(F.col("turn") % 7 == 3, "").otherwise(F.col("text"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("text")))), lambda x: x["text"]), " ")
+    return R.groundedness(turns.where("role = 'assistant'").groupBy("id").agg(lines.alias("text")), turns.where("role = 'user'").select("id", "text"))
 
 
 @query("""with r as (select o_custkey as query_id, o_orderstatus as person, case when o_orderkey % 3 = 0 then 'company' when o_orderkey % 3 = 1 then 'certification' else 'skill' end as kind, o_orderpriority as entity from orders),
@@ -152,17 +158,20 @@ def similar_documents(spark, sf_dir):
     return R.similar_documents(a, b).select("a_id", "b_id", "score")
 
 
-@query("select conv_id, turn, 'search' as route from conversations union all select conv_id, turn + 1000, 'greeting' from conversations")
+@query(f"""with q as (select conv_id, turn, text from conversations union all select conv_id, turn + 1000, 'Hey there, everyone!' from conversations union all select conv_id, turn + 2000, 'Hello ' || string_split(text, ' ')[1] from conversations union all select conv_id, turn + 3000, ' ?! ' from conversations),
+ w as (select conv_id, turn, list_filter(string_split({_KEY.format('text')}, ' '), lambda x: x <> '') as words from q)
+ select conv_id, turn, case when len(words) = 0 then 'empty' when len(list_filter(words, lambda x: x not in ('hello', 'hi', 'hey', 'greetings', 'bonjour', 'salut', 'yo', 'sup', 'there', 'everyone', 'all'))) = 0 then 'greeting' else 'search' end as route from w""")
 def scope_rule(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
-    greeted = turns.select("conv_id", (F.col("turn") + 1000).alias("turn"), F.lit("Hello, good morning!").alias("query"))
-    return R.route_queries(turns.union(greeted)).select("conv_id", "turn", "route")
+    more = lambda step, text: turns.select("conv_id", (F.col("turn") + step).alias("turn"), text.alias("query"))
+    asked = turns.union(more(1000, F.lit("Hey there, everyone!"))).union(more(2000, F.concat(F.lit("Hello "), F.get(F.split("query", " "), F.lit(0))))).union(more(3000, F.lit(" ?! ")))
+    return R.route_queries(asked).select("conv_id", "turn", "route")
 
 
 @query(f"""with names as (select distinct lower(split_part(p_name, ' ', 1)) as word from part union select 'the' union select 'que'), w as (select conv_id, turn, unnest(string_split({_KEY.format('text')}, ' ')) as word, generate_subscripts(string_split({_KEY.format('text')}, ' '), 1) as pos from conversations),
  m as (select conv_id, turn, arg_max(word, pos) as mention from w join names using (word) group by 1, 2),
  r as (select c.conv_id, c.turn, c.text, last_value(mention ignore nulls) over (partition by c.conv_id order by c.turn rows between 4 preceding and 1 preceding) as name from conversations c left join m on c.conv_id = m.conv_id and c.turn = m.turn)
- select conv_id, turn, case when list_has_any(string_split({_KEY.format('text')}, ' '), [{', '.join(repr(w) for w in T.REFERENCES)}]) or contains({_KEY.format('text')}, 'the other') then name end as name from r""")
+ select conv_id, turn, case when list_has_any(string_split({_KEY.format('text')}, ' '), ['he', 'she', 'they', 'them', 'his', 'her', 'their', 'theirs', 'him', 'hers', 'other', 'another', 'else', 'same', 'former', 'latter', 'that', 'this']) then name end as name from r""")
 def resolve_references(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(F.lower(F.get(F.split("p_name", " "), F.lit(0))).alias("word"))
     more = words.select(F.explode(F.array(F.lit("the"), F.lit("que"))).alias("word")).distinct()

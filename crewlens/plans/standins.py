@@ -49,12 +49,12 @@ def participations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select(
+    return lines(spark, sf_dir).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"),
         F.col("o_custkey").alias("profile_id"),
         F.concat("o_orderpriority", F.lit(" "), F.year("l_shipdate").cast("string")).alias("project_name"),
@@ -66,7 +66,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def certs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+    return lines(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cert_id"),
         F.col("o_custkey").alias("profile_id"),
         F.col("p_name").alias("cert_name"),

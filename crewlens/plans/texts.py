@@ -8,6 +8,7 @@ from crewlens.catalog import query
 from crewlens.functions import dates as D
 from crewlens.functions import similarity as M
 from crewlens.functions import text as T
+from crewlens.operators import extraction as X
 from crewlens.plans.standins import table
 
 _KEY = "trim(regexp_replace(lower(replace(strip_accents({0}), '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
@@ -61,10 +62,15 @@ def parse_ranges(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), D.parse_range(text).alias("r")).select("k", "r.*")
 
 
-@query("select o_orderkey, case o_orderkey % 4 when 0 then 'project_lead' when 1 then 'technical_lead' when 2 then 'contributor' end as role from orders")
+@query("select o_orderkey, case o_orderkey % 7 when 0 then 'project_lead' when 1 then 'technical_lead' when 2 then 'contributor' when 4 then 'contributor' when 5 then 'project_lead' when 6 then 'contributor' end as role from orders")
 def role_classes(spark, sf_dir):
-    n = F.col("o_orderkey") % 4
-    text = F.when(n == 0, F.concat(F.lit("Chef de Projet "), F.col("o_orderpriority"))).when(n == 1, F.concat(F.col("o_orderstatus"), F.lit(" Technical Lead"))).when(n == 2, F.concat(F.lit("dev "), F.col("o_orderpriority"))).otherwise(F.repeat(F.lit("word "), F.lit(14)))
+    """Roles in any order of words, and what names none: architects contribute, sentences have no role, long lists without a stop do."""
+    n = F.col("o_orderkey") % 7
+    text = (
+        F.when(n == 0, F.concat(F.lit("Cheffe de  Projet "), F.col("o_orderpriority"))).when(n == 1, F.concat(F.col("o_orderstatus"), F.lit(" Lead of the technical team")))
+        .when(n == 2, F.concat(F.lit("Software architect "), F.col("o_orderpriority"))).when(n == 3, F.concat(F.lit("He wrote the code and tested all of it. "), F.col("o_orderstatus")))
+        .when(n == 4, F.repeat(F.lit("word "), F.lit(14))).when(n == 5, F.lit("project and delivery lead")).otherwise("Main contributor who wrote it all. And more!")
+    )
     return table(spark, sf_dir, "orders").select("o_orderkey", T.role_class(text).alias("role"))
 
 
@@ -82,9 +88,11 @@ def section_truncate(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.truncate_at_marker(F.col("text"), ["this", "from", "avec"]).alias("head"))
 
 
-@query(r"select doc_id, coalesce(nullif(trim(lang), ''), 'Degree') as degree, case when length(text) > 180 or len(regexp_split_to_array(trim(text), '\s+')) > 18 then null else nullif(trim(text), '') end as institution from documents")
+@query(r"""with e as (select doc_id, case when doc_id % 2 = 0 then 'Unknown Degree' else lang end as degree, nullif(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '') as institution from documents)
+ select * from e where not (degree = 'Unknown Degree' and (institution is null or length(institution) > 180 or (len(regexp_split_to_array(institution, '\s+')) > 18 and regexp_matches(lower(institution), 'incident|maintenance|sur site|distance|reporting|analyse|diagnostique|r[ée]seaux'))))""")
 def education_rules(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_degree(F.col("lang")).alias("degree"), T.clean_institution(F.col("text")).alias("institution"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 1, F.col("lang")).otherwise(" ").alias("degree"), F.col("text").alias("institution"))
+    return X.clean_education(rows)
 
 
 @query("select p_partkey, case when p_partkey % 3 = 2 then null else p_name end as name from part")
@@ -125,16 +133,19 @@ def min_years(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.min_years(text).alias("years"))
 
 
-@query(f"select conv_id, turn, list_has_any(string_split({_KEY.format('text')}, ' '), [{', '.join(repr(w) for w in T.REFERENCES)}]) or contains({_KEY.format('text')}, 'the other') as refers from conversations")
+@query(f"select conv_id, turn, list_has_any(string_split({_KEY.format('text')}, ' '), ['he', 'she', 'they', 'them', 'his', 'her', 'their', 'theirs', 'him', 'hers', 'other', 'another', 'else', 'same', 'former', 'latter', 'that', 'this']) as refers from conversations")
 def needs_reference(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.needs_reference(F.col("text")).alias("refers"))
 
 
 @query("""with t as (select p_partkey, p_name as a, p_type || ' ' || p_name as b from part)
- select p_partkey, case when greatest(length(a), length(b)) = 0 then 1.0 else round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 9) end as lev, round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 9) as jac from t""")
+ select p_partkey, case when greatest(length(a), length(b)) = 0 then 1.0 else round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 9) end as lev, round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 9) as jac,
+ round(list_sum(list_transform(list_distinct(u), lambda v: least(len(list_filter(u, lambda x: x = v)), len(list_filter(w, lambda x: x = v))))) / greatest(len(u), len(w)), 9) as layout
+ from (select *, list_transform(string_split(a, ' '), lambda x: length(x)) as u, list_transform(string_split(b, ' '), lambda x: length(x)) as w from t) l""")
 def similarity_functions(spark, sf_dir):
     a, b = F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(M.lev_sim(a, b), 9).alias("lev"), F.round(M.jaccard(F.split(a, " "), F.split(b, " ")), 9).alias("jac"))
+    widths = lambda c: F.transform(F.split(c, " "), lambda w: F.length(w))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(M.lev_sim(a, b), 9).alias("lev"), F.round(M.jaccard(F.split(a, " "), F.split(b, " ")), 9).alias("jac"), F.round(M.layout_overlap(widths(a), widths(b)), 9).alias("layout"))
 
 
 @query()

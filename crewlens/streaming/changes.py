@@ -22,11 +22,19 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
+def read_or_none(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table of a folder, empty where the folder isn't there yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
 def daily_alerts(spark: SparkSession, certs: str, alerts: str, as_of: Column) -> Callable[[DataFrame, int], None]:
     """Appends the day's alerts of changed certifications; those of an earlier run never go out again."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        sent = spark.read.schema("cert_id long, profile_id long, alert_type string, days int, priority int").parquet(alerts)
+        sent = read_or_none(spark, alerts, "cert_id long, profile_id long, alert_type string, days int, priority int")
         expiry_alerts(batch, sent, as_of).write.mode("append").parquet(alerts)
 
     return handle
@@ -63,7 +71,7 @@ def admitting(spark: SparkSession, hashes: str, order: list[str], key: str = "fi
     """The durable form of ``admit_once``: the hash table grows by what a batch admits."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        known = spark.read.schema(batch.schema).parquet(hashes)
+        known = read_or_none(spark, hashes, batch.schema)
         admit_once(batch, known, order, key).write.mode("append").parquet(hashes)
 
     return handle

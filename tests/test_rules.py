@@ -29,9 +29,11 @@ def test_item_scores(spark):
 
 
 def test_certification_pillar(spark):
-    certs = spark.createDataFrame([(1, DAY, True)] * 3 + [(2, DAY, True)], "profile_id int, issue_date date, is_uploaded boolean")
+    rows = [(1, DAY, DAY, True, "active")] * 3 + [(2, None, DAY, True, "active"), (2, DAY, DAY, True, "expired"), (2, DAY, DAY, False, "active")]
+    certs = spark.createDataFrame(rows, "profile_id int, issue_date date, uploaded_at date, is_uploaded boolean, status string")
     targets = spark.createDataFrame([(1, 2024, 2), (2, 2024, 0)], "profile_id int, target_year int, certification_target int")
     assert {r.profile_id: r.certification_score for r in S.certification_pillar(certs, targets).collect()} == {1: 100.0, 2: 100.0}
+    assert {r.profile_id: r.n_certs for r in S.certification_pillar(certs).collect()} == {1: 3, 2: 1}
 
 
 def test_weighted_project(spark):
@@ -105,8 +107,8 @@ def test_contact(spark):
 
 
 def test_owner_and_person(spark):
-    docs = spark.createDataFrame([(1, "this is for Lee Ann", "Ann Lee"), (2, "given to An Lee today", "Ann Lee"), (3, "nobody here", "Ann Lee")], "id int, text string, name string")
-    assert {r.id: r.verified for r in verify_owner(docs).collect()} == {1: True, 2: True, 3: False}
+    docs = spark.createDataFrame([(1, "this is for Lee Ann", "Ann Lee"), (2, "given to An Lee today", "Ann Lee"), (3, "nobody here", "Ann Lee"), (4, "durant christophe", "Christophe Durand"), (5, "x", "Ann Lee"), (6, "", "Ann Lee")], "id int, text string, name string")
+    assert {r.id: r.verified for r in verify_owner(docs).collect()} == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False}
     people = spark.createDataFrame([(1, "Karim Haddad"), (2, "Karima Sassi"), (3, "Olga Brun")], "profile_id int, full_name string")
     asked = spark.createDataFrame([(1, "what did karimm do"), (2, "olgga")], "query_id int, query string")
     got = {(r.query_id, r.profile_id): r.outcome for r in resolve_person(asked, people).collect()}
