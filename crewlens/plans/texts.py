@@ -32,9 +32,9 @@ def fix_mojibake(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.fix_mojibake(broken).alias("text"))
 
 
-@query(rf"select doc_id, {_KEY.format('text')} as words, regexp_replace(lower(replace(strip_accents(text), '&', ' and ')), '[^a-z0-9]', '', 'g') as dense, trim(regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g')) as punctuated from documents where not regexp_matches(text, '[ßœæøłŁ]')")
+@query(rf"select doc_id, {_KEY.format('text')} as words, regexp_replace(lower(replace(strip_accents(text), '&', ' and ')), '[^a-z0-9]', '', 'g') as dense, trim(regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g')) as punctuated from documents")
 def match_key(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where(~F.col("text").rlike("[ßœæøłŁ]"))
+    rows = _docs(spark, sf_dir)
     return rows.select("doc_id", *(T.match_key(F.col("text"), m).alias(m) for m in ("words", "dense", "punctuated")))
 
 
@@ -113,15 +113,15 @@ def token_variants(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
-@query(f"select conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split({_KEY.format('text')}, ' '), lambda w: length(w) >= 3 and w not in ({_STOP})))), ' ') as words from conversations where not regexp_matches(text, '[ßœæøłŁ]')")
+@query(f"select conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split({_KEY.format('text')}, ' '), lambda w: length(w) >= 3 and w not in ({_STOP})))), ' ') as words from conversations")
 def query_tokens(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("[ßœæøłŁ]"))
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.array_join(F.array_sort(T.tokens(F.col("text"))), " ").alias("words"))
 
 
-@query(f"select doc_id, lang, len(list_filter(string_split({_KEY.format('text')}, ' '), lambda t: t = w or (length(w) >= 4 and starts_with(t, w)))) > 0 as hit from (select *, case lang when 'en' then 'ther' when 'fr' then 'des' else 'und' end as w from documents) d where not regexp_matches(text, '[ßœæøłŁ]')")
+@query(f"select doc_id, lang, len(list_filter(string_split({_KEY.format('text')}, ' '), lambda t: t = w or (length(w) >= 4 and starts_with(t, w)))) > 0 as hit from (select *, case lang when 'en' then 'ther' when 'fr' then 'des' else 'und' end as w from documents) d")
 def contains_word(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[ßœæøłŁ]"))
+    rows = table(spark, sf_dir, "documents")
     word = F.when(F.col("lang") == "en", "ther").when(F.col("lang") == "fr", "des").otherwise("und")
     return rows.select("doc_id", "lang", T.contains_word(F.col("text"), word).alias("hit"))
 
