@@ -10,9 +10,16 @@ then verified on the sets themselves, so that no pair below 0.8 links anything.
 The bits are a sketch: a similar pair is missed where its bits stray some four
 standard deviations from what is expected.
 
+Pairs inside a group need no verifying once the group is known. Two rounds verify
+few candidates of each node: that of the least number, which makes a star of a
+group of near copies, and the nearest one, both only outside the node's group so
+far. A last round verifies every candidate pair between groups that remain, so
+that nothing is lost.
+
 The number of compared pairs grows with the square of the nodes of a level, that
-of verified ones with the square of a cluster of near copies. Null texts count
-as empty; documents without words are one group.
+of verified ones with the nodes, and with the pairs between groups that are near
+each other but not similar. Null texts count as empty; documents without words
+are one group.
 """
 
 from __future__ import annotations
@@ -111,34 +118,49 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(frames))
-    probe = pdf["probe"].to_numpy()
-    side = lambda rows, c: pdf[c].to_numpy()[rows]
-    own, other = np.flatnonzero(~probe), np.flatnonzero(probe)
-    same = bool(pdf["same"].iloc[0])
-    other = own if same else other
-    half, rest, n = (side(slice(None), c) for c in ("half", "other", "n"))
-    half, rest, node = half.view(np.uint64), rest.view(np.uint64), pdf["node"].to_numpy()
-    step = max(1, _PAIRS // max(1, len(other)))
-    for i in range(0, len(own), step):
-        a = own[i : i + step]
-        # Of a tile with itself, only what comes after.
-        others = other[i:] if same else other
-        count = np.bitwise_count(half[a][:, None] ^ half[others][None, :])
-        x, y = np.nonzero(count <= HALF)
-        bits = count[x, y].astype(np.int64)
-        x, y = a[x], others[y]
-        more = np.bitwise_count(rest[x] ^ rest[y])
-        fits = (more <= HALF) & (bits + more <= WHOLE) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
-        if same:
-            fits &= x < y
-        if fits.any():
-            yield pd.DataFrame({"a": node[x[fits]], "b": node[y[fits]]})
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs a-b of nodes whose sizes and bits allow the similarity, each once."""
+def _compare(every: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Candidate pairs between groups: all of them, or of each node the one of the least number and the nearest one."""
+        pdf = pdf.sort_values("node")
+        probe = pdf["probe"].to_numpy()
+        own, other = np.flatnonzero(~probe), np.flatnonzero(probe)
+        same = bool(pdf["same"].iloc[0])
+        other = own if same else other
+        half, rest, n, node, group = (pdf[c].to_numpy() for c in ("half", "other", "n", "node", "cluster"))
+        half, rest = half.view(np.uint64), rest.view(np.uint64)
+        step = max(1, _PAIRS // max(1, len(other)))
+        met, left, right = np.zeros(len(pdf), bool), [node[:0]], [node[:0]]
+        for i in range(0, len(own), step):
+            a = own[i : i + step]
+            # Of a tile with itself, only what comes after.
+            others = other[i:] if same else other
+            count = np.bitwise_count(half[a][:, None] ^ half[others][None, :])
+            x, y = np.nonzero(count <= HALF)
+            bits = count[x, y].astype(np.int64)
+            x, y = a[x], others[y]
+            bits += np.bitwise_count(rest[x] ^ rest[y])
+            fits = (np.bitwise_count(rest[x] ^ rest[y]) <= HALF) & (bits <= WHOLE) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & (group[x] != group[y])
+            if same:
+                fits &= x < y
+            x, y, bits = x[fits], y[fits], bits[fits]
+            if not every and len(x):
+                # x rises, so that the first pair of a y is that of its least x.
+                _, first = np.unique(y, return_index=True)
+                first = first[~met[y[first]]]
+                met[y] = True
+                order = np.lexsort((bits, x))
+                nearest = order[np.flatnonzero(np.diff(x[order], prepend=-1))]
+                chosen = np.union1d(first, nearest)
+                x, y = x[chosen], y[chosen]
+            left.append(node[x])
+            right.append(node[y])
+        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    return run
+
+
+def candidates(nodes: DataFrame, every: bool = True) -> DataFrame:
+    """Pairs a-b of nodes of different clusters whose sizes and bits allow the similarity: each once, or few of each node."""
     nodes = nodes.where(F.col("n") >= _LEAST).withColumn("level", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
     # Levels of a factor: a few dozen rows whatever the input's size.
     levels = nodes.groupBy("level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"))
@@ -156,22 +178,39 @@ def candidates(nodes: DataFrame) -> DataFrame:
         F.transform(upto(F.col("above")), lambda j: spot(level, True, tile, j, False, no)),
         F.transform(upto(F.col("below")), lambda i: spot(level - 1, True, i, tile, True, no)),
     )
-    rows = placed.select(F.explode(spots).alias("s"), "node", "n", "half", "other").select("s.*", "node", "n", "half", "other")
-    return rows.groupBy("level", "up", "i", "j").applyInPandas(_compare, "a long, b long")
+    rows = placed.select(F.explode(spots).alias("s"), "node", "n", "half", "other", "cluster").select("s.*", "node", "n", "half", "other", "cluster")
+    return rows.groupBy("level", "up", "i", "j").applyInPandas(_compare(every), "a long, b long")
 
 
-def similar_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links a-b between the nodes whose sets have a Jaccard similarity of 0.8 or more."""
-    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("half").alias("half"), F.first("other").alias("other"), F.min("key").alias("key"))
-    pairs = stored(candidates(nodes), "candidates")
+def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of shingles of all nodes that stand in pairs."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     keys = nodes.join(wanted, "node", "left_semi").select(F.col("key").alias("key wanted"))
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), as_bytes(F.col("text")).alias("text"))
     texts = texts.join(keys, F.col("key") == F.col("key wanted"), "left_semi").dropDuplicates(["key"]).select("text")
-    sets = stored(_sets(texts), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of b")), "b")
-    # i / (m + n - i) >= 4 / 5
-    return both.where(9 * F.size(F.array_intersect("of a", "of b")) >= 4 * (F.size("of a") + F.size("of b"))).select("a", "b")
+    return stored(_sets(texts), "sets")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links a-b that join whatever nodes have sets of a Jaccard similarity of 0.8 or more, directly or by steps."""
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("half").alias("half"), F.first("other").alias("other"), F.min("key").alias("key"))
+    nodes, links, sets = stored(nodes, "nodes"), None, None
+    for every in (False, False, True):
+        if links is None:
+            grouped = nodes.withColumn("cluster", F.col("node"))
+        else:
+            near = components(links).withColumnRenamed("node", "of")
+            grouped = nodes.join(near, F.col("node") == F.col("of"), "left").select(nodes["*"], F.coalesce("root", "node").alias("cluster"))
+        pairs = stored(candidates(grouped, every), "candidates")
+        # Whoever has a candidate at all has one in the first round.
+        sets = sets or _sets_of(docs, nodes, pairs)
+        side = lambda p: sets.select(F.col("node").alias(p), F.col("shingles").alias(f"of {p}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        # i / (m + n - i) >= 4 / 5
+        good = both.where(9 * F.size(F.array_intersect("of a", "of b")) >= 4 * (F.size("of a") + F.size("of b"))).select("a", "b")
+        good = stored(good, "similar")
+        links = good if links is None else links.union(good)
+    return links
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
