@@ -64,3 +64,14 @@ def test_small_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {r.doc_id for r in P.distinct(spark, docs, SMALL).collect()}
     assert kept == plain_kept([(r.doc_id, r.text) for r in docs.collect()]) and not {145, 177} & kept
+
+
+def test_large_group_verifies_few_pairs(spark, monkeypatch):
+    """A group of near copies is one star: about two pairs of each are verified, none is left for the last round."""
+    rng, rounds, real = random.Random(3), [], neardup.candidates
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    rows = [(i, " ".join([*base[: i % 150], f"x{i}", *base[i % 150 + 1 :]])) for i in range(300)]
+    monkeypatch.setattr(neardup, "candidates", lambda nodes, every=True: rounds.append(real(nodes, every)) or rounds[-1])
+    assert P.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).count() == 1
+    counts = [pairs.count() for pairs in rounds]
+    assert counts[0] <= 2 * len(rows) and counts[1:] == [0, 0]
