@@ -61,3 +61,16 @@ def test_metadata_files(spark, tmp_path):
     (tmp_path / "y.exe").write_bytes(b"1")
     files = S.admit_files(S.scan_binary_documents(spark, str(tmp_path)).where("path like '%.pdf' or path like '%.exe'"))
     assert {r.reason for r in files.select("reason").collect()} == {"ok", "type not allowed"}
+
+
+def test_query_log_grows_by_day(spark, tmp_path):
+    from crewlens.sources.tables import append_query_log
+
+    log = str(tmp_path / "log")
+    rows = [("2024-05-01 10:00:00", "who knows Java", "{}", 3, 120), ("2024-05-02 09:00:00", "hello", "{}", 0, 5)]
+    df = spark.createDataFrame(rows, "asked_at string, query string, entities string, results int, elapsed_ms int")
+    df = df.withColumn("asked_at", F.col("asked_at").cast("timestamp"))
+    for _ in range(2):
+        append_query_log(df, log)
+    found = spark.read.parquet(log)
+    assert found.count() == 4 and found.where("day = date '2024-05-01'").select("query").distinct().collect()[0][0] == "who knows Java"
