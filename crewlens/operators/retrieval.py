@@ -91,11 +91,35 @@ def vector_topk_scoped(queries: DataFrame, corpus: DataFrame, by: str, k: int =
     return top_k_per_key(found, ["query_id"], [F.desc("score"), "id"], k)
 
 
-def rare_token_search(queries: DataFrame, index: DataFrame, n_rows: Column | int, k: int = 18, share: float = 0.15, least: int = 8) -> DataFrame:
-    """Chunks by the sum of 1 / hits over the query's rare tokens. queries: query_id, token; index: chunk_id, token."""
+#: Types of chunks that hold one entry, and those that hold a section of them.
+ENTRY_TYPES = ("project_entry", "experience_entry", "education_entry", "certification_entry")
+SECTION_TYPES = ("projects", "experience", "education", "certifications")
+
+
+def _entries_first(kind: Column) -> Column:
+    """0 for entries, 1 for sections, 2 for profiles, 3 for all else."""
+    return F.when(kind.isin(*ENTRY_TYPES), 0).when(kind.isin(*SECTION_TYPES), 1).when(kind == "profile", 2).otherwise(3)
+
+
+def rare_token_search(queries: DataFrame, index: DataFrame, kinds: DataFrame, n_rows: Column | int, k: int = 18, share: float = 0.15, least: int = 8) -> DataFrame:
+    """Chunks by the sum of 1 / hits over the query's rare tokens; of equal sums entries first, then sections, then profiles.
+
+    queries: query_id, token; index: chunk_id, token; kinds: a row of chunk_id and chunk_type for each chunk.
+    """
     hits = index.groupBy("token").agg(F.count("*").alias("hits")).where(F.col("hits") <= F.greatest(F.lit(least), F.floor(F.lit(n_rows) * share)))
     found = queries.join(hits, "token").join(index, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / F.col("hits")), 9).alias("score"))
-    return top_k_per_key(found, ["query_id"], [F.desc("score"), "chunk_id"], k)
+    rows = found.join(kinds.select("chunk_id", "chunk_type"), "chunk_id", "left")
+    return top_k_per_key(rows, ["query_id"], [F.desc("score"), _entries_first(F.col("chunk_type")), F.coalesce("chunk_type", F.lit("")), "chunk_id"], k).select("query_id", "chunk_id", "score", "place")
+
+
+def with_profiles(found: DataFrame, owners: DataFrame, profiles: DataFrame, k: int = 18) -> DataFrame:
+    """What was found, and behind its k places the profiles of the persons whose chunks they are, with a score of 0.
+
+    found: query_id, chunk_id, score, place; owners: chunk_id, user_id; profiles: user_id, chunk_id.
+    """
+    first = found.join(owners.select("chunk_id", "user_id"), "chunk_id").groupBy("query_id", "user_id").agg(F.min("place").alias("place"))
+    more = first.join(profiles.select("user_id", "chunk_id"), "user_id").select("query_id", "chunk_id", F.lit(0.0).alias("score"), (F.col("place") + k).alias("place"))
+    return found.select("query_id", "chunk_id", "score", "place").union(more.join(found, ["query_id", "chunk_id"], "left_anti"))
 
 
 def name_scope(queries: DataFrame, people: DataFrame) -> DataFrame:
@@ -114,14 +138,17 @@ def name_scope(queries: DataFrame, people: DataFrame) -> DataFrame:
     return full.union(partly.groupBy("query_id", "user_id").agg(F.max("how").alias("how")))
 
 
-def focus_rows(queries: DataFrame, index: DataFrame, sizes: DataFrame, k: int = 14, share: float = 0.25) -> DataFrame:
-    """Inside a scoped person, rows with tokens that up to a quarter of the person's rows hold.
+def focus_rows(queries: DataFrame, index: DataFrame, sizes: DataFrame, kinds: DataFrame, names: DataFrame, k: int = 14, share: float = 0.25) -> DataFrame:
+    """Inside a scoped person, rows with tokens that up to a quarter of the person's rows hold; entries first. Words of the own name don't count.
 
-    queries: query_id, user_id, token; index: user_id, chunk_id, token; sizes: user_id, n.
+    queries: query_id, user_id, token; index: user_id, chunk_id, token; sizes: user_id, n; kinds: chunk_id, chunk_type; names: user_id, token.
     """
+    asked = queries.join(names, ["user_id", "token"], "left_anti")
     hits = index.groupBy("user_id", "token").agg(F.count("*").alias("hits")).join(sizes, "user_id").where(F.col("hits") <= share * F.col("n"))
-    found = queries.join(hits, ["user_id", "token"]).join(index, ["user_id", "token"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("matched"))
-    return top_k_per_key(found, ["query_id"], [F.desc("matched"), "chunk_id"], k)
+    found = asked.join(hits, ["user_id", "token"]).join(index, ["user_id", "token"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("matched"))
+    rows = found.join(kinds.select("chunk_id", "chunk_type"), "chunk_id", "left")
+    other = F.when(F.col("chunk_type").isin(*ENTRY_TYPES), 0).otherwise(1)
+    return top_k_per_key(rows, ["query_id"], [other, F.desc("matched"), "chunk_id"], k).select("query_id", "chunk_id", "matched", "place")
 
 
 def hybrid_retrieve(branches: list[DataFrame], k: int = 20) -> DataFrame:
@@ -174,15 +201,82 @@ def groundedness(answers: DataFrame, evidence: DataFrame, least: int = 4) -> Dat
     return both.select("id", F.round(share, 9).alias("share"), passed.alias("grounded"), ((n > 0) & (share >= 0.30)).alias("in_results"))
 
 
-def result_cards(results: DataFrame, k: int = 6) -> DataFrame:
-    """A card for each query and person with its first companies, certifications and skills; the fullest first.
+#: Words of a search for people that tell nothing about them.
+CARD_STOPWORDS = (
+    "who", "has", "have", "with", "the", "and", "for", "a", "an", "of", "to", "in", "on", "at", "is", "are", "list", "show", "find",
+    "employees", "employee", "team", "members", "me", "please", "need", "want", "looking", "that", "those", "these", "which", "whose", "from",
+    "certification", "certifications", "skill", "skills", "project", "projects", "experience", "years", "year", "yrs", "yr", "exp",
+    "cert", "certs", "certificate", "certificates", "certified",
+)
+
+
+def card_tokens(query: Column) -> Column:
+    """Words of a query that cards are held against: two characters or more, one of them a letter, none of the fixed list."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(query, F.lit(""))), "[^a-z0-9]+", " "), " ")
+    return F.array_except(F.filter(words, lambda w: (F.length(w) >= 2) & w.rlike("[a-z]")), F.array(*map(F.lit, CARD_STOPWORDS)))
+
+
+def result_cards(results: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
+    """A card for each query and person: role, years, first companies, certifications, projects and skills; those with most fields filled first.
 
-    results: query_id, person, kind (company, certification or skill), entity.
+    results: query_id, person, kind (role, years, company, certification, project,
+    skill or text), entity, directory (whether the row is one of the directory);
+    queries: query_id, query. Persons whose name holds all words of a query of two or
+    more are the only ones; else a row of the person outside the directory has to hold
+    a word. Years asked for count if anyone has them. Where nobody is left and the query
+    has one word at most, the directory's persons by name stand in, with score 0.
     """
-    first = lambda kind, n: F.slice(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("entity")))), 1, n).alias(kind)
-    cards = results.groupBy("query_id", "person").agg(first("company", 3), first("certification", 3), first("skill", 6))
-    score = sum((F.size(c) for c in ("certification", "skill")), F.size("company"))
-    return top_k_per_key(cards.withColumn("score", score), ["query_id"], [F.desc("score"), "person"], k)
+    q = queries.select("query_id", card_tokens(F.col("query")).alias("tokens"), T.min_years(F.col("query")).alias("least"))
+    rows = results.join(q, "query_id")
+    norm = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))
+    held = norm(F.coalesce("entity", F.lit("")))
+    hit = F.exists("tokens", lambda t: F.contains(held, F.concat(F.lit(" "), t, F.lit(" "))) | ((F.length(t) >= 4) & F.contains(held, t)))
+    listed, here = F.col("directory"), ~F.col("directory")
+    entity = lambda kind, where: F.when((F.col("kind") == kind) & where, F.nullif(F.trim("entity"), F.lit("")))
+    some = lambda kind, n, where: F.slice(F.array_sort(F.collect_set(entity(kind, where))), 1, n)
+    years = lambda where: F.max(entity("years", where).try_cast("int"))
+    always = F.lit(True)
+    cards = rows.groupBy("query_id", "person").agg(
+        F.first("tokens").alias("tokens"),
+        F.first("least").alias("least"),
+        F.bool_or(here).alias("seen"),
+        F.bool_or(listed).alias("listed"),
+        F.bool_or(here & hit).alias("hit"),
+        F.coalesce(F.min(entity("role", here)), F.min(entity("role", listed))).alias("role"),
+        F.min(entity("role", listed)).alias("listed_role"),
+        F.coalesce(years(here), years(listed)).alias("years"),
+        years(listed).alias("listed_years"),
+        some("company", 3, always).alias("company"),
+        some("company", 3, listed).alias("listed_company"),
+        some("certification", 3, here).alias("certification"),
+        some("project", 3, here).alias("project"),
+        some("skill", 6, here).alias("skill"),
+    )
+    asked = F.size("tokens")
+    of_query = Window.partitionBy("query_id")
+    named = F.col("seen") & (asked >= 2) & (F.size(F.array_except("tokens", F.split(F.trim(norm(F.col("person"))), " "))) == 0)
+    cards = cards.withColumn("named", named).withColumn("forced", F.bool_or("named").over(of_query))
+    cards = cards.withColumn("fits", F.col("seen") & F.when(F.col("forced"), F.col("named")).when(asked == 0, True).otherwise(F.col("hit")))
+    cards = cards.withColumn("enough", F.col("fits") & F.coalesce(F.col("years") >= F.col("least"), F.lit(False)))
+    stands_in = ~F.bool_or("fits").over(of_query) & (asked <= 1) & F.col("listed")
+    cards = cards.withColumn("keep", F.when(F.bool_or("enough").over(of_query), F.col("enough")).otherwise(F.col("fits"))).withColumn("stands_in", stands_in).where("keep or stands_in")
+    none = F.expr("cast(array() as array<string>)")
+    alone = lambda name, other: F.when(F.col("stands_in"), other).otherwise(F.col(name)).alias(name)
+    lists = ("company", "certification", "project", "skill")
+    score = sum((F.when(F.size(c) > 0, 1).otherwise(0) for c in lists), F.when(F.col("role").isNotNull(), 1).otherwise(0) + F.when(F.col("years").isNotNull(), 1).otherwise(0))
+    out = cards.select(
+        "query_id", "person", alone("role", F.col("listed_role")), alone("years", F.col("listed_years")), alone("company", F.col("listed_company")),
+        *(alone(c, none) for c in lists[1:]), F.when(F.col("stands_in"), 0).otherwise(score).alias("score"),
+    )
+    return top_k_per_key(out, ["query_id"], [F.desc("score"), "person"], k)
+
+
+def cards_summary(cards: DataFrame, n: int = 5) -> DataFrame:
+    """Per query a line for each of its first n cards: name, role, years, companies and certifications, as far as they are filled."""
+    listed = lambda c: F.when(F.size(c) > 0, F.concat(F.lit(f"{c.replace('company', 'companie')}s: "), F.array_join(c, ", ")))
+    line = F.concat_ws(" | ", "person", F.concat(F.lit("role: "), "role"), F.concat(F.lit("experience: "), F.col("years").cast("string"), F.lit(" years")), listed("company"), listed("certification"))
+    rows = cards.where(F.col("place") <= n).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("rows"))
+    return rows.select("query_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("summary"))
 
 
 def similar_documents(a: DataFrame, b: DataFrame, k: int = 3, least: float = 0.12) -> DataFrame:

@@ -64,12 +64,29 @@ def vector_topk_scoped(spark, sf_dir):
     return R.vector_topk_scoped(rows.where("id % 100 = 0"), rows, "label").select("query_id", "id", "place")
 
 
-@query(f"""with {_INDEX}, h as (select token, count(*) as hits from idx group by 1 having count(*) <= greatest(8, floor((select count(*) from documents) * 0.15)))
- select query_id, chunk_id, round(sum(1 / hits), 9) as score, row_number() over (partition by query_id order by round(sum(1 / hits), 9) desc, chunk_id)::integer as place from asked join h using (token) join idx using (token) group by 1, 2 qualify place <= 18""")
+def _kinds(spark, sf_dir):
+    """A type for each document as a chunk, by its id; its source is its owner."""
+    n = F.col("doc_id") % 4
+    kind = F.when(n == 0, "project_entry").when(n == 1, "projects").when(n == 2, "profile").otherwise("skills")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("user_id"), kind.alias("chunk_type"))
+
+
+_KINDS = "kinds as (select doc_id as chunk_id, source as user_id, case doc_id % 4 when 0 then 'project_entry' when 1 then 'projects' when 2 then 'profile' else 'skills' end as chunk_type from documents)"
+_RARE = f"""{_INDEX}, {_KINDS}, h as (select token, count(*) as hits from idx group by 1 having count(*) <= greatest(8, floor((select count(*) from documents) * 0.15))),
+ summed as (select query_id, chunk_id, round(sum(1 / hits), 9) as score from asked join h using (token) join idx using (token) group by 1, 2),
+ top as (select query_id, chunk_id, user_id, score, row_number() over (partition by query_id order by score desc, case chunk_type when 'project_entry' then 0 when 'projects' then 1 when 'profile' then 2 else 3 end, chunk_type, chunk_id)::integer as place from summed join kinds using (chunk_id) qualify place <= 18),
+ prof as (select user_id, min(chunk_id) as chunk_id from kinds where chunk_type = 'profile' group by 1),
+ more as (select query_id, prof.chunk_id, 0.0::double as score, (min(place) + 18)::integer as place from top join prof using (user_id) group by 1, 2),
+ rare as (select query_id, chunk_id, score, place from top union all select more.* from more anti join top using (query_id, chunk_id))"""
+
+
+@query(f"with {_RARE} select * from rare")
 def rare_token_search(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
-    index = _index(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "token")
-    return R.rare_token_search(_asked(spark, sf_dir), index, n)
+    index, kinds = _index(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "token"), _kinds(spark, sf_dir)
+    found = R.rare_token_search(_asked(spark, sf_dir), index, kinds, n)
+    profiles = kinds.where("chunk_type = 'profile'").groupBy("user_id").agg(F.min("chunk_id").alias("chunk_id"))
+    return R.with_profiles(found, kinds, profiles)
 
 
 @query("""with people as (select min(p_partkey) as user_id, p_name as full_name from part group by 2), q as (select p_partkey as query_id, case when p_partkey % 2 = 0 then 'about ' || p_name || ' now' else 'about ' || split_part(p_name, ' ', 2) end as query from part)
@@ -82,18 +99,18 @@ def name_scope(spark, sf_dir):
     return R.name_scope(part.select(F.col("p_partkey").alias("query_id"), text.alias("query")), people).select("query_id", "user_id", "how")
 
 
-@query(f"""with {_INDEX}, s as (select source as person, count(*) as n from documents group by 1), h as (select person, token, count(*) as hits from idx group by 1, 2),
+@query(f"""with {_INDEX}, {_KINDS}, s as (select source as person, count(*) as n from documents group by 1), h as (select person, token, count(*) as hits from idx group by 1, 2),
  q as (select query_id, 'src' || (query_id % 20)::varchar as person, token from asked)
- select query_id, chunk_id, count(*) as matched, row_number() over (partition by query_id order by count(*) desc, chunk_id)::integer as place from q join h using (person, token) join s using (person) join idx using (person, token) where hits <= 0.25 * n group by 1, 2 qualify place <= 14""")
+ select query_id, chunk_id, count(*) as matched, row_number() over (partition by query_id order by any_value(chunk_type) <> 'project_entry', count(*) desc, chunk_id)::integer as place from q join h using (person, token) join s using (person) join idx using (person, token) join kinds using (chunk_id) where hits <= 0.25 * n group by 1, 2 qualify place <= 14""")
 def focus_tokens(spark, sf_dir):
     index = _index(spark, sf_dir).select(F.col("source").alias("user_id"), F.col("doc_id").alias("chunk_id"), "token")
     sizes = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("user_id")).agg(F.count("*").alias("n"))
     asked = _asked(spark, sf_dir).withColumn("user_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
-    return R.focus_rows(asked, index, sizes)
+    names = sizes.select("user_id", F.explode(F.split(T.match_key(F.col("user_id")), " ")).alias("token"))
+    return R.focus_rows(asked, index, sizes, _kinds(spark, sf_dir), names)
 
 
-_LEXICAL = f"""{_INDEX}, h as (select token, count(*) as hits from idx group by 1 having count(*) <= greatest(8, floor((select count(*) from documents) * 0.15))),
- lex as (select query_id, chunk_id, row_number() over (partition by query_id order by round(sum(1 / hits), 9) desc, chunk_id) as place from asked join h using (token) join idx using (token) group by 1, 2 qualify place <= 18),
+_LEXICAL = f"""{_RARE}, lex as (select query_id, chunk_id, place from rare),
  vec as (select q.vec_id as query_id, x.vec_id as chunk_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], x.embedding::double[]) desc, x.vec_id) as place from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id in (select item_id from benchmark) qualify place <= 5),
  merged as (select *, 0 as branch from lex union all select *, 1 from vec), one as (select * from merged qualify row_number() over (partition by query_id, chunk_id order by branch, place) = 1)"""
 
@@ -139,13 +156,46 @@ def groundedness(spark, sf_dir):
     return R.groundedness(turns.where("role = 'assistant'").groupBy("id").agg(lines.alias("text")), turns.where("role = 'user'").select("id", "text"))
 
 
-@query("""with r as (select o_custkey as query_id, o_orderstatus as person, case when o_orderkey % 3 = 0 then 'company' when o_orderkey % 3 = 1 then 'certification' else 'skill' end as kind, o_orderpriority as entity from orders),
- c as (select query_id, person, list_sort(list(distinct entity) filter (where kind = 'company'))[1:3] as company, list_sort(list(distinct entity) filter (where kind = 'certification'))[1:3] as certification, list_sort(list(distinct entity) filter (where kind = 'skill'))[1:6] as skill from r group by 1, 2)
- select query_id, person, coalesce(array_to_string(company, ','), '') as company, coalesce(array_to_string(skill, ','), '') as skill, (coalesce(len(company), 0) + coalesce(len(certification), 0) + coalesce(len(skill), 0))::integer as score from c""")
+_CARDS = """r as (select o_custkey as query_id, o_orderpriority as person, (['role', 'years', 'company', 'certification', 'project', 'skill', 'text'])[(o_orderkey % 7 + 1)::integer] as kind, o_orderstatus = 'P' as directory,
+  case when o_orderkey % 7 = 1 then (o_orderkey % 20)::varchar else 'm' || lpad(month(o_orderdate)::varchar, 2, '0') || ' unit ' || (o_orderkey % 50)::varchar end as entity from orders),
+ q as (select c_custkey as query_id, case c_custkey % 6 when 1 then ['not', 'specified'] when 3 then ['over', 'nowhere'] when 4 then ['nobody'] when 5 then ['m03'] else []::varchar[] end as tokens, case when c_custkey % 6 = 2 then 10 end as least from customer),
+ g as (select query_id, person, any_value(tokens) as tokens, any_value(least) as least, bool_or(not directory) as seen, bool_or(directory) as listed,
+  bool_or(not directory and len(list_filter(tokens, lambda t: contains(' ' || entity || ' ', ' ' || t || ' ') or (length(t) >= 4 and contains(entity, t)))) > 0) as hit,
+  min(entity) filter (where kind = 'role' and directory) as listed_role, coalesce(min(entity) filter (where kind = 'role' and not directory), listed_role) as role,
+  max(try_cast(entity as integer)) filter (where kind = 'years' and directory) as listed_years, coalesce(max(try_cast(entity as integer)) filter (where kind = 'years' and not directory), listed_years) as years,
+  coalesce(list_sort(list(distinct entity) filter (where kind = 'company'))[1:3], []) as company, coalesce(list_sort(list(distinct entity) filter (where kind = 'company' and directory))[1:3], []) as listed_company,
+  coalesce(list_sort(list(distinct entity) filter (where kind = 'certification' and not directory))[1:3], []) as certification, coalesce(list_sort(list(distinct entity) filter (where kind = 'project' and not directory))[1:3], []) as project,
+  coalesce(list_sort(list(distinct entity) filter (where kind = 'skill' and not directory))[1:6], []) as skill from r join q using (query_id) group by 1, 2),
+ n as (select *, seen and tokens = ['not', 'specified'] and person = '4-NOT SPECIFIED' as named from g),
+ f as (select *, seen and case when bool_or(named) over (partition by query_id) then named when len(tokens) = 0 then true else hit end as fits from n),
+ y as (select *, fits and coalesce(years >= least, false) as enough from f),
+ k as (select *, case when bool_or(enough) over (partition by query_id) then enough else fits end as keep, not bool_or(fits) over (partition by query_id) and len(tokens) <= 1 and listed as alone from y),
+ cards as (select query_id, person, case when alone then listed_role else role end as role, case when alone then listed_years else years end as years, case when alone then listed_company else company end as company,
+  case when alone then [] else certification end as certification, case when alone then [] else project end as project, case when alone then [] else skill end as skill,
+  case when alone then 0 else (role is not null)::integer + (years is not null)::integer + (len(company) > 0)::integer + (len(certification) > 0)::integer + (len(project) > 0)::integer + (len(skill) > 0)::integer end as score,
+  row_number() over (partition by query_id order by score desc, person)::integer as place from k where keep or alone)"""
+
+
+def _cards(spark, sf_dir):
+    """Cards of the customers' questions: by name, by years, by word, of no word, with no answer and with the directory's answer."""
+    o = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("role", "years", "company", "certification", "project", "skill", "text"))), (o % 7 + 1).cast("int"))
+    unit = F.concat(F.lit("m"), F.date_format("o_orderdate", "MM"), F.lit(" unit "), (o % 50).cast("string"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("person"), kind.alias("kind"), F.when(o % 7 == 1, (o % 20).cast("string")).otherwise(unit).alias("entity"), (F.col("o_orderstatus") == "P").alias("directory"))
+    n = F.col("c_custkey") % 6
+    text = F.when(n == 1, "Who is Not-Specified?").when(n == 2, "Employees with 10 years of experience").when(n == 3, "over nowhere").when(n == 4, "find nobody").when(n == 5, "Show me M03 projects!").otherwise("who are the members")
+    return R.result_cards(rows, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), text.alias("query")))
+
+
+@query(f"with {_CARDS} select query_id, person, role, years, array_to_string(company, ',') as company, array_to_string(certification, ',') as certification, array_to_string(project, ',') as project, array_to_string(skill, ',') as skill, score::integer as score, place from cards where place <= 6")
 def result_cards(spark, sf_dir):
-    n = F.col("o_orderkey") % 3
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderstatus").alias("person"), F.when(n == 0, "company").when(n == 1, "certification").otherwise("skill").alias("kind"), F.col("o_orderpriority").alias("entity"))
-    return R.result_cards(rows).select("query_id", "person", F.array_join("company", ",").alias("company"), F.array_join("skill", ",").alias("skill"), "score")
+    joined = [F.array_join(c, ",").alias(c) for c in ("company", "certification", "project", "skill")]
+    return _cards(spark, sf_dir).select("query_id", "person", "role", "years", *joined, "score", "place")
+
+
+@query(f"with {_CARDS} select query_id, string_agg(concat_ws(' | ', person, 'role: ' || role, 'experience: ' || years::varchar || ' years', case when len(company) > 0 then 'companies: ' || array_to_string(company, ', ') end, case when len(certification) > 0 then 'certifications: ' || array_to_string(certification, ', ') end), chr(10) order by place) as summary from cards where place <= 5 group by 1")
+def cards_summary(spark, sf_dir):
+    return R.cards_summary(_cards(spark, sf_dir))
 
 
 @query(f"""with a as (select item_id as a_id, {_tokens(3)} as t, length(text) as n from benchmark), b as (select doc_id as b_id, {_tokens(3)} as t, length(text) as n from documents),
