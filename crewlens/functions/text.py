@@ -93,10 +93,45 @@ def truncate_at_marker(text: Column, markers: list[str]) -> Column:
     return F.trim(F.regexp_replace(text, rf"(?is)\b(?:{'|'.join(markers)})\b.*$", ""))
 
 
+#: Labels in front of names of certifications, and short names of months.
+_CERT_LABELS = r"(?i)^(?:date\s*d['\u2019]?\s*obtention|date\s*obtention|certifications?|certificate|certificat|certified in(?=\s*[:\-])|title(?=\s*[:\-]))\b\s*[:\-]?\s*"
+_MONTH = "(?:jan|janv|feb|fev|mar|mars|apr|avr|may|mai|jun|juin|jul|juil|aug|aout|sep|sept|oct|nov|dec)"
+
+
 def clean_cert_name(text: Column) -> Column:
     """Label prefixes off; names without letters, or that are dates, are none."""
-    t = F.trim(F.regexp_replace(clean_text(text), r"(?i)^(?:certification|certificate|certificat|certified in|title)\s*[:\-]\s*", ""))
-    return F.when(t.rlike("[A-Za-z]") & ~t.rlike(r"^[0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}$"), t)
+    t = F.trim(F.regexp_replace(clean_text(text), _CERT_LABELS, ""))
+    compact = F.lower(F.trim(F.regexp_replace(strip_accents(t), r"\.", "")))
+    dated = compact.rlike(rf"^{_MONTH}\s+[0-9]{{1,2}}(?:,\s*[0-9]{{4}})?$") | compact.rlike(rf"^[0-9]{{1,2}}\s+{_MONTH}(?:\s+[0-9]{{4}})?$") | t.rlike(r"^[0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}$")
+    return F.when(t.rlike(r"[A-Za-z\u00C0-\u024F]") & ~dated, t)
+
+
+def merge_day_hint(day: Column, hint: Column) -> Column:
+    """A day put into a month and year, D/M/Y or before their words; a full date stays, and of other hints the year is taken."""
+    d, h = F.lpad(F.regexp_extract(F.coalesce(day, F.lit("")), "([0-9]{1,2})", 1), 2, "0"), clean_text(F.coalesce(hint, F.lit("")))
+    none = ~F.coalesce(day, F.lit("")).rlike("[0-9]")
+    packed = F.regexp_replace(h, r"\s+", "")
+    full = packed.rlike(r"^[0-9]{1,2}[/-][0-9]{1,2}[/-](?:19|20)[0-9]{2}$") | packed.rlike(r"^(?:19|20)[0-9]{2}[/-][0-9]{1,2}[/-][0-9]{1,2}$")
+    part = lambda pattern, i: F.regexp_extract(h, pattern, i)
+    month_year, year_month, words = r"^([0-9]{1,2})[/-]([0-9]{4})$", r"^([0-9]{4})[/-]([0-9]{1,2})$", r"^([A-Za-z\u00C0-\u024F]+)\s+([0-9]{4})$"
+    year = part("((?:19|20)[0-9]{2})", 1)
+    return (
+        F.when((h == "") | none | full, h)
+        .when(h.rlike(month_year), F.concat(d, F.lit("/"), F.lpad(part(month_year, 1), 2, "0"), F.lit("/"), part(month_year, 2)))
+        .when(h.rlike(year_month), F.concat(d, F.lit("/"), F.lpad(part(year_month, 2), 2, "0"), F.lit("/"), part(year_month, 1)))
+        .when(h.rlike(words), F.concat(d, F.lit(" "), h))
+        .when(year != "", F.concat(d, F.lit(", "), year))
+        .otherwise(d)
+    )
+
+
+def split_cert_names(text: Column) -> Column:
+    """Two names with the first's day and a slash between them: first, second and day; null where there aren't two."""
+    t, pattern = clean_text(text), r"^(.+?)([0-9]{1,2})\s*/\s*([A-Za-z\u00C0-\u024F].+)$"
+    part = lambda i: F.regexp_extract(t, pattern, i)
+    first, second = clean_cert_name(part(1)), clean_cert_name(part(3))
+    found = t.rlike(pattern) & first.isNotNull() & second.isNotNull()
+    return F.when(found, F.struct(first.alias("first"), second.alias("second"), F.lpad(part(2), 2, "0").alias("day")))
 
 
 def clean_degree(degree: Column) -> Column:

@@ -102,6 +102,21 @@ def cert_name_rules(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.clean_cert_name(text).alias("name"))
 
 
+@query("""with d as (select *, lpad((o_orderkey % 28 + 1)::varchar, 2, '0') as day from orders)
+ select o_orderkey, case o_orderkey % 5 when 0 then strftime(o_orderdate, '%d/%m/%Y') when 1 then day || '/' || strftime(o_orderdate, '%m/%Y') when 2 then day || '/' || strftime(o_orderdate, '%m/%Y') when 3 then day || ' ' || strftime(o_orderdate, '%B %Y') else day || ', ' || year(o_orderdate)::varchar end as obtained from d""")
+def cert_date_hints(spark, sf_dir):
+    d, n = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    hint = F.when(n == 0, F.date_format(d, "dd/MM/yyyy")).when(n == 1, F.date_format(d, "M/yyyy")).when(n == 2, F.date_format(d, "yyyy-MM")).when(n == 3, F.date_format(d, "MMMM yyyy")).otherwise(F.concat(F.lit("in about "), F.year(d).cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.merge_day_hint((F.col("o_orderkey") % 28 + 1).cast("string"), hint).alias("obtained"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then p_name end as first, case when p_partkey % 2 = 0 then p_brand end as second, case when p_partkey % 2 = 0 then lpad((p_size % 28 + 1)::varchar, 2, '0') end as day from part")
+def cert_split_names(spark, sf_dir):
+    day = (F.col("p_size") % 28 + 1).cast("string")
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" "), day, F.lit(" / Certifications: "), "p_brand")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.split_cert_names(text).alias("c")).select("p_partkey", "c.*")
+
+
 @query("""with w as (select p_partkey, lower(split_part(p_name, ' ', 2)) || case p_partkey % 4 when 0 then 's' when 1 then 'ing' when 2 then 'ies' else '' end as w from part)
  select p_partkey, array_to_string(list_sort(list_distinct(list_filter([w, case when w like '%ies' then left(w, length(w) - 3) || 'y' end, case when w like '%es' and length(w) >= 5 then left(w, length(w) - 2) end, case when w like '%s' and length(w) >= 4 then left(w, length(w) - 1) end, case when w like '%ing' and length(w) >= 6 then left(w, length(w) - 3) end, case when w like '%ed' and length(w) >= 5 then left(w, length(w) - 2) end], lambda x: x is not null))), ',') as forms from w""")
 def token_variants(spark, sf_dir):

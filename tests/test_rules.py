@@ -143,3 +143,14 @@ def test_sections(spark):
     rows = X.segment_sections(docs)
     assert [r.section for r in rows.orderBy("pos").collect()] == ["header", "experience", "experience", "experience", "skills", "skills"]
     assert {(r.section, r["item"]) for r in X.section_items(rows).collect()} == {("header", "Ann"), ("experience", "2019 Acme built things"), ("skills", "Java"), ("skills", "SQL")}
+
+
+def test_certification_hints(spark):
+    merge = lambda day, hint: one(spark, T.merge_day_hint(F.lit(day).cast("string"), F.lit(hint).cast("string")))
+    assert [merge("5", h) for h in ("3/2021", "2021-3", "mars 2021", "01/02/2020", "spring of 2019", "soon", "", None)] == ["05/03/2021", "05/03/2021", "05 mars 2021", "01/02/2020", "05, 2019", "05", "", ""]
+    assert merge(None, "3/2021") == "3/2021"
+    name = lambda t: one(spark, T.clean_cert_name(F.lit(t)))
+    assert [name(t) for t in ("Certifications - CCNA", "Date d'obtention: CCNA", "Févr. x", "12 janv.", "oct 3, 2020", "12/2020")] == ["CCNA", "CCNA", "Févr. x", None, None, None]
+    split = lambda t: one(spark, T.split_cert_names(F.lit(t)))
+    assert tuple(split("CCNA 5 / Azure Basics")) == ("CCNA", "Azure Basics", "05")
+    assert split("CCNA 5 / 2020") is None and split("CCNA") is None
