@@ -51,10 +51,17 @@ def first_date(text: Column) -> Column:
     return F.coalesce(pick(rf"\p{{L}}+,?\s+(?:le|on)\s+{numeric}"), pick(rf"\p{{L}}+,?\s+(?:le|on)\s+{words}"), pick(numeric), pick(words))
 
 
+def _member_role(text: Column) -> Column:
+    """Of an attestation's member: only "chef de projet" leads, the project or its technical side; all else contributes."""
+    t = F.lower(text)
+    lead = F.contains(t, F.lit("chef de projet"))
+    return F.when(lead & ~F.contains(t, F.lit("technique")), "project_lead").when(F.contains(t, F.lit("chef de projet technique")), "technical_lead").otherwise("contributor")
+
+
 def extract_attestation(docs: DataFrame) -> DataFrame:
     """Project, client, market number, date, whether it is confirmed, team members with roles, and what had to be assumed."""
     text = F.col("text")
-    members = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-•]\s*(.+?\s*:\s*.+?)\s*$"), F.lit(1)), lambda m: F.struct(F.trim(F.regexp_extract(m, r"^(.+?)\s*:", 1)).alias("name"), T.role_class(F.regexp_extract(m, r":\s*(.+)$", 1)).alias("role")))
+    members = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-•]\s*(.+?\s*:\s*.+?)\s*$"), F.lit(1)), lambda m: F.struct(F.trim(F.regexp_extract(m, r"^(.+?)\s*:", 1)).alias("name"), _member_role(F.regexp_extract(m, r":\s*(.+)$", 1)).alias("role")))
     out = docs.select(
         "doc_id",
         labelled(text, ["project", "projet"]).alias("project_name"),

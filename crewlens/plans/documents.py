@@ -19,10 +19,11 @@ def classify_document(spark, sf_dir):
     return X.classify_docs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))).select("doc_id", "doc_type")
 
 
-@query("""select o_orderkey as doc_id, 'Net ' || o_orderpriority as project_name, case when o_orderkey % 3 > 0 then 'C' || o_custkey::varchar end as client_name, o_orderdate::date as date, true as confirmed, 2 as n_members, 'project_lead' as first_role, case when o_orderkey % 3 = 0 then 'no client' else '' end as assumptions from orders""")
+@query("""select o_orderkey as doc_id, 'Net ' || o_orderpriority as project_name, case when o_orderkey % 3 > 0 then 'C' || o_custkey::varchar end as client_name, o_orderdate::date as date, true as confirmed, 2 as n_members, case o_orderkey % 4 when 0 then 'project_lead' when 1 then 'technical_lead' else 'contributor' end as first_role, case when o_orderkey % 3 = 0 then 'no client' else '' end as assumptions from orders""")
 def extract_attestation(spark, sf_dir):
     o = F.col("o_orderkey")
-    text = F.concat_ws("\n", F.lit("We certify the following"), F.concat(F.lit("Project: Net "), "o_orderpriority"), F.when(o % 3 > 0, F.concat(F.lit("Client: C"), F.col("o_custkey").cast("string"))), F.concat(F.lit("Tunis, le "), F.date_format("o_orderdate", "dd/MM/yyyy")), F.lit("- Ann Lee: Project Manager"), F.lit("- Bo Ek: developer"))
+    role = F.when(o % 4 == 0, "Chef de projet").when(o % 4 == 1, "Chef de projet technique").when(o % 4 == 2, "Project Manager").otherwise("Chef de projet, support technique")
+    text = F.concat_ws("\n", F.lit("We certify the following"), F.concat(F.lit("Project: Net "), "o_orderpriority"), F.when(o % 3 > 0, F.concat(F.lit("Client: C"), F.col("o_custkey").cast("string"))), F.concat(F.lit("Tunis, le "), F.date_format("o_orderdate", "dd/MM/yyyy")), F.concat(F.lit("- Ann Lee: "), role), F.lit("- Bo Ek: developer"))
     found = X.extract_attestation(table(spark, sf_dir, "orders").select(o.alias("doc_id"), text.alias("text")))
     return found.select("doc_id", "project_name", "client_name", "date", "confirmed", F.size("members").alias("n_members"), F.col("members")[0]["role"].alias("first_role"), F.array_join("assumptions", ",").alias("assumptions"))
 
