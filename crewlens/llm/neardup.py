@@ -5,10 +5,15 @@ has 128 SimHash bits in two halves. All nodes whose set sizes allow the
 similarity are compared, half by half, in numpy, tile against tile: sizes are
 cut into levels of a factor of 1.25, and a level meets itself and the next one.
 Halves up to ``HALF`` and together up to ``WHOLE`` differing bits are candidates,
-about 9.7 and 19.4 being expected at a similarity of 0.8. Each candidate pair is
-then verified on the sets themselves, so that no pair below 0.8 links anything.
-The bits are a sketch: a similar pair is missed where its bits stray some four
-standard deviations from what is expected.
+about 9.7 and 19.4 being expected at a similarity of 0.8. So few bits let pairs
+of half that similarity pass and don't tell which of a thousand near copies is
+the nearest. What passes is therefore estimated more closely, still in the task:
+shingles fall into ``BINS`` bins, a node keeps a byte of the least in each, and
+the share of equal bytes estimates the similarity. Pairs estimated four standard
+deviations below 0.8 go. Each candidate pair is then verified on the sets
+themselves, so that no pair below 0.8 links anything. Bits and bins are
+sketches: a similar pair is missed where it strays some four standard deviations
+from what is expected.
 
 Pairs inside a group need no verifying once the group is known. Two rounds verify
 few candidates of each node: that of the least number, which makes a star of a
@@ -39,9 +44,12 @@ from crewlens.llm.wordseq import BASES, by_size, find_words, mix, range_names
 
 SHINGLE = 5
 HALF, WHOLE = 24, 40
+BINS = 256
 #: Nodes of one side that a comparing task holds, and pairs that it compares at once.
 BLOCK = 1 << 15
 _PAIRS = 1 << 20
+#: Pairs whose bins are compared at once.
+_CLOSE = 1 << 15
 #: Sets below this size have a similarity of 0.8 to themselves only.
 _LEAST = 4
 _PART = 1 << 15
@@ -84,13 +92,37 @@ def _nodes(doc: np.ndarray, name: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(total + n.astype(np.uint64) * BASES[1]).view(np.int64)
 
 
+def _bins(doc: np.ndarray, name: np.ndarray, texts: int) -> np.ndarray:
+    """For each text a byte of the least name of each bin, 0 where a bin has none. Names rise within a text."""
+    found = np.zeros(texts * BINS, np.uint8)
+    spot, first = np.unique(doc * BINS + (name % np.uint64(BINS)).astype(np.int64), return_index=True)
+    found[spot] = 1 + (mix(name[first]) % np.uint64(255)).astype(np.uint8)
+    return found.reshape(texts, BINS)
+
+
+def estimated(bins: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The estimated similarity of each pair of rows, and whether it may be 0.8 within four standard deviations.
+
+    Each bin draws one of the shingles of both sets without putting it back: small sets are drawn nearly whole.
+    """
+    share, fits = np.zeros(len(x)), np.zeros(len(x), bool)
+    for i in range(0, len(x), _CLOSE):
+        part = slice(i, i + _CLOSE)
+        a, b = bins[x[part]], bins[y[part]]
+        drawn = np.maximum(np.count_nonzero(a | b, axis=1), 1)
+        share[part] = np.count_nonzero((a == b) & (a > 0), axis=1) / drawn
+        union = np.maximum((n[x[part]] + n[y[part]]) / 1.8, drawn + 1)
+        fits[part] = share[part] >= 0.8 - 4 * np.sqrt(0.8 * 0.2 / drawn * (union - drawn) / (union - 1))
+    return share, fits
+
+
 def _rows(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[tuple]]:
     rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
     return by_size(rows, lambda r: len(r[text]), 1 << 20)
 
 
 def word_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of doc_id and text), node (a name of the set of shingles), n (its size) and the two halves of its SimHash, for each row."""
+    """doc_id, key (a hash of doc_id and text), node (a name of the set of shingles), n (its size) the two halves of its SimHash and its bins, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _rows(batches, 2):
@@ -98,10 +130,11 @@ def word_prints(docs: DataFrame) -> DataFrame:
             n = np.bincount(doc, minlength=len(rows))
             halves = [_majority(doc, name, n), _majority(doc, mix(name ^ _SALTS[0]), n)]
             columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())] + [pa.array(c, pa.int64()) for c in (_nodes(doc, name, n), n, *halves)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "n", "half", "other"])
+            columns.append(pa.array([b.tobytes() for b in _bins(doc, name, len(rows))], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "n", "half", "other", "bins"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), as_bytes(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key binary, node long, n long, half long, other long")
+    return rows.mapInArrow(run, "doc_id long, key binary, node long, n long, half long, other long, bins binary")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -128,6 +161,7 @@ def _compare(every: bool):
         other = own if same else other
         half, rest, n, node, group = (pdf[c].to_numpy() for c in ("half", "other", "n", "node", "cluster"))
         half, rest = half.view(np.uint64), rest.view(np.uint64)
+        bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(-1, BINS)
         step = max(1, _PAIRS // max(1, len(other)))
         met, left, right = np.zeros(len(pdf), bool), [node[:0]], [node[:0]]
         for i in range(0, len(own), step):
@@ -138,17 +172,19 @@ def _compare(every: bool):
             x, y = np.nonzero(count <= HALF)
             bits = count[x, y].astype(np.int64)
             x, y = a[x], others[y]
-            bits += np.bitwise_count(rest[x] ^ rest[y])
-            fits = (np.bitwise_count(rest[x] ^ rest[y]) <= HALF) & (bits <= WHOLE) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & (group[x] != group[y])
+            more = np.bitwise_count(rest[x] ^ rest[y])
+            fits = (more <= HALF) & (bits + more <= WHOLE) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & (group[x] != group[y])
             if same:
                 fits &= x < y
-            x, y, bits = x[fits], y[fits], bits[fits]
+            x, y = x[fits], y[fits]
+            share, fits = estimated(bins, n, x, y)
+            x, y, share = x[fits], y[fits], share[fits]
             if not every and len(x):
                 # x rises, so that the first pair of a y is that of its least x.
                 _, first = np.unique(y, return_index=True)
                 first = first[~met[y[first]]]
                 met[y] = True
-                order = np.lexsort((bits, x))
+                order = np.lexsort((-share, x))
                 nearest = order[np.flatnonzero(np.diff(x[order], prepend=-1))]
                 chosen = np.union1d(first, nearest)
                 x, y = x[chosen], y[chosen]
@@ -160,7 +196,7 @@ def _compare(every: bool):
 
 
 def candidates(nodes: DataFrame, every: bool = True) -> DataFrame:
-    """Pairs a-b of nodes of different clusters whose sizes and bits allow the similarity: each once, or few of each node."""
+    """Pairs a-b of nodes of different clusters whose sizes, bits and bins allow the similarity: each once, or few of each node."""
     nodes = nodes.where(F.col("n") >= _LEAST).withColumn("level", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
     # Levels of a factor: a few dozen rows whatever the input's size.
     levels = nodes.groupBy("level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"))
@@ -178,7 +214,7 @@ def candidates(nodes: DataFrame, every: bool = True) -> DataFrame:
         F.transform(upto(F.col("above")), lambda j: spot(level, True, tile, j, False, no)),
         F.transform(upto(F.col("below")), lambda i: spot(level - 1, True, i, tile, True, no)),
     )
-    rows = placed.select(F.explode(spots).alias("s"), "node", "n", "half", "other", "cluster").select("s.*", "node", "n", "half", "other", "cluster")
+    rows = placed.select(F.explode(spots).alias("s"), "node", "n", "half", "other", "bins", "cluster").select("s.*", "node", "n", "half", "other", "bins", "cluster")
     return rows.groupBy("level", "up", "i", "j").applyInPandas(_compare(every), "a long, b long")
 
 
@@ -193,7 +229,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Links a-b that join whatever nodes have sets of a Jaccard similarity of 0.8 or more, directly or by steps."""
-    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("half").alias("half"), F.first("other").alias("other"), F.min("key").alias("key"))
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("half").alias("half"), F.first("other").alias("other"), F.first("bins").alias("bins"), F.min("key").alias("key"))
     nodes, links, sets = stored(nodes, "nodes"), None, None
     for every in (False, False, True):
         if links is None:

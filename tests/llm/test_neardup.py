@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from crewlens.llm import neardup
 
@@ -75,3 +77,27 @@ def test_large_group_verifies_few_pairs(spark, monkeypatch):
     assert P.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).count() == 1
     counts = [pairs.count() for pairs in rounds]
     assert counts[0] <= 2 * len(rows) and counts[1:] == [0, 0]
+
+
+def test_estimates():
+    """Pairs of a similarity of 0.8 or more are never dropped; of half that they are, unless the sets are tiny."""
+    rng = np.random.default_rng(1)
+    for size in (5, 20, 90, 450, 3000):
+        for share, stays in ((0.8, True), (0.9, True), (0.4, False)):
+            sets = []
+            for _ in range(100):
+                union = rng.integers(0, 2**63, size, dtype=np.uint64)
+                both = int(np.ceil(share * size))
+                half = (size - both) // 2
+                sets += [np.sort(union[: both + half]), np.sort(np.concatenate((union[:both], union[both + half :])))]
+            n = np.array([len(s) for s in sets])
+            bins = neardup._bins(np.repeat(np.arange(200), n), np.concatenate(sets), 200)
+            _, fits = neardup.estimated(bins, n, np.arange(0, 200, 2), np.arange(1, 200, 2))
+            assert fits.all() if stays else size == 5 or not fits.any()
+
+
+def test_estimates_without_shingles():
+    bins = neardup._bins(np.zeros(0, np.int64), np.zeros(0, np.uint64), 2)
+    assert bins.shape == (2, neardup.BINS) and not bins.any()
+    share, _ = neardup.estimated(bins, np.zeros(2, np.int64), np.array([0]), np.array([1]))
+    assert share.tolist() == [0]
