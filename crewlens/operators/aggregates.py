@@ -69,3 +69,65 @@ def set_diff(a: Column, b: Column) -> Column:
         F.array_sort(F.array_except(b, a)).alias("extra"),
         (F.array_sort(a) == F.array_sort(b)).alias("same_bag"),
     )
+
+
+def result_entities(results: DataFrame, query: str) -> DataFrame:
+    """Distinct people, certifications, projects and companies of each query's results, sorted.
+
+    results: name, certification_name, certifications (a list), project_name,
+    company_name, client_name, which counts only where there is no company_name, and
+    employees (name, companies), the directory's. Blank ones don't count; a query without any stays.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    listed = lambda c: F.coalesce(c, none)
+    one = lambda c: F.array(c)
+    kinds = {
+        "people": F.concat(one(F.col("name")), listed(F.col("employees.name"))),
+        "certifications": F.concat(one(F.col("certification_name")), listed(F.col("certifications"))),
+        "projects": one(F.col("project_name")),
+        "companies": F.concat(one(F.coalesce("company_name", "client_name")), F.flatten(F.transform(F.coalesce(F.col("employees.companies"), F.array(none)), listed))),
+    }
+    named = lambda k: F.transform(kinds[k], lambda x: F.struct(F.lit(k).alias("kind"), F.trim(x).alias("entity")))
+    found = F.concat(*map(named, kinds))
+    # Distinct before they are collected, so that repeats of a large result don't gather.
+    rows = results.select(query, F.explode(found).alias("e")).select(query, "e.*").where("entity <> ''").distinct()
+    sets = rows.groupBy(query).agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("entity")))).alias(k) for k in kinds))
+    return results.select(query).distinct().join(sets, query, "left").select(query, *(listed(F.col(k)).alias(k) for k in kinds))
+
+
+#: Fields of the entries that facts list, and those of them that name an entry.
+PROJECT_FIELDS = ("project_name", "client_name", "project_year", "description")
+EXPERIENCE_FIELDS = ("company", "role", "start_date", "end_date", "description")
+
+
+def _entries(rows: DataFrame, fields: tuple[str, ...], name: str, items: int, chars: int) -> DataFrame:
+    """Per person how many distinct entries there are, and the first of them, descriptions cut."""
+    plain = rows.select("name", "pos", *(F.trim(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields))
+    once = plain.groupBy("name", *fields).agg(F.min("pos").alias("pos"))
+    counts = once.groupBy("name").agg(F.count("*").alias(f"n_{name}"))
+    short = F.when(F.length("description") > chars, F.concat(F.substring("description", 1, chars), F.lit("…"))).otherwise(F.col("description"))
+    first = top_k_per_key(once, ["name"], ["pos", *fields], items).withColumn("description", short)
+    lists = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias(name))
+    return counts.join(lists, "name")
+
+
+def employee_facts(directory: DataFrame, projects: DataFrame, experience: DataFrame, named: DataFrame, items: int = 50, chars: int = 500) -> DataFrame:
+    """A row for each person: how many projects and jobs, years, companies, certifications, education, and the first ``items`` projects and jobs.
+
+    The directory's numbers, of its last row, go before counted ones.
+    directory: name, pos, project_count, experience_count, experience_years, companies;
+    projects, experience: name, pos and their fields; named: name, kind (certification or education), entity.
+    """
+    last = directory.where(F.trim("name") != "").groupBy("name").agg(*(F.max_by(c, "pos").alias(c) for c in ("project_count", "experience_count")), F.max_by("experience_years", F.when(F.col("experience_years").isNotNull(), F.col("pos"))).alias("experience_years"))
+    firms = directory.select("name", F.explode("companies").alias("entity")).union(experience.select("name", F.col("company").alias("entity")))
+    sets = named.select("name", "kind", "entity").union(firms.select("name", F.lit("company"), "entity")).withColumn("entity", F.trim("entity")).where("entity <> '' and trim(name) <> ''").distinct()
+    # Companies by their letters, the others by key.
+    pick = lambda kind, order: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(order.alias("order"), "entity")))), lambda x: x["entity"])
+    key = match_key(F.col("entity"))
+    lists = sets.groupBy("name").agg(pick("company", F.col("entity")).alias("companies"), pick("certification", key).alias("certifications"), pick("education", key).alias("education"))
+    out = last
+    for other in (_entries(projects.where("trim(name) <> ''"), PROJECT_FIELDS, "projects", items, chars), _entries(experience.where("trim(name) <> ''"), EXPERIENCE_FIELDS, "experience", items, chars), lists):
+        out = out.join(other, "name", "full_outer")
+    counted = lambda c, n: F.coalesce(c, n, F.lit(0)).cast("long").alias(c)
+    empty = F.expr("cast(array() as array<string>)")
+    return out.select("name", counted("project_count", "n_projects"), counted("experience_count", "n_experience"), "experience_years", *(F.coalesce(c, empty).alias(c) for c in ("companies", "certifications", "education")), "projects", "experience")

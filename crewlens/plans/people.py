@@ -267,6 +267,61 @@ def entity_sets(spark, sf_dir):
     return A.entity_sets(rows, "l_orderkey", ["flags", "statuses"]).select("l_orderkey", F.array_join("flags", ",").alias("flags"), F.array_join("statuses", ",").alias("statuses"))
 
 
+_ENTITIES = """r as (select l_orderkey as query_id, case l_linenumber % 4 when 0 then 'P' || (l_partkey % 9)::varchar when 1 then ' ' end as name, case when l_linenumber % 3 = 0 then 'Cert ' || l_returnflag end as certification_name, ['Cert ' || l_linestatus, ''] as certifications,
+  case when l_linenumber % 2 = 0 then ' Net ' || (l_suppkey % 7)::varchar end as project_name, case when l_linenumber = 2 then 'Firm ' || l_returnflag when l_linenumber = 3 then '' end as company_name, 'Client ' || (l_suppkey % 5)::varchar as client_name, l_linenumber = 1 as listed from lineitem),
+ e as (select query_id, 'people' as kind, trim(name) as entity from r union all select query_id, 'people', 'Dir' from r where listed union all select query_id, 'certifications', certification_name from r union all select query_id, 'certifications', unnest(certifications) from r union all select query_id, 'projects', trim(project_name) from r
+  union all select query_id, 'companies', coalesce(company_name, client_name) from r union all select query_id, 'companies', 'House' from r where listed), d as (select distinct * from e where entity <> '')"""
+
+
+@query(f"with {_ENTITIES} select query_id, coalesce(string_agg(entity, ',' order by entity) filter (where kind = 'people'), '') as people, coalesce(string_agg(entity, ',' order by entity) filter (where kind = 'certifications'), '') as certifications, coalesce(string_agg(entity, ',' order by entity) filter (where kind = 'projects'), '') as projects, coalesce(string_agg(entity, ',' order by entity) filter (where kind = 'companies'), '') as companies from d group by 1")
+def result_entities(spark, sf_dir):
+    """What the results of each order name; its first line is a page of the directory."""
+    n, of = F.col("l_linenumber"), lambda word, c: F.concat(F.lit(word), c.cast("string"))
+    firm = F.when(n == 2, of("Firm ", F.col("l_returnflag"))).when(n == 3, "")
+    staff = F.when(n == 1, F.array(F.struct(F.lit("Dir").alias("name"), F.array(F.lit("House"), F.lit(" ")).alias("companies"))))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"),
+        F.when(n % 4 == 0, of("P", F.col("l_partkey") % 9)).when(n % 4 == 1, " ").alias("name"),
+        F.when(n % 3 == 0, of("Cert ", F.col("l_returnflag"))).alias("certification_name"),
+        F.array(of("Cert ", F.col("l_linestatus")), F.lit("")).alias("certifications"),
+        F.when(n % 2 == 0, of(" Net ", F.col("l_suppkey") % 7)).alias("project_name"),
+        firm.alias("company_name"),
+        of("Client ", F.col("l_suppkey") % 5).alias("client_name"),
+        staff.alias("employees"),
+    )
+    found = A.result_entities(rows, "query_id")
+    return found.select("query_id", *(F.array_join(c, ",").alias(c) for c in ("people", "certifications", "projects", "companies")))
+
+
+_FACTS = """o as (select 'c' || o_custkey::varchar as name, o_orderkey as pos, o_orderpriority as project_name, o_orderstatus as client_name, year(o_orderdate)::varchar as project_year, repeat(o_orderpriority, (o_orderkey % 90)::integer) as description from orders),
+ x as (select 'c' || o_custkey::varchar as name, l_orderkey * 10 + l_linenumber as pos, 'Firm ' || l_linenumber::varchar as company, l_returnflag as role, l_linestatus, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey),
+ d as (select 'c' || c_custkey::varchar as name, c_custkey % 11 as project_count, c_custkey % 5 as experience_count, case when c_custkey % 2 = 0 then c_custkey % 30 end as experience_years, c_mktsegment from customer where c_custkey % 3 = 0),
+ p1 as (select name, project_name, client_name, project_year, description, min(pos) as pos from o group by all), p2 as (select *, row_number() over (partition by name order by pos) as place, count(*) over (partition by name) as n from p1),
+ p as (select name, any_value(n) as n, string_agg(project_name || '/' || client_name || '/' || project_year || '/' || case when length(description) > 500 then description[1:500] || '…' else description end, ';' order by place) filter (where place <= 50) as projects from p2 group by 1),
+ x1 as (select name, company, role, min(pos) as pos from x group by all), x2 as (select *, row_number() over (partition by name order by pos, company, role) as place, count(*) over (partition by name) as n from x1),
+ j as (select name, any_value(n) as n, string_agg(company || '/' || role, ';' order by place) filter (where place <= 50) as experience from x2 group by 1),
+ f as (select name, string_agg(entity, ',' order by entity) as companies from (select name, company as entity from x union select name, c_mktsegment from d) group by 1),
+ c as (select name, string_agg(distinct 'Cert ' || l_linestatus, ',' order by 'Cert ' || l_linestatus) as certifications, string_agg(distinct 'School ' || o_orderstatus, ',' order by 'School ' || o_orderstatus) as education from x group by 1), names as (select name from d union select name from o union select name from x)"""
+
+
+@query(f"with {_FACTS} select name, coalesce(project_count, p.n, 0)::bigint as project_count, coalesce(experience_count, j.n, 0)::bigint as experience_count, experience_years, coalesce(companies, '') as companies, coalesce(certifications, '') as certifications, coalesce(education, '') as education, sha256(coalesce(projects, '')) as projects, sha256(coalesce(experience, '')) as experience from names left join d using (name) left join p using (name) left join j using (name) left join f using (name) left join c using (name)")
+def employee_facts(spark, sf_dir):
+    """Facts of the customers as people: every third is in the directory, orders are projects, lines are jobs."""
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string")).alias("name")
+    key = F.col("c_custkey")
+    directory = table(spark, sf_dir, "customer").where(key % 3 == 0).select(name("c_custkey"), key.alias("pos"), (key % 11).alias("project_count"), (key % 5).alias("experience_count"), F.when(key % 2 == 0, key % 30).alias("experience_years"), F.array("c_mktsegment").alias("companies"))
+    orders = table(spark, sf_dir, "orders")
+    projects = orders.select(name("o_custkey"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("project_name"), F.col("o_orderstatus").alias("client_name"), F.year("o_orderdate").cast("string").alias("project_year"), F.expr("repeat(o_orderpriority, cast(o_orderkey % 90 as int))").alias("description"))
+    jobs = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    none = F.lit(None).cast("string")
+    experience = jobs.select(name("o_custkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("Firm "), F.col("l_linenumber").cast("string")).alias("company"), F.col("l_returnflag").alias("role"), *(none.alias(c) for c in ("start_date", "end_date", "description")))
+    both = F.array(F.struct(F.lit("certification").alias("kind"), F.concat(F.lit("Cert "), "l_linestatus").alias("entity")), F.struct(F.lit("education").alias("kind"), F.concat(F.lit("School "), "o_orderstatus").alias("entity")))
+    named = jobs.select(name("o_custkey"), F.explode(both).alias("e")).select("name", "e.*")
+    facts = A.employee_facts(directory, projects, experience, named)
+    text = lambda c, *parts: F.sha2(F.coalesce(F.array_join(F.transform(c, lambda p: F.concat_ws("/", *(p[x] for x in parts))), ";"), F.lit("")), 256).alias(c)
+    return facts.select("name", "project_count", "experience_count", "experience_years", *(F.array_join(c, ",").alias(c) for c in ("companies", "certifications", "education")), text("projects", *A.PROJECT_FIELDS), text("experience", "company", "role"))
+
+
 @query("select source, count(*) as rows, count(distinct lang) as people from documents group by 1")
 def chunk_profile(spark, sf_dir):
     return A.chunk_profile(table(spark, sf_dir, "documents"), "lang", "source")
