@@ -180,6 +180,36 @@ def section_items(sections: DataFrame, dated: str = r"(?:19|20)[0-9]{2}") -> Dat
     return items.select("doc_id", "section", F.col("entry").cast("long").alias("entry"), "item").union(skills)
 
 
+#: Words that stand in a skills section but are no skill, as ``match_key`` spells them.
+NO_SKILL = ("competence", "competences", "skill", "skills", "technology", "technologie", "supplementaire", "additional", "competences supplementaires", "additional skills")
+
+
+def skill_names(line: Column) -> Column:
+    """The skills of a line: what stands before a colon, and what behind it or else in the whole line, cut at commas if all parts have up to four words.
+
+    Without a colon, lines with brackets aren't cut. A category of skills in general is none.
+    """
+    clean = F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"\s+", " "))
+    colon = F.contains(clean, F.lit(":"))
+    category = F.when(colon, F.trim(F.regexp_extract(clean, "^([^:]*):", 1)))
+    general = F.contains(T.match_key(category), F.lit("competence")) | T.match_key(category).isin("skill", "skills")
+    rest = F.when(colon, F.trim(F.regexp_extract(clean, "^[^:]*:(.*)$", 1))).otherwise(clean)
+    parts = F.filter(F.transform(F.split(rest, ","), lambda p: F.trim(p)), lambda p: p != "")
+    cut = (F.size(parts) > 1) & F.forall(parts, lambda p: F.size(F.split(p, " ")) <= 4) & (colon | ~rest.rlike("[()]"))
+    found = F.concat(F.array(F.when(colon & ~general, category)), F.when(cut, parts).otherwise(F.array(rest)))
+    return F.filter(found, lambda x: (F.coalesce(x, F.lit("")) != "") & ~T.match_key(x).isin(*NO_SKILL))
+
+
+def section_skills(sections: DataFrame) -> DataFrame:
+    """doc_id, place and skill: the distinct skills of each document's skills section in order, the first spelling of each.
+
+    sections: doc_id, pos, line, section, is_heading.
+    """
+    rows = sections.where("section = 'skills' and not is_heading").select("doc_id", "pos", F.posexplode(skill_names(F.col("line"))).alias("i", "skill"))
+    first = rows.groupBy("doc_id", T.match_key(F.col("skill")).alias("key")).agg(F.min(F.struct("pos", "i", "skill")).alias("s"))
+    return first.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("s.pos", "s.i")).alias("place"), "s.skill")
+
+
 def gap_fill(primary: DataFrame, secondary: DataFrame, key: str, fields: list[str], lists: list[str]) -> DataFrame:
     """The primary's fields, empty ones filled from the secondary; list values of both, the primary's first."""
     right = secondary.select(F.col(key).alias("of"), *(F.col(c).alias(f"{c} of the other") for c in (*fields, *lists)))

@@ -92,6 +92,26 @@ def section_items(spark, sf_dir):
     return items.select("doc_id", "section", "entry", F.sha2("item", 256).alias("item"))
 
 
+_KEY = "trim(regexp_replace(lower(replace(strip_accents({0}), '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+ c as (select doc_id, pos, trim(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as t from l where trim(line) <> ''),
+ h as (select *, contains(t, ':') as colon, trim(split_part(t, ':', 1)) as category, case when contains(t, ':') then trim(t[position(':' in t) + 1:]) else t end as rest from c),
+ p as (select *, list_filter(list_transform(string_split(rest, ','), lambda x: trim(x)), lambda x: x <> '') as parts from h),
+ k as (select doc_id, pos, list_concat(case when colon and not (contains({_KEY.format("category")}, 'competence') or {_KEY.format("category")} in ('skill', 'skills')) then [category] else [] end,
+  case when len(parts) > 1 and len(list_filter(parts, lambda x: len(string_split(x, ' ')) > 4)) = 0 and (colon or not regexp_matches(rest, '[()]')) then parts else [rest] end) as skills from p),
+ u as (select doc_id, pos, unnest(skills) as skill, generate_subscripts(skills, 1) as i from k),
+ f as (select *, {_KEY.format("skill")} as key from u where skill <> '' and {_KEY.format("skill")} not in ('competence', 'competences', 'skill', 'skills', 'technology', 'technologie', 'supplementaire', 'additional', 'competences supplementaires', 'additional skills')),
+ o as (select * from f qualify row_number() over (partition by doc_id, key order by pos, i) = 1)
+ select doc_id, (row_number() over (partition by doc_id order by pos, i))::integer as place, sha256(skill) as skill from o""")
+def section_skills(spark, sf_dir):
+    """Whole texts as skills sections, without the headings that may stand in them."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) <> ''")
+    found = X.section_skills(lines.withColumn("section", F.lit("skills")).withColumn("is_heading", F.lit(False)))
+    return found.select("doc_id", "place", F.sha2("skill", 256).alias("skill"))
+
+
 @query("""select p_partkey, coalesce(case when p_size % 2 = 0 then p_name end, p_brand) as title, case when p_size % 2 = 0 then p_type || ',' || p_brand else p_type || ',' || p_brand end as skills from part""")
 def gap_fill_merge(spark, sf_dir):
     part = table(spark, sf_dir, "part")

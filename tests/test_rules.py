@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crewlens.functions import dates as D
 from crewlens.functions import text as T
 from crewlens.functions.similarity import seq_ratio
+from crewlens.operators import aggregates as A
 from crewlens.operators import certifications as C
 from crewlens.operators import extraction as X
 from crewlens.operators import scoring as S
@@ -154,3 +155,32 @@ def test_certification_hints(spark):
     split = lambda t: one(spark, T.split_cert_names(F.lit(t)))
     assert tuple(split("CCNA 5 / Azure Basics")) == ("CCNA", "Azure Basics", "05")
     assert split("CCNA 5 / 2020") is None and split("CCNA") is None
+
+
+def test_skills_of_lines(spark):
+    lines = ["Skills: Python, Spark", "Databases : PostgreSQL", "Python", "Cloud (AWS, Azure)", "one, a part of more than four words", " ", None, "Additional skills", "python , Go"]
+    rows = [(1, i, x, "skills", False) for i, x in enumerate(lines)] + [(1, 20, "Rust", "projects", False), (1, 21, "Zig", "skills", True)]
+    found = X.section_skills(spark.createDataFrame(rows, "doc_id long, pos int, line string, section string, is_heading boolean"))
+    got = [r.skill for r in found.orderBy("place").collect()]
+    assert got == ["Python", "Spark", "Databases", "PostgreSQL", "Cloud (AWS, Azure)", "one, a part of more than four words", "Go"]
+
+
+def test_entities_of_results(spark):
+    schema = "q int, name string, certification_name string, certifications array<string>, project_name string, company_name string, client_name string, employees array<struct<name: string, companies: array<string>>>"
+    rows = [(1, " Ann ", None, ["C1", " ", None], "P", "", "Client", None), (1, "Ann", "C2", None, None, None, "Client", [("Bo", ["House", ""]), (None, None)]), (2, None, None, None, None, None, None, None)]
+    found = {r.q: r.asDict() for r in A.result_entities(spark.createDataFrame(rows, schema), "q").collect()}
+    assert found[1] == {"q": 1, "people": ["Ann", "Bo"], "certifications": ["C1", "C2"], "projects": ["P"], "companies": ["Client", "House"]}
+    assert found[2] == {"q": 2, "people": [], "certifications": [], "projects": [], "companies": []}
+
+
+def test_facts_of_people(spark):
+    directory = spark.createDataFrame([("Ann", 1, 9, 0, 4, ["House"]), ("Ann", 2, 7, 0, None, None)], "name string, pos int, project_count int, experience_count int, experience_years int, companies array<string>")
+    projects = spark.createDataFrame([("Bo", i, f"P{i % 60}", None, "2020", "d" * 600) for i in range(120)], "name string, pos int, project_name string, client_name string, project_year string, description string")
+    jobs = spark.createDataFrame([("Bo", 1, "Firm ", "dev", None, None, None), ("Bo", 2, "Firm", "dev", "", None, None), ("", 3, "None", "x", None, None, None)], "name string, pos int, company string, role string, start_date string, end_date string, description string")
+    named = spark.createDataFrame([("Ann", "certification", "éa"), ("Ann", "certification", "Z"), ("Ann", "education", " ")], "name string, kind string, entity string")
+    got = {r.name: r for r in A.employee_facts(directory, projects, jobs, named).collect()}
+    assert set(got) == {"Ann", "Bo"}
+    ann, bo = got["Ann"], got["Bo"]
+    assert (ann.project_count, ann.experience_count, ann.experience_years, ann.companies, ann.certifications, ann.education) == (7, 0, 4, ["House"], ["éa", "Z"], [])
+    assert (bo.project_count, bo.experience_count, bo.companies, len(bo.projects), len(bo.experience)) == (60, 1, ["Firm"], 50, 1)
+    assert bo.projects[0].project_name == "P0" and len(bo.projects[0].description) == 501
