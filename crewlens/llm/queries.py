@@ -95,9 +95,41 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.subvectors import centroid_clusters
+
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from crewlens.llm.fertility import judged
+
+    found = judged(_table(spark, sf_dir, "documents"), [public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", "measures", "outside")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.fim import fill_in_middle, restore
+
+    made = restore(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+_MIDDLE = r"""with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+ l as (select *, string_split(t, chr(10)) as s from d),
+ c as (select *, case when t = '' then 0 when s[-1] = '' then len(s) - 1 else len(s) end as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i::int, 8))::bigint) as x from l),
+ k as (select *, least(x[1] % (n + 1), x[2] % (n + 1)) as a, greatest(x[1] % (n + 1), x[2] % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when x[4] % 100 < 50 then 'spm' else 'psm' end as form from c),
+ e as (select *, case when a = n then length(t) else coalesce(list_sum(list_transform(s[1:a], lambda w: length(w) + 1)), 0)::bigint end as p, case when b = n then length(t) else coalesce(list_sum(list_transform(s[1:b], lambda w: length(w) + 1)), 0)::bigint end as q from k),
+ f as (select *, t[1:p] as pre, case when q > p then t[p + 1:q] else '' end as mid, case when q < length(t) then t[q + 1:] else '' end as suf from e)
+ select doc_id, n::bigint as n, form, case when form <> 'plain' then p end as prefix_chars, case when form <> 'plain' then q - p end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || (case when p > 0 then pre else '' end) || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || (case when p > 0 then pre else '' end) || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from f"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_revisits": _REVISITS}
+    return {"op5_revisits": _REVISITS, "op13_fill_in_middle": _MIDDLE}
