@@ -9,8 +9,8 @@ symbols, lie far from the other texts of their language.
 The bands come from all documents: for each language (or script, where no
 language is given) the quartiles of each measure over the documents that the
 base rules keep; a document is rejected where a measure lies further outside
-than REACH times the distance of the quartiles and a least slack. Measures are
-counted by small steps before quartiles are taken, so that a language of a third
+than REACH times the distance of the quartiles and its own sampling error, which
+shrinks with the root of its words. Measures are counted by small steps before quartiles are taken, so that a language of a third
 of all rows is some hundred counts.
 
 Texts pass Arrow batches whole, some MB or one longer text at a time; equal words
@@ -36,8 +36,8 @@ from crewlens.llm.shared import as_bytes, stored
 from crewlens.llm.wordseq import by_size, distinct_words, find_words
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")
-#: Steps in which a measure is counted, and the least slack beyond its quartiles.
-STEP, SLACK = (1 / 64, 1 / 1024, 1 / 64), (0.5, 0.1, 1.0)
+#: Steps in which a measure is counted, and the sampling error allowed to a text of one word.
+STEP, SPREAD = (1 / 64, 1 / 1024, 1 / 64), (2.0, 0.5, 4.0)
 #: Quartile distances beyond the quartiles that a band reaches.
 REACH = 3.0
 #: A text has so many words, and so many percent of its words in repeated windows, at most.
@@ -193,14 +193,18 @@ def measured(docs: DataFrame, paths: list[str]) -> DataFrame:
     return found.withColumn("base_failed", base_failed()).withColumn("band", F.coalesce(F.nullif(F.trim("lang"), F.lit("")), "script"))
 
 
-def bands(found: DataFrame, vocabularies: int, reach: float = REACH) -> DataFrame:
-    """For each band, ``lows`` and ``highs``: where each measure's accepted values begin and end."""
-    pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values * vocabularies)), F.col("place") + 1)
+def _pick(values: tuple, place: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (place % len(values) + 1).cast("int"))
+
+
+def bands(found: DataFrame, reach: float = REACH) -> DataFrame:
+    """For each band, ``lows`` and ``highs``: where each measure's accepted values begin and end, sampling errors apart."""
+    step = _pick(STEP, F.col("place"))
     steps = found.where(~F.col("base_failed")).select("band", F.posexplode("measures").alias("place", "value"))
-    steps = steps.select("band", "place", F.round(F.col("value") / pick(STEP)).alias("step")).groupBy("band", "place", "step").agg(F.count("*").alias("n"))
+    steps = steps.select("band", "place", F.round(F.col("value") / step).alias("step")).groupBy("band", "place", "step").agg(F.count("*").alias("n"))
     sides = steps.groupBy("band", "place").agg(F.percentile("step", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
-    low, high = F.col("q")[0] * pick(STEP), F.col("q")[1] * pick(STEP)
-    off = reach * (high - low) + pick(SLACK)
+    low, high = F.col("q")[0] * step, F.col("q")[1] * step
+    off = reach * (high - low)
     sides = sides.select("band", F.struct("place", (low - off).alias("low"), (high + off).alias("high")).alias("side"))
     sides = sides.groupBy("band").agg(F.array_sort(F.collect_list("side")).alias("sides"))
     return sides.select("band", F.transform("sides", lambda s: s["low"]).alias("lows"), F.transform("sides", lambda s: s["high"]).alias("highs"))
@@ -209,8 +213,13 @@ def bands(found: DataFrame, vocabularies: int, reach: float = REACH) -> DataFram
 def judged(docs: DataFrame, paths: list[str], reach: float = REACH) -> DataFrame:
     """The columns of ``measured``, ``outside`` (the measures outside their band, by name) and ``kept``."""
     found = stored(measured(docs, paths), "fertility")
-    limits = bands(found, len(paths), reach).withColumnRenamed("band", "of_band")
+    limits = bands(found, reach).withColumnRenamed("band", "of_band")
     joined = found.join(limits, F.col("band") == F.col("of_band"), "left")
-    beyond = lambda m, i: F.when((m < F.col("lows")[i]) | (m > F.col("highs")[i]), F.concat(F.element_at(F.array(*(F.lit(x) for x in MEASURES)), i % len(MEASURES) + 1), F.lit("_"), (F.floor(i / len(MEASURES)) + 1).cast("string")))
+
+    def beyond(value: Column, i: Column) -> Column:
+        error = _pick(SPREAD, i) / F.sqrt(F.greatest("n_words", F.lit(1)))
+        name = F.concat_ws("_", _pick(MEASURES, i), (F.floor(i / len(MEASURES)) + 1).cast("string"))
+        return F.when((value < F.col("lows")[i] - error) | (value > F.col("highs")[i] + error), name)
+
     outside = F.coalesce(F.array_compact(F.transform("measures", beyond)), F.array().cast("array<string>"))
     return joined.withColumn("outside", outside).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0)).drop("of_band", "lows", "highs")

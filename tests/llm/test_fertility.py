@@ -83,10 +83,11 @@ def test_bands_and_verdicts(data):
             steps = [round(r.measures[i] / fertility.STEP[i % 3]) for r in found if r.band == band and not r.base_failed]
             if steps:
                 low, high = (float(q) * fertility.STEP[i % 3] for q in np.percentile(steps, [25, 75]))
-                off = fertility.REACH * (high - low) + fertility.SLACK[i % 3]
+                off = fertility.REACH * (high - low)
                 limits[band, i] = low - off, high + off
     for r in found:
-        names = [f"{fertility.MEASURES[i % 3]}_{i // 3 + 1}" for i in range(6) if (r.band, i) in limits and not limits[r.band, i][0] <= r.measures[i] <= limits[r.band, i][1]]
+        error = [s / max(1, r.n_words) ** 0.5 for s in fertility.SPREAD * 2]
+        names = [f"{fertility.MEASURES[i % 3]}_{i // 3 + 1}" for i in range(6) if (r.band, i) in limits and not limits[r.band, i][0] - error[i] <= r.measures[i] <= limits[r.band, i][1] + error[i]]
         assert r.outside == names and r.kept == (not r.base_failed and not names)
     verdict = {r.doc_id: r for r in found}
     assert not verdict[608].base_failed and not verdict[608].kept and "chars_per_token_1" in verdict[608].outside
