@@ -1,10 +1,14 @@
-"""Ranks, firsts and runs. Windows are per key; a rank over all rows goes in two passes."""
+"""Ranks, firsts and runs. Windows are per key; ranks go in two passes, whatever the size of a group."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crewlens.sources.durable import stored
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as no column of the table has."""
@@ -43,30 +47,39 @@ def percentile(rank: Column, n: Column, places: int = 2) -> Column:
     return F.when(n == 1, 100.0).otherwise(F.floor((n - rank) / n * 100 * scale + 0.5) / scale)
 
 
-def rank_scores(scores: DataFrame, by: list[str], score: str = "final_score", tie: str = "profile_id", name: str = "rank") -> DataFrame:
-    """Distinct ranks 1..n by falling score in each group, with the percentile. For groups that fit a task: teams, or years of some millions."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie))
-    return scores.withColumn(name, ranked).withColumn(f"{name}_percentile", percentile(F.col(name), n))
+def places(df: DataFrame, by: list[str], order: list, name: str = "place", size: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Places 1..n of the rows in each group (``by``, null is one), and the group's size, without a task that sees a group whole.
+
+    Two passes: rows are dealt to ranges of (group, order), so that a large group
+    has many; each range numbers its rows, and what earlier ranges hold of a group
+    is a sum over one number for each range and group. ``order`` is total, or equal rows
+    fall as they will. The numbered rows are stored, as ranges are drawn anew on a retry.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at, part, start, of, total = (fresh(df, c) for c in ("row of range", "range of row", "start of range", "range", "rows of group"))
+    keys = {c: fresh(df, f"group by {c}") for c in by}
+    dealt = df.repartitionByRange(n, *by, *order) if n > 1 else df.coalesce(1)
+    rows = dealt.sortWithinPartitions(*by, *order).withColumn(at, F.monotonically_increasing_id())
+    rows = stored(rows.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND((1 << 33) - 1)), "places")
+    group = Window.partitionBy(*by)
+    held = rows.groupBy(part, *by).agg(F.count("*").alias(total), F.min(at).alias(start))
+    before = F.coalesce(F.sum(total).over(group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(F.col(part).alias(of), *(F.col(c).alias(k) for c, k in keys.items()), (before - F.col(start) + 1).alias(start), F.sum(total).over(group).alias(total))
+    same = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()), F.col(part) == F.col(of))
+    found = rows.join(held, same).withColumn(name, F.col(at) + F.col(start))
+    return found.withColumn(size, F.col(total)).select(*df.columns, name, size) if size else found.select(*df.columns, name)
+
+
+def rank_scores(scores: DataFrame, by: list[str], score: str = "final_score", tie: str = "profile_id", name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """Distinct ranks 1..n by falling score in each group, with the percentile, in two passes."""
+    size = fresh(scores, "size of group")
+    ranked = places(scores, by, [F.desc(score), F.asc(tie)], name, size, partitions)
+    return ranked.withColumn(name, F.col(name).cast("int")).withColumn(f"{name}_percentile", percentile(F.col(name), F.col(size))).drop(size)
 
 
 def rank_all(scores: DataFrame, score: str = "final_score", tie: str = "profile_id", name: str = "rank", partitions: int | None = None) -> DataFrame:
-    """The same rank over all rows in two passes, without a task that sees them all.
-
-    Rows are range-partitioned in rank order; each partition is counted; the
-    partitions' counts, one number each, are summed up on the driver.
-    """
-    n = partitions or int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = scores.repartitionByRange(n, F.desc(score), F.asc(tie)).sortWithinPartitions(F.desc(score), F.asc(tie))
-    rows = rows.withColumn("part", F.spark_partition_id()).checkpoint()
-    counts = sorted(rows.groupBy("part").count().collect())
-    total, before = 0, {}
-    for part, count in counts:
-        before[part] = total
-        total += count
-    starts = scores.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc(score), F.asc(tie)))
-    return rows.join(F.broadcast(starts), "part").withColumn(name, (F.col("before") + place).cast("int")).withColumn(f"{name}_percentile", percentile(F.col(name), F.lit(total))).drop("part", "before")
+    """The same rank over all rows."""
+    return rank_scores(scores, [], score, tie, name, partitions)
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:

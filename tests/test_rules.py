@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crewlens.functions import dates as D
@@ -78,11 +80,15 @@ def test_fragments(spark):
     assert [r.name for r in W.merge_fragments(rows, "k", "pos", "name").orderBy("pos").collect()] == ["Fortinet NSE 4 Troubleshooting", "CCNA 200-301"]
 
 
-def test_two_rank_forms_agree(spark):
-    rows = spark.range(500).select(F.col("id").alias("profile_id"), (F.col("id") * 37 % 50).cast("double").alias("final_score"))
-    two = {r.profile_id: r["rank"] for r in W.rank_all(rows, partitions=5).collect()}
-    one_ = {r.profile_id: r["rank"] for r in W.rank_scores(rows.withColumn("y", F.lit(1)), ["y"]).collect()}
-    assert two == one_ and sorted(two.values()) == list(range(1, 501))
+@pytest.mark.parametrize(("partitions", "by"), [(1, ["y"]), (5, ["y"]), (40, ["y", "team"]), (7, [])])
+def test_places_agree_with_a_window(spark, partitions, by):
+    """One group holds nine rows in ten; a null is a group; names clash."""
+    rows = spark.range(1000).select(F.col("id").alias("profile_id"), (F.col("id") * 37 % 50).cast("double").alias("final_score"), F.when(F.col("id") % 10 > 0, 7).when(F.col("id") % 20 > 0, F.col("id") % 3).alias("y"), (F.col("id") % 4).alias("team"), F.lit("x").alias("range"))
+    w = Window.partitionBy(*by)
+    expected = rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("final_score"), "profile_id"))).withColumn("n", F.count("*").over(w))
+    got = W.places(rows, by, [F.desc("final_score"), F.asc("profile_id")], "rank", "n", partitions)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, expected.collect())))
+    assert W.places(rows.where("profile_id < 0"), by, ["profile_id"]).count() == 0
 
 
 def test_rank_of_one(spark):
