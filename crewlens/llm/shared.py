@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word, as all operators of this subpackage count it.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset and all runs in one process (master local), a temporary one set once.
+from crewlens.sources.durable import delete_path, drop_stored, own_folder, shared_folder, stored
 
-    A cluster's executors don't share the driver's folders, so that it must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="crewlens-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+__all__ = ["WORD", "as_bytes", "clear_shared", "drop_stored", "fresh", "row_key", "shared_folder", "stored", "write_shared"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: its lineage ends there and outlives any executor."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word, as all operators of this subpackage count it.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
     """Some bytes as a file in the shared folder; its full path."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/files/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{own_folder(spark)}/files/{name}")
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     out = system.create(path)
     out.write(bytearray(data))
@@ -44,18 +24,8 @@ def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
 
 
 def clear_shared(spark: SparkSession) -> None:
-    """Delete all tables and files that operators left in the shared folder. Call it when no result is read any more."""
-    for part in ("tables", "files"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{part}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table that ``stored`` returned and that no one reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    """Delete all tables and files that this application left in the shared folder. Call it when no result is read any more."""
+    delete_path(spark, own_folder(spark))
 
 
 def fresh(df: DataFrame, name: str) -> str:
