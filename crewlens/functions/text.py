@@ -151,12 +151,42 @@ def is_report(institution: Column) -> Column:
     return (F.length(institution) > 180) | ((F.size(F.split(institution, r"\s+")) > 18) & F.lower(institution).rlike(REPORT_WORDS))
 
 
+def query_key(text: Column) -> Column:
+    """Text and questions for search: accents off, lower case, one kind of apostrophe, & between letters as a, white space collapsed; other marks stay."""
+    t = F.translate(F.lower(strip_accents(F.coalesce(text, F.lit("")))), "\u2019`", "''")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "(?<=[a-z])&(?=[a-z])", "a"), r"\s+", " "))
+
+
 def token_variants(word: Column) -> Column:
-    """A word and its simple English forms without ies, es, s, ing or ed, of 3 letters or more."""
-    w = F.lower(word)
-    cut = lambda ending, n, put="": F.when(w.endswith(ending) & (F.length(w) - n + len(put) >= 3), F.concat(F.substring(w, F.lit(1), F.length(w) - n), F.lit(put)))
-    forms = F.array(w, cut("ies", 3, "y"), cut("es", 2), cut("s", 1), cut("ing", 3), cut("ed", 2))
-    return F.array_distinct(F.filter(forms, lambda x: x.isNotNull()))
+    """A word and its simple English forms, in order: ies as y, without es, without or else with s, without ing, without ed; 3 characters or more each."""
+    w = query_key(word)
+    form = lambda ending, least, change: F.when(w.endswith(ending) & (F.length(w) > least), change)
+    without = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
+    plural = form("s", 3, without(1))
+    forms = F.array(
+        w, form("ies", 4, F.concat(without(3), F.lit("y"))), form("es", 3, without(2)), plural,
+        F.when(~w.endswith("s") & (F.length(w) > 3), F.concat(w, F.lit("s"))), form("ing", 5, without(3)), form("ed", 4, without(2)),
+    )
+    bare = F.transform(F.array_compact(forms), lambda x: F.btrim(x, F.lit("-_. ")))
+    return F.array_distinct(F.filter(bare, lambda x: F.length(x) >= 3))
+
+
+def query_terms(text: Column) -> Column:
+    """Terms of a question, of 3 characters or more, each with its variants; a term may hold + . _ and -."""
+    terms = F.filter(F.regexp_extract_all(query_key(text), F.lit(r"([a-z0-9][a-z0-9+._\-]*)"), F.lit(1)), lambda t: F.length(t) > 2)
+    return F.array_distinct(F.flatten(F.transform(terms, token_variants)))
+
+
+#: What stands between words: no letters, digits or underscores.
+NO_WORD = r"[^\p{L}\p{N}_]+"
+
+
+def search_words(text: Column) -> Column:
+    """Distinct words of a text for search: runs of letters, digits and underscores, and pieces between spaces that have other marks between such runs."""
+    key = query_key(text)
+    runs = F.filter(F.split(key, NO_WORD), lambda w: w != "")
+    marked = F.filter(F.split(key, " "), lambda p: p.rlike(r"[\p{L}\p{N}_][^\p{L}\p{N}_]+[\p{L}\p{N}_]"))
+    return F.array_distinct(F.concat(runs, marked))
 
 
 #: Words that a query leaves out.
@@ -169,9 +199,15 @@ def tokens(text: Column, least: int = 3, stopwords: tuple[str, ...] = STOPWORDS)
     return F.array_except(F.filter(words, lambda w: F.length(w) >= least), F.array(*map(F.lit, stopwords)))
 
 
+def variant_pattern(form: Column) -> Column:
+    """A regular expression for one form as a whole word or, from 4 characters on, the beginning of one."""
+    return F.concat(F.lit(r"(?U)\b\Q"), F.replace(form, F.lit(r"\E"), F.lit("")), F.lit(r"\E"), F.when(F.length(form) >= 4, "[a-z0-9]*").otherwise(""), F.lit(r"\b"))
+
+
 def contains_word(text: Column, word: Column) -> Column:
-    """A whole word of the text is the word or, from 4 letters on, begins with it."""
-    return F.exists(F.split(match_key(text), " "), lambda t: (t == word) | ((F.length(word) >= 4) & t.startswith(word)))
+    """A whole word of the text is a variant of the word or, from 4 characters on, begins with one. For single texts; ``lookup`` joins many."""
+    key = query_key(text)
+    return F.exists(token_variants(word), lambda form: F.regexp_like(key, variant_pattern(form)))
 
 
 def min_years(text: Column) -> Column:

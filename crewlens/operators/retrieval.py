@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewlens.functions import text as T
+from crewlens.operators import lookup as L
 from crewlens.operators.windows import keep_first, top_k_per_key
 
 _BLOCK = 2048
@@ -101,14 +102,24 @@ def _entries_first(kind: Column) -> Column:
     return F.when(kind.isin(*ENTRY_TYPES), 0).when(kind.isin(*SECTION_TYPES), 1).when(kind == "profile", 2).otherwise(3)
 
 
-def rare_token_search(queries: DataFrame, index: DataFrame, kinds: DataFrame, n_rows: Column | int, k: int = 18, share: float = 0.15, least: int = 8) -> DataFrame:
-    """Chunks by the sum of 1 / hits over the query's rare tokens; of equal sums entries first, then sections, then profiles.
+def asked_terms(queries: DataFrame, least: int = 4) -> DataFrame:
+    """query_id and token: the terms of each question with their variants, of ``least`` characters or more. queries: query_id, query."""
+    terms = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("token"))
+    return terms.where(F.length("token") >= least).distinct()
 
-    queries: query_id, token; index: chunk_id, token; kinds: a row of chunk_id and chunk_type for each chunk.
+
+def rare_token_search(queries: DataFrame, chunks: DataFrame, k: int = 18, share: float = 0.15, least: int = 8) -> DataFrame:
+    """Chunks by the sum of 1 / hits over a question's rare tokens; of equal sums entries first, then sections, then profiles.
+
+    A token is hit where one of its variants is a word of the chunk or begins one; it
+    is rare if ``least`` chunks or ``share`` of all hold it at most.
+    queries: query_id, query; chunks: chunk_id, chunk_type, content.
     """
-    hits = index.groupBy("token").agg(F.count("*").alias("hits")).where(F.col("hits") <= F.greatest(F.lit(least), F.floor(F.lit(n_rows) * share)))
-    found = queries.join(hits, "token").join(index, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / F.col("hits")), 9).alias("score"))
-    rows = found.join(kinds.select("chunk_id", "chunk_type"), "chunk_id", "left")
+    most = max(least, int(chunks.count() * share))
+    asked = asked_terms(queries)
+    hits = L.token_hits(asked, chunks.select("chunk_id", F.col("content").alias("text")), ["chunk_id"], most)
+    found = asked.join(hits, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / F.col("hits")), 9).alias("score"))
+    rows = found.join(chunks.select("chunk_id", "chunk_type"), "chunk_id")
     return top_k_per_key(rows, ["query_id"], [F.desc("score"), _entries_first(F.col("chunk_type")), F.coalesce("chunk_type", F.lit("")), "chunk_id"], k).select("query_id", "chunk_id", "score", "place")
 
 
@@ -122,33 +133,60 @@ def with_profiles(found: DataFrame, owners: DataFrame, profiles: DataFrame, k: i
     return found.select("query_id", "chunk_id", "score", "place").union(more.join(found, ["query_id", "chunk_id"], "left_anti"))
 
 
+def name_words(people: DataFrame) -> DataFrame:
+    """user_id and word: the parts of each name, of 3 characters or more. people: user_id, full_name."""
+    parts = F.array_distinct(F.split(T.query_key(F.col("full_name")), " "))
+    return people.select("user_id", F.explode(parts).alias("word")).where(F.length("word") > 2).distinct()
+
+
+def _word_owners(people: DataFrame) -> DataFrame:
+    return name_words(people).groupBy("word").agg(F.count("*").alias("people"), F.min("user_id").alias("user_id"))
+
+
+def _asked_words(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """query_id and word of each part of a name, or a variant of it, that a question holds as a word or the beginning of one."""
+    return L.token_hits(words.select(F.col("word").alias("token")), queries.select("query_id", F.col("query").alias("text")), ["query_id"]).select("query_id", F.col("token").alias("word"))
+
+
 def name_scope(queries: DataFrame, people: DataFrame) -> DataFrame:
-    """Persons that a query names: by full name, or by a name word that only one has; words of several give disambiguation rows.
+    """Persons that a question names: ``full`` where it holds the whole name anywhere, else ``word`` by a part of it that only one person has.
 
-    queries: query_id, query; people: user_id, full_name.
+    Names have any number of words. queries: query_id, query; people: user_id,
+    full_name. Parts of several persons are ``name_ambiguities``.
     """
-    words = F.split(T.match_key(F.col("query")), " ")
-    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " "))
-    phrases = queries.select("query_id", F.explode(F.array_distinct(pair)).alias("phrase"))
-    full = phrases.join(people.select("user_id", T.match_key(F.col("full_name")).alias("phrase")), "phrase").select("query_id", "user_id", F.lit("full").alias("how")).distinct()
-    named = people.select("user_id", F.explode(F.array_distinct(F.split(T.match_key(F.col("full_name")), " "))).alias("word")).where(F.length("word") >= 3)
-    owners = named.groupBy("word").agg(F.count_distinct("user_id").alias("owners"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("word")).join(full.select("query_id").distinct(), "query_id", "left_anti")
-    partly = asked.join(owners, "word").join(named, "word").select("query_id", "user_id", F.when(F.col("owners") == 1, "word").otherwise("ambiguous").alias("how"))
-    return full.union(partly.groupBy("query_id", "user_id").agg(F.max("how").alias("how")))
+    names = people.select("user_id", T.query_key(F.col("full_name")).alias("phrase")).where("phrase != ''")
+    held = L.substring_hits(queries.select("query_id", T.query_key(F.col("query")).alias("text")), names, ["query_id"])
+    full = held.join(names, "phrase").select("query_id", "user_id", F.lit(0).alias("way"))
+    own = _word_owners(people).where("people = 1")
+    word = _asked_words(queries, own).join(own, "word").select("query_id", "user_id", F.lit(1).alias("way"))
+    best = full.union(word).groupBy("query_id", "user_id").agg(F.min("way").alias("way"))
+    return best.select("query_id", "user_id", F.when(F.col("way") == 0, "full").otherwise("word").alias("how"))
 
 
-def focus_rows(queries: DataFrame, index: DataFrame, sizes: DataFrame, kinds: DataFrame, names: DataFrame, k: int = 14, share: float = 0.25) -> DataFrame:
-    """Inside a scoped person, rows with tokens that up to a quarter of the person's rows hold; entries first. Words of the own name don't count.
+def name_ambiguities(queries: DataFrame, people: DataFrame) -> DataFrame:
+    """query_id, word and how many people have it: parts of names in a question that several have. ``name_words`` tells who.
 
-    queries: query_id, user_id, token; index: user_id, chunk_id, token; sizes: user_id, n; kinds: chunk_id, chunk_type; names: user_id, token.
+    The people of a part aren't listed for each question, as a common one would give all pairs.
     """
-    asked = queries.join(names, ["user_id", "token"], "left_anti")
-    hits = index.groupBy("user_id", "token").agg(F.count("*").alias("hits")).join(sizes, "user_id").where(F.col("hits") <= share * F.col("n"))
-    found = asked.join(hits, ["user_id", "token"]).join(index, ["user_id", "token"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("matched"))
-    rows = found.join(kinds.select("chunk_id", "chunk_type"), "chunk_id", "left")
+    shared = _word_owners(people).where("people > 1")
+    return _asked_words(queries, shared).join(shared, "word").select("query_id", "word", "people")
+
+
+def focus_rows(scope: DataFrame, queries: DataFrame, chunks: DataFrame, people: DataFrame, k: int = 14, share: float = 0.25) -> DataFrame:
+    """Of each person in scope the chunks with a token that up to a quarter of the person's chunks hold; entries first. Parts of the own name don't count.
+
+    scope: query_id, user_id; queries: query_id, query; chunks: user_id, chunk_id, chunk_type, content; people: user_id, full_name.
+    """
+    names = name_words(people).withColumnRenamed("word", "token")
+    asked = scope.select("query_id", "user_id").distinct().join(asked_terms(queries), "query_id").join(names, ["user_id", "token"], "left_anti")
+    own = chunks.join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    held = L.token_hits(asked, own.select("user_id", "chunk_id", F.col("content").alias("text")), ["user_id", "chunk_id"])
+    sizes = own.groupBy("user_id").agg(F.count("*").alias("n"))
+    rare = held.groupBy("user_id", "token").agg(F.count("*").alias("hits")).join(sizes, "user_id").where(F.col("hits") <= share * F.col("n"))
+    found = asked.join(rare.select("user_id", "token"), ["user_id", "token"]).join(held, ["user_id", "token"]).groupBy("query_id", "user_id", "chunk_id").agg(F.count("*").alias("matched"))
+    rows = found.join(chunks.select("user_id", "chunk_id", "chunk_type"), ["user_id", "chunk_id"])
     other = F.when(F.col("chunk_type").isin(*ENTRY_TYPES), 0).otherwise(1)
-    return top_k_per_key(rows, ["query_id"], [other, F.desc("matched"), "chunk_id"], k).select("query_id", "chunk_id", "matched", "place")
+    return top_k_per_key(rows, ["query_id", "user_id"], [other, "chunk_id"], k).select("query_id", "user_id", "chunk_id", "matched", "place")
 
 
 def hybrid_retrieve(branches: list[DataFrame], k: int = 20) -> DataFrame:
@@ -167,11 +205,12 @@ def evidence_rows(results: DataFrame, limit: int = 160) -> DataFrame:
     return top_k_per_key(rows.withColumnRenamed("place", "result_place"), ["query_id"], ["result_place", "person", "kind", "entity", "text"], limit).withColumn("evidence_id", F.concat(F.lit("E"), F.col("place").cast("string")))
 
 
-def token_people(queries: DataFrame, index: DataFrame, total: DataFrame) -> DataFrame:
-    """Per query token the people whose texts hold it, unless all do. index: person, token."""
-    held = queries.select("token").distinct().join(index.select("person", "token").distinct(), "token").groupBy("token").agg(F.array_sort(F.collect_set("person")).alias("people"))
-    n = total.agg(F.count_distinct("person").alias("n"))
-    return queries.select("query_id", "token").distinct().join(held, "token").join(F.broadcast(n)).where(F.size("people") < F.col("n")).drop("n")
+def token_people(queries: DataFrame, texts: DataFrame, part: str) -> DataFrame:
+    """Per question and token the people whose texts hold it, unless all do. queries: query_id, query; texts: person, text and ``part``, which tells a person's texts apart."""
+    asked = asked_terms(queries)
+    held = L.token_hits(asked, texts.select("person", part, "text"), ["person", part]).groupBy("token").agg(F.array_sort(F.collect_set("person")).alias("people"))
+    n = texts.agg(F.count_distinct("person").alias("n"))
+    return asked.join(held, "token").join(F.broadcast(n)).where(F.size("people") < F.col("n")).drop("n")
 
 
 #: Parts of replies that claim nothing, as ``match_key`` spells them.
@@ -190,9 +229,8 @@ def groundedness(answers: DataFrame, evidence: DataFrame, least: int = 4) -> Dat
     rows = answers.select("id", key.alias("key"), T.tokens(F.col("text"), least).alias("tokens"))
     asked = rows.select("id", F.explode("tokens").alias("token"))
     words = evidence.select("id", F.explode(T.tokens(F.col("text"), least, ("",))).alias("word")).distinct()
-    # Words by all their beginnings, so that the join is one of equal tokens.
-    begins = words.select("id", F.explode(F.transform(F.sequence(F.lit(least), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("token")).distinct()
-    hits = asked.join(begins.withColumn("held", F.lit(1)), ["id", "token"], "left").groupBy("id").agg(F.count("*").alias("n"), F.count("held").alias("hits"))
+    held = L.prefix_hits(words, asked.select(F.col("token").alias("form"))).join(words, "word").select("id", F.col("form").alias("token")).distinct()
+    hits = asked.join(held.withColumn("held", F.lit(1)), ["id", "token"], "left").groupBy("id").agg(F.count("*").alias("n"), F.count("held").alias("hits"))
     known = evidence.where(T.match_key(F.col("text")) != "").select("id").distinct().withColumn("known", F.lit(True))
     both = rows.join(hits, "id", "left").join(known, "id", "left")
     n, share = F.coalesce("n", F.lit(0)), F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0))
@@ -306,13 +344,21 @@ def route_queries(df: DataFrame, text: str = "query") -> DataFrame:
     return df.withColumn("route", F.when(F.size(words) == 0, "empty").when(F.size(rest) == 0, "greeting").otherwise("search"))
 
 
-def resolve_references(turns: DataFrame, names: DataFrame, back: int = 4) -> DataFrame:
-    """Messages that point to someone, with the name that the last ``back`` messages mentioned last. turns: conv_id, turn, text; names: word."""
-    words = turns.select("conv_id", "turn", F.posexplode(F.split(T.match_key(F.col("text")), " ")).alias("pos", "word"))
-    named = words.join(names.select("word").distinct(), "word").groupBy("conv_id", "turn").agg(F.max_by("word", "pos").alias("mention"))
+def resolve_references(turns: DataFrame, people: DataFrame, back: int = 4) -> DataFrame:
+    """Messages that point to someone, with a name of the last of the ``back`` messages before that mentions any: of several the first by name.
+
+    A message mentions a name that it holds anywhere, or by a part of 3 characters or
+    more. turns: conv_id, turn, text; people: full_name.
+    """
+    key = ["conv_id", "turn"]
+    names = people.select("full_name", T.query_key(F.col("full_name")).alias("phrase")).where("phrase != ''").groupBy("phrase").agg(F.min("full_name").alias("mention"))
+    whole = L.substring_hits(turns.select(*key, T.query_key(F.col("text")).alias("text")), names, key).join(names, "phrase")
+    parts = names.select("mention", F.explode(F.split("phrase", " ")).alias("token")).where(F.length("token") > 2).groupBy("token").agg(F.min("mention").alias("mention"))
+    partly = L.token_hits(parts, turns.select(*key, "text"), key).join(parts, "token")
+    named = whole.select(*key, "mention").union(partly.select(*key, "mention")).groupBy(*key).agg(F.min("mention").alias("mention"))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-back, -1)
-    rows = turns.join(named, ["conv_id", "turn"], "left").withColumn("name", F.last("mention", ignorenulls=True).over(w))
-    return rows.withColumn("name", F.when(T.needs_reference(F.col("text")), F.col("name"))).select("conv_id", "turn", "name")
+    rows = turns.join(named, key, "left").withColumn("name", F.last("mention", ignorenulls=True).over(w))
+    return rows.withColumn("name", F.when(T.needs_reference(F.col("text")), F.col("name"))).select(*key, "name")
 
 
 def recent_context(turns: DataFrame, n: int = 8) -> DataFrame:

@@ -17,15 +17,30 @@ def _tokens(least, text="text"):
     return f"list_distinct(list_filter(string_split({_KEY.format(text)}, ' '), lambda w: length(w) >= {least} and w not in ({_STOP})))"
 
 
-def _index(spark, sf_dir):
-    return R.token_table(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
-
-
-def _asked(spark, sf_dir):
-    return R.token_table(table(spark, sf_dir, "benchmark"), ["item_id"], "text").select(F.col("item_id").alias("query_id"), "token")
+#: Search keys, terms of questions, variants of words and words in a text, in SQL.
+_QKEY = r"trim(regexp_replace(regexp_replace(translate(lower(strip_accents({0})), chr(8217) || '`', chr(39) || chr(39)), '([a-z])&([a-z])', '\1a\2', 'g'), '\s+', ' ', 'g'))"
+_TERMS = r"list_filter(regexp_extract_all({0}, '[a-z0-9][a-z0-9+._\-]*'), lambda t: length(t) > 2)"
+_VARIANTS = """list_distinct(list_filter(list_transform([{0}, case when {0} like '%ies' and length({0}) > 4 then left({0}, length({0}) - 3) || 'y' end, case when {0} like '%es' and length({0}) > 3 then left({0}, length({0}) - 2) end,
+  case when length({0}) <= 3 then null when {0} like '%s' then left({0}, length({0}) - 1) else {0} || 's' end, case when {0} like '%ing' and length({0}) > 5 then left({0}, length({0}) - 3) end, case when {0} like '%ed' and length({0}) > 4 then left({0}, length({0}) - 2) end],
+  lambda x: trim(x, '-_. ')), lambda x: length(x) >= 3))"""
+_HELD = r"case when contains({0}, form) then regexp_matches({0}, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(form) || case when length(form) >= 4 then '[a-z0-9]*' else '' end || '($|[^\p{{L}}\p{{N}}_])') else false end"
+_HITS = rf"""terms as (select item_id as query_id, unnest({_TERMS.format(_QKEY.format('text'))}) as term from benchmark), asked as (select distinct query_id, token from (select query_id, unnest({_VARIANTS.format('term')}) as token from terms) where length(token) >= 4),
+ forms as (select token, unnest({_VARIANTS.format('token')}) as form from (select distinct token from asked)), d as (select doc_id as chunk_id, source as person, {_QKEY.format('text')} as key from documents),
+ w as (select chunk_id, person, unnest(list_distinct(string_split_regex(key, '[^\p{{L}}\p{{N}}_]+'))) as word from d), v as (select distinct word from w),
+ tw as (select distinct token, word from forms join v on left(word, 3) = left(form, 3) where regexp_full_match(form, '[\p{{L}}\p{{N}}_]+') and (word = form or (length(form) >= 4 and starts_with(word, form) and regexp_full_match(substr(word, length(form) + 1), '[a-z0-9]*')))),
+ near as (select token, form, chunk_id, person, key from forms join d on contains(key, form) where not regexp_full_match(form, '[\p{{L}}\p{{N}}_]+')),
+ hit as (select token, chunk_id, person from tw join w using (word) union select token, chunk_id, person from near where {_HELD.format('key')})"""
+
+
+def _chunks(spark, sf_dir):
+    """Documents as chunks: a type by the id; the source is the owner."""
+    n = F.col("doc_id") % 4
+    kind = F.when(n == 0, "project_entry").when(n == 1, "projects").when(n == 2, "profile").otherwise("skills")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("user_id"), kind.alias("chunk_type"), F.col("text").alias("content"))
 
 
-_INDEX = f"idx as (select doc_id as chunk_id, source as person, unnest({_tokens(4)}) as token from documents), asked as (select item_id as query_id, unnest({_tokens(4)}) as token from benchmark)"
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"""with {ctes("profiles", "participations")}, e as (select profile_id as user_id, project_name, row_number() over (partition by profile_id order by participation_id) - 1 as idx from participations)
@@ -64,16 +79,9 @@ def vector_topk_scoped(spark, sf_dir):
     return R.vector_topk_scoped(rows.where("id % 100 = 0"), rows, "label").select("query_id", "id", "place")
 
 
-def _kinds(spark, sf_dir):
-    """A type for each document as a chunk, by its id; its source is its owner."""
-    n = F.col("doc_id") % 4
-    kind = F.when(n == 0, "project_entry").when(n == 1, "projects").when(n == 2, "profile").otherwise("skills")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("user_id"), kind.alias("chunk_type"))
-
-
 _KINDS = "kinds as (select doc_id as chunk_id, source as user_id, case doc_id % 4 when 0 then 'project_entry' when 1 then 'projects' when 2 then 'profile' else 'skills' end as chunk_type from documents)"
-_RARE = f"""{_INDEX}, {_KINDS}, h as (select token, count(*) as hits from idx group by 1 having count(*) <= greatest(8, floor((select count(*) from documents) * 0.15))),
- summed as (select query_id, chunk_id, round(sum(1 / hits), 9) as score from asked join h using (token) join idx using (token) group by 1, 2),
+_RARE = f"""{_HITS}, {_KINDS}, h as (select token, count(*) as hits from hit group by 1 having count(*) <= greatest(8, floor((select count(*) from documents) * 0.15))),
+ summed as (select query_id, chunk_id, round(sum(1 / hits), 9) as score from asked join h using (token) join hit using (token) group by 1, 2),
  top as (select query_id, chunk_id, user_id, score, row_number() over (partition by query_id order by score desc, case chunk_type when 'project_entry' then 0 when 'projects' then 1 when 'profile' then 2 else 3 end, chunk_type, chunk_id)::integer as place from summed join kinds using (chunk_id) qualify place <= 18),
  prof as (select user_id, min(chunk_id) as chunk_id from kinds where chunk_type = 'profile' group by 1),
  more as (select query_id, prof.chunk_id, 0.0::double as score, (min(place) + 18)::integer as place from top join prof using (user_id) group by 1, 2),
@@ -82,32 +90,50 @@ _RARE = f"""{_INDEX}, {_KINDS}, h as (select token, count(*) as hits from idx gr
 
 @query(f"with {_RARE} select * from rare")
 def rare_token_search(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").count()
-    index, kinds = _index(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "token"), _kinds(spark, sf_dir)
-    found = R.rare_token_search(_asked(spark, sf_dir), index, kinds, n)
-    profiles = kinds.where("chunk_type = 'profile'").groupBy("user_id").agg(F.min("chunk_id").alias("chunk_id"))
-    return R.with_profiles(found, kinds, profiles)
+    chunks = _chunks(spark, sf_dir)
+    profiles = chunks.where("chunk_type = 'profile'").groupBy("user_id").agg(F.min("chunk_id").alias("chunk_id"))
+    return R.with_profiles(R.rare_token_search(_questions(spark, sf_dir), chunks), chunks, profiles)
+
+
+_NAMES = """people as (select min(p_partkey) as user_id, full_name from (select p_partkey, case p_partkey % 3 when 0 then p_name || ' Ünit' || (p_partkey // 3)::varchar when 1 then p_name else split_part(p_name, ' ', 2) || (p_partkey // 7)::varchar end as full_name from part) group by 2),
+ q as (select p_partkey as query_id, case p_partkey % 5 when 0 then 'Tell me about ' || full_name || ' please' when 1 then 'who is ' || string_split(full_name, ' ')[-1] || '?' when 2 then 'is x' || upper(full_name) || '7 one' when 3 then string_split(full_name, ' ')[1] || 's of old' else 'nobody' end as query from part join (select user_id, full_name from people) n on p_partkey = user_id)"""
+_NAMED = rf"""{_NAMES}, k as (select user_id, {_QKEY.format('full_name')} as name from people), w as (select distinct user_id, unnest(string_split(name, ' ')) as word from k), wide as (select word, count(*) as people, min(user_id) as user_id from w where length(word) > 2 group by 1),
+ qk as (select query_id, {_QKEY.format('query')} as qkey from q), f as (select word, unnest({_VARIANTS.format('word')}) as form from wide), qw as (select distinct query_id, unnest(string_split_regex(qkey, '[^\p{{L}}\p{{N}}_]+')) as said from qk),
+ asks as (select distinct query_id, word from qw join f on left(said, 3) = left(form, 3) and (said = form or (length(form) >= 4 and starts_with(said, form) and regexp_full_match(substr(said, length(form) + 1), '[a-z0-9]*'))))"""
+
 
+def _names(spark, sf_dir):
+    """People of one, two and three words and questions with whole names, last words, names inside words, plurals and none."""
+    n, key = F.col("p_partkey") % 3, F.col("p_partkey")
+    second = F.get(F.split("p_name", " "), F.lit(1))
+    whole = F.when(n == 0, F.concat("p_name", F.lit(" Ünit"), F.floor(key / 3).cast("string"))).when(n == 1, F.col("p_name")).otherwise(F.concat(second, F.floor(key / 7).cast("string")))
+    people = table(spark, sf_dir, "part").groupBy(whole.alias("full_name")).agg(F.min("p_partkey").alias("user_id"))
+    m, words = F.col("user_id") % 5, F.split("full_name", " ")
+    text = (
+        F.when(m == 0, F.concat(F.lit("Tell me about "), "full_name", F.lit(" please"))).when(m == 1, F.concat(F.lit("who is "), F.element_at(words, -1), F.lit("?")))
+        .when(m == 2, F.concat(F.lit("is x"), F.upper("full_name"), F.lit("7 one"))).when(m == 3, F.concat(F.get(words, F.lit(0)), F.lit("s of old"))).otherwise("nobody")
+    )
+    return people.select(F.col("user_id").alias("query_id"), text.alias("query")), people
 
-@query("""with people as (select min(p_partkey) as user_id, p_name as full_name from part group by 2), q as (select p_partkey as query_id, case when p_partkey % 2 = 0 then 'about ' || p_name || ' now' else 'about ' || split_part(p_name, ' ', 2) end as query from part)
- select query_id, user_id, 'full' as how from q join people on query = 'about ' || full_name || ' now' union all
- select query_id, user_id, case when (select count(*) from people o where split_part(o.full_name, ' ', 2) = split_part(p.full_name, ' ', 2)) = 1 then 'word' else 'ambiguous' end from q join people p on split_part(query, ' ', 2) = split_part(p.full_name, ' ', 2) where query_id % 2 = 1""")
+
+@query(f"with {_NAMED} select query_id, user_id, min(how) as how from (select query_id, user_id, 'full' as how from qk join k on name <> '' and contains(qkey, name) union all select query_id, user_id, 'word' from asks join wide using (word) where people = 1) group by 1, 2")
 def name_scope(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    people = part.groupBy(F.col("p_name").alias("full_name")).agg(F.min("p_partkey").alias("user_id"))
-    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("about "), "p_name", F.lit(" now"))).otherwise(F.concat(F.lit("about "), F.get(F.split("p_name", " "), F.lit(1))))
-    return R.name_scope(part.select(F.col("p_partkey").alias("query_id"), text.alias("query")), people).select("query_id", "user_id", "how")
+    return R.name_scope(*_names(spark, sf_dir)).select("query_id", "user_id", "how")
+
+
+@query(f"with {_NAMED} select query_id, word, people from asks join wide using (word) where people > 1")
+def name_ambiguities(spark, sf_dir):
+    return R.name_ambiguities(*_names(spark, sf_dir)).select("query_id", "word", "people")
 
 
-@query(f"""with {_INDEX}, {_KINDS}, s as (select source as person, count(*) as n from documents group by 1), h as (select person, token, count(*) as hits from idx group by 1, 2),
+@query(f"""with {_HITS}, {_KINDS}, s as (select source as person, count(*) as n from documents group by 1), h as (select person, token, count(*) as hits from hit group by 1, 2),
  q as (select query_id, 'src' || (query_id % 20)::varchar as person, token from asked)
- select query_id, chunk_id, count(*) as matched, row_number() over (partition by query_id order by any_value(chunk_type) <> 'project_entry', count(*) desc, chunk_id)::integer as place from q join h using (person, token) join s using (person) join idx using (person, token) join kinds using (chunk_id) where hits <= 0.25 * n group by 1, 2 qualify place <= 14""")
+ select query_id, person as user_id, chunk_id, count(*) as matched, row_number() over (partition by query_id order by any_value(chunk_type) <> 'project_entry', chunk_id)::integer as place from q join h using (person, token) join s using (person) join hit using (person, token) join kinds using (chunk_id) where hits <= 0.25 * n and token <> person group by 1, 2, 3 qualify place <= 14""")
 def focus_tokens(spark, sf_dir):
-    index = _index(spark, sf_dir).select(F.col("source").alias("user_id"), F.col("doc_id").alias("chunk_id"), "token")
-    sizes = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("user_id")).agg(F.count("*").alias("n"))
-    asked = _asked(spark, sf_dir).withColumn("user_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
-    names = sizes.select("user_id", F.explode(F.split(T.match_key(F.col("user_id")), " ")).alias("token"))
-    return R.focus_rows(asked, index, sizes, _kinds(spark, sf_dir), names)
+    questions = _questions(spark, sf_dir)
+    scope = questions.select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("user_id"))
+    chunks = _chunks(spark, sf_dir)
+    return R.focus_rows(scope, questions, chunks, chunks.select("user_id", F.col("user_id").alias("full_name")).distinct())
 
 
 _LEXICAL = f"""{_RARE}, lex as (select query_id, chunk_id, place from rare),
@@ -135,11 +161,10 @@ def evidence_rows(spark, sf_dir):
     return R.evidence_rows(results).select("query_id", "person", "kind", "entity", F.sha2("text", 256).alias("text"), "evidence_id")
 
 
-@query(f"with {_INDEX}, p as (select token, list_sort(list(distinct person)) as people from idx group by 1) select distinct query_id, token, array_to_string(people, ',') as people from asked join p using (token) where len(people) < (select count(distinct source) from documents)")
+@query(f"with {_HITS}, p as (select token, list_sort(list(distinct person)) as people from hit group by 1) select distinct query_id, token, array_to_string(people, ',') as people from asked join p using (token) where len(people) < (select count(distinct source) from documents)")
 def token_people_matrix(spark, sf_dir):
-    index = _index(spark, sf_dir).select(F.col("source").alias("person"), "token")
-    people = table(spark, sf_dir, "documents").select(F.col("source").alias("person"))
-    return R.token_people(_asked(spark, sf_dir), index, people).select("query_id", "token", F.array_join("people", ",").alias("people"))
+    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("person"), "doc_id", "text")
+    return R.token_people(_questions(spark, sf_dir), texts, "doc_id").select("query_id", "token", F.array_join("people", ",").alias("people"))
 
 
 @query(f"""with w as (select conv_id as id, string_agg(case when turn % 5 = 1 then 'I don''t have that. ' when turn % 7 = 3 then '' else text end, ' ' order by turn) as text from conversations where role = 'assistant' group by 1),
@@ -218,14 +243,16 @@ def scope_rule(spark, sf_dir):
     return R.route_queries(asked).select("conv_id", "turn", "route")
 
 
-@query(f"""with names as (select distinct lower(split_part(p_name, ' ', 1)) as word from part union select 'the' union select 'que'), w as (select conv_id, turn, unnest(string_split({_KEY.format('text')}, ' ')) as word, generate_subscripts(string_split({_KEY.format('text')}, ' '), 1) as pos from conversations),
- m as (select conv_id, turn, arg_max(word, pos) as mention from w join names using (word) group by 1, 2),
+@query(f"""with names as (select {_QKEY.format('full_name')} as name, min(full_name) as mention from (select array_to_string(string_split(text, ' ')[1:2], ' ') as full_name from conversations where turn = 0) group by 1 having name <> ''),
+ t as (select conv_id, turn, text, {_QKEY.format('text')} as key from conversations), f as (select word, mention, unnest({_VARIANTS.format('word')}) as form from (select unnest(string_split(name, ' ')) as word, mention from names) where length(word) > 2),
+ m as (select conv_id, turn, min(mention) as mention from (select conv_id, turn, mention from t join names on contains(key, name) union all select conv_id, turn, mention from t join f on {_HELD.format('key')}) group by 1, 2),
  r as (select c.conv_id, c.turn, c.text, last_value(mention ignore nulls) over (partition by c.conv_id order by c.turn rows between 4 preceding and 1 preceding) as name from conversations c left join m on c.conv_id = m.conv_id and c.turn = m.turn)
  select conv_id, turn, case when list_has_any(string_split({_KEY.format('text')}, ' '), ['he', 'she', 'they', 'them', 'his', 'her', 'their', 'theirs', 'him', 'hers', 'other', 'another', 'else', 'same', 'former', 'latter', 'that', 'this']) then name end as name from r""")
 def resolve_references(spark, sf_dir):
-    words = table(spark, sf_dir, "part").select(F.lower(F.get(F.split("p_name", " "), F.lit(0))).alias("word"))
-    more = words.select(F.explode(F.array(F.lit("the"), F.lit("que"))).alias("word")).distinct()
-    return R.resolve_references(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), words.union(more))
+    """Names are the first two words of each conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    people = turns.where("turn = 0").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("full_name"))
+    return R.resolve_references(turns.select("conv_id", "turn", "text"), people)
 
 
 @query("select conv_id, turn, coalesce(string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between 8 preceding and 1 preceding), '') as context from conversations")

@@ -117,11 +117,13 @@ def cert_split_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.split_cert_names(text).alias("c")).select("p_partkey", "c.*")
 
 
-@query("""with w as (select p_partkey, lower(split_part(p_name, ' ', 2)) || case p_partkey % 4 when 0 then 's' when 1 then 'ing' when 2 then 'ies' else '' end as w from part)
- select p_partkey, array_to_string(list_sort(list_distinct(list_filter([w, case when w like '%ies' then left(w, length(w) - 3) || 'y' end, case when w like '%es' and length(w) >= 5 then left(w, length(w) - 2) end, case when w like '%s' and length(w) >= 4 then left(w, length(w) - 1) end, case when w like '%ing' and length(w) >= 6 then left(w, length(w) - 3) end, case when w like '%ed' and length(w) >= 5 then left(w, length(w) - 2) end], lambda x: x is not null))), ',') as forms from w""")
+@query("""with w as (select p_partkey, lower(split_part(p_name, ' ', 2)) || case p_partkey % 6 when 0 then 's' when 1 then 'ing' when 2 then 'ies' when 3 then 'ed.' when 4 then 'es' else '' end as w from part)
+ select p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform([w, case when w like '%ies' and length(w) > 4 then left(w, length(w) - 3) || 'y' end, case when w like '%es' and length(w) > 3 then left(w, length(w) - 2) end, case when length(w) <= 3 then null when w like '%s' then left(w, length(w) - 1) else w || 's' end,
+  case when w like '%ing' and length(w) > 5 then left(w, length(w) - 3) end, case when w like '%ed' and length(w) > 4 then left(w, length(w) - 2) end], lambda x: trim(x, '-_. ')), lambda x: length(x) >= 3))), ',') as forms from w""")
 def token_variants(spark, sf_dir):
-    n = F.col("p_partkey") % 4
-    word = F.concat(F.get(F.split("p_name", " "), F.lit(1)), F.when(n == 0, "s").when(n == 1, "ing").when(n == 2, "ies").otherwise(""))
+    n = F.col("p_partkey") % 6
+    ending = F.when(n == 0, "s").when(n == 1, "ing").when(n == 2, "ies").when(n == 3, "ed.").when(n == 4, "es").otherwise("")
+    word = F.concat(F.get(F.split("p_name", " "), F.lit(1)), ending)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(T.token_variants(word)), ",").alias("forms"))
 
 
@@ -134,10 +136,11 @@ def query_tokens(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join(F.array_sort(T.tokens(F.col("text"))), " ").alias("words"))
 
 
-@query(f"select doc_id, lang, len(list_filter(string_split({_KEY.format('text')}, ' '), lambda t: t = w or (length(w) >= 4 and starts_with(t, w)))) > 0 as hit from (select *, case lang when 'en' then 'ther' when 'fr' then 'des' else 'und' end as w from documents) d")
+@query(r"""with w as (select doc_id, lang, regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g') as key, unnest(case lang when 'en' then ['theries', 'thery', 'theri', 'therie'] when 'fr' then ['des'] when 'es' then ['ands', 'and'] else ['unding', 'und', 'undings'] end) as form from documents)
+ select doc_id, lang, bool_or(regexp_matches(key, '(^|[^\p{L}\p{N}_])' || form || case when length(form) >= 4 then '[a-z0-9]*' else '' end || '($|[^\p{L}\p{N}_])')) as hit from w group by 1, 2""")
 def contains_word(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
-    word = F.when(F.col("lang") == "en", "ther").when(F.col("lang") == "fr", "des").otherwise("und")
+    word = F.when(F.col("lang") == "en", "theries").when(F.col("lang") == "fr", "des").when(F.col("lang") == "es", "ands").otherwise("unding")
     return rows.select("doc_id", "lang", T.contains_word(F.col("text"), word).alias("hit"))
 
 

@@ -1,30 +1,74 @@
 """Retrieval on hand-made rows with known answers."""
 
+import pytest
+
 from crewlens.operators import retrieval as R
 
-KINDS = [(1, "ann", "profile"), (2, "ann", "projects"), (3, "ann", "project_entry"), (4, "bo", "skills"), (5, "bo", "profile")]
+CHUNKS = [
+    (1, "ann", "profile", "Ann Smith likes Kafka"), (2, "ann", "projects", "Kafka work"), (3, "ann", "project_entry", "kafka, kafkaesque"),
+    (4, "bo", "skills", "Apache KAFKA"), (5, "bo", "profile", "Bo Ek"), (6, "ann", "skills", "Smith charts"), (7, "ann", "experience_entry", "spark at Smith & Co."), (8, "ann", "education", "school"),
+]
+PEOPLE = [("ann", "Ann Smith"), ("bo", "Bo Ek")]
+
 
+@pytest.fixture(scope="module")
+def chunks(spark):
+    return spark.createDataFrame(CHUNKS, "chunk_id long, user_id string, chunk_type string, content string").cache()
 
-def kinds(spark):
-    return spark.createDataFrame(KINDS, "chunk_id long, user_id string, chunk_type string")
 
+def questions(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts, 7)), "query_id long, query string")
 
-def test_rare_tokens_entries_first_then_profiles(spark):
-    index = spark.createDataFrame([(1, "kafka"), (2, "kafka"), (3, "kafka"), (4, "kafka")], "chunk_id long, token string")
-    asked = spark.createDataFrame([(7, "kafka"), (8, "spark")], "query_id long, token string")
-    found = R.rare_token_search(asked, index, kinds(spark), 5, k=3)
+
+def test_rare_tokens_entries_first_then_profiles(spark, chunks):
+    asked = questions(spark, "Who used kafkas?", "flink")
+    found = R.rare_token_search(asked, chunks, k=3)
     assert [(r.query_id, r.chunk_id) for r in found.orderBy("place").collect()] == [(7, 3), (7, 2), (7, 1)]
-    found = R.rare_token_search(asked, index, kinds(spark), 5)
-    rows = R.with_profiles(found, kinds(spark), kinds(spark).where("chunk_type = 'profile'")).orderBy("place").collect()
+    found = R.rare_token_search(asked, chunks)
+    rows = R.with_profiles(found, chunks, chunks.where("chunk_type = 'profile'")).orderBy("place").collect()
     assert [(r.chunk_id, r.place) for r in rows] == [(3, 1), (2, 2), (1, 3), (4, 4), (5, 22)]
+    # More than the rare limit hold it.
+    assert R.rare_token_search(asked, chunks, least=3, share=0.0).count() == 0
+
+
+def test_focus_leaves_out_the_own_name(spark, chunks):
+    people = spark.createDataFrame(PEOPLE, "user_id string, full_name string")
+    scope = spark.createDataFrame([(7, "ann")], "query_id long, user_id string")
+    found = R.focus_rows(scope, questions(spark, "smiths charts, spark, kafka"), chunks, people)
+    # Three of six chunks hold kafka, three smith: more than a quarter. The own name doesn't count, its plural does.
+    assert [(r.chunk_id, r.place) for r in found.orderBy("place").collect()] == [(7, 1), (6, 2)]
+
+
+def test_names_of_any_length(spark):
+    people = spark.createDataFrame([(1, "Ana Maria Lopez"), (2, "Ana Maria Silva"), (3, "Zoé"), (4, "Bo Ek"), (5, None), (6, " ")], "user_id long, full_name string")
+    asked = questions(spark, "tell me about Ana Maria Lopez please", "who is zoe?", "xbo ekx", "silvas and lopez", "ana", "Bo", None, "")
+    got = {(r.query_id, r.user_id): r.how for r in R.name_scope(asked, people).collect()}
+    # A part is looked for with its variants: silvas is a plural of silva, and begins with it.
+    assert got == {(7, 1): "full", (8, 3): "full", (9, 4): "full", (10, 2): "word", (10, 1): "word"}
+    shared = {(r.query_id, r.word): r.people for r in R.name_ambiguities(asked, people).collect()}
+    assert shared == {(7, "ana"): 2, (7, "maria"): 2, (11, "ana"): 2}
+
+
+def test_references(spark):
+    people = spark.createDataFrame([("Zoé Alder",), ("Ann Smith",)], "full_name string")
+    turns = ["Zoe Alder and Ann Smith", "what did she do", "more on alders", "and the other?", "-", "-", "-", "-", "his age", None]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(turns)], "conv_id long, turn long, text string")
+    got = {r.turn: r.name for r in R.resolve_references(rows, people).collect()}
+    assert got == {0: None, 1: "Ann Smith", 2: None, 3: "Zoé Alder", 4: None, 5: None, 6: None, 7: None, 8: None, 9: None}
+
+
+def test_token_people(spark):
+    texts = spark.createDataFrame([("ann", 1, "java"), ("ann", 2, "node.js tools"), ("bo", 1, "javascript and tool"), ("cy", 1, "")], "person string, n long, text string")
+    got = {r.token: r.people for r in R.token_people(questions(spark, "java tools node.js cobol"), texts, "n").collect()}
+    assert got == {"java": ["ann", "bo"], "javas": ["ann", "bo"], "tools": ["ann", "bo"], "tool": ["ann", "bo"], "node.js": ["ann"], "node.j": ["ann"]}
 
 
-def test_focus_leaves_out_the_own_name(spark):
-    index = spark.createDataFrame([("ann", 1, "smith"), ("ann", 2, "kafka"), ("ann", 3, "spark")], "user_id string, chunk_id long, token string")
-    asked = spark.createDataFrame([(7, "ann", t) for t in ("smith", "kafka", "spark")], "query_id long, user_id string, token string")
-    sizes = spark.createDataFrame([("ann", 8)], "user_id string, n long")
-    names = spark.createDataFrame([("ann", "smith")], "user_id string, token string")
-    assert [r.chunk_id for r in R.focus_rows(asked, index, sizes, kinds(spark), names).orderBy("place").collect()] == [3, 2]
+def test_groundedness_of_long_words(spark):
+    """A word of a million letters is cut at the lengths of asked tokens only."""
+    answers = spark.createDataFrame([(1, "spark kafka engineering"), (2, "cobol")], "id long, text string")
+    evidence = spark.createDataFrame([(1, "sparkle " + "kafka" * 200000), (2, "x" * 60000)], "id long, text string")
+    got = {r.id: (r.share, r.grounded, r.in_results) for r in R.groundedness(answers, evidence).collect()}
+    assert got == {1: (round(2 / 3, 9), True, True), 2: (0.0, False, False)}
 
 
 ROWS = [
