@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from crewlens.catalog import query
 from crewlens.functions import text as T
+from crewlens.operators import chunks as K
 from crewlens.operators import retrieval as R
-from crewlens.plans.standins import ctes, participations, profiles, table
+from crewlens.plans.standins import AS_OF, certs, ctes, participations, table
 
 _KEY = "trim(regexp_replace(lower(replace(strip_accents({0}), '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -43,20 +44,83 @@ def _questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query(f"""with {ctes("profiles", "participations")}, e as (select profile_id as user_id, project_name, row_number() over (partition by profile_id order by participation_id) - 1 as idx from participations)
- select user_id::varchar || '_profile_0' as chunk_id, 'profile' as chunk_type, sha256(full_name || ': ' || segment) as content from (select profile_id as user_id, full_name, segment from profiles)
- union all select user_id::varchar || '_project_entry_' || idx::varchar, 'project_entry', sha256(project_name) from e
- union all select user_id::varchar || '_project_0', 'project', sha256(string_agg(project_name, '; ' order by idx)) from e group by user_id""")
+_PEOPLE = f"""{ctes("participations", "certs")}, people as (select c_custkey as user_id, c_name as person, case when c_custkey % 5 > 0 then lower(c_name) || '@x.example' end as email, case when c_custkey % 7 > 0 then c_mktsegment end as title, c_nationkey as years from customer),
+ kc as (select profile_id as user_id, cert_name as name, bool_or(is_uploaded) as up, arg_max(issuer, (cert_id, issuer)) filter (where cert_id % 3 > 0) as credential_id, arg_max(expiration_date, (cert_id, expiration_date)) filter (where expiration_date is not null) as until, min(cert_id) as pos from certs group by 1, 2),
+ pc as (select o_custkey as user_id, case when o_orderkey % 2 = 0 then o_orderpriority else 'red gear' end as name, min(o_orderkey) as pos from orders group by 1, 2),
+ mc as (select user_id, name, coalesce(up, false) as up, credential_id, until, row_number() over (partition by user_id order by pc.pos is null, coalesce(pc.pos, kc.pos), name) - 1 as n from pc full join kc using (user_id, name) where coalesce(up, false)),
+ cl as (select *, until < date '{AS_OF}' as old, strftime(until, '%Y-%m-%d') as day from mc join people using (user_id)),
+ jobs as (select o_custkey as user_id, o_orderkey as pos, case when o_orderkey % 4 > 0 then o_orderpriority else 'Unknown' end as company, 'Role ' || o_orderstatus as role, strftime(o_orderdate, '%Y-%m') as a, case when o_orderstatus = 'F' then '2000' else '' end as b, case when o_orderkey % 3 = 0 then 'Built unit ' || (o_orderkey % 50)::varchar else '' end as told from orders where o_orderkey % 2 = 0),
+ jl as (select *, row_number() over (partition by user_id order by pos) - 1 as n from jobs join people using (user_id)),
+ sl as (select *, row_number() over (partition by user_id order by pos) - 1 as n from (select o_custkey as user_id, o_orderkey as pos, case o_orderkey % 4 when 0 then '' else 'MSc' end as degree, case o_orderkey % 8 when 2 then 'Physics' else '' end as field, case o_orderkey % 4 when 0 then '' else 'School ' || (o_orderkey % 9)::varchar end as place, case o_orderkey % 6 when 0 then '1990' else '' end as b from orders where o_orderkey % 5 = 0) x join people using (user_id)),
+ pl as (select *, row_number() over (partition by user_id order by pos) - 1 as n, case when raw = '' or lower(raw) = 'unknown project' then 'Project for ' || client else raw end as project from (select profile_id as user_id, participation_id as pos, case participation_id % 6 when 0 then '' when 1 then 'Unknown Project' else project_name end as raw, case when participation_id % 4 = 0 then 'Unknown client' else 'Client ' || (participation_id % 11)::varchar end as client, case when complexity = 'high' then year(start_date)::varchar else '' end as y, case when participation_id % 3 = 0 then 'Moved ' || project_name else '' end as told from participations) x join people using (user_id))"""
+_CHUNKS = f"""{_PEOPLE}, chunks as (
+ select user_id, 'profile' as chunk_type, null::bigint as n, concat_ws(chr(10), person || ' is a ' || coalesce(title, 'Employee') || '.', case when years > 0 then 'They have approximately ' || years::varchar || ' years of experience.' end, 'Recorded work experience entries: ' || (select count(*) from jobs where jobs.user_id = people.user_id)::varchar || '.', 'Recorded project entries: ' || (select count(*) from pl where pl.user_id = people.user_id)::varchar || '.', 'Email: ' || email) as content, '' as told from people
+ union all select user_id, 'skills', null, person || ' - Skills:' || chr(10) || '- ' || c_mktsegment || chr(10) || '- SQL', '' from people join customer on user_id = c_custkey
+ union all select user_id, 'certification_entry', n, concat_ws(chr(10), 'Certification Entry for ' || person, 'Certification: ' || name, 'Status: Verified via direct upload', 'Expiration: ' || day || case when old then ' (EXPIRED — do not present as currently active)' else '' end, 'Credential ID: ' || credential_id), name || '|' || coalesce(old, false)::varchar from cl
+ union all select user_id, 'certifications', null, person || ' - Certifications:' || chr(10) || string_agg('- ' || person || ': ' || name || ' [Verified via direct upload]' || case when old then ' [Expired since ' || day || ']' else '' end || case when credential_id is not null then ' (ID: ' || credential_id || ')' else '' end, chr(10) order by n), string_agg(name, '|' order by n) from cl group by user_id, person
+ union all select user_id, 'experience_entry', n, concat_ws(chr(10), 'Experience Entry for ' || person, 'Company: ' || company, 'Role: ' || role, 'Start date: ' || a, case when b <> '' then 'End date: ' || b end, case when told <> '' then 'Description: ' || told end), company || '|' || role || '|' || a || '|' || b from jl
+ union all select user_id, 'experience', null, person || ' - Work Experience:' || chr(10) || string_agg('- ' || person || ' at ' || company || ': ' || role || ' (' || a || ' - ' || case when b <> '' then b else 'Present' end || ').' || case when told <> '' then chr(10) || '  ' || told else '' end, chr(10) order by n), count(*)::varchar from jl group by user_id, person
+ union all select user_id, 'education_entry', n, concat_ws(chr(10), 'Education Entry for ' || person, case when degree <> '' then 'Degree: ' || degree end, case when field <> '' then 'Field of study: ' || field end, case when place <> '' then 'Institution: ' || place end, case when b <> '' then 'End date: ' || b end), degree || '|' || field || '|' || place || '|' || b from sl
+ union all select user_id, 'education', null, person || ' - Education:' || chr(10) || string_agg('- ' || person || ': ' || case when degree || field || place || b = '' then '(details not available)' else concat_ws(' ', case when degree <> '' then degree end, case when field <> '' then 'in ' || field end, case when place <> '' then 'from ' || place end, case when b <> '' then '(' || b || ')' end) end, chr(10) order by n), '' from sl group by user_id, person
+ union all select user_id, 'project_entry', n, concat_ws(chr(10), 'Project Entry for ' || person, 'Project name: ' || project, 'Client: ' || client, case when y <> '' then 'Year: ' || y end, case when told <> '' then 'Description: ' || told end), project || '|' || client || '|' || y || '|' || told from pl
+ union all select user_id, 'projects', null, person || ' - Projects:' || chr(10) || string_agg('- ' || person || ': ' || project || case when y <> '' then ' (' || y || ')' else '' end || '.' || case when told <> '' then chr(10) || '  ' || told else '' end, chr(10) order by n), count(*)::varchar from pl group by user_id, person)"""
+
+
+def _workforce(spark, sf_dir):
+    """People with skills, certifications of a parse and of the tables, jobs, schools and projects, some fields blank."""
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    people = table(spark, sf_dir, "customer").select(
+        key.alias("user_id"), F.col("c_name").alias("name"), F.when(key % 5 > 0, F.concat(F.lower("c_name"), F.lit("@x.example"))).alias("email"), F.when(key % 7 > 0, F.col("c_mktsegment")).alias("title"),
+        F.col("c_nationkey").cast("int").alias("years"), F.when(key % 2 == 0, " ").alias("summary"), F.array("c_mktsegment", F.lit("SQL"), F.lit(" "), F.col("c_mktsegment")).alias("skills"),
+    )
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "user_id").withColumn("pos", order)
+    held = certs(spark, sf_dir)
+    known = held.select(F.col("profile_id").alias("user_id"), F.col("cert_id").alias("pos"), F.col("cert_name").alias("name"), "is_uploaded", F.when(F.col("cert_id") % 3 > 0, F.col("issuer")).alias("credential_id"), "expiration_date")
+    parsed = orders.select("user_id", "pos", F.when(order % 2 == 0, F.col("o_orderpriority")).otherwise("red gear").alias("name"))
+    blank = lambda when, value: F.when(when, value).otherwise("")
+    jobs = orders.where(order % 2 == 0).select(
+        "user_id", "pos", F.when(order % 4 > 0, F.col("o_orderpriority")).alias("company_name"), F.concat(F.lit("Role "), "o_orderstatus").alias("job_title"), F.date_format("o_orderdate", "yyyy-MM").alias("start_date"),
+        F.when(F.col("o_orderstatus") == "F", "2000").alias("end_date"), blank(order % 3 == 0, F.concat(F.lit(" Built unit "), (order % 50).cast("string"))).alias("description"),
+    )
+    schools = orders.where(order % 5 == 0).select("user_id", "pos", blank(order % 4 > 0, F.lit("MSc")).alias("degree"), F.when(order % 8 == 2, "Physics").alias("field_of_study"), blank(order % 4 > 0, F.concat(F.lit("School "), (order % 9).cast("string"))).alias("institution"), F.when(order % 6 == 0, "1990").alias("end_date"))
+    part = F.col("participation_id")
+    projects = participations(spark, sf_dir).select(
+        F.col("profile_id").alias("user_id"), part.alias("pos"), F.when(part % 6 == 1, "Unknown Project").when(part % 6 > 0, F.col("project_name")).alias("project_name"), F.when(part % 4 > 0, F.concat(F.lit("Client "), (part % 11).cast("string"))).alias("client_name"),
+        F.when(F.col("complexity") == "high", F.year("start_date")).alias("project_year"), F.when(part % 3 == 0, F.concat(F.lit("Moved "), "project_name")).alias("project_description"),
+    )
+    return people, K.merged_certs(parsed, known), jobs, schools, projects
+
+
+def _typed(spark, sf_dir):
+    return K.typed_chunks(*_workforce(spark, sf_dir), F.lit(AS_OF).cast("date"))
+
+
+@query(f"with {_CHUNKS} select user_id::varchar || '_' || chunk_type || coalesce('_' || n::varchar, '') as chunk_id, user_id, chunk_type, sha256(content) as content, told from chunks")
 def build_chunks(spark, sf_dir):
-    people = profiles(spark, sf_dir).select(F.col("profile_id").alias("user_id"), F.col("full_name").alias("name"), F.col("segment").alias("headline"))
-    entries = participations(spark, sf_dir).select(F.col("profile_id").alias("user_id"), F.col("participation_id").alias("pos"), F.col("project_name").alias("entry"))
-    return R.build_chunks(people, {"project": entries}).select("chunk_id", "chunk_type", F.sha2("content", 256).alias("content"))
+    """All chunks of all people, with what their metadata tells by type."""
+    get = lambda name, kind="string": F.try_variant_get("metadata", f"$.{name}", kind)
+    joined = lambda *names: F.concat_ws("|", *(get(n) for n in names))
+    kind = F.col("chunk_type")
+    told = (
+        F.when(kind == "certification_entry", joined("certification_name", "is_expired")).when(kind == "certifications", F.array_join(get("certifications", "array<string>"), "|"))
+        .when(kind == "experience_entry", joined("company_name", "job_title", "start_date", "end_date")).when(kind == "experience", get("experience_count"))
+        .when(kind == "education_entry", joined("degree", "field_of_study", "institution", "end_date")).when(kind == "project_entry", joined("project_name", "client_name", "project_year", "project_description"))
+        .when(kind == "projects", get("project_count")).otherwise("")
+    )
+    return _typed(spark, sf_dir).select("chunk_id", "user_id", "chunk_type", F.sha2("content", 256).alias("content"), told.alias("told"))
 
 
-@query("select (c_custkey // 100)::bigint as page, count(*) as people, sha256(string_agg(c_name || ', ' || c_mktsegment, chr(10) order by c_custkey)) as content from customer group by 1")
+@query(f"""with {_PEOPLE}, w as (select user_id, count(*) as n_jobs, list_sort(list(distinct company) filter (where pos % 4 > 0)) as companies from jobs group by 1), b as (select user_id, count(*) as n_projects from pl group by 1),
+ r as (select row_number() over (order by c_mktsegment, person, user_id) - 1 as n, count(*) over () as total, p.*, coalesce(n_jobs, 0) as n_jobs, coalesce(n_projects, 0) as n_projects, companies from people p join customer on user_id = c_custkey left join w using (user_id) left join b using (user_id))
+ select 'directory_' || (n // 100)::varchar as chunk_id, any_value(total) as total, sha256('Employee Directory - ' || any_value(total)::varchar || ' employee(s) total:' || chr(10) || string_agg('- ' || person || ' | role=' || coalesce(title, 'Employee') || ' | email=' || coalesce(email, '') || ' | experience_entries=' || n_jobs::varchar || ' | project_count=' || n_projects::varchar
+  || case when years > 0 then ' | experience_years~' || years::varchar else '' end || case when len(companies) > 0 then ' | companies=' || array_to_string(companies, '; ') else '' end, chr(10) order by n)) as content, string_agg(person || ':' || n_jobs::varchar, ',' order by n) as told from r group by n // 100""")
 def directory_chunk(spark, sf_dir):
-    people = profiles(spark, sf_dir).select(F.col("profile_id").alias("user_id"), F.col("full_name").alias("name"), F.col("segment").alias("headline"))
-    return R.directory_pages(people).withColumn("content", F.sha2("content", 256))
+    people, _, jobs, _, projects = _workforce(spark, sf_dir)
+    sorts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("last_name"), F.col("c_name").alias("first_name"))
+    pages = K.directory_chunks(people.join(sorts, "user_id"), jobs, projects, name=F.col("first_name"))
+    listed = F.from_json(F.try_variant_get("metadata", "$.employees", "variant").cast("string"), "array<struct<name string, experience_entries int>>")
+    told = F.array_join(F.transform(listed, lambda e: F.concat(e["name"], F.lit(":"), e["experience_entries"].cast("string"))), ",")
+    return pages.select("chunk_id", F.try_variant_get("metadata", "$.total_employees", "long").alias("total"), F.sha2("content", 256).alias("content"), told.alias("told"))
 
 
 @query("select doc_id as chunk_id, len(embedding) as dims from documents left join embeddings on doc_id = vec_id")
@@ -136,6 +200,18 @@ def focus_tokens(spark, sf_dir):
     return R.focus_rows(scope, questions, chunks, chunks.select("user_id", F.col("user_id").alias("full_name")).distinct())
 
 
+_SPOKEN = """q as (select user_id as query_id, case user_id % 4 when 0 then 'What did ' || person || ' build at client ' || (user_id % 11)::varchar || '?' when 1 then 'Who moved 1-urgent ' || (1992 + user_id % 7)::varchar || ' and holds red gears' when 2 then 'Brand#' || (user_id % 25 + 1)::varchar || ' certified' else 'anybody' end as query from people where user_id % 10 = 0)"""
+
+
+def _asked_people(people):
+    n, key = F.col("user_id") % 4, F.col("user_id")
+    text = (
+        F.when(n == 0, F.concat(F.lit("What did "), "name", F.lit(" build at client "), (key % 11).cast("string"), F.lit("?"))).when(n == 1, F.concat(F.lit("Who moved 1-urgent "), (key % 7 + 1992).cast("string"), F.lit(" and holds red gears")))
+        .when(n == 2, F.concat(F.lit("Brand#"), (key % 25 + 1).cast("string"), F.lit(" certified"))).otherwise("anybody")
+    )
+    return people.where("user_id % 10 = 0").select(F.col("user_id").alias("query_id"), text.alias("query"))
+
+
 _LEXICAL = f"""{_RARE}, lex as (select query_id, chunk_id, place from rare),
  vec as (select q.vec_id as query_id, x.vec_id as chunk_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], x.embedding::double[]) desc, x.vec_id) as place from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id in (select item_id from benchmark) qualify place <= 5),
  merged as (select *, 0 as branch from lex union all select *, 1 from vec), one as (select * from merged qualify row_number() over (partition by query_id, chunk_id order by branch, place) = 1)"""
