@@ -10,11 +10,11 @@ The bands come from all documents: for each language (or script, where no
 language is given) the quartiles of each measure over the documents that the
 base rules keep; a document is rejected where a measure lies further outside
 than REACH times the distance of the quartiles and its own sampling error, which
-shrinks with the root of its words. Measures are counted by small steps before quartiles are taken, so that a language of a third
-of all rows is some hundred counts.
+shrinks with the root of its words. Measures are counted by small steps before
+quartiles are taken, so that a language of a third of all rows is some hundred counts.
 
 Texts pass Arrow batches whole, some MB or one longer text at a time; equal words
-of a batch are spelled once. A null text has no words; a text without words has
+of a batch are spelled once, frequent ones once in some batches. A null text has no words; a text without words has
 no tokens and fails the base rules. Rows are judged one by one, so that repeated
 rows and ids each get theirs; other columns are ignored, whatever their names.
 An empty table gives an empty one.
@@ -23,17 +23,17 @@ An empty table gives an empty one.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crewlens.llm.bpe import Encoder
+from crewlens.llm.bpe import Encoder, Vocabulary
 from crewlens.llm.shared import as_bytes, stored
-from crewlens.llm.wordseq import by_size, distinct_words, find_words
+from crewlens.llm.wordseq import IS_SPACE, by_size
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 #: Steps in which a measure is counted, and the sampling error allowed to a text of one word.
@@ -48,14 +48,36 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 #: First code points of blocks of letters, and the script of each up to the next.
 _SCRIPTS = [(0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0x20000, "han"), (0x32000, "other")]
 _NAMES = sorted({s for _, s in _SCRIPTS})
+_STARTS, _KINDS = np.array([s for s, _ in _SCRIPTS]), np.array([_NAMES.index(n) for _, n in _SCRIPTS])
+#: How byte-level vocabularies of this kind cut texts.
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words that a speller keeps, and code points beyond which a word is spelled alone.
+KEPT, _LONG = 1 << 18, 200
 
 
-@dataclass
 class Speller:
-    """From words to ids and how many each word has; which ids are bytes and no character."""
-
-    spell: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
-    is_byte: np.ndarray
+    """Spells distinct words into ids; keeps what it has spelled, up to KEPT words, then begins anew. ``is_byte``: ids that are bytes and no character."""
+
+    def __init__(self, spell: Callable[[list[bytes]], list], is_byte: np.ndarray) -> None:
+        self.spell, self.is_byte = spell, is_byte
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place, self.ids, self.ends = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each word's begin and how many they are."""
+        if len(self.place) > KEPT:
+            self._clear()
+        new = [w for w in words if w not in self.place]
+        if new:
+            found = self.spell(new)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return self.ids, self.ends[at], self.ends[at + 1] - self.ends[at]
 
 
 def _is_part(token: bytes) -> bool:
@@ -66,34 +88,46 @@ def _is_part(token: bytes) -> bool:
     return False
 
 
+def _byte_spell(path: str) -> tuple[Callable, Vocabulary]:
+    """Words behind a space by a byte-level vocabulary: short ones laid end to end in one call, as no token crosses a space; long ones and those with other white space alone."""
+    import tiktoken
+
+    encoder = Encoder(path, specials=False)
+    vocab = encoder.vocab
+    made = vocab.result[np.argsort(vocab.rank)]
+    ids = np.concatenate([vocab.byte_id, made])
+    fast = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks={vocab.token[i]: n for n, i in enumerate(ids.tolist())}, special_tokens={})
+    size = np.fromiter((len(vocab.token[i]) for i in ids.tolist()), np.int64, len(ids))
+
+    def spell(words: list[bytes]) -> list:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        alone = [i for i, t in enumerate(texts) if len(t) > _LONG or not (t.isascii() or len(t.split()) == 1 and not t[0].isspace() and not t[-1].isspace())]
+        out: list = [None] * len(words)
+        for i, found in zip(alone, encoder.encode([" " + texts[i] for i in alone]) if alone else [], strict=True):
+            out[i] = found
+        rest = [i for i in range(len(words)) if out[i] is None]
+        if rest:
+            rank = np.array(fast.encode_ordinary("".join([" " + texts[i] for i in rest])), np.int64)
+            end = np.cumsum(np.fromiter((len(texts[i].encode()) + 1 for i in rest), np.int64, len(rest)))
+            cut = np.searchsorted(np.cumsum(size[rank]), end) + 1
+            for i, found in zip(rest, np.split(ids[rank], cut[:-1]), strict=True):
+                out[i] = found
+        return out
+
+    return spell, vocab
+
+
 @functools.cache
 def speller(path: str) -> Speller:
-    """Of a sentencepiece model (``.model``) or a byte-level vocabulary (``.json``); words are spelled as behind a space."""
+    """Of a sentencepiece model (``.model``) or a byte-level vocabulary (``.json``)."""
     if path.endswith(".model"):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
         spell = lambda words: model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
-        is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    else:
-        encoder = Encoder(path, specials=False)
-        spell = lambda words: encoder.encode([" " + w.decode("utf-8", "replace") for w in words])
-        is_byte = np.array([_is_part(t) for t in encoder.vocab.token])
-
-    def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = spell(words) if words else []
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.concatenate([np.asarray(f, np.int64) for f in found]) if found else np.zeros(0, np.int64), sizes
-
-    return Speller(run, is_byte)
-
-
-def _numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct byte ranges, and each range's place among them."""
-    first, of = distinct_words(data, start, end)
-    flat, place = data.tobytes(), {}
-    own = np.fromiter((place.setdefault(flat[s:e], len(place)) for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)), np.int64, len(first))
-    return list(place), own[of]
+        return Speller(spell, np.array([model.is_byte(i) for i in range(model.get_piece_size())]))
+    spell, vocab = _byte_spell(path)
+    return Speller(spell, np.array([_is_part(t) for t in vocab.token]))
 
 
 def repeated_words(number: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -112,34 +146,23 @@ def repeated_words(number: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray
     return np.bincount(doc[covered], minlength=docs)
 
 
-def repeated_lines(data: np.ndarray, word_start: np.ndarray, text_end: np.ndarray) -> np.ndarray:
-    """For each text, the lines with a word that equal an earlier one."""
-    end = np.flatnonzero(data == 0x0A)
-    start = np.concatenate(([0], end[:-1] + 1))
-    full = np.searchsorted(word_start, end) > np.searchsorted(word_start, start)
-    start, end = start[full], end[full]
-    _, number = _numbered(data, start, end)
-    doc = np.searchsorted(text_end, start, side="right")
-    distinct = np.unique(doc * (len(number) + 1) + number) // (len(number) + 1)
-    return np.bincount(doc, minlength=len(text_end)) - np.bincount(distinct, minlength=len(text_end))
+def repeated_lines(text: bytes) -> int:
+    """The lines with a word that equal an earlier one."""
+    lines = [line for line in text.split(b"\n") if line.strip()]
+    return len(lines) - len(set(lines))
 
 
-def scripts(texts: list[str]) -> list[str]:
-    """The script of most letters of each text; without letters ``none``, of equally frequent ones the first by name."""
-    starts, kinds = np.array([s for s, _ in _SCRIPTS]), np.array([_NAMES.index(n) for _, n in _SCRIPTS])
-    found = []
-    for text in texts:
-        code = np.frombuffer("".join(filter(str.isalpha, text)).encode("utf-32-le", "replace"), np.uint32)
-        count = np.bincount(kinds[np.searchsorted(starts, code, side="right") - 1], minlength=len(_NAMES))
-        found.append(_NAMES[int(count.argmax())] if len(code) else "none")
-    return found
+def script(text: str) -> str:
+    """The script of most letters; without letters ``none``, of equally frequent ones the first by name."""
+    code = np.frombuffer("".join(filter(str.isalpha, text)).encode("utf-32-le", "replace"), np.uint32)
+    count = np.bincount(_KINDS[np.searchsorted(_STARTS, code, side="right") - 1], minlength=len(_NAMES))
+    return _NAMES[int(count.argmax())] if len(code) else "none"
 
 
 def measures(speller: Speller, words: list[bytes], number: np.ndarray, doc: np.ndarray, chars: np.ndarray) -> list[np.ndarray]:
     """The three measures of each text; zeros for one without tokens."""
     docs = len(chars)
-    ids, sizes = speller.spell(words)
-    head = np.cumsum(sizes) - sizes
+    ids, head, sizes = speller(words)
     pair, times = np.unique(doc * (len(words) + 1) + number, return_counts=True)
     of_doc, word = pair // (len(words) + 1), pair % (len(words) + 1)
     size = sizes[word]
@@ -163,19 +186,22 @@ def _measured(paths: tuple[str, ...]):
         for batch in batches:
             for part in by_size(zip(*(c.to_pylist() for c in batch.columns), strict=True), lambda r: len(r[0]), _BLOCK):
                 texts, ids, langs = map(list, zip(*part, strict=True))
-                found = find_words(texts)
-                sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-                ends = np.cumsum(sizes)
-                lead = ((found.data & 0xC0) != 0x80).astype(np.int8)
-                inside = np.zeros(len(found.data) + 1, np.int8)
-                inside[found.start] += 1
-                inside[found.end] -= 1
-                chars = np.add.reduceat(lead * np.cumsum(inside[:-1], dtype=np.int8), ends - sizes, dtype=np.int64)
-                symbols = np.add.reduceat(_SYMBOL[found.data], ends - sizes, dtype=np.int64)
-                words, number = _numbered(found.data, found.start, found.end)
-                columns = [np.diff(found.first)[: len(texts)], chars, symbols, repeated_lines(found.data, found.start, ends), repeated_words(number, found.doc, len(texts))]
-                told = np.array([m for p in paths for m in measures(speller(p), words, number, found.doc, chars)]).T
-                arrays = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(scripts([t.decode("utf-8", "replace") for t in texts])), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(list(told), pa.list_(pa.float64()))]
+                flat = b"\n".join(texts) + b"\n"
+                data = np.frombuffer(flat, np.uint8)
+                ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+                begins = ends - np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+                inside = ~IS_SPACE[data]
+                chars = np.add.reduceat(inside & ((data & 0xC0) != 0x80), begins, dtype=np.int64)
+                symbols = np.add.reduceat(_SYMBOL[data], begins, dtype=np.int64)
+                start = np.flatnonzero(np.diff(inside, prepend=False) & inside)
+                doc = np.searchsorted(ends, start, side="right")
+                place: dict[bytes, int] = {}
+                number = np.fromiter((place.setdefault(w, len(place)) for w in flat.split()), np.int64, len(start))
+                words = list(place)
+                lines = np.fromiter(map(repeated_lines, texts), np.int64, len(texts))
+                columns = [np.bincount(doc, minlength=len(texts)), chars, symbols, lines, repeated_words(number, doc, len(texts))]
+                told = np.array([m for p in paths for m in measures(speller(p), words, number, doc, chars)]).T
+                arrays = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array([None if (lang or "").strip(" ") else script(t.decode("utf-8", "replace")) for lang, t in zip(langs, texts, strict=True)], pa.string()), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(list(told), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
@@ -187,7 +213,7 @@ def base_failed() -> Column:
 
 
 def measured(docs: DataFrame, paths: list[str]) -> DataFrame:
-    """Counts of the base rules, ``base_failed``, ``band`` (language or script) and the three measures of each vocabulary, one after another."""
+    """Counts of the base rules, ``script`` of texts without a language, ``base_failed``, ``band`` (language or script) and the three measures of each vocabulary, one after another."""
     rows = docs.select(as_bytes(F.col("text")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     found = rows.mapInArrow(_measured(tuple(paths)), _FIELDS)
     return found.withColumn("base_failed", base_failed()).withColumn("band", F.coalesce(F.nullif(F.trim("lang"), F.lit("")), "script"))

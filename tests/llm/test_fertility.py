@@ -72,7 +72,7 @@ def test_counts_and_measures(data, monkeypatch, block):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base(text), text[:80]
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert np.allclose(r.measures, shapes(text)), text[:80]
-        assert r.band == ((row[2] or "").strip() or r.script)
+        assert r.band == ((row[2] or "").strip() or r.script) and (r.script is None) == bool((row[2] or "").strip())
 
 
 def test_bands_and_verdicts(data):
@@ -95,7 +95,18 @@ def test_bands_and_verdicts(data):
 
 
 def test_scripts():
-    assert fertility.scripts(["abc é", "Привет a", "日本語", "12 %", "", "かな", "한국어", "שלום"]) == ["latin", "cyrillic", "han", "none", "none", "kana", "hangul", "hebrew"]
+    assert [fertility.script(t) for t in ("abc é", "Привет a", "日本語", "12 %", "", "かな", "한국어", "שלום")] == ["latin", "cyrillic", "han", "none", "none", "kana", "hangul", "hebrew"]
+
+
+def test_words_spelled_together_are_spelled_alone():
+    """Words of one call don't meet, whatever they hold; a kept word gives the same ids."""
+    byte = Tokenizer.from_file(PATHS[1])
+    byte.encode_special_tokens = True
+    words = ["it's", "'s", "\u00a0", "a\u00a0", "\u00a0b", "x\u2003y", "9" * 500, "é" * 300, "<|endoftext|>", "%%%", "\u3000\u3000", "don't'll", "日本"]
+    for speller in (fertility.speller(PATHS[1]), fertility.Speller(fertility.speller(PATHS[1]).spell, np.zeros(0, bool))):
+        for part in (words, words[::-1], words[3:] + ["new"]):
+            ids, head, size = speller([w.encode() for w in part])
+            assert [ids[h : h + n].tolist() for h, n in zip(head, size, strict=True)] == [byte.encode(" " + w, add_special_tokens=False).ids for w in part]
 
 
 def test_no_rows(spark):
