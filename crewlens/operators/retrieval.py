@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewlens.functions import text as T
+from crewlens.functions.similarity import layout_overlap
 from crewlens.operators import lookup as L
 from crewlens.operators.windows import keep_first, top_k_per_key
+from crewlens.sources.durable import stored
 
-_BLOCK = 2048
+#: Rows of a block, queries of a lot, queries scored at a time.
+_BLOCK, _LOT, _SLICE = 2048, 1 << 15, 256
 
 
 def token_table(df: DataFrame, key: list[str], text: str, least: int = 4) -> DataFrame:
@@ -23,55 +26,50 @@ def token_table(df: DataFrame, key: list[str], text: str, least: int = 4) -> Dat
     return df.select(*key, F.explode(T.tokens(F.col(text), least)).alias("token"))
 
 
-def build_chunks(people: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
-    """A profile chunk for each person, and for each section one chunk of all its entries and one for each entry.
-
-    people: user_id, name, headline. A section: user_id, pos, entry. Ids are user, type and index.
-    """
-    chunk = lambda kind, idx, content: [F.concat_ws("_", F.col("user_id").cast("string"), F.lit(kind), idx.cast("string")).alias("chunk_id"), "user_id", F.lit(kind).alias("chunk_type"), content.alias("content")]
-    out = people.select(*chunk("profile", F.lit(0), F.concat_ws(": ", "name", "headline")))
-    for kind, rows in sections.items():
-        numbered = rows.withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("pos")) - 1)
-        out = out.unionByName(numbered.select(*chunk(f"{kind}_entry", F.col("idx"), F.col("entry"))))
-        listed = rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]), "; ").alias("all"))
-        out = out.unionByName(listed.select(*chunk(kind, F.lit(0), F.col("all"))))
-    return out
-
-
-def directory_pages(people: DataFrame, page: int = 100) -> DataFrame:
-    """The directory of all people in pages of a bounded size, dealt by id."""
-    rows = people.withColumn("page", F.floor(F.col("user_id") / page))
-    line = F.struct("user_id", F.concat_ws(", ", "name", "headline").alias("line"))
-    return rows.groupBy("page").agg(F.count("*").alias("people"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("content"))
-
-
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Chunks with vectors made elsewhere; chunks without one stay."""
     return chunks.join(vectors.select(key, "embedding"), key, "left")
 
 
-def _nearest(k: int):
+def _nearest(k: int, scope: str | None = None):
+    """The k best of each query among a tile's rows, a few queries at a time."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         queries, base = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
-        if not len(queries) or not len(base):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        q, x = (np.array([np.asarray(v, np.float64) for v in side["vector"]]) for side in (queries, base))
-        score = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1), 1e-300)
-        score[queries["id"].to_numpy()[:, None] == base["id"].to_numpy()] = -np.inf
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(queries["id"].to_numpy(), top.shape[1]), "id": base["id"].to_numpy()[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
-        return out[out["score"] > -np.inf]
+        out = []
+        if len(queries) and len(base):
+            x = np.array([np.asarray(v, np.float64) for v in base["vector"]])
+            long, ids = np.linalg.norm(x, axis=1), base["id"].to_numpy()
+            for i in range(0, len(queries), _SLICE):
+                some = queries.iloc[i : i + _SLICE]
+                q = np.array([np.asarray(v, np.float64) for v in some["vector"]])
+                score = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * long, 1e-300)
+                score[some["id"].to_numpy()[:, None] == ids] = -np.inf
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), top.shape[1]), "id": ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()}))
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": pdf["id"].iloc[:0], "id": pdf["id"].iloc[:0], "score": pd.Series([], dtype=float)})
+        found = found[found["score"] > -np.inf]
+        return found if scope is None else found.assign(**{scope: pdf[scope].iloc[0]})
 
     return run
 
 
+def _found(df: DataFrame) -> str:
+    kind = df.schema["id"].dataType.simpleString()
+    return f"query_id {kind}, id {kind}, score double"
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest of each query by cosine: blocks of queries against blocks of the corpus, then one rank. Both have id and vector."""
-    parts = max(1, -(-queries.count() // _BLOCK))
+    """The k nearest of each query by cosine: lots of queries against blocks of the corpus, then one rank. Both have id (of one type) and vector.
+
+    A lot has up to _LOT queries, so that the corpus is copied once for each _LOT of them.
+    """
+    parts = max(1, -(-queries.count() // _LOT))
     n = max(1, -(-corpus.count() // _BLOCK))
-    asks = queries.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"), F.lit(True).alias("asks"), "id", "vector")
-    base = corpus.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("q"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("b"), F.lit(False).alias("asks"), "id", "vector")
-    found = asks.union(base).groupBy("q", "b").applyInPandas(_nearest(k), "query_id long, id long, score double")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asks = queries.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("q"), every(n).alias("b"), F.lit(True).alias("asks"), "id", "vector")
+    base = corpus.select(every(parts).alias("q"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("b"), F.lit(False).alias("asks"), "id", "vector")
+    found = asks.union(base).groupBy("q", "b").applyInPandas(_nearest(k), _found(corpus))
     return top_k_per_key(found, ["query_id"], [F.desc("score"), "id"], k)
 
 
@@ -81,15 +79,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_topk_scoped(queries: DataFrame, corpus: DataFrame, by: str, k: int = 8) -> DataFrame:
-    """The k nearest inside each query's own scope: blocks of its queries against blocks of its rows, cut by hash, then one rank. Both: id, ``by``, vector."""
-    parts = lambda df, name: df.groupBy(by).agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias(name))
-    grid = parts(queries, "lots").join(parts(corpus, "blocks"), by)
+    """The k nearest inside each of a query's scopes: lots of its queries against blocks of its rows, cut by hash, then one rank. Both: id (of one type), ``by``, vector."""
+    parts = lambda df, name, size: df.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    grid = parts(queries, "lots", _LOT).join(parts(corpus, "blocks", _BLOCK), by)
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     spot = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
     asks = queries.join(grid, by).select(by, spot("lots", 0).alias("q"), every("blocks").alias("b"), F.lit(True).alias("asks"), "id", "vector")
     base = corpus.join(grid, by).select(by, every("lots").alias("q"), spot("blocks", 1).alias("b"), F.lit(False).alias("asks"), "id", "vector")
-    found = asks.union(base).groupBy(by, "q", "b").applyInPandas(_nearest(k), "query_id long, id long, score double")
-    return top_k_per_key(found, ["query_id"], [F.desc("score"), "id"], k)
+    kind = corpus.schema[by].dataType.simpleString()
+    found = asks.union(base).groupBy(by, "q", "b").applyInPandas(_nearest(k, by), f"{_found(corpus)}, {by} {kind}")
+    return top_k_per_key(found, ["query_id", by], [F.desc("score"), "id"], k)
 
 
 #: Types of chunks that hold one entry, and those that hold a section of them.
@@ -189,14 +188,63 @@ def focus_rows(scope: DataFrame, queries: DataFrame, chunks: DataFrame, people:
     return top_k_per_key(rows, ["query_id", "user_id"], [other, "chunk_id"], k).select("query_id", "user_id", "chunk_id", "matched", "place")
 
 
-def hybrid_retrieve(branches: list[DataFrame], k: int = 20) -> DataFrame:
-    """Branches (query_id, chunk_id, place) in order of trust, united: the first branch that has a chunk counts."""
+def hybrid_retrieve(branches: list[DataFrame], k: int | None = 20) -> DataFrame:
+    """Branches (query_id, chunk_id, place) in order of trust, united: the first branch that has a chunk counts. The first k, or all."""
     rows = [b.select("query_id", "chunk_id", F.lit(i).alias("branch"), "place") for i, b in enumerate(branches)]
     both = rows[0]
     for r in rows[1:]:
         both = both.unionByName(r)
-    first = keep_first(both, F.struct("query_id", "chunk_id"), ["branch", "place"])
-    return top_k_per_key(first.withColumnRenamed("place", "branch_place"), ["query_id"], ["branch", "branch_place", "chunk_id"], k)
+    first = keep_first(both, F.struct("query_id", "chunk_id"), ["branch", "place"]).withColumnRenamed("place", "branch_place")
+    order = ["branch", "branch_place", "chunk_id"]
+    return top_k_per_key(first, ["query_id"], order, k) if k else first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, people: DataFrame, asks: DataFrame | None = None, k: int = 5, k_scoped: int = 8) -> DataFrame:
+    """query_id, chunk_id, branch and place: what each question finds, from names, words and vectors.
+
+    Questions that name someone stay with them: profile (0), chunks of whole sections
+    (1), chunks with a focus token (2), the nearest of the person (3), only of entries and
+    profiles where there are focus tokens. Others take chunks with rare tokens (4),
+    their owners' profiles (5) and the nearest of all (6). The directory's pages belong to every answer
+    and aren't listed. queries: query_id, query; chunks: chunk_id, user_id, chunk_type,
+    content and, for ``asks`` (query_id, vector), vector; people: user_id, full_name. A person
+    of many chunks gives as many rows to each question on them.
+    """
+    # Stored, as several branches read them.
+    scope = stored(name_scope(queries, people).select("query_id", "user_id").distinct(), "scope")
+    own = scope.join(chunks.where(F.col("chunk_type").isin("profile", "skills", *SECTION_TYPES)).select("user_id", "chunk_id", "chunk_type"), "user_id")
+    first = F.dense_rank().over(Window.partitionBy("query_id").orderBy("chunk_type", "chunk_id"))
+    rest = queries.join(scope.select("query_id").distinct(), "query_id", "left_anti")
+    focus = stored(focus_rows(scope, queries, chunks, people), "focus")
+    plain = chunks.select("chunk_id", "user_id", "chunk_type", "content")
+    rare = stored(rare_token_search(rest, plain), "rare")
+    profiles = chunks.where("chunk_type = 'profile'").groupBy("user_id").agg(F.min("chunk_id").alias("chunk_id"))
+    owners = with_profiles(rare, plain, profiles)
+    none = rare.where("false").select("query_id", "chunk_id", "place")
+    near = scoped = none
+    if asks is not None:
+        corpus = chunks.where("vector is not null").select(F.col("chunk_id").alias("id"), "user_id", "vector")
+        kind = chunks.schema["chunk_id"].dataType
+        ids = asks.join(queries.select("query_id").distinct(), "query_id", "left_semi").withColumn("id", F.col("query_id").cast(kind))
+        back = ids.select(F.col("id").alias("asked"), F.col("query_id").alias("of"))
+        near = vector_topk(ids.join(rest.select("query_id"), "query_id", "left_semi").select("id", "vector"), corpus.select("id", "vector"), k)
+        near = near.join(back, F.col("query_id") == F.col("asked")).select(F.col("of").alias("query_id"), F.col("id").alias("chunk_id"), "place")
+        scoped = vector_topk_scoped(ids.join(scope, "query_id").select("id", "user_id", "vector"), corpus, "user_id", k_scoped)
+        scoped = scoped.join(back, F.col("query_id") == F.col("asked")).select(F.col("of").alias("query_id"), F.col("id").alias("chunk_id"), "user_id", "place")
+        focused = focus.select("query_id", "user_id").distinct().withColumn("focused", F.lit(True))
+        scoped = scoped.join(focused, ["query_id", "user_id"], "left").join(chunks.select("chunk_id", "chunk_type"), "chunk_id")
+        scoped = scoped.where(F.col("focused").isNull() | F.col("chunk_type").isin("profile", *ENTRY_TYPES)).select("query_id", "chunk_id", "place")
+    branches = [
+        own.where("chunk_type = 'profile'").withColumn("place", first), own.where("chunk_type != 'profile'").withColumn("place", first), focus, scoped,
+        rare, owners.join(rare, ["query_id", "chunk_id"], "left_anti"), near,
+    ]
+    return hybrid_retrieve(branches, None).select("query_id", "chunk_id", "branch", "place")
+
+
+def union_forms(found: DataFrame) -> DataFrame:
+    """Results of up to three forms of each question as one list: form by form, each chunk where it comes first. found: query_id, form, chunk_id, place."""
+    first = keep_first(found.where("form <= 3"), F.struct("query_id", "chunk_id"), ["form", "place"])
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("form", "place", "chunk_id"))).select("query_id", "chunk_id", "form", "place")
 
 
 def evidence_rows(results: DataFrame, limit: int = 160) -> DataFrame:
@@ -317,20 +365,34 @@ def cards_summary(cards: DataFrame, n: int = 5) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("summary"))
 
 
+def _layout_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Layouts of both sides that share a number of columns, as sorted arrays, with the share: a_layout, b_layout, layout. Layouts, not documents, are paired."""
+    one = lambda df, p: df.where(F.size("cols") > 0).select(F.array_sort("cols").alias(f"{p}_layout")).distinct().select(f"{p}_layout", F.explode(F.array_distinct(f"{p}_layout")).alias("col"))
+    near = one(a, "a").join(one(b, "b"), "col").select("a_layout", "b_layout").distinct()
+    return near.withColumn("layout", layout_overlap(F.col("a_layout"), F.col("b_layout")))
+
+
 def similar_documents(a: DataFrame, b: DataFrame, k: int = 3, least: float = 0.12) -> DataFrame:
-    """0.85 Jaccard of tokens plus 0.15 likeness of length, over pairs that share a token. Both: id, text.
+    """a_id, b_id, score and place: 0.85 Jaccard of tokens plus 0.15 overlap of the tables' column numbers, from ``least`` on; the k best of each a.
 
-    One side is a small set of texts (templates, questions) against many. Shared
-    tokens are counted from the inverted index: a row of it has two ids, two counts
-    and two lengths, and rows of a pair are combined before the shuffle. No token
-    lists are joined to pairs. A low ``least`` leaves no bound by which common tokens could be cut.
+    Both: id, text, cols (the columns of each table, an array; none or null has no
+    layout). One side is a small set of texts (templates, questions) against many. An a without
+    tokens has no matches. Shared tokens are counted from the inverted index: a row of it has two ids and counts,
+    and rows of a pair are combined before the shuffle. Pairs without a shared token
+    can only score by layout: of these the k of least id for each pair of layouts are enough.
     """
-    tokens = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), T.tokens(F.col("text"), 3).alias("tokens"), F.length("text").alias(f"{p}_len"))
-    side = lambda df, p: tokens(df, p).select(f"{p}_id", f"{p}_len", F.size("tokens").alias(f"{p}_n"), F.explode("tokens").alias("token"))
-    shared = side(a, "a").join(side(b, "b"), "token").groupBy("a_id", "b_id", "a_n", "b_n", "a_len", "b_len").agg(F.count("*").alias("common"))
-    likeness = F.least("a_len", "b_len") / F.greatest("a_len", "b_len")
-    score = F.round(0.85 * F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common")) + 0.15 * likeness, 9)
-    return top_k_per_key(shared.select("a_id", "b_id", score.alias("score")).where(F.col("score") >= least), ["a_id"], [F.desc("score"), "b_id"], k)
+    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), T.tokens(F.col("text"), 3, ("",)).alias("tokens"), F.array_sort(F.coalesce("cols", F.array().cast("array<int>"))).alias(f"{p}_layout")).withColumn(f"{p}_n", F.size("tokens"))
+    left, right = side(a, "a").where("a_n > 0"), side(b, "b")
+    layouts = _layout_pairs(a, b)
+    spread = lambda df, p: df.select(f"{p}_id", f"{p}_n", f"{p}_layout", F.explode("tokens").alias("token"))
+    shared = spread(left, "a").join(spread(right, "b"), "token").groupBy("a_id", "b_id", "a_n", "b_n", "a_layout", "b_layout").agg(F.count("*").alias("common"))
+    shared = shared.join(layouts, ["a_layout", "b_layout"], "left").select("a_id", "b_id", (F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))).alias("jaccard"), F.coalesce("layout", F.lit(0.0)).alias("layout"))
+    # b by layout: the k of least id hold all that layout alone can bring into the k best.
+    few = top_k_per_key(right.join(layouts.select("b_layout").distinct(), "b_layout").select("b_layout", "b_id"), ["b_layout"], ["b_id"], k, "nth")
+    alike = left.join(layouts.where(0.15 * F.col("layout") >= least), "a_layout").join(few, "b_layout").select("a_id", "b_id", F.lit(0.0).alias("jaccard"), "layout")
+    both = shared.union(alike).withColumn("score", F.round(0.85 * F.col("jaccard") + 0.15 * F.col("layout"), 9)).where(F.col("score") >= least)
+    best = both.groupBy("a_id", "b_id").agg(F.max("score").alias("score"))
+    return top_k_per_key(best, ["a_id"], [F.desc("score"), "b_id"], k)
 
 
 #: Words of greetings, and those that may stand beside them.

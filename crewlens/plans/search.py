@@ -9,6 +9,7 @@ from crewlens.functions import text as T
 from crewlens.operators import chunks as K
 from crewlens.operators import retrieval as R
 from crewlens.plans.standins import AS_OF, certs, ctes, participations, table
+from crewlens.sources.durable import stored
 
 _KEY = "trim(regexp_replace(lower(replace(strip_accents({0}), '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -237,6 +238,50 @@ def evidence_rows(spark, sf_dir):
     return R.evidence_rows(results).select("query_id", "person", "kind", "entity", F.sha2("text", 256).alias("text"), "evidence_id")
 
 
+#: Questions on the workforce, what they find (names, then rare words), in SQL.
+_FOUND = rf"""{_CHUNKS}, {_SPOKEN}, ck as (select user_id::varchar || '_' || chunk_type || coalesce('_' || n::varchar, '') as chunk_id, user_id, chunk_type, {_QKEY.format('content')} as key, told from chunks), qk as (select query_id, {_QKEY.format('query')} as qkey from q),
+ sc as (select distinct query_id, user_id from qk join people on contains(qkey, lower(person))), tm as (select query_id, unnest({_TERMS.format('qkey')}) as term from qk),
+ asked as (select distinct query_id, token from (select query_id, unnest({_VARIANTS.format('term')}) as token from tm) where length(token) >= 4), forms as (select token, unnest({_VARIANTS.format('token')}) as form from (select distinct token from asked)),
+ w as (select chunk_id, user_id, chunk_type, unnest(list_distinct(string_split_regex(key, '[^\p{{L}}\p{{N}}_]+'))) as word from ck), v as (select distinct word from w),
+ tw as (select distinct token, word from forms join v on left(word, 3) = left(form, 3) where regexp_full_match(form, '[\p{{L}}\p{{N}}_]+') and (word = form or (length(form) >= 4 and starts_with(word, form) and regexp_full_match(substr(word, length(form) + 1), '[a-z0-9]*')))),
+ near as (select token, form, chunk_id, user_id, chunk_type, key from forms join ck on contains(key, form) where not regexp_full_match(form, '[\p{{L}}\p{{N}}_]+')),
+ hit as (select token, chunk_id, user_id, chunk_type from tw join w using (word) union select token, chunk_id, user_id, chunk_type from near where {_HELD.format('key')}), sizes as (select user_id, count(*) as n from ck group by 1),
+ fh as (select user_id, token, count(*) as hits from hit group by 1, 2), fo as (select distinct query_id, user_id, chunk_id, chunk_type from sc join asked using (query_id) join fh using (user_id, token) join sizes using (user_id) join hit using (user_id, token) where hits <= 0.25 * n),
+ focus as (select query_id, user_id, chunk_id, row_number() over (partition by query_id, user_id order by not chunk_type like '%entry', chunk_id) as place from fo qualify place <= 14),
+ own as (select query_id, chunk_id, ck.chunk_type, dense_rank() over (partition by query_id order by ck.chunk_type, chunk_id) as place from sc join ck using (user_id) where ck.chunk_type in ('profile', 'skills', 'projects', 'experience', 'education', 'certifications')),
+ h as (select token, count(*) as hits from hit group by 1 having count(*) <= greatest(8, floor((select count(*) from ck) * 0.15))),
+ summed as (select query_id, chunk_id, user_id, chunk_type, round(sum(1 / hits), 9) as score from asked join h using (token) join hit using (token) where query_id not in (select query_id from sc) group by 1, 2, 3, 4),
+ rare as (select *, row_number() over (partition by query_id order by score desc, case when chunk_type like '%entry' then 0 when chunk_type in ('projects', 'experience', 'education', 'certifications') then 1 when chunk_type = 'profile' then 2 else 3 end, chunk_type, chunk_id) as place from summed qualify place <= 18),
+ owners as (select query_id, user_id::varchar || '_profile' as chunk_id, min(place) + 18 as place from rare group by 1, 2),
+ lot as (select query_id, chunk_id, 0 as branch, place from own where chunk_type = 'profile' union all select query_id, chunk_id, 1, place from own where chunk_type <> 'profile' union all select query_id, chunk_id, 2, place from focus union all select query_id, chunk_id, 4, place from rare union all select query_id, chunk_id, 5, place from owners),
+ firsts as (select * from lot qualify row_number() over (partition by query_id, chunk_id order by branch, place) = 1), found as (select query_id, chunk_id, branch, row_number() over (partition by query_id order by branch, place, chunk_id)::integer as place from firsts)"""
+
+
+def _answered(spark, sf_dir):
+    people, held, jobs, schools, projects = _workforce(spark, sf_dir)
+    chunks = stored(K.typed_chunks(people, held, jobs, schools, projects, F.lit(AS_OF).cast("date")), "chunks")
+    return R.retrieve(_asked_people(people), chunks, people.select("user_id", F.col("name").alias("full_name"))), chunks
+
+
+@query(f"with {_FOUND} select query_id, chunk_id, branch, place from found")
+def retrieve(spark, sf_dir):
+    """From questions on the workforce to chunks: by name with sections and focus, else by rare words and owners' profiles."""
+    return _answered(spark, sf_dir)[0]
+
+
+@query(rf"""with {_FOUND}, e as (select query_id, place, chunk_id, 0 as rank, n as pos, person, 'project' as kind, client as entity, 'project=' || project || ' | client=' || client || ' | year=' || y || ' | description=' || told as evidence, lower(told) as start from found join (select user_id::varchar || '_project_entry_' || n::varchar as chunk_id, * from pl) using (chunk_id)
+ union all select query_id, place, chunk_id, 0, pos_, person, 'project', case when project like 'Project for %' then substr(project, 13) else project end, 'project=' || project || ' | client=' || case when project like 'Project for %' then substr(project, 13) else '' end || ' | year=' || y || ' | description=' || told, lower(told) from found join (select user_id::varchar || '_projects' as chunk_id, n as pos_, * from pl) using (chunk_id)
+ union all select query_id, place, chunk_id, 1, n, person, 'experience', company, 'company=' || company || ' | role=' || role || ' | start=' || a || ' | end=' || b || ' | description=' || told, lower(told) from found join (select user_id::varchar || '_experience_entry_' || n::varchar as chunk_id, * from jl) using (chunk_id)
+ union all select query_id, place, chunk_id, 1, n, person, 'experience', company, 'company=' || company || ' | role=' || role || ' (' || a || ' - ' || case when b <> '' then b else 'Present' end || ') | start= | end= | description=', '' from found join (select user_id::varchar || '_experience' as chunk_id, * from jl) using (chunk_id)
+ union all select query_id, place, chunk_id, 2, n, person, 'certification', name, 'certification=' || name, '' from found join (select user_id::varchar || '_certification_entry_' || n::varchar as chunk_id, * from cl union all select user_id::varchar || '_certifications', * from cl) using (chunk_id)),
+ one as (select * from e where (entity <> '' or start <> '') qualify row_number() over (partition by query_id, person, kind, lower(entity), start order by place, rank, pos, chunk_id) = 1)
+ select query_id, 'E' || nr::varchar as evidence_id, person, kind, entity, evidence from (select *, row_number() over (partition by query_id order by place, rank, pos, chunk_id) as nr from one) where nr <= 160""")
+def chunk_evidence(spark, sf_dir):
+    """From questions to numbered evidence: entries read back from the chunks that ``retrieve`` finds."""
+    found, chunks = _answered(spark, sf_dir)
+    return K.chunk_evidence(found, chunks).select("query_id", "evidence_id", "person", "kind", "entity", "evidence")
+
+
 @query(f"with {_HITS}, p as (select token, list_sort(list(distinct person)) as people from hit group by 1) select distinct query_id, token, array_to_string(people, ',') as people from asked join p using (token) where len(people) < (select count(distinct source) from documents)")
 def token_people_matrix(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(F.col("source").alias("person"), "doc_id", "text")
@@ -299,13 +344,18 @@ def cards_summary(spark, sf_dir):
     return R.cards_summary(_cards(spark, sf_dir))
 
 
-@query(f"""with a as (select item_id as a_id, {_tokens(3)} as t, length(text) as n from benchmark), b as (select doc_id as b_id, {_tokens(3)} as t, length(text) as n from documents),
- bt as (select b_id, unnest(t) as token from b), p as (select distinct a_id, b_id from (select a_id, unnest(t) as token from a) join bt using (token)),
- s as (select a_id, b_id, round(0.85 * len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) + 0.15 * (least(a.n, b.n) / greatest(a.n, b.n)), 9) as score from p join a using (a_id) join b using (b_id))
+_ALL_TOKENS = f"list_distinct(list_filter(string_split({_KEY.format('text')}, ' '), lambda w: length(w) >= 3))"
+
+
+@query(f"""with a as (select item_id as a_id, {_ALL_TOKENS} as t, case item_id % 4 when 0 then [3, 3, 5] when 1 then [2] when 2 then [7, 1] else []::integer[] end as c from benchmark), b as (select doc_id as b_id, {_ALL_TOKENS} as t, case doc_id % 5 when 0 then [3, 5, 3] when 1 then [2, 2] when 2 then [2] when 3 then [5] else []::integer[] end as c from documents),
+ s as (select a_id, b_id, round(0.85 * len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(list_concat(a.t, b.t)))) + 0.15 * coalesce(list_sum(list_transform(list_distinct(a.c), lambda v: least(len(list_filter(a.c, lambda x: x = v)), len(list_filter(b.c, lambda x: x = v))))) / greatest(len(a.c), len(b.c)), 0.0), 9) as score from a, b where len(a.t) > 0)
  select a_id, b_id, score from s where score >= 0.12 qualify row_number() over (partition by a_id order by score desc, b_id) <= 3""")
 def similar_documents(spark, sf_dir):
-    a = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    """Benchmark texts against documents, both with tables of some numbers of columns."""
+    ints = lambda *n: F.array(*map(F.lit, n)) if n else F.array().cast("array<int>")
+    pick = lambda key, n, rows: F.element_at(F.array(*(ints(*r) for r in rows)), (F.col(key) % n + 1).cast("int"))
+    a = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", pick("item_id", 4, [(3, 3, 5), (2,), (7, 1), ()]).alias("cols"))
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", pick("doc_id", 5, [(3, 5, 3), (2, 2), (2,), (5,), ()]).alias("cols"))
     return R.similar_documents(a, b).select("a_id", "b_id", "score")
 
 
