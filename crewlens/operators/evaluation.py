@@ -57,12 +57,33 @@ def mismatch_counts(report: DataFrame, truth: DataFrame, key: str) -> DataFrame:
 
 
 def alias_eval(rows: DataFrame, name_least: float = 0.86, issuer_least: float = 0.88) -> DataFrame:
-    """Whether names and issuers match any alias: names by ratio, issuers by one holding the other or by ratio. rows: id, name, issuer, names, issuers."""
-    near = lambda a, b, least: (match_key(a) == match_key(b)) | (seq_ratio(match_key(a), match_key(b)) >= least)
-    names = rows.select("id", "name", F.explode("names").alias("alias")).groupBy("id").agg(F.bool_or(near(F.col("name"), F.col("alias"), name_least)).alias("name_ok"))
-    held = F.contains(match_key(F.col("issuer")), match_key(F.col("alias"))) | F.contains(match_key(F.col("alias")), match_key(F.col("issuer")))
-    issuers = rows.select("id", "issuer", F.explode("issuers").alias("alias")).groupBy("id").agg(F.bool_or((held & (match_key(F.col("issuer")) != "")) | near(F.col("issuer"), F.col("alias"), issuer_least)).alias("issuer_ok"))
-    return names.join(issuers, "id").withColumn("both_ok", F.col("name_ok") & F.col("issuer_ok"))
+    """id, name_ok, issuer_ok and both_ok: whether a name and an issuer match any of their spellings.
+
+    Names match by equal keys or by ratio; issuers also where one holds the other, for
+    spellings of 4 characters or more. Blank spellings count for nothing, and a blank
+    name or issuer, or one without spellings, is wrong. rows: id (one row for each), name, issuer,
+    names and issuers (arrays).
+    """
+
+    def fits(value: str, spellings: str, least: float, inside: bool) -> DataFrame:
+        one = rows.select("id", match_key(F.col(value)).alias("a"), F.explode_outer(_keys(F.col(spellings))).alias("b"))
+        held = (F.length("b") >= 4) & (F.contains("b", F.col("a")) | F.contains("a", F.col("b"))) if inside else F.lit(False)
+        sure = one.withColumn("known", F.col("a") != "").withColumn("sure", F.coalesce((F.col("a") == F.col("b")) | held, F.lit(False)))
+        # Only the rest is compared letter by letter.
+        near = F.when(F.col("known") & ~F.col("sure") & F.col("b").isNotNull(), seq_ratio(F.when(~F.col("sure"), F.col("a")), F.when(~F.col("sure"), F.col("b"))) >= least)
+        return sure.groupBy("id").agg(F.bool_or(F.col("known") & (F.col("sure") | F.coalesce(near, F.lit(False)))).alias(f"{value}_ok"))
+
+    both = fits("name", "names", name_least, False).join(fits("issuer", "issuers", issuer_least, True), "id")
+    return both.withColumn("both_ok", F.col("name_ok") & F.col("issuer_ok"))
+
+
+def alias_rates(found: DataFrame, seconds: DataFrame) -> DataFrame:
+    """One row: how many were tried, counts and % of right names, issuers and both, seconds in all and on average. found: as ``alias_eval`` has it; seconds: id, seconds."""
+    kinds = ("name", "issuer", "both")
+    share = lambda c: F.round(F.avg(F.when(F.col(c), 100.0).otherwise(0.0)), 6)
+    took = F.sum(F.coalesce("seconds", F.lit(0.0)))
+    rows = found.join(seconds, "id", "left")
+    return rows.agg(F.count("*").alias("sample_size"), *(F.count_if(f"{k}_ok").alias(f"{k}_right") for k in kinds), *(share(f"{k}_ok").alias(f"{k}_pct") for k in kinds), F.round(took, 3).alias("seconds"), F.round(took / F.count("*"), 3).alias("seconds_mean"))
 
 
 def retrieval_precision(results: DataFrame, expected: DataFrame, k: int | None = None) -> DataFrame:
@@ -73,16 +94,31 @@ def retrieval_precision(results: DataFrame, expected: DataFrame, k: int | None =
     return rows.join(expected, "query_id").groupBy("query_id").agg(F.round(F.avg(F.when(hit, 100.0).otherwise(0.0)), 6).alias("precision"))
 
 
-#: Claims: e-mail addresses, phone numbers, capitalised pairs of words, acronyms.
-CLAIM = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\+?[0-9][0-9 ().-]{6,}[0-9]|[A-Z][a-z]+ [A-Z][a-z]+|[A-Z]{2,})"
+#: Claims are e-mail addresses, numbers like those of phones, capitalised words and acronyms; capitalised words that claim nothing; answers that claim nothing.
+CLAIMS = (r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", r"(\b\+?[0-9]{2,4}[ 0-9-]{6,12}\b)", r"(\b[A-Z][a-zA-Z0-9-]{2,}\b)", r"(\b[A-Z]{3,5}\b)")
+NO_NAMES = ("the", "this", "he", "she", "they")
+NOTHING_CLAIMED = ("i don't have", "i don't know")
 
 
-def claim_groundedness(answers: DataFrame, context: DataFrame) -> DataFrame:
-    """% of the distinct claims of each answer that its context holds. Both: id, text."""
-    claims = answers.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CLAIM), F.lit(1)))).alias("claim"))
-    held = context.groupBy("id").agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("context"))
-    rows = claims.join(held, "id", "left").withColumn("ok", F.coalesce(F.contains("context", F.lower("claim")), F.lit(False)))
-    return rows.groupBy("id").agg(F.count("*").alias("claims"), F.round(F.avg(F.when(F.col("ok"), 100.0).otherwise(0.0)), 6).alias("grounded_pct"))
+def claim_groundedness(answers: DataFrame, context: DataFrame, ignored: tuple[str, ...] = NO_NAMES) -> DataFrame:
+    """id, claims and grounded_pct of every answer: the % of its distinct claims that its context holds, to one decimal.
+
+    Blank answers, refusals and answers without claims are 100. Claims and context are
+    compared in lower case; ignored words are claims that hold. Both:
+    id, text; answers have one row for each id, a context any number, each of which may hold a claim.
+    """
+    plain = lambda c: F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    found = F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in CLAIMS))
+    low = F.lower("text")
+    free = F.coalesce(F.trim("text") == "", F.lit(True)) | F.contains(low, F.lit(NOTHING_CLAIMED[0])) | F.contains(low, F.lit(NOTHING_CLAIMED[1]))
+    claims = F.when(free, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(found, plain)))
+    rows = answers.select("id", F.filter(claims, lambda c: c != "").alias("claims"))
+    asked = rows.select("id", F.explode("claims").alias("claim")).where(~F.col("claim").isin(*ignored))
+    texts = context.select("id", plain(F.col("text")).alias("context"))
+    held = asked.join(texts, "id").where(F.contains("context", F.col("claim"))).select("id", "claim").distinct()
+    lost = asked.join(held, ["id", "claim"], "left_anti").groupBy("id").agg(F.count("*").alias("lost"))
+    n, out = F.size("claims"), F.coalesce("lost", F.lit(0))
+    return rows.join(lost, "id", "left").select("id", n.alias("claims"), F.when(n == 0, 100.0).otherwise(F.round((n - out) / n * 100, 1)).alias("grounded_pct"))
 
 
 #: Phrases of a refusal.

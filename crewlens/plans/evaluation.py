@@ -39,12 +39,26 @@ def mismatch_counts(spark, sf_dir):
     return E.mismatch_counts(E.mismatch_report(truth, predicted, "p_partkey", ["name", "kind"], ["skills"]), truth, "p_partkey")
 
 
+def _alias_rows(spark, sf_dir):
+    """Names with a letter dropped, blank or of another part, issuers inside longer ones, against spellings of which some are blank or none."""
+    n, part = F.col("p_partkey") % 7, table(spark, sf_dir, "part")
+    name = F.when(n == 0, " ").when(n == 1, F.col("p_type")).otherwise(F.expr("left(p_name, length(p_name) - 1)"))
+    names = F.when(n == 2, F.array().cast("array<string>")).when(n < 6, F.array(F.lit(" "), F.col("p_brand"), F.col("p_name")))
+    return part.select(F.col("p_partkey").alias("id"), name.alias("name"), F.concat("p_brand", F.lit(" Academy")).alias("issuer"), names.alias("names"), F.array(F.when(n == 3, "").otherwise(F.col("p_brand")), F.lit("x")).alias("issuers"))
+
+
 @query()
 def alias_match_eval(spark, sf_dir):
-    """Names with a letter dropped and issuers inside longer ones, against aliases."""
-    part = table(spark, sf_dir, "part")
-    rows = part.select(F.col("p_partkey").alias("id"), F.expr("left(p_name, length(p_name) - 1)").alias("name"), F.concat("p_brand", F.lit(" Academy")).alias("issuer"), F.array("p_type", "p_name").alias("names"), F.array("p_brand").alias("issuers"))
-    return E.alias_eval(rows)
+    return E.alias_eval(_alias_rows(spark, sf_dir))
+
+
+@query("""with r as (select p_partkey % 7 in (3, 4, 5) as name_ok, p_partkey % 7 <> 3 as issuer_ok, p_size as seconds from part)
+ select count(*) as sample_size, count_if(name_ok) as name_right, count_if(issuer_ok) as issuer_right, count_if(name_ok and issuer_ok) as both_right, round(avg(case when name_ok then 100.0 else 0.0 end), 6) as name_pct, round(avg(case when issuer_ok then 100.0 else 0.0 end), 6) as issuer_pct,
+  round(avg(case when name_ok and issuer_ok then 100.0 else 0.0 end), 6) as both_pct, round(sum(seconds)::double, 3) as seconds, round(sum(seconds) / count(*), 3) as seconds_mean from r""")
+def alias_rates(spark, sf_dir):
+    """Of names with a letter dropped, all others are blank, another text or without spellings; issuers lack only where theirs is blank."""
+    seconds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("seconds"))
+    return E.alias_rates(E.alias_eval(_alias_rows(spark, sf_dir)), seconds)
 
 
 @query("""with e as (select item_id as query_id, string_split(lower(text), ' ')[1:3] as terms from benchmark), r as (select doc_id % (select count(*) from benchmark) as query_id, lower(text) as text from documents)
@@ -57,12 +71,19 @@ def retrieval_precision(spark, sf_dir):
     return E.retrieval_precision(results, expected)
 
 
-@query(r"""with a as (select conv_id as id, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\+?[0-9][0-9 ().-]{6,}[0-9]|[A-Z][a-z]+ [A-Z][a-z]+|[A-Z]{2,})', 1))) as claim, turn from conversations where role = 'assistant'), c as (select distinct id, turn, claim from a),
- u as (select conv_id as id, lower(string_agg(text, ' ' order by turn)) as context from conversations where role = 'user' group by 1)
- select c.id, count(*) as claims, round(avg(case when coalesce(contains(context, lower(claim)), false) then 100.0 else 0.0 end), 6) as grounded_pct from c left join u on c.id = u.id group by 1""")
+@query(r"""with t as (select conv_id as id, turn, role, regexp_replace(case when role = 'assistant' and turn % 7 = 3 then 'I don''t know. ' else '' end || text, '[^\x00-\x7F]', ' ', 'g') as text from conversations),
+ a as (select id, string_agg(text, ' ' order by turn) as text from t where role = 'assistant' group by 1),
+ l as (select id, case when contains(lower(text), 'i don''t have') or contains(lower(text), 'i don''t know') then [] else list_distinct(list_transform(list_concat(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'), regexp_extract_all(text, '\b\+?[0-9]{2,4}[ 0-9-]{6,12}\b'), regexp_extract_all(text, '\b[A-Z][a-zA-Z0-9-]{2,}\b'), regexp_extract_all(text, '\b[A-Z]{3,5}\b')), lambda c: trim(lower(c)))) end as claims from a),
+ u as (select id, trim(lower(text)) as context from t where role = 'user'), c as (select id, unnest(claims) as claim from l),
+ x as (select c.id, claim, claim in ('the', 'this', 'he', 'she', 'they') or coalesce(bool_or(contains(context, claim)), false) as ok from c left join u using (id) group by 1, 2)
+ select l.id, len(claims)::integer as claims, case when len(claims) = 0 then 100.0 else round((select count_if(ok) from x where x.id = l.id) / len(claims) * 100, 1) end as grounded_pct from l""")
 def claim_groundedness(spark, sf_dir):
+    """All that the assistant says in a conversation, some of it a refusal, against what the user says; letters beyond ASCII are blanks."""
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "id")
-    return E.claim_groundedness(turns.where("role = 'assistant'"), turns.where("role = 'user'"))
+    said = F.concat(F.when((F.col("role") == "assistant") & (F.col("turn") % 7 == 3), "I don't know. ").otherwise(""), "text")
+    turns = turns.withColumn("text", F.regexp_replace(said, r"[^\x00-\x7F]", " "))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
+    return E.claim_groundedness(turns.where("role = 'assistant'").groupBy("id").agg(lines.alias("text")), turns.where("role = 'user'"))
 
 
 @query("""with a as (select case when turn % 3 = 0 then 'Sorry, I DON''T KNOW. ' else '' end || text as text from conversations where role = 'assistant')
