@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from crewlens.operators.certifications import expiry_alerts
 from crewlens.operators.windows import first_per_key, rank_scores, top_k_per_key
+from crewlens.sources.durable import stored
+from crewlens.sources.partitioned import is_done, mark_done, read_table, replace_scopes, swap_partitions, upsert_rows
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -22,19 +24,11 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
-def read_or_none(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table of a folder, empty where the folder isn't there yet."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
-
-
 def daily_alerts(spark: SparkSession, certs: str, alerts: str, as_of: Column) -> Callable[[DataFrame, int], None]:
     """Appends the day's alerts of changed certifications; those of an earlier run never go out again."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        sent = read_or_none(spark, alerts, "cert_id long, profile_id long, alert_type string, days int, priority int")
+        sent = read_table(spark, alerts, "cert_id long, profile_id long, alert_type string, days int, priority int")
         expiry_alerts(batch, sent, as_of).write.mode("append").parquet(alerts)
 
     return handle
@@ -57,6 +51,50 @@ def rescore(scores: DataFrame, fresh: DataFrame, keys: DataFrame) -> DataFrame:
     return touched.unionByName(rest)
 
 
+def rescoring(spark: SparkSession, path: str, score: Callable[[DataFrame], DataFrame], year: Column) -> Callable[[DataFrame, int], None]:
+    """The durable form of ``rescore``: a batch of events recomputes its keys and swaps in the touched years of the table at ``path``.
+
+    ``score`` takes (profile_id, score_year) and gives profile_id, score_year and
+    final_score from tables that hold the batch's events. The table is partitioned by
+    year; a batch that was done before changes nothing.
+    """
+    schema = "profile_id long, final_score double, rank int, rank_percentile double, score_year int"
+
+    def handle(batch: DataFrame, number: int) -> None:
+        if is_done(spark, path, number):
+            return
+        keys = stored(impacted_keys(batch, year), "keys")
+        years = sorted(r[0] for r in keys.select("score_year").distinct().collect())
+        old = read_table(spark, path, schema).where(F.col("score_year").isin(*years) if years else F.lit(False))
+        fresh = score(keys).select(F.col("profile_id").cast("long").alias("profile_id"), F.col("score_year").cast("int").alias("score_year"), F.col("final_score").cast("double").alias("final_score"))
+        staged = stored(rescore(old, fresh, keys).select("profile_id", "final_score", "rank", "rank_percentile", "score_year"), "staged")
+        swap_partitions(staged, path, "score_year", years)
+        mark_done(spark, path, number)
+
+    return handle
+
+
+def refreshing(spark: SparkSession, path: str, rebuild: Callable[[DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """The durable form of ``refresh_chunks``: a batch of changed users replaces their chunks in the table at ``path``.
+
+    ``rebuild`` takes user_id and gives the users' chunks (user_id, chunk_id and more);
+    users that have none any more lose theirs.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        users = stored(batch.select("user_id").distinct(), "users")
+        replace_scopes(spark, path, users, rebuild(users).withColumn("of one", F.lit(0)), "user_id", "chunk_id", "of one", buckets, number)
+
+    return handle
+
+
+def counting_usage(spark: SparkSession, events: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> None:
+    """``template_usage`` of a stream: totals are kept in the state store, and what a batch changes is laid over the table at ``path``."""
+    counted = template_usage(events).writeStream.outputMode("update")
+    query = counted.foreachBatch(lambda batch, number: upsert_rows(spark, path, batch, ["user_id", "file_hash"], None, buckets, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def refresh_chunks(chunks: DataFrame, changed: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Chunks of changed users replaced by rebuilt ones."""
     return chunks.join(changed.select("user_id").distinct(), "user_id", "left_anti").unionByName(rebuilt.join(changed.select("user_id").distinct(), "user_id", "left_semi"))
@@ -71,7 +109,7 @@ def admitting(spark: SparkSession, hashes: str, order: list[str], key: str = "fi
     """The durable form of ``admit_once``: the hash table grows by what a batch admits."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        known = read_or_none(spark, hashes, batch.schema)
+        known = read_table(spark, hashes, batch.schema)
         admit_once(batch, known, order, key).write.mode("append").parquet(hashes)
 
     return handle

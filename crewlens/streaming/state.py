@@ -1,4 +1,4 @@
-"""Status folding on a stream, in a state store keyed by record."""
+"""Steps of trainings and evaluations folded on a stream, in a state store keyed by record."""
 
 from __future__ import annotations
 
@@ -41,3 +41,44 @@ def fold_status_stream(events: DataFrame, keep_ms: int | None = None) -> DataFra
     """
     mode = "None" if keep_ms is None else "ProcessingTime"
     return events.groupBy("training_id").transformWithStateInPandas(StatusProcessor(keep_ms), "training_id long, status string, ts timestamp", "Update", mode)
+
+
+class EvaluationProcessor(StatefulProcessor):
+    """Pending, then scored once by the first score at or after it, whatever the order in which events come.
+
+    Scores before the first pending known are kept, as an earlier pending may still come.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("evaluation", "pending_at timestamp, scored_at timestamp, score double")
+        self.early = handle.getListState("early", "ts timestamp, score double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pending, scored, score = self.state.get() if self.state.exists() else (None, None, None)
+        waiting = [tuple(r) for r in self.early.get()]
+        for pdf in rows:
+            for status, ts, value in zip(pdf["status"], pdf["ts"], pdf["score"], strict=True):
+                at = pd.Timestamp(ts).to_pydatetime()
+                if status == "pending":
+                    pending = at if pending is None else min(pending, at)
+                elif status == "scored":
+                    waiting.append((at, None if pd.isna(value) else float(value)))
+        left = []
+        for at, value in waiting:
+            if pending is None or at < pending:
+                left.append((at, value))
+            elif scored is None or at < scored:
+                scored, score = at, value
+        self.early.put(left) if left else self.early.clear()
+        self.state.update((pending, scored, score))
+        if pending is not None:
+            yield pd.DataFrame({"record_id": [key[0]], "status": ["pending" if scored is None else "scored"], "score": pd.Series([score], dtype=float), "pending_at": [pending], "scored_at": pd.Series([scored], dtype="datetime64[us]")})
+
+    def close(self) -> None:
+        pass
+
+
+def fold_evaluation_stream(events: DataFrame) -> DataFrame:
+    """A stream of each changed record's evaluation. events: record_id, status, score (double), ts (timestamp)."""
+    schema = "record_id long, status string, score double, pending_at timestamp, scored_at timestamp"
+    return events.groupBy("record_id").transformWithStateInPandas(EvaluationProcessor(), schema, "Update", "None")
