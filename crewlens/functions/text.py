@@ -95,14 +95,23 @@ def truncate_at_marker(text: Column, markers: list[str]) -> Column:
 
 #: Labels in front of names of certifications, and short names of months.
 _CERT_LABELS = r"(?i)^(?:date\s*d['\u2019]?\s*obtention|date\s*obtention|certifications?|certificate|certificat|certified in(?=\s*[:\-])|title(?=\s*[:\-]))\b\s*[:\-]?\s*"
-_MONTH = "(?:jan|janv|feb|fev|mar|mars|apr|avr|may|mai|jun|juin|jul|juil|aug|aout|sep|sept|oct|nov|dec)"
+MONTH_SHORT = "(?:jan|janv|feb|fev|mar|mars|apr|avr|may|mai|jun|juin|jul|juil|aug|aout|sep|sept|oct|nov|dec)"
+
+
+#: A letter of a name.
+LETTER = r"[A-Za-z\u00C0-\u024F]"
+
+
+def label_off(text: Column) -> Column:
+    """A cleaned name of a certification without the label in front of it."""
+    return F.trim(F.regexp_replace(text, _CERT_LABELS, ""))
 
 
 def clean_cert_name(text: Column) -> Column:
     """Label prefixes off; names without letters, or that are dates, are none."""
-    t = F.trim(F.regexp_replace(clean_text(text), _CERT_LABELS, ""))
+    t = label_off(clean_text(text))
     compact = F.lower(F.trim(F.regexp_replace(strip_accents(t), r"\.", "")))
-    dated = compact.rlike(rf"^{_MONTH}\s+[0-9]{{1,2}}(?:,\s*[0-9]{{4}})?$") | compact.rlike(rf"^[0-9]{{1,2}}\s+{_MONTH}(?:\s+[0-9]{{4}})?$") | t.rlike(r"^[0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}$")
+    dated = compact.rlike(rf"^{MONTH_SHORT}\s+[0-9]{{1,2}}(?:,\s*[0-9]{{4}})?$") | compact.rlike(rf"^[0-9]{{1,2}}\s+{MONTH_SHORT}(?:\s+[0-9]{{4}})?$") | t.rlike(r"^[0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}$")
     return F.when(t.rlike(r"[A-Za-z\u00C0-\u024F]") & ~dated, t)
 
 

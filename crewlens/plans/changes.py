@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crewlens.catalog import query
+from crewlens.operators import records as D
 from crewlens.operators.windows import rank_scores
 from crewlens.plans.standins import table
 from crewlens.sources import tables as S
@@ -129,8 +130,33 @@ def delete_chunks(spark, sf_dir):
     return S.delete_by_key(rows.select("user_id"), rows.where("c_nationkey < 5"), "user_id")
 
 
-@query("select c_custkey as profile_id, case when c_acctbal > 0 then 'new' else 'old' end as summary, 'kept' as other from customer")
+@query("""with o as (select o_custkey as profile_id, o_orderkey as pos, case when o_orderkey % 2 = 0 then 'Été ' else 'ÉTÉ ' end || o_orderpriority as name, case when o_orderkey % 3 = 0 then 'issuer ' || (o_orderkey % 5)::varchar end as issuer, case when o_orderkey % 4 > 0 then strftime(o_orderdate, '%Y') end as issued, strftime(o_orderdate, '%m/%Y') as obtained, o_orderkey % 5 > 0 as up, o_orderstatus from orders),
+ e as (select *, 0 as source from o where o_orderstatus = 'F' and up and profile_id in (select c_custkey from customer where c_nationkey < 20) union all select *, 1 from o where o_orderstatus <> 'F' and profile_id in (select c_custkey from customer where c_nationkey < 20)),
+ f as (select *, lower(strip_accents(name)) as same, coalesce(issued, obtained) as got, case when issued is not null then obtained end as later from e),
+ m as (select profile_id, same, arg_min(name, (source, pos)) as name, arg_min(issuer, (source, pos)) filter (where issuer is not null) as issuer, arg_min(got, (source, pos)) as got, arg_min(later, (source, pos)) filter (where later is not null) as later, bool_or(source = 0) as up, min((source, pos)) as first from f group by 1, 2),
+ n as (select profile_id, string_agg(name || '|' || coalesce(issuer, '') || '|' || got || '|' || coalesce(later, '') || '|' || up::varchar, ';' order by first) as certs from m group by 1),
+ k as (select profile_id, string_agg(name || '|' || coalesce(issuer, '') || '|' || coalesce(issued, '') || '|' || obtained || '|' || up::varchar, ';' order by pos) as certs from o where o_orderstatus = 'F' group by 1)
+ select c_custkey as profile_id, case when c_nationkey < 20 then case when c_custkey % 3 = 0 then 'Unknown' else c_name end else 'old name' end as name, case when c_nationkey < 20 then c_mktsegment || ',SQL' else 'old' end as skills,
+  case when c_nationkey < 20 then n.certs else k.certs end as certs, case when c_nationkey < 20 then coalesce(case when c_custkey % 2 = 0 then c_nationkey end, 0) else case when c_custkey % 2 = 0 then c_nationkey end end::double as experience_years, 'kept' as other from customer left join n on n.profile_id = c_custkey left join k on k.profile_id = c_custkey""")
 def save_profile_document(spark, sf_dir):
+    """A parse of most people over their documents: proven certifications of old and new ones under names that differ by case and accents."""
+    order, people = F.col("o_orderkey"), table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "profile_id")
+    cert = F.struct(
+        F.concat(F.when(order % 2 == 0, "Été ").otherwise("ÉTÉ "), "o_orderpriority").alias("name"), F.when(order % 3 == 0, F.concat(F.lit("issuer "), (order % 5).cast("string"))).alias("issuer"), F.when(order % 4 > 0, F.date_format("o_orderdate", "yyyy")).alias("issue_date"),
+        F.date_format("o_orderdate", "MM/yyyy").alias("date_obtained"), F.lit(None).cast("string").alias("expiration"), F.lit(" ").alias("credential_id"), (order % 5 > 0).alias("is_uploaded"),
+    )
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "profile_id")
+    certs = lambda rows: rows.groupBy("profile_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", cert.alias("c")))), lambda x: x["c"]).alias("certifications"))
+    old = people.join(certs(orders.where("o_orderstatus = 'F'")), "profile_id", "left").select("profile_id", F.lit("old name").alias("name"), F.array(F.lit("old")).alias("skills"), "certifications", F.when(F.col("profile_id") % 2 == 0, F.col("c_nationkey")).cast("double").alias("experience_years"), F.lit("kept").alias("other"))
+    skills = F.array("c_mktsegment", F.lit(" SQL "), F.lit("sql"), F.lower("c_mktsegment"))
+    parsed = people.where("c_nationkey < 20").join(certs(orders.where("o_orderstatus <> 'F'")), "profile_id", "left").select("profile_id", F.when(F.col("profile_id") % 3 > 0, F.col("c_name")).alias("first_name"), F.lit(" ").alias("last_name"), skills.alias("skills"), "certifications")
+    told = lambda c: F.concat_ws("|", *(F.coalesce(c[f].cast("string"), F.lit("")) for f in ("name", "issuer", "issue_date", "date_obtained", "is_uploaded")))
+    docs = D.save_documents(old, parsed, "profile_id")
+    return docs.select("profile_id", "name", F.array_join("skills", ",").alias("skills"), F.when(F.size("certifications") > 0, F.array_join(F.transform("certifications", told), ";")).alias("certs"), "experience_years", "other")
+
+
+@query("select c_custkey as profile_id, case when c_acctbal > 0 then 'new' else 'old' end as summary, 'kept' as other from customer")
+def overlay_documents(spark, sf_dir):
     people = table(spark, sf_dir, "customer")
     old = people.select(F.col("c_custkey").alias("profile_id"), F.lit("old").alias("summary"), F.lit("kept").alias("other"))
     parsed = people.where("c_nationkey < 30").select(F.col("c_custkey").alias("profile_id"), F.when(F.col("c_acctbal") > 0, "new").alias("summary"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crewlens.catalog import query
 from crewlens.operators import extraction as X
+from crewlens.operators import records as D
 from crewlens.plans.standins import table
 
 
@@ -127,6 +128,48 @@ def validate_records(spark, sf_dir):
     return out.select("o_custkey", F.size("projects").alias("kept"), F.col("dropped.projects").alias("dropped"), F.array_join("warnings", ",").alias("warnings"))
 
 
+@query(r"""with o as (select o_custkey as id, o_orderkey as pos, case o_orderkey % 4 when 0 then ' ' when 1 then null else o_orderpriority end as title, case when o_orderkey % 4 = 1 then 'Lead' end as job, case when o_orderkey % 6 = 0 then '' else o_orderstatus end as company, case o_orderkey % 5 when 0 then 'soon' when 1 then null else year(o_orderdate)::varchar end as dates from orders),
+ k as (select *, coalesce(nullif(title, ''), job) as told from o where trim(coalesce(nullif(title, ''), job, '')) <> '' and company <> ''), n as (select id, count(*) as n from o group by 1),
+ j as (select id, count(*) as n_jobs, count_if(dates = 'soon') as undated, arg_min(told, pos) as first from k group by 1),
+ s as (select id, count(*) as n_schools, string_agg(case when pos % 2 = 0 then 'MSc Data' else 'BSc' end, ',' order by pos) as degrees from (select *, row_number() over (partition by id order by pos) as i from o where pos % 3 > 0) where i <= 15 group by 1), d as (select id, count_if(pos % 3 = 0) as lost from o group by 1)
+ select c_custkey as id, case when c_custkey % 4 = 0 then 'Employee' when c_custkey % 4 = 1 then 'First Last' else c_name end as name, case when c_custkey % 5 = 0 then coalesce(first, '') else 'Boss' end as title, case when c_custkey % 3 = 0 then '' else c_custkey::varchar || '@x.org' end as email, case when c_custkey % 7 = 0 then '' else c_phone end as phone, 'Main St ' || c_custkey::varchar as address,
+  least(coalesce(n_jobs, 0), 20)::integer as jobs, coalesce(n.n - n_jobs, n.n, 0)::integer as dropped_jobs, coalesce(degrees, '') as degrees, coalesce(lost, 0)::integer as dropped_schools,
+  ((c_custkey % 4 = 0)::integer + (c_custkey % 3 = 0)::integer + (c_custkey % 7 = 0)::integer + (c_custkey % 2 = 0)::integer + 1 + coalesce(undated, 0) + (c_custkey % 5 = 0 and first is not null)::integer)::integer as warnings
+  from (select *, '+33 (0)' || c_nationkey::varchar as c_phone from (select c_custkey, c_name, c_nationkey from customer)) left join n on n.id = c_custkey left join j on j.id = c_custkey left join s on s.id = c_custkey left join d on d.id = c_custkey""")
+def validated_documents(spark, sf_dir):
+    """Whole records: names, addresses and numbers that can't be, doubled skills, jobs and schools with missing parts."""
+    order, key = F.col("o_orderkey"), F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    job = F.struct(F.when(order % 4 == 0, " ").when(order % 4 > 1, F.col("o_orderpriority")).alias("title"), F.when(order % 4 == 1, "Lead").alias("jobTitle"), F.when(order % 6 > 0, F.col("o_orderstatus")).otherwise("").alias("company"), none.alias("companyName"), F.when(order % 5 == 0, "soon").when(order % 5 > 1, F.year("o_orderdate").cast("string")).alias("dates"), none.alias("description"))
+    school = F.struct(F.when(order % 3 == 0, " ").when(order % 2 == 0, "MSc Data MSc Data").otherwise("BSc").alias("degree"), none.alias("institution"), none.alias("dates"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", c.alias("c")))), lambda x: x["c"])
+    nested = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(listed(job).alias("experience"), listed(school).alias("education"))
+    people = table(spark, sf_dir, "customer").join(nested, key == F.col("o_custkey"), "left")
+    texts = F.array().cast("array<string>")
+    rows = people.select(
+        key.alias("id"), F.when(key % 4 > 1, F.col("c_name")).otherwise(" ").alias("name"), F.when(key % 4 == 1, "First").alias("firstName"), F.when(key % 4 == 1, "Last").alias("lastName"), F.when(key % 5 > 0, "Boss").alias("title"), none.alias("summary"),
+        F.concat(key.cast("string"), F.when(key % 3 == 0, "@x").otherwise("@x.org")).alias("email"), F.concat(F.when(key % 7 == 0, "call ").otherwise(""), F.lit("+33 (0)"), F.col("c_nationkey").cast("string")).alias("phone"),
+        F.concat(F.lit("Main St "), key.cast("string"), F.when(key % 2 == 0, "  Compétences Java").otherwise("")).alias("address"), F.array(F.lit("Été"), F.lit("ETE"), F.lit("SQL")).alias("skills"), texts.alias("languages"), texts.alias("certifications"), "experience", "education",
+        F.lit(None).cast("array<struct<name: string, description: string>>").alias("projects"),
+    )
+    out = D.validated(rows)
+    return out.select(
+        "id", "name", "title", "email", "phone", "address", F.size("experience").alias("jobs"), F.col("report.dropped_experiences").alias("dropped_jobs"), F.array_join(F.transform("education", lambda e: e["degree"]), ",").alias("degrees"),
+        F.col("report.dropped_educations").alias("dropped_schools"), F.size("report.warnings").alias("warnings"),
+    )
+
+
+@query()
+def recovered_cert_dates(spark, sf_dir):
+    """Certifications listed by customer: names that swallowed the next one, days that slipped, dates in the place of names. A fold, which SQL doesn't express; held against a loop in the tests."""
+    n, d = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    day, hint = (F.col("o_orderkey") % 28 + 1).cast("string"), F.date_format(d, "MM/yyyy")
+    name = F.when(n == 0, F.concat("o_orderpriority", F.lit(" "), day, F.lit("/ Next "), "o_orderstatus")).when(n == 1, F.concat(day, F.lit("/ "), "o_orderpriority")).when(n == 2, F.concat(F.lit("mars "), day)).otherwise(F.col("o_orderpriority"))
+    date = F.when(n == 2, F.concat(F.lit("Certification: "), "o_orderpriority")).when(n < 5, hint)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("pos"), name.alias("name"), date.alias("date"))
+    return D.recover_cert_dates(rows, "profile_id")
+
+
 @query("""select event_id as doc_id, 0 as pos, cast(json_extract_string(props, '$.k') as bigint) as k, event_type as kind from events""")
 def normalise_payload(spark, sf_dir):
     payload = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"items": ['), F.expr("concat(left(props, length(props) - 1), ', \"kind\": \"', event_type, '\"}')"), F.lit("]}"))).otherwise(F.concat(F.lit('{"entries": ['), F.expr("concat(left(props, length(props) - 1), ', \"kind\": \"', event_type, '\"}')"), F.lit("]}")))
