@@ -3,6 +3,12 @@
 Every stage works on all that the one before it kept, and all but the last
 return the columns of ``documents``. Mixing repeats documents; the others keep
 or change each row.
+
+Null and empty texts pass as empty ones where the classifier keeps them: they have
+no shingles, no personal data, no words and no tokens. Rows are told apart by all
+their values, so that repeated rows and repeated or null doc_ids are judged row by row;
+of equally near copies the one of the least doc_id stays. Columns beside those of
+``documents`` are carried along, whatever their names; empty tables give empty ones.
 """
 
 from __future__ import annotations

@@ -84,6 +84,32 @@ def verify_owner(docs: DataFrame, threshold: float = 0.82) -> DataFrame:
     return rows.withColumn("verified", F.col("name_score") >= threshold).drop("words of text", "words of name")
 
 
+def verify_owner_by_ratio(docs: DataFrame, key: str, least: float = 0.75) -> DataFrame:
+    """``key`` and verified: whether a text names its owner. docs: ``key`` (one row for each), text, first, last.
+
+    True where both names stand anywhere in the text, or where one of them is blank;
+    else where a window of n-1 to n+1 of its words has a sequence ratio above ``least`` with
+    the name in either order. Only windows whose length and letters allow the ratio
+    are compared; texts that already pass have none.
+    """
+    low = lambda c: F.trim(F.lower(F.coalesce(F.col(c), F.lit(""))))
+    rows = docs.select(key, low("text").alias("text"), low("first").alias("a"), low("last").alias("b"))
+    rows = rows.withColumn("sure", (F.col("a") == "") | (F.col("b") == "") | (F.contains("text", F.col("a")) & F.contains("text", F.col("b"))))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    rest = rows.where(~F.col("sure")).select(key, F.concat_ws(" ", "a", "b").alias("name"), F.concat_ws(" ", "b", "a").alias("turned"), words.alias("words"))
+    n = F.size(F.split("name", r"\s+"))
+    sizes = F.array_distinct(F.array(F.greatest(n - 1, F.lit(1)), n, n + 1))
+    spots = rest.select("*", F.explode(sizes).alias("size")).where(F.size("words") >= F.col("size"))
+    spots = spots.select(key, "name", "turned", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1), lambda i: F.array_join(F.slice("words", i, F.col("size")), " "))).alias("window")).distinct()
+    # ratio = 2 m / (a + b), m at most the shorter text and at most the letters that both have in any order.
+    total = F.length("window") + F.length("name")
+    spots = spots.where(2 * F.least(F.length("window"), F.length("name")) > least * total)
+    times = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x))
+    shared = F.aggregate(F.array_distinct(F.split("name", "")), F.lit(0), lambda n, x: n + F.when(x == "", 0).otherwise(F.least(times("name", x), times("window", x))))
+    near = spots.where(2 * shared > least * total).where((seq_ratio("window", "name") > least) | (seq_ratio("window", "turned") > least)).select(key).distinct().withColumn("near", F.lit(True))
+    return rows.join(near, key, "left").select(key, (F.col("sure") | F.coalesce("near", F.lit(False))).alias("verified"))
+
+
 def resolve_person(queries: DataFrame, people: DataFrame, least: float = 0.84, near: float = 0.02) -> DataFrame:
     """People whose name words come close to a query's words: blocked by the lengths and the letters in a row that the ratio makes them share.
 

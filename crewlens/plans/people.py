@@ -170,6 +170,16 @@ def owner_in_document(spark, sf_dir):
     return J.verify_owner(docs.select("doc_id", "text", name.alias("name"))).select("doc_id", F.round("name_score", 9).alias("name_score"), "verified")
 
 
+@query()
+def owner_by_ratio(spark, sf_dir):
+    """Texts that hold a part's two names, with letters dropped, in either order, apart or not at all. A sequence ratio has no SQL form; held against a loop in the tests."""
+    n, words = F.col("p_partkey") % 5, F.split("p_name", " ")
+    first, last = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    short = F.concat(F.substring(first, F.lit(1), F.length(first) - 1), F.lit(" "), last)
+    text = F.when(n == 0, F.concat_ws(" ", last, "p_type", first)).when(n == 1, F.concat_ws(" ", "p_type", short)).when(n == 2, F.concat_ws(" ", last, short)).when(n == 3, F.col("p_type")).otherwise(F.concat_ws(" ", "p_brand", F.reverse(first), last))
+    return J.verify_owner_by_ratio(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), first.alias("first"), last.alias("last")), "p_partkey")
+
+
 @query()
 def fuzzy_query_person(spark, sf_dir):
     """Names of parts, misspelt by one letter, against the names of parts."""

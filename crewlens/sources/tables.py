@@ -13,9 +13,20 @@ def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 
 
-def load_jdbc(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A table of a live database, read in ``parts`` ranges of an integer column."""
-    return spark.read.jdbc(url, name, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
+def load_jdbc(spark: SparkSession, url: str, name: str, column: str, parts: int, where: str | None = None, **options: str) -> DataFrame:
+    """A table of a live database, read in ``parts`` ranges of an integer or date column between its least and greatest value.
+
+    The two values are asked for first; ``where``, a condition in the database's SQL, and
+    Spark's own filters and column choices are evaluated there. A table without rows
+    is read in one part; rows whose column is null belong to the first range.
+    """
+    source = f"(select * from {name} where {where}) t" if where else name
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    condition = f" where {where}" if where else ""
+    low, high = spark.read.jdbc(url, f"(select min({quoted}) as low, max({quoted}) as high from {name}{condition}) b", properties=options).first()
+    if low is None:
+        return spark.read.jdbc(url, source, properties=options)
+    return spark.read.jdbc(url, source, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
 
 
 def scan_profile_metadata(spark: SparkSession, roots: list[str], schema: str) -> DataFrame:
