@@ -26,19 +26,19 @@ def nested(df: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
 
 
 def company_index(df: DataFrame, company: str, person: str) -> DataFrame:
-    """Per normalised company, its least spelling and its people in order."""
+    """Per normalised company, the spelling that comes first by person and spelling, and its people in order."""
     rows = df.select(match_key(F.col(company)).alias("company_key"), F.col(company).alias("company"), F.col(person).alias("person")).where("company_key <> ''")
-    return rows.groupBy("company_key").agg(F.min("company").alias("company"), F.array_sort(F.collect_set("person")).alias("people"))
+    return rows.groupBy("company_key").agg(F.min(F.struct("person", "company"))["company"].alias("company"), F.array_sort(F.collect_set("person")).alias("people"))
 
 
 def people_facts(chunks: DataFrame, person: str, kind: str, entity: str, items: int = 50, chars: int = 500) -> DataFrame:
-    """Per person and type of chunk, how many distinct entities there are, and the first of them in order."""
-    value = F.substring(F.col(entity), 1, chars)
-    rows = chunks.select(person, kind, value.alias("entity")).distinct()
+    """Per person and type of chunk, how many distinct entities there are, and the first of them in order, cut for display only."""
+    rows = chunks.select(person, kind, F.col(entity).alias("entity")).distinct()
     counts = rows.groupBy(person, kind).agg(F.count("*").alias("n"))
     # Cut before anything is collected.
-    first = top_k_per_key(rows, [person, kind], ["entity"], items).groupBy(person, kind).agg(F.array_sort(F.collect_list("entity")).alias("entities"))
-    return counts.join(first, [person, kind])
+    first = top_k_per_key(rows, [person, kind], ["entity"], items).groupBy(person, kind)
+    shown = F.transform(F.array_sort(F.collect_list("entity")), lambda e: F.substring(e, F.lit(1), F.lit(chars)))
+    return counts.join(first.agg(shown.alias("entities")), [person, kind])
 
 
 def counters(df: DataFrame, by: list[str], column: str, values: list[str]) -> DataFrame:

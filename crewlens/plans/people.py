@@ -254,9 +254,11 @@ def nested_collect(spark, sf_dir):
     return found.select("project_name", F.concat(F.lit("["), F.array_join(F.transform("people", lambda p: p["profile_id"].cast("string")), ", "), F.lit("]")).alias("people"))
 
 
-@query("select lower(p_type) as company_key, min(p_type) as company, array_to_string(list_sort(list(distinct p_brand)), ',') as people from part group by 1")
+@query("with p as (select p_brand, case when p_partkey % 3 = 0 then upper(p_type) when p_partkey % 3 = 1 then p_type || '.' else p_type end as company, lower(p_type) as company_key from part) select company_key, arg_min(company, (p_brand, company)) as company, array_to_string(list_sort(list(distinct p_brand)), ',') as people from p group by 1")
 def company_to_people(spark, sf_dir):
-    return A.company_index(table(spark, sf_dir, "part"), "p_type", "p_brand").withColumn("people", F.array_join("people", ","))
+    n = F.col("p_partkey") % 3
+    rows = table(spark, sf_dir, "part").select("p_brand", F.when(n == 0, F.upper("p_type")).when(n == 1, F.concat("p_type", F.lit("."))).otherwise(F.col("p_type")).alias("company"))
+    return A.company_index(rows, "company", "p_brand").withColumn("people", F.array_join("people", ","))
 
 
 @query(f"with {ctes('certs')}, d as (select distinct profile_id, issuer, cert_name as e from certs) select profile_id, issuer, count(*) as n, array_to_string(list_sort(list(e))[1:50], '|') as entities from d group by 1, 2")

@@ -8,6 +8,7 @@ from crewlens.catalog import query
 from crewlens.functions import text as T
 from crewlens.operators import chunks as K
 from crewlens.operators import retrieval as R
+from crewlens.operators import sketches as N
 from crewlens.plans.standins import AS_OF, certs, ctes, participations, table
 from crewlens.sources.durable import stored
 
@@ -359,6 +360,20 @@ def similar_documents(spark, sf_dir):
     return R.similar_documents(a, b).select("a_id", "b_id", "score")
 
 
+@query()
+def near_texts(spark, sf_dir):
+    """Documents near each other by MinHash candidates, scored exactly; each pair once. The candidates have no SQL form; recall is measured in the tests."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return N.near_texts(docs, docs, 0.8).where("a_id < b_id")
+
+
+@query()
+def near_vectors_by_projection(spark, sf_dir):
+    """Vectors near each other by random projections, scored exactly; each pair once."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return N.near_by_projection(rows, rows, 0.95).where("a_id < b_id")
+
+
 @query(f"""with q as (select conv_id, turn, text from conversations union all select conv_id, turn + 1000, 'Hey there, everyone!' from conversations union all select conv_id, turn + 2000, 'Hello ' || string_split(text, ' ')[1] from conversations union all select conv_id, turn + 3000, ' ?! ' from conversations),
  w as (select conv_id, turn, list_filter(string_split({_KEY.format('text')}, ' '), lambda x: x <> '') as words from q)
  select conv_id, turn, case when len(words) = 0 then 'empty' when len(list_filter(words, lambda x: x not in ('hello', 'hi', 'hey', 'greetings', 'bonjour', 'salut', 'yo', 'sup', 'there', 'everyone', 'all'))) = 0 then 'greeting' else 'search' end as route from w""")
