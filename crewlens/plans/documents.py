@@ -14,10 +14,16 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@query("select o_orderkey as doc_id, case when o_orderkey % 2 = 0 then 'training_sheet' else 'attestation' end as doc_type from orders")
+_WORDY = "trim(regexp_replace(lower(replace(strip_accents({0}), '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(rf"""with t as (select doc_id, {_WORDY.format("repeat('Feuille de présence; FORMATION, ', (doc_id % 4)::integer) || text || repeat(' le Projet du Marché', (doc_id % 3)::integer) || case when doc_id % 5 = 0 then ' projets, trainers' else ' Client!' end")} as key from documents)
+ select doc_id, case when len(regexp_extract_all(key, '\b(feuille de presence|attendance|participants|formateur|trainer|formation)\b')) > len(regexp_extract_all(key, '\b(attestation|certifie|certify|projet|project|client|marche)\b')) then 'training_sheet' else 'attestation' end as doc_type from t""")
 def classify_document(spark, sf_dir):
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Feuille de présence\nFormateur: "), F.col("o_orderpriority"))).otherwise(F.concat(F.lit("Attestation\nProjet: "), F.col("o_orderpriority")))
-    return X.classify_docs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))).select("doc_id", "doc_type")
+    """Whole documents with some words of either kind before and behind them."""
+    n = F.col("doc_id")
+    text = F.concat(F.expr("repeat('Feuille de présence; FORMATION, ', cast(doc_id % 4 as int))"), "text", F.expr("repeat(' le Projet du Marché', cast(doc_id % 3 as int))"), F.when(n % 5 == 0, " projets, trainers").otherwise(" Client!"))
+    return X.classify_docs(_docs(spark, sf_dir).select("doc_id", text.alias("text"))).select("doc_id", "doc_type")
 
 
 @query("""select o_orderkey as doc_id, 'Net ' || o_orderpriority as project_name, case when o_orderkey % 3 > 0 then 'C' || o_custkey::varchar end as client_name, o_orderdate::date as date, true as confirmed, 2 as n_members, case o_orderkey % 4 when 0 then 'project_lead' when 1 then 'technical_lead' else 'contributor' end as first_role, case when o_orderkey % 3 = 0 then 'no client' else '' end as assumptions from orders""")
@@ -76,11 +82,26 @@ def extract_contact(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.extract_contact(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select d.doc_id, 'projects' as section, 'Projets' as first_line, count(line) + 1 as n from documents d join l on d.doc_id = l.doc_id where trim(line) <> '' group by 1""")
+#: Lines put into documents: headings in several languages with up to two words more, and lines that only look like some.
+_PUT = ("Expérience professionnelle", "SKILLS & Tools", "Formation:", "projects of the last years", "Technical Skills", "- Langues -", "my education", "Work experience at the old firm", "Certificats et diplômes", "")
+_PUT_SQL = "[" + ", ".join(f"'{x}'" for x in _PUT) + "]"
+_HEADINGS = ", ".join(f"('{word}', '{section}', {len(word.split())})" for section, words in X.SECTIONS.items() for word in words)
+
+
+@query(rf"""with x as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
+ l as (select doc_id, n * 2 as pos, line from x union all select doc_id, n * 2 - 1, ({_PUT_SQL})[((doc_id + n) % 10 + 1)::integer] from x where n % 3 = 2), k as (select *, string_split({_WORDY.format('line')}, ' ') as words from l where trim(line) <> ''),
+ h as (select word, min(section) as section, any_value(n) as n from (values {_HEADINGS}) v(word, section, n) group by 1),
+ m as (select doc_id, pos, arg_max(section, n) as head from k join h on array_to_string(words[1:n], ' ') = word and len(words) - n between 0 and 2 group by 1, 2),
+ s as (select k.*, head, coalesce(last_value(head ignore nulls) over (partition by k.doc_id order by k.pos rows between unbounded preceding and current row), 'header') as section from k left join m on m.doc_id = k.doc_id and m.pos = k.pos)
+ select doc_id, section, count(*) as n, count(head) as headings, sha256(string_agg(line, chr(10) order by pos)) as lines from s group by 1, 2""")
 def segment_sections(spark, sf_dir):
-    """A heading is put before every document; its lines then stand in that section."""
-    docs = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Projets\n"), "text").alias("text"))
-    return X.segment_sections(docs).where("section = 'projects'").groupBy("doc_id", "section").agg(F.min_by("line", "pos").alias("first_line"), F.count("*").alias("n"))
+    """Whole documents with headings, and lines that are none, before every third line."""
+    at = lambda i: F.element_at(F.array(*map(F.lit, _PUT)), ((F.col("doc_id") + i) % 10 + 1).cast("int"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 3 == 2, F.concat(at(i + 1), F.lit("\n"), x)).otherwise(x))
+    docs = _docs(spark, sf_dir).select("doc_id", F.array_join(lines, "\n").alias("text"))
+    rows = X.segment_sections(docs).groupBy("doc_id", "section")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    return rows.agg(F.count("*").alias("n"), F.count_if("is_heading").alias("headings"), F.sha2(text, 256).alias("lines"))
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),

@@ -44,3 +44,8 @@ def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table that ``stored`` returned and that no one reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         delete_path(df.sparkSession, folder)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Call it when no result is read any more."""
+    delete_path(spark, own_folder(spark))
