@@ -69,8 +69,10 @@ def _annual(spark, sf_dir):
     return S.annual_score(_pillars(spark, sf_dir), PILLARS)
 
 
-def _ranked(spark, sf_dir):
-    scores = _annual(spark, sf_dir).join(profiles(spark, sf_dir).select("profile_id", "team_id"), "profile_id")
+def _ranked(spark, sf_dir, year=None):
+    """Ranks of one year, or of all; a year is chosen before it is ranked."""
+    annual = _annual(spark, sf_dir)
+    scores = (annual if year is None else annual.where(F.col("score_year") == year)).join(profiles(spark, sf_dir).select("profile_id", "team_id"), "profile_id")
     ranked = W.rank_scores(scores, ["score_year"])
     return W.rank_scores(ranked, ["score_year", "team_id"], name="team_rank")
 
@@ -85,7 +87,7 @@ _RANKED = f"""{_ANNUAL}, ranked as (select a.*, f.team_id,
 @query(f"{_RANKED} select profile_id, final_score, cast(rank as integer) as rank, cast(team_rank as integer) as team_rank, team_id from ranked where score_year = 1998 order by rank limit 100")
 def leaderboard(spark, sf_dir):
     """The flagship: best scores of 1998 with global and team ranks."""
-    board = _ranked(spark, sf_dir).where("score_year = 1998").orderBy("rank").limit(100)
+    board = _ranked(spark, sf_dir, 1998).orderBy("rank").limit(100)
     return board.select("profile_id", "final_score", "rank", "team_rank", "team_id")
 
 
@@ -171,12 +173,12 @@ def rank_in_two_passes(spark, sf_dir):
 
 @query(f"{_RANKED} select team_id, round(avg(case when final_score > 0 then final_score end), 6) as mean_score, count(case when final_score > 0 then 1 end) as n_scored, arg_max(profile_id, (final_score, -profile_id)) as top_profile, count(case when final_score <= 0 then 1 end) as n_pending from ranked where score_year = 1997 group by 1")
 def team_summary(spark, sf_dir):
-    return S.team_summary(_ranked(spark, sf_dir).where("score_year = 1997"))
+    return S.team_summary(_ranked(spark, sf_dir, 1997))
 
 
 @query(f"{_RANKED} select profile_id, team_id, final_score, cast(rank as integer) as rank from ranked where score_year = 2001 union all select profile_id, team_id, 0.0, 0 from profiles where profile_id not in (select profile_id from ranked where score_year = 2001)")
 def leaderboard_with_unscored(spark, sf_dir):
-    return S.leaderboard_with_unscored(_ranked(spark, sf_dir).where("score_year = 2001"), profiles(spark, sf_dir))
+    return S.leaderboard_with_unscored(_ranked(spark, sf_dir, 2001), profiles(spark, sf_dir))
 
 
 @query(f"{_ANNUAL} select profile_id, score_year, final_score, cast(row_number() over (partition by profile_id order by score_year desc) as integer) as place from annual qualify place <= 3")
