@@ -80,7 +80,8 @@ _MERGED = f"""with {ctes('certs')}, k as (select *, {_KEY.format('cert_name')} a
 
 def _merged(spark, sf_dir):
     order = F.col("cert_id") * 1000 + F.coalesce(F.datediff("expiration_date", F.lit("1990-01-01").cast("date")), F.lit(0)) % 1000
-    keyed = certs(spark, sf_dir).select("*", C.match_key(F.col("cert_name")).alias("cert_key"), order.alias("ord"))
+    # Numbers can be equal: then the first row of the table counts.
+    keyed = certs(spark, sf_dir, row=True).select("*", C.match_key(F.col("cert_name")).alias("cert_key"), F.struct(order.alias("number"), "row").alias("ord"))
     return C.coalesce_dups(keyed, ["profile_id", "cert_key"], "ord", ["issuer", "expiration_date"], ["is_uploaded"])
 
 
