@@ -31,6 +31,18 @@ def test_rare_tokens_entries_first_then_profiles(spark, chunks):
     assert R.rare_token_search(asked, chunks, least=3, share=0.0).count() == 0
 
 
+def test_equal_questions_and_chunks_meet_once(spark, monkeypatch):
+    """400 equal questions on 400 chunks with the same words: one question meets one chunk."""
+    tables, keep = {}, R.stored
+    monkeypatch.setattr(R, "stored", lambda df, name: tables.setdefault(name, keep(df, name)))
+    chunks = spark.range(400).selectExpr("id as chunk_id", "if(id % 2 = 0, 'profile', 'skills') as chunk_type", "concat('kafka spark ', if(id = 5, 'flink', '')) as content")
+    asked = spark.range(400).selectExpr("id as query_id", "'kafka, flink' as query")
+    found = R.rare_token_search(asked, chunks, k=3, share=1.0).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.chunk_id) for r in found] == [(q, c) for q in range(400) for c in (5, 0, 2)]
+    # Of the 399 and the one the first three of each are kept.
+    assert tables["first"].count() == 4
+
+
 def test_focus_leaves_out_the_own_name(spark, chunks):
     people = spark.createDataFrame(PEOPLE, "user_id string, full_name string")
     scope = spark.createDataFrame([(7, "ann")], "query_id long, user_id string")
