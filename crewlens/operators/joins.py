@@ -116,6 +116,10 @@ def resolve_person(queries: DataFrame, people: DataFrame, least: float = 0.84, n
     All within ``near`` of the best stay; one is a match, several are ambiguous.
     """
     asked = queries.select("query_id", F.explode(F.split(match_key(F.col("query")), " ")).alias("word")).where(F.length("word") >= 4).distinct()
+    # Questions with the same words are one, ``like``.
+    sets = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    alike = sets.groupBy("words").agg(F.min("query_id").alias("like"))
+    terms = alike.select("like", F.explode("words").alias("word"))
     names = people.select("profile_id", F.explode(F.split(match_key(F.col("full_name")), " ")).alias("name")).where(F.length("name") >= 3).distinct()
     # ratio = 2 m / (a + b) with m <= min(a, b), so that b is at most a (2 - r) / r and at least a r / (2 - r).
     a, most = F.length("word"), (2 - least) / least
@@ -130,11 +134,12 @@ def resolve_person(queries: DataFrame, people: DataFrame, least: float = 0.84, n
     shared = F.aggregate(F.array_distinct(F.split("word", "")), F.lit(0), lambda n, x: n + F.when(x == "", 0).otherwise(F.least(times("word", x), times("name", x))))
     pairs = pairs.where(2 * shared >= least * (a + F.length("name")) - 1e-9)
     scored = pairs.withColumn("ratio", seq_ratio("word", "name")).where(F.col("ratio") >= least)
-    hits = asked.join(scored, "word").join(names, "name").groupBy("query_id", "profile_id").agg(F.max("ratio").alias("ratio"))
-    top = hits.groupBy("query_id").agg(F.max("ratio").alias("top"))
-    kept = hits.join(top, "query_id").where(F.col("ratio") >= F.col("top") - near)
-    n = kept.groupBy("query_id").agg(F.count("*").alias("n"))
-    return kept.join(n, "query_id").select("query_id", "profile_id", "ratio", F.when(F.col("n") == 1, "match").otherwise("ambiguous").alias("outcome"))
+    hits = terms.join(scored, "word").join(names, "name").groupBy("like", "profile_id").agg(F.max("ratio").alias("ratio"))
+    top = hits.groupBy("like").agg(F.max("ratio").alias("top"))
+    kept = hits.join(top, "like").where(F.col("ratio") >= F.col("top") - near)
+    n = kept.groupBy("like").agg(F.count("*").alias("n"))
+    found = kept.join(n, "like")
+    return sets.join(alike, "words").select("query_id", "like").join(found, "like").select("query_id", "profile_id", "ratio", F.when(F.col("n") == 1, "match").otherwise("ambiguous").alias("outcome"))
 
 
 def backfill_dates(projects: DataFrame, metadata: DataFrame) -> DataFrame:
