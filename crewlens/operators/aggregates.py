@@ -79,20 +79,16 @@ def result_entities(results: DataFrame, query: str) -> DataFrame:
     employees (name, companies), the directory's. Blank ones don't count; a query without any stays.
     """
     none = F.expr("cast(array() as array<string>)")
-    listed = lambda c: F.coalesce(c, none)
-    one = lambda c: F.array(c)
-    kinds = {
-        "people": F.concat(one(F.col("name")), listed(F.col("employees.name"))),
-        "certifications": F.concat(one(F.col("certification_name")), listed(F.col("certifications"))),
-        "projects": one(F.col("project_name")),
-        "companies": F.concat(one(F.coalesce("company_name", "client_name")), F.flatten(F.transform(F.coalesce(F.col("employees.companies"), F.array(none)), listed))),
-    }
-    named = lambda k: F.transform(kinds[k], lambda x: F.struct(F.lit(k).alias("kind"), F.trim(x).alias("entity")))
-    found = F.concat(*map(named, kinds))
-    # Distinct before they are collected, so that repeats of a large result don't gather.
-    rows = results.select(query, F.explode(found).alias("e")).select(query, "e.*").where("entity <> ''").distinct()
-    sets = rows.groupBy(query).agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("entity")))).alias(k) for k in kinds))
-    return results.select(query).distinct().join(sets, query, "left").select(query, *(listed(F.col(k)).alias(k) for k in kinds))
+    ones = {"people": F.col("name"), "certifications": F.col("certification_name"), "projects": F.col("project_name"), "companies": F.coalesce("company_name", "client_name")}
+    staff = F.flatten(F.transform("employees.companies", lambda c: F.coalesce(c, none)))
+    lists = {"people": F.col("employees.name"), "certifications": F.col("certifications"), "companies": staff}
+    # Sets, so that repeats of a large result don't gather; rows meet once.
+    sets = [F.collect_set(F.nullif(F.trim(c), F.lit(""))).alias(f"one {k}") for k, c in ones.items()]
+    sets += [F.collect_set(F.when(F.size(c) > 0, c)).alias(f"list {k}") for k, c in lists.items()]
+    found = results.groupBy(query).agg(*sets)
+    listed = lambda k: F.filter(F.transform(F.flatten(f"list {k}"), lambda x: F.trim(x)), lambda x: x != "")
+    all_ = lambda k: F.array_distinct(F.concat(f"one {k}", listed(k))) if k in lists else F.col(f"one {k}")
+    return found.select(query, *(F.array_sort(all_(k)).alias(k) for k in ones))
 
 
 #: Fields of the entries that facts list, and those of them that name an entry.
