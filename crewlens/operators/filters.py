@@ -64,8 +64,9 @@ def pending_evaluations(records: DataFrame, members: DataFrame, kind: str) -> Da
 
 def check_uploads(uploads: DataFrame, participants: DataFrame, projects: DataFrame) -> DataFrame:
     """The first rule that each upload breaks, or ok."""
-    part = participants.select("project_id", "profile_id").distinct().withColumn("takes_part", F.lit(True))
-    rows = uploads.join(part, ["project_id", "profile_id"], "left").join(projects, "project_id", "left")
+    # Dealt by project as the uploads are, so that these move once for both joins.
+    part = participants.select("project_id", "profile_id").repartition("project_id").distinct().withColumn("takes_part", F.lit(True))
+    rows = uploads.join(projects, "project_id", "left").join(part, ["project_id", "profile_id"], "left")
     reason = (
         F.when(F.col("takes_part").isNull(), "not a participant")
         .when(~F.col("is_manager") & (F.col("owner_id") != F.col("profile_id")), "not the owner")
