@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crewlens.functions.similarity import lev_sim, seq_ratio
+from crewlens.functions.similarity import seq_ratio, window_sim
 from crewlens.functions.text import match_key
 from crewlens.operators.windows import first_per_key
 
@@ -65,23 +65,18 @@ def match_names(a: DataFrame, b: DataFrame, left: str = "name", right: str = "fu
     return a.withColumn("name key", name_tokens_key(F.col(left))).join(b.withColumn("name key", name_tokens_key(F.col(right))), "name key").drop("name key")
 
 
-def verify_owner(docs: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """Whether each text holds its owner's name: 1 where it stands there in either order, else the best Levenshtein similarity of either order over windows of n-1 to n+1 words."""
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    rows = docs.withColumn("words of text", words(match_key(F.col("text")))).withColumn("words of name", words(match_key(F.col("name"))))
-    all_, n = F.col("words of text"), F.size("words of name")
-    orders = [F.array_join(F.col("words of name"), " "), F.array_join(F.reverse("words of name"), " ")]
+def verify_owner(docs: DataFrame, threshold: float = 0.82, key: Column | None = None) -> DataFrame:
+    """Whether each text holds its owner's name: 1 where it stands there in either order, else the best Levenshtein similarity of either order over windows of n-1 to n+1 words.
 
-    def best(width: Column) -> Column:
-        # Texts of fewer words have no window; the sequence of none is cut off.
-        starts = F.slice(F.sequence(F.lit(1), F.greatest(F.size(all_) - width + 1, F.lit(1))), 1, F.greatest(F.size(all_) - width + 1, F.lit(0)))
-        window = lambda i: F.array_join(F.slice(all_, i, width), " ")
-        return F.array_max(F.transform(starts, lambda i: F.greatest(*(lev_sim(window(i), o) for o in orders))))
-
-    similar = F.greatest(*(best(F.greatest(n + d, F.lit(1))) for d in (-1, 0, 1)), F.lit(0.0))
-    stands = F.contains(F.array_join(all_, " "), orders[0]) | F.contains(F.array_join(all_, " "), orders[1])
-    rows = rows.withColumn("name_score", F.when(stands, 1.0).otherwise(similar))
-    return rows.withColumn("verified", F.col("name_score") >= threshold).drop("words of text", "words of name")
+    docs: text and name, and any more columns. ``key`` is the text's ``match_key``, where docs have it; then they need no text.
+    """
+    rows = docs.withColumn("key of text", match_key(F.col("text")) if key is None else key).withColumn("key of name", match_key(F.col("name")))
+    turned = F.array_join(F.reverse(F.split("key of name", " ")), " ")
+    rows = rows.withColumn("stands in text", F.contains("key of text", F.col("key of name")) | F.contains("key of text", turned))
+    # Texts that hold the name are compared no more.
+    similar = window_sim(F.when(~F.col("stands in text"), F.col("key of text")), F.col("key of name"))
+    rows = rows.withColumn("name_score", F.when(F.col("stands in text"), 1.0).otherwise(similar))
+    return rows.withColumn("verified", F.col("name_score") >= threshold).drop("key of text", "key of name", "stands in text")
 
 
 def verify_owner_by_ratio(docs: DataFrame, key: str, least: float = 0.75) -> DataFrame:

@@ -163,11 +163,12 @@ _WINDOWS = "list_max(list_transform(generate_series(1, len(w) - {0} + 1), lambda
  select doc_id, round(score, 9) as name_score, score >= 0.82 as verified from s""")
 def owner_in_document(spark, sf_dir):
     """Names from the texts themselves, in order, turned, misspelt, and one that no text has."""
-    docs = table(spark, sf_dir, "documents")
-    w = F.split(match_key(F.col("text")), " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", match_key(F.col("text")).alias("key"))
+    docs = docs.select("doc_id", "key", F.split("key", " ", 4).alias("words"))
+    w = F.col("words")
     first, last, n = F.coalesce(F.get(w, F.lit(1)), F.lit("ann")), F.coalesce(F.get(w, F.lit(2)), F.lit("lee")), F.col("doc_id") % 4
     name = F.when(n == 0, F.concat_ws(" ", first, last)).when(n == 1, F.concat_ws(" ", last, first)).when(n == 2, F.concat(last, F.lit("x "), first)).otherwise("durant christophe")
-    return J.verify_owner(docs.select("doc_id", "text", name.alias("name"))).select("doc_id", F.round("name_score", 9).alias("name_score"), "verified")
+    return J.verify_owner(docs.select("doc_id", "key", name.alias("name")), key=F.col("key")).select("doc_id", F.round("name_score", 9).alias("name_score"), "verified")
 
 
 @query()

@@ -1,6 +1,7 @@
 """Hand-made rows with known answers, and properties."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import Window
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crewlens.functions import dates as D
 from crewlens.functions import text as T
-from crewlens.functions.similarity import seq_ratio
+from crewlens.functions.similarity import lev_sim, seq_ratio
 from crewlens.operators import aggregates as A
 from crewlens.operators import certifications as C
 from crewlens.operators import extraction as X
@@ -113,6 +114,28 @@ def test_contact(spark):
     assert (got.email, got.phone, got.name) == ("ann@example.org", "+216 22 333 444", "Ann Lee")
 
 
+def test_owner_scores_against_single_distances(spark):
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abcde1") for _ in range(rng.randint(1, most)))
+    say = lambda sizes, most: " ".join(word(rng.choice(sizes)) for _ in range(rng.randint(0, most)))
+    # Long words reach past the windows that are compared first, names of 64 letters past the smallest cells.
+    rows = [(i, say([3, 8, 60], 10) if i % 9 else None, say([2, 7, 70], 4) if i % 11 else None) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (120, "zz " * 30_000 + "anm le", "Ann Lee"), (121, "z" * 300_000, "Ann Zoe")], "id int, text string, name string")
+    pairs = []
+    for i, text, name in rows:
+        w, n, said = (text or "").split(), (name or "").split(), " ".join(name.split()) if name else ""
+        forms = [said, " ".join(n[::-1])]
+        windows = {" ".join(w[at : at + k]) for k in {max(len(n) + d, 1) for d in (-1, 0, 1)} for at in range(len(w) - k + 1)}
+        pairs += [(i, "", "")] * any(f in " ".join(w) for f in forms) + [(i, x, f) for x in windows for f in forms]
+    want = {r.id: r.best for r in spark.createDataFrame(pairs, "id int, a string, b string").groupBy("id").agg(F.max(lev_sim(F.col("a"), F.col("b"))).alias("best")).collect()}
+    plan = verify_owner(docs)
+    got = {r.id: r.name_score for r in plan.collect()}
+    assert {i: got[i] for i, *_ in rows} == {i: want.get(i, 0.0) for i, *_ in rows}
+    assert got[120] == 1 - 2 / 7 and got[121] == 1 - 299_999 / 300_000
+    # A window of each place and a distance for it, both taken in the plan's own expressions, took hours at 6 GB.
+    assert "levenshtein" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_owner_and_person(spark):
     docs = spark.createDataFrame([(1, "this is for Lee Ann", "Ann Lee"), (2, "given to An Lee today", "Ann Lee"), (3, "nobody here", "Ann Lee"), (4, "durant christophe", "Christophe Durand"), (5, "x", "Ann Lee"), (6, "", "Ann Lee")], "id int, text string, name string")
     assert {r.id: r.verified for r in verify_owner(docs).collect()} == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False}
