@@ -61,6 +61,16 @@ def test_names_of_any_length(spark):
     assert shared == {(7, "ana"): 2, (7, "maria"): 2, (11, "ana"): 2}
 
 
+def test_names_that_grow_are_never_broadcast(spark):
+    people = spark.range(300).selectExpr("id as user_id", "concat('given', id, ' family', id) as full_name")
+    asked = people.selectExpr("user_id as query_id", "concat('who is ', full_name) as query")
+    for found in (R.name_scope(asked, people), R.name_ambiguities(asked, people)):
+        joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        # Only the lengths of what begins alike, at most a row for each slot, go everywhere.
+        assert any("SortMergeJoin" in x for x in joins)
+        assert all("slot#" in x for x in joins if "Broadcast" in x)
+
+
 def test_references(spark):
     people = spark.createDataFrame([("Zoé Alder",), ("Ann Smith",)], "full_name string")
     turns = ["Zoe Alder and Ann Smith", "what did she do", "more on alders", "and the other?", "-", "-", "-", "-", "his age", None]
